@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, simhash
+from . import mixing, pii, quality, secrets, simhash
 from .common import read
 
 
@@ -19,6 +19,29 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("row.doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.scan(read(spark, sf_dir, "documents"))
+
+    def joined(c: str) -> Column:
+        return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.s, x.e)), ",")
+
+    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return got.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans")
+    )
+
+
+def _is(kind: str) -> Callable[[Column], Column]:
+    return lambda x: x.kind == kind
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.scan(read(spark, sf_dir, "documents"))
+    counts = [secrets.count(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base, spans = secrets.joined(F.col("base")), secrets.joined(F.col("spans"))
+    return got.select(F.col("id").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return got.select(
@@ -38,6 +61,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_pii": op2_pii,
+        "op3_secrets": op3_secrets,
         "op5_quality_rules": op5_quality_rules,
         "op7_simhash": op7_simhash,
     }
