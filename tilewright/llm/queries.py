@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality, secrets, simhash
+from . import mixing, pieces, pii, quality, secrets, simhash
 from .common import read
 
 
@@ -49,6 +49,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pieces.encode(read(spark, sf_dir, "documents"), pieces.Model.load(), with_ids=False)
+    return got.select(F.col("id").alias("doc_id"), "n_tokens", "n_byte_tokens", "ids_sha256", "exact")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, distance=4)
     return got.select(
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": op2_pii,
         "op3_secrets": op3_secrets,
         "op5_quality_rules": op5_quality_rules,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_simhash": op7_simhash,
     }
 
