@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, pii, quality, secrets, simhash
+from . import forest, langmodel, mixing, pieces, pii, quality, secrets, simhash
 from .common import read
 
 
@@ -42,6 +42,16 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = forest.near(read(spark, sf_dir, "embeddings"), threshold=0.9)
+    return got.select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return got.select(
@@ -63,14 +73,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.score(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_pii": op2_pii,
         "op3_secrets": op3_secrets,
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_simhash": op7_simhash,
+        "op9_lm_scoring": op9_lm_scoring,
     }
 
 
