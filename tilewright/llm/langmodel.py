@@ -10,6 +10,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -364,8 +365,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, net = shared.value, Network(weights)
         for b in batches:
-            size = np.diff(np.append(0, np.cumsum([len(t) for t in b.column("text").cast(pa.binary())]))) if b.num_rows else []
-            cut = np.cumsum(size) // TEXT_BYTES
+            size = pc.binary_length(b.column("text").cast(pa.binary())).to_numpy(zero_copy_only=False)
+            cut = np.cumsum(size.astype(np.int64)) // TEXT_BYTES
             for k in np.unique(cut):
                 i = np.flatnonzero(cut == k)
                 yield _score_batch(v, net, b.slice(int(i[0]), len(i)))
