@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, langmodel, mixing, pieces, pii, quality, secrets, simhash
+from . import forest, langmodel, mixing, pages, pieces, pii, quality, secrets, simhash
 from .common import read
 
 
@@ -77,6 +77,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmodel.score(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages"), pages.Extractor.train())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sentencepiece": op6_sentencepiece,
         "op7_simhash": op7_simhash,
         "op9_lm_scoring": op9_lm_scoring,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
