@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, langmodel, mixing, pages, pieces, pii, quality, secrets, simhash
+from . import forest, langmodel, lines, mixing, pages, pieces, pii, quality, secrets, simhash
 from .common import read
 
 
@@ -73,6 +73,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lines.marked(read(spark, sf_dir, "documents"))
+    return got.select(
+        F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines")
+    )
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmodel.score(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -90,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_simhash": op7_simhash,
+        "op8_line_dedup": op8_line_dedup,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_html_extraction": op10_html_extraction,
     }
