@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, Table, text_or_empty, words
+from .common import WORD, text_or_empty, words
 
 #: Characters counted as symbols.
 SYMBOLS = "[#*$%&|<>]"
@@ -52,7 +52,6 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.regexp_count("t", F.lit("[0-9]")).alias("n_digits"),
         F.size(F.array_distinct("w")).alias("n_distinct"),
     )
-    at = F.array_sort(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     d = d.withColumn(
         "at", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.lit(None))
     )
@@ -184,24 +183,32 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if c is None else c.otherwise(F.lit(True))
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules from labels(doc_id, quality 0/1); null labels and ids without a document teach nothing. Learns
-    from at most sample_rows labelled rows, those with the smallest hashes of the id."""
+    from at most sample_rows labelled rows, those with the smallest hashes of the id; statistics are
+    computed for these only, so their ids may be broadcast."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = few.join(stats.select("id", *features()), F.col("doc_id") == F.col("id")).select("quality", *FEATURES, F.xxhash64("doc_id").alias("h")).collect()
+    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(F.col("doc_id").alias("id"), "quality")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    labelled = statistics(texts.join(F.broadcast(few), "id"), "id", "text", ["quality"])
+    rows = labelled.select("quality", *features(), F.xxhash64("id").alias("h")).collect()
     if not rows:
         return []
     rows.sort(key=lambda r: (r.h, tuple(r)))
+    rows = rows[:sample_rows]
     x = np.array([[r[f] for f in FEATURES] for r in rows], dtype=float)
     return learn_rules(x, np.array([r.quality > 0 for r in rows]))
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """statistics() with kept: false if base_failed, else the learned rules' verdict. ``keep`` names columns to
-    carry along. Rows without a label are judged like all others; with no labels only the base counts."""
-    stats = Table(statistics(docs, id_col, text_col, keep), "quality").df
-    rules = fit(stats, labels)
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """statistics() of each row, with row, a struct of its columns, and kept: false if base_failed, else the
+    learned rules' verdict. Rows without a label are judged like all others; with no labels only the
+    base counts; an empty table gives an empty one."""
+    rules = fit(docs, labels, id_col, text_col)
+    rows = docs.select(F.struct("*").alias("row")).select(
+        "row", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").cast("string").alias("text")
+    )
+    stats = statistics(rows, "id", "text", ["row"])
     f = stats.select("*", F.struct(*features()).alias("f"))
     tested = verdict([Rule(tuple((f"f.{n}", o, v) for n, o, v in r.tests), r.good) for r in rules])
     return f.select(*stats.columns, (~F.col("base_failed") & tested).alias("kept"))
@@ -209,11 +216,4 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that judge() rejects; all columns stay, whatever their names."""
-    rows = docs.select(F.struct("*").alias("row"))
-    slim = rows.select(F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").cast("string").alias("text"))
-    stats = Table(statistics(slim, "id", "text"), "quality").df
-    rules = fit(stats, labels)
-    marked = statistics(rows.select("row", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").cast("string").alias("text")), "id", "text", ["row"])
-    f = marked.select("row", "base_failed", F.struct(*features()).alias("f"))
-    tested = verdict([Rule(tuple((f"f.{n}", o, v) for n, o, v in r.tests), r.good) for r in rules])
-    return f.where(~F.col("base_failed") & tested).select("row.*")
+    return judge(docs, labels, id_col, text_col).where("kept").select("row.*")

@@ -95,7 +95,7 @@ def plan_partitions(n: int, both: np.ndarray, distance: int, key_cost: float = 1
     corr = np.abs(cov / np.outer(sd, sd))
     differ = 2 * p * (1 - p)
     best: tuple[float, list] = (math.inf, [])
-    for m in range(2, distance + 2):
+    for m in range(1, distance + 2):
         parts = _group_bits(corr, m)
         costs = []
         for bits in parts:
