@@ -23,12 +23,17 @@ END = b""
 HEAD = 300_000
 #: Sizes of the network: CLASSES ** 2 output tokens, one of them for all tokens without an output of their own.
 CLASSES, HIDDEN = 32, 16
+#: Logits are cut off here, far from what float32 can't hold.
+HIGHEST = np.float32(60)
+ONES = np.ones(CLASSES, np.float32)
 #: Backpropagation goes this far; lanes trained side by side; tokens gathered before a training run.
-WINDOW, LANES, GATHER = 16, 256, 1 << 20
+WINDOW, LANES, GATHER = 16, 512, 1 << 20
+#: Tokens whose outputs are computed at once when scoring.
+SCORED = 1 << 15
 #: Each training document is learned from once, in the round that its id's hash names.
 ROUNDS, RATES = 4, (0.02, 0.012, 0.006, 0.003)
 #: Bytes of text tokenised at a time, and distinct tokens counted before the counts are handed on.
-TEXT_BYTES, FLUSH = 1 << 24, 200_000
+TEXT_BYTES, FLUSH = 1 << 25, 200_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -74,6 +79,7 @@ class Vocabulary:
     distinct: int
     own: int  # the first so many have an output of their own
     own_counts: np.ndarray
+    own_index: dict[bytes, int]  # index of those, small enough to stay in a processor's cache
 
     @property
     def base_total(self) -> float:
@@ -84,8 +90,16 @@ class Vocabulary:
         """Of add-one smoothing among the tokens without an output of their own, unseen ones included."""
         return math.log10(self.train_tokens - int(self.own_counts.sum()) + self.distinct - self.own + 1)
 
+    def own_ids(self, words: list[bytes]) -> np.ndarray:
+        """Places of the tokens with an output of their own, -1 for others."""
+        return np.fromiter(map(self.own_index.get, words, repeat(-1)), np.int32, len(words))
+
     def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+        """Places of all tokens, -1 for those that the index lacks."""
+        ids = self.own_ids(words)
+        rest = np.flatnonzero(ids < 0)
+        ids[rest] = np.fromiter(map(self.index.get, map(words.__getitem__, rest.tolist()), repeat(-1)), np.int32, len(rest))
+        return ids
 
 
 class Network:
@@ -122,21 +136,34 @@ class Network:
         net.p["bo"][:] = np.log(share / share.sum(1, keepdims=True))
         return net
 
-    def window(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
+    def window(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
         """States after each step: inputs (T, B) are the tokens before those to predict, fresh (T, B) marks the
-        first of a document, where the state starts anew. Returns (T, B, HIDDEN) and what backward() needs."""
+        first of a document, where the state starts anew. Returns (T, B, HIDDEN) and, to keep, what backward() needs."""
         p = self.p
-        gx = p["E"][inputs] @ p["Wx"] + p["bx"]
+        gx = (p["E"] @ p["Wx"] + p["bx"])[inputs]
         out, saved = np.empty((*inputs.shape, HIDDEN), np.float32), []
+        any_fresh = fresh.any(1)
         for t in range(len(inputs)):
-            h = h * (~fresh[t])[:, None]
+            if any_fresh[t]:
+                h = h.copy()
+                h[fresh[t]] = 0
             gh = h @ p["Wh"]
-            rz = 1 / (1 + np.exp(-(gx[t, :, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])))
+            rz = gx[t, :, : 2 * HIDDEN]  # sigmoids, in place
+            rz += gh[:, : 2 * HIDDEN]
+            np.negative(rz, out=rz)
+            np.exp(rz, out=rz)
+            rz += 1
+            np.reciprocal(rz, out=rz)
             r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-            c = np.tanh(gx[t, :, 2 * HIDDEN :] + r * gh[:, 2 * HIDDEN :])
-            saved.append((h, r, z, c, gh[:, 2 * HIDDEN :]))
-            h = c + z * (h - c)
-            out[t] = h
+            ghc = gh[:, 2 * HIDDEN :]
+            c = r * ghc
+            c += gx[t, :, 2 * HIDDEN :]
+            np.tanh(c, out=c)
+            if keep:
+                saved.append((h, r, z, c, ghc))
+            h = np.subtract(h, c, out=out[t])
+            h *= z
+            h += c
         return out, saved
 
     def outputs(self, h: np.ndarray, targets: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -145,9 +172,9 @@ class Network:
         p = self.p
         cls, within = targets // CLASSES, targets % CLASSES
         a = h @ p["Wc"] + p["bc"]
-        a -= a.max(1, keepdims=True)
+        np.minimum(a, HIGHEST, out=a)
         e = np.exp(a)
-        s = e.sum(1)
+        s = e @ ONES  # summing short rows is much slower
         rows = np.arange(len(h))
         logp = a[rows, cls] - np.log(s)
         dh = None
@@ -165,9 +192,9 @@ class Network:
                 continue
             hk = h[i]
             a = hk @ p["Wo"][k] + p["bo"][k]
-            a -= a.max(1, keepdims=True)
+            np.minimum(a, HIGHEST, out=a)
             e = np.exp(a)
-            s = e.sum(1)
+            s = e @ ONES
             n = np.arange(len(i))
             logp[i] += a[n, within[i]] - np.log(s)
             if grad is not None:
@@ -192,7 +219,8 @@ class Network:
             g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :] = dr, dz, dc
             gh = np.concatenate([dr, dz, dc * r], axis=1)
             grad["Wh"] += h.T @ gh
-            dnext = (d * z + gh @ p["Wh"].T) * (~fresh[t])[:, None]
+            dnext = d * z + gh @ p["Wh"].T
+            dnext[fresh[t]] = 0
         flat = dgx.reshape(-1, 3 * HIDDEN)
         ids = inputs.reshape(-1)
         grad["Wx"] += p["E"][ids].T @ flat
@@ -273,15 +301,16 @@ def score_documents(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     y, of, new = y[by_end].T, of[by_end].T, new[by_end].T
     h = np.zeros((lanes, HIDDEN), np.float32)
     last = None
-    for at in range(0, steps, WINDOW * 2):
-        s = slice(at, min(at + WINDOW * 2, steps))
+    stride = max(WINDOW, SCORED // lanes)
+    for at in range(0, steps, stride):
+        s = slice(at, min(at + stride, steps))
         n = int((of[at] >= 0).sum())  # lanes that go on, all in front
         x = np.zeros_like(y[s, :n])
         x[1:] = y[s, :n][:-1]
         if last is not None:
             x[0] = last[:n]
         x[new[s, :n]] = 0
-        out, _ = net.window(x, new[s, :n], h[:n])
+        out, _ = net.window(x, new[s, :n], h[:n], keep=False)
         h, last = out[-1], y[s][-1]
         real = of[s, :n].reshape(-1)
         rows = np.flatnonzero(real >= 0)
@@ -312,7 +341,7 @@ def train(docs: DataFrame, vocabulary, start: np.ndarray, rate: float) -> np.nda
 
         for b in batches:
             for t in b.column("text").cast(pa.binary()):
-                ids = _outputs_of(v.ids(tokens(t.as_py())), v.own)
+                ids = v.own_ids(tokens(t.as_py())) + 1
                 held.append(ids)
                 size += len(ids)
                 seen += len(ids)
@@ -356,7 +385,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     head = counts.orderBy(F.desc("n"), "token").limit(HEAD).toArrow()
     head_tokens, head_n = [bytes(x) for x in head.column("token").to_pylist()], head.column("n").to_numpy().astype(np.int64)
     own = min(CLASSES * CLASSES - 1, len(head_tokens))
-    v = Vocabulary({t: i for i, t in enumerate(head_tokens)}, np.log10(head_n + 1.0), total.n, total.v, own, head_n[:own])
+    index = {t: i for i, t in enumerate(head_tokens)}
+    v = Vocabulary(index, np.log10(head_n + 1.0), total.n, total.v, own, head_n[:own], dict(list(index.items())[:own]))
     shared = spark.sparkContext.broadcast(v)
     weights = Network.start(v.own_counts, max(0.0, total.n - float(v.own_counts.sum()))).flat
     for r in range(ROUNDS):
@@ -405,7 +435,7 @@ def _score_batch(v: Vocabulary, net: Network, b: pa.RecordBatch) -> pa.RecordBat
         head_sum.append(float(logs.sum()))
         rest.append(int(is_rest.sum() + (~known).sum()))
         rest_sum.append(float(v.log_count[ids[is_rest]].sum()) if is_rest.any() else 0.0)
-        rare = Counter(w[i] for i in np.flatnonzero(~known))
+        rare = Counter(map(w.__getitem__, np.flatnonzero(~known).tolist()))
         tails.append(list(rare))
         times.append(list(rare.values()))
         outs.append(_outputs_of(ids, v.own))
