@@ -215,5 +215,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that judge() rejects; all columns stay, whatever their names."""
-    return judge(docs, labels, id_col, text_col).where("kept").select("row.*")
+    """docs without the rows that judge() rejects; all columns stay, whatever their names.
+
+    The row number keeps the optimiser from moving the filter below the statistics, which would
+    write their expressions out many times over."""
+    judged = judge(docs, labels, id_col, text_col).select("row", "kept", F.monotonically_increasing_id().alias("n"))
+    return judged.where(F.col("kept") & (F.col("n") >= 0)).select("row.*")
