@@ -16,6 +16,8 @@ BUCKETS = 1 << 16
 HASH_BITS = 47
 #: Prefix tokens by which a line is first compared with the earliest line only.
 HUB_TOKENS = 3
+#: Bits for a token's place in its line, and a flag, below the line's number of tokens.
+SHIFT = 32
 
 
 def _bucket(word: Column) -> Column:
@@ -52,14 +54,6 @@ def _release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def _earlier(a: str, b: str) -> Column:
-    """Whether line a comes before line b: by document (null ids last), line, and number of the class."""
-    c = lambda s, n: F.col(f"{s}.{n}")
-    return (c(a, "d") < c(b, "d")) | (
-        (c(a, "d") == c(b, "d")) & ((c(a, "l") < c(b, "l")) | ((c(a, "l") == c(b, "l")) & (c(a, "cid") < c(b, "cid"))))
-    )
-
-
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: str = "0.8") -> DataFrame:
     """(key, l): the lines to remove, l from 0, of the documents that document_key() names.
 
@@ -85,14 +79,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ).where(F.rlike("line", F.lit(WORD)))
     marked = lines.select("key", "d", "l", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "line")
     classes = marked.groupBy("h1", "h2").agg(F.min(F.struct("d", "l", "key")).alias("first"), F.first("line").alias("line"))
-    classes = classes.select("h1", "h2", "first.*", "line", _tokens(F.col("line"), ranks).alias("toks"))
-    n = F.size("toks")
+    order = [F.col("first.d"), F.col("first.l"), F.col("first.key")]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    classes = classes.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the class number follows the order of lines
+    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "first.*", "line", _tokens(F.col("line"), ranks).alias("toks"))
+    size = F.size("toks")
     flips = F.aggregate(
         "toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
     )
     classes = classes.select(
-        F.monotonically_increasing_id().alias("cid"), "h1", "h2", "d", "l", "key", "line", n.alias("n"), flips.alias("bits"),
-        F.slice("toks", 1, n - _ceil(n, t) + 1).alias("prefix"),
+        "cid", "h1", "h2", "d", "l", "key", "line", size.cast("long").alias("n"), flips.alias("bits"),
+        F.slice("toks", 1, size - _ceil(size, t) + 1).alias("prefix"),
     )
     classes = Table(classes, "lines").df
     _release(spark)
@@ -101,32 +99,37 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lo, hi = t.numerator, t.denominator
 
     def alike(a: str, b: str) -> Column:
-        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        most = (na + nb) * (hi - lo)
+        na, nb = (F.shiftright(F.col(f"{s}.meta"), SHIFT) for s in (a, b))
+        pa, pb = (F.shiftright(F.col(f"{s}.meta"), 1).bitwiseAND(F.lit((1 << (SHIFT - 1)) - 1)) for s in (a, b))
         apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-        left = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))  # tokens from the shared one on
-        return (na * hi >= nb * lo) & (nb * hi >= na * lo) & (apart * (hi + lo) <= most) & (left * (hi + lo) >= (na + nb) * lo)
-
-    def signatures(tokens: Column, *more: str) -> DataFrame:
-        return classes_now.select("cid", "d", "l", "n", "bits", *more, F.posexplode(tokens).alias("pos", "tok"))
-
-    classes_now = classes
-    sig = signatures(F.slice("prefix", 1, HUB_TOKENS))
-    hubs = sig.groupBy("tok").agg(F.min(F.struct("d", "l", "cid", "n", "bits", "pos")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("tok", "hub.*")
-    near = sig.alias("x").join(hubs.alias("y"), "tok").where(_earlier("y", "x") & alike("x", "y"))
+        left = F.least(na - pa, nb - pb)  # tokens from the shared one on
+        return (
+            (apart * (hi + lo) <= (na + nb) * (hi - lo)) & (na * hi >= nb * lo) & (nb * hi >= na * lo) & (left * (hi + lo) >= (na + nb) * lo)
+        )
+
+    def signatures(lines: DataFrame, tokens: Column, done: Column) -> DataFrame:
+        """(tok, cid, bits, meta): meta packs the line's tokens, the token's place and done."""
+        placed = lines.select("cid", "bits", "n", done.alias("done"), F.posexplode(tokens).alias("pos", "tok"))
+        meta = F.shiftleft("n", SHIFT).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("done").cast("long"))
+        return placed.select("tok", "cid", "bits", meta.alias("meta"))
+
+    sig = signatures(classes, F.slice("prefix", 1, HUB_TOKENS), F.lit(0))
+    hubs = sig.groupBy("tok").agg(F.min(F.struct("cid", "bits", "meta")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("tok", "hub.*")
+    near = sig.alias("x").join(hubs.alias("y"), "tok").where((F.col("y.cid") < F.col("x.cid")) & alike("x", "y"))
     first = _verify(near.select(F.col("x.cid").alias("cid"), F.col("y.cid").alias("by")).distinct(), classes, lo, hi)
     done = Table(first.select("cid").distinct(), "lines-done").df
     _release(spark)
 
-    classes_now = classes.select("cid", "d", "l", "n", "bits", "prefix").join(done.withColumn("gone", F.lit(1)), "cid", "left")
-    classes_now = classes_now.select("*", F.coalesce("gone", F.lit(0)).alias("done")).drop("gone")
-    sig = signatures(F.col("prefix"), "done")
-    # "done" is compared with the other side's, so that both sides stay one shuffle
-    open_ = F.col("x.done") <= F.col("y.done") * 0
-    near = sig.alias("x").join(sig.alias("y"), F.col("x.tok") == F.col("y.tok")).where(open_ & _earlier("y", "x") & alike("x", "y"))
-    pairs = Table(near.select(F.col("x.cid").alias("cid"), F.col("y.cid").alias("by")).distinct(), "lines-pairs").df
+    flagged = classes.select("cid", "n", "bits", "prefix").join(done.select("cid", F.lit(1).alias("gone")), "cid", "left")
+    sig = signatures(flagged, F.col("prefix"), F.coalesce("gone", F.lit(0)))
+    # x.done is compared with the other side's, so that both sides stay one shuffle
+    of = lambda s: F.col(f"{s}.meta").bitwiseAND(F.lit(1))
+    near = sig.alias("x").join(sig.alias("y"), F.col("x.tok") == F.col("y.tok")).where(
+        (F.col("y.cid") < F.col("x.cid")) & (of("x") <= of("y") * 0) & alike("x", "y")
+    )
+    pairs = near.select(F.col("x.cid").alias("cid"), F.col("y.cid").alias("by")).distinct()
+    gone = Table(done.union(_verify(pairs, classes, lo, hi).select("cid")).distinct(), "lines-gone").df
     _release(spark)
-    gone = done.union(_verify(pairs, classes, lo, hi).select("cid")).distinct()
     stay = classes.join(gone, "cid", "left_anti").select("h1", "h2", F.col("d").alias("fd"), F.col("l").alias("fl"), F.col("key").alias("fk"))
     stay = Table(stay, "lines-stay").df
     _release(spark)
@@ -141,8 +144,10 @@ def _ceil(n: Column, t: Fraction) -> Column:
 
 def _verify(pairs: DataFrame, classes: DataFrame, lo: int, hi: int) -> DataFrame:
     """The pairs whose lines' sets of words are similar enough."""
-    text = classes.select("cid", "line")
-    both = pairs.join(text, "cid").join(text.select(F.col("cid").alias("by"), F.col("line").alias("other")), "by")
+    pairs = Table(pairs, "lines-candidates").df
+    needed = pairs.select("cid").union(pairs.select("by")).distinct()
+    known = Table(classes.select("cid", "line").join(needed, "cid", "left_semi"), "lines-texts").df
+    both = pairs.join(known, "cid").join(known.select(F.col("cid").alias("by"), F.col("line").alias("other")), "by")
     sets = both.select("cid", "by", F.array_distinct(words(F.col("line"))).alias("a"), F.array_distinct(words(F.col("other"))).alias("b"))
     same = F.size(F.array_intersect("a", "b"))
     return sets.where(same * (hi + lo) >= (F.size("a") + F.size("b")) * lo).select("cid", "by")
