@@ -16,7 +16,7 @@ BUCKETS = 1 << 16
 HASH_BITS = 47
 #: Prefix tokens by which a line is first compared with the earliest line only.
 HUB_TOKENS = 3
-#: Bits for a token's place in its line, and a flag, below the line's number of tokens.
+#: Bits for a token's place in its line, and a flag, below the line's number.
 SHIFT = 32
 
 
@@ -79,10 +79,6 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ).where(F.rlike("line", F.lit(WORD)))
     marked = lines.select("key", "d", "l", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "line")
     classes = marked.groupBy("h1", "h2").agg(F.min(F.struct("d", "l", "key")).alias("first"), F.first("line").alias("line"))
-    order = [F.col("first.d"), F.col("first.l"), F.col("first.key")]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = classes.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    # the class number follows the order of lines
     classes = classes.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "first.*", "line", _tokens(F.col("line"), ranks).alias("toks"))
     size = F.size("toks")
     flips = F.aggregate(
@@ -99,7 +95,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lo, hi = t.numerator, t.denominator
 
     def alike(a: str, b: str) -> Column:
-        na, nb = (F.shiftright(F.col(f"{s}.meta"), SHIFT) for s in (a, b))
+        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
         pa, pb = (F.shiftright(F.col(f"{s}.meta"), 1).bitwiseAND(F.lit((1 << (SHIFT - 1)) - 1)) for s in (a, b))
         apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
         left = F.least(na - pa, nb - pb)  # tokens from the shared one on
@@ -107,25 +103,31 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             (apart * (hi + lo) <= (na + nb) * (hi - lo)) & (na * hi >= nb * lo) & (nb * hi >= na * lo) & (left * (hi + lo) >= (na + nb) * lo)
         )
 
+    def earlier(a: str, b: str) -> Column:
+        """By document, then line; lines of documents with one id by the class's number."""
+        la, lb = (F.shiftright(F.col(f"{s}.meta"), SHIFT) for s in (a, b))
+        da, db, ca, cb = (F.col(f"{s}.{c}") for c in ("d", "cid") for s in (a, b))
+        return (da < db) | ((da == db) & ((la < lb) | ((la == lb) & (ca < cb))))
+
     def signatures(lines: DataFrame, tokens: Column, done: Column) -> DataFrame:
-        """(tok, cid, bits, meta): meta packs the line's tokens, the token's place and done."""
-        placed = lines.select("cid", "bits", "n", done.alias("done"), F.posexplode(tokens).alias("pos", "tok"))
-        meta = F.shiftleft("n", SHIFT).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("done").cast("long"))
-        return placed.select("tok", "cid", "bits", meta.alias("meta"))
+        """(tok, cid, d, n, bits, meta): meta packs the line's number, the token's place in it, and done."""
+        placed = lines.select("cid", "d", "l", "bits", "n", done.alias("done"), F.posexplode(tokens).alias("pos", "tok"))
+        meta = F.shiftleft(F.col("l").cast("long"), SHIFT).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("done").cast("long"))
+        return placed.select("tok", "cid", "d", "n", "bits", meta.alias("meta"))
 
     sig = signatures(classes, F.slice("prefix", 1, HUB_TOKENS), F.lit(0))
-    hubs = sig.groupBy("tok").agg(F.min(F.struct("cid", "bits", "meta")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("tok", "hub.*")
-    near = sig.alias("x").join(hubs.alias("y"), "tok").where((F.col("y.cid") < F.col("x.cid")) & alike("x", "y"))
+    hubs = sig.groupBy("tok").agg(F.min(F.struct("d", F.shiftright("meta", SHIFT).alias("l"), "cid", "n", "bits", "meta")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("tok", "hub.*")
+    near = sig.alias("x").join(hubs.alias("y"), "tok").where(earlier("y", "x") & alike("x", "y"))
     first = _verify(near.select(F.col("x.cid").alias("cid"), F.col("y.cid").alias("by")).distinct(), classes, lo, hi)
     done = Table(first.select("cid").distinct(), "lines-done").df
     _release(spark)
 
-    flagged = classes.select("cid", "n", "bits", "prefix").join(done.select("cid", F.lit(1).alias("gone")), "cid", "left")
+    flagged = classes.select("cid", "d", "l", "n", "bits", "prefix").join(done.select("cid", F.lit(1).alias("gone")), "cid", "left")
     sig = signatures(flagged, F.col("prefix"), F.coalesce("gone", F.lit(0)))
     # x.done is compared with the other side's, so that both sides stay one shuffle
     of = lambda s: F.col(f"{s}.meta").bitwiseAND(F.lit(1))
     near = sig.alias("x").join(sig.alias("y"), F.col("x.tok") == F.col("y.tok")).where(
-        (F.col("y.cid") < F.col("x.cid")) & (of("x") <= of("y") * 0) & alike("x", "y")
+        (of("x") <= of("y") * 0) & alike("x", "y") & earlier("y", "x")
     )
     pairs = near.select(F.col("x.cid").alias("cid"), F.col("y.cid").alias("by")).distinct()
     gone = Table(done.union(_verify(pairs, classes, lo, hi).select("cid")).distinct(), "lines-gone").df
