@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -67,7 +66,6 @@ def _bytes(a: int, r: int, g: int, b: int) -> Color:
     return a / 255, r / 255, g / 255, b / 255
 
 
-@lru_cache(maxsize=1024)
 def parse(text: str) -> Color | None:
     """#rgb[a], #rrggbb[aa], rgb[a](), hsl[a]() and names, in any case and with white space around; else None."""
     s = text.strip().lower()

@@ -7,7 +7,6 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from ..functions import tiles as T
 from ..plans.expressions import Context, MapView
 from ..plans.theme import TOP_ZOOM, Theme
 from .drawlist import meets, window
+from .folds import Rows, fold
 
 #: Pixels that an anchor may lie outside its tile, and outside the screen.
 SEAM, OFFSCREEN = 0.5, 150.0
@@ -233,32 +233,34 @@ def place(c: DataFrame, screen: list[str], order: list[str], remembered: str | N
     work, of as many candidates as a screen has; screens are independent.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        grid, out = Grid(), []
-        for r in rows.itertuples(index=False):
-            tried = [(b["anchor"], (b["l"], b["t"], b["r"], b["b"])) for b in (r.text_boxes if r.text_boxes is not None else [])]
-            if remembered and getattr(r, remembered):
-                tried.sort(key=lambda x: x[0] != getattr(r, remembered))
-            icon = r.icon_box
-            icon = (icon["l"], icon["t"], icon["r"], icon["b"]) if icon is not None and icon == icon else None
-            if not tried and icon is None:
-                out.append((False, None, False))
-            elif r.allow_overlap:
-                out.append((True, tried[0][0] if tried else None, False))
-            else:
-                hit = next((a for a, b in tried if grid.claim_all([b] + ([icon] if icon else []))), None)
-                if hit is not None:
-                    out.append((True, hit, False))
-                elif icon and (not tried or r.text_optional) and grid.claim_all([icon]):
-                    out.append((True, None, bool(tried)))
-                else:
-                    out.append((False, None, False))
-        got = pd.DataFrame(out, columns=["placed", "anchor", "text_dropped"])
-        return pd.concat([rows, got], axis=1)
+    columns = c.columns
+
+    def run(rows: Rows) -> Iterator[tuple]:
+        grid = Grid()
+        for r in rows:
+            yield *(r[k] for k in columns), *_try(grid, r, r[remembered] if remembered else None)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema.fields)
-    return c.groupBy(*screen).applyInPandas(run, f"{schema}, {PLACED}")
+    return fold(c, screen, order, run, f"{schema}, {PLACED}")
+
+
+def _try(grid: Grid, r: dict, remembered: str | None) -> tuple[bool, str | None, bool]:
+    """Whether a candidate is placed, with which anchor, and whether without its text."""
+    tried = [(b["anchor"], (b["l"], b["t"], b["r"], b["b"])) for b in (r["text_boxes"] if r["text_boxes"] is not None else [])]
+    if remembered:
+        tried.sort(key=lambda x: x[0] != remembered)
+    icon = r["icon_box"]
+    icon = [(icon["l"], icon["t"], icon["r"], icon["b"])] if isinstance(icon, dict) else []
+    if not tried and not icon:
+        return False, None, False
+    if r["allow_overlap"]:
+        return True, tried[0][0] if tried else None, False
+    for anchor, box in tried:
+        if grid.claim_all([box, *icon]):
+            return True, anchor, False
+    if icon and (not tried or r["text_optional"]) and grid.claim_all(icon):
+        return True, None, bool(tried)
+    return False, None, False
 
 
 def promote_incumbents(c: DataFrame, key: list[str], order: str, shown: str) -> DataFrame:

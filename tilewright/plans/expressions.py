@@ -33,6 +33,9 @@ class Value:
     elem: str = "any"
     const: Any = None
     is_const: bool = False
+    #: What the value is chosen from, and how to choose from others instead.
+    outs: list[Value] | None = None
+    rebuild: Callable[[list[Value]], Value] | None = None
 
 
 def null() -> Value:
@@ -175,6 +178,9 @@ def to_colour(v: Value) -> Column:
     none = F.lit(None).cast(colors.SCHEMA)
     if v.kind == "color":
         return v.col
+    if v.rebuild and v.outs and all(o.kind in ("color", "null") or o.is_const and o.kind == "str" for o in v.outs):
+        # texts known now are parsed now, whichever of them a row gets
+        return v.rebuild([colour(to_colour(o)) for o in v.outs]).col
     if v.kind == "str":
         return colors.literal(colors.parse(v.const)) if v.is_const else colors.parse_column(v.col)
     if v.kind == "any":
@@ -486,7 +492,9 @@ class Compiler:
         col = cols[-1]
         for t, c in reversed(list(zip(tests, cols))):
             col = F.when(t, c).otherwise(col)
-        return _made(kind, col, outs)
+        made = _made(kind, col, outs)
+        made.outs, made.rebuild = outs, lambda others: self._choose(tests, others)
+        return made
 
     def _op_case(self, a, scope, op):
         outs = self._args(a[1::2], scope) if len(a) % 2 else self._args(a[1::2], scope)
@@ -535,7 +543,9 @@ class Compiler:
         for s, c in zip(stops, cols[1:]):
             reached = reached & (given >= s)
             col = F.when(F.coalesce(reached & ~F.isnan(given), F.lit(False)), c).otherwise(col)
-        return _made(kind, col, outs)
+        made = _made(kind, col, outs)
+        made.outs, made.rebuild = outs, lambda others: self._steps(given, stops, others)
+        return made
 
     def _op_interpolate(self, a, scope, op):
         if len(a) < 4:
