@@ -59,11 +59,9 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def words(text: Column) -> Column:
-    """ARRAY<STRING> of the words of a text, JVM side; [] for null and blank texts."""
-    trimmed = F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
-        F.split(trimmed, rf"[{SPACE}]+")
-    )
+    """ARRAY<STRING> of the words of a text, JVM side; [] for null and blank texts. White space at either end leaves
+    an empty part, which is taken out again."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]+"), "")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

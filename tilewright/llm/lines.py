@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Table, text_or_empty, words
+from .common import SPACE, WORD, Table, text_or_empty, words
 
 #: Token frequencies are counted in so many hash buckets; their ranks are all that the driver sees of the tokens.
 BUCKETS = 1 << 16
@@ -26,7 +26,8 @@ def _bucket(word: Column) -> Column:
 
 def rarity_ranks(texts: Column, docs: DataFrame) -> list[int]:
     """For each bucket its place among all, rarest first, by how many words of all texts fall in it."""
-    counted = docs.select(F.explode(words(texts)).alias("w")).groupBy(_bucket(F.col("w")).alias("b")).count().collect()
+    parts = F.explode(F.split(texts, rf"[{SPACE}]+"))  # with empty ones, which count for nothing here
+    counted = docs.select(parts.alias("w")).groupBy(_bucket(F.col("w")).alias("b")).count().collect()
     n = [0] * BUCKETS
     for r in counted:
         n[r.b] = r["count"]
@@ -40,12 +41,12 @@ def _tokens(line: Column, ranks: list[int]) -> Column:
     """The set of a line's words as longs, sorted by rarity: rank of the bucket, then hash."""
     table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded into one literal
 
-    def one(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def one(h: Column) -> Column:
         rank = F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int"))
         return F.shiftleft(rank, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(words(line), one)))
+    hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, one))
 
 
 def _release(spark: SparkSession) -> None:
