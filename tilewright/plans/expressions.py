@@ -422,7 +422,7 @@ class Compiler:
         if len(a) > 1:
             of = self.expression(a[1], scope)
             return Value("any", F.try_element_at(of.col, to_text(key))) if of.kind == "map" else null()
-        if key.is_const:
+        if key.is_const and key.kind != "null":
             return self._get(key.const if isinstance(key.const, str) else _plain_text(key.const))
         self.uses_feature, self.properties = True, None
         return self.ctx.view.dynamic(to_text(key))
@@ -435,7 +435,7 @@ class Compiler:
             of = self.expression(a[1], scope)
             return truth(F.coalesce(F.map_contains_key(of.col, to_text(key)), F.lit(False)) if of.kind == "map" else F.lit(False))
         self.uses_feature = True
-        if key.is_const:
+        if key.is_const and key.kind != "null":
             if self.properties is not None:
                 self.properties.add(_plain_text(key.const))
             return truth(self.ctx.view.has(_plain_text(key.const)))
