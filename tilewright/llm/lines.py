@@ -63,7 +63,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Equal lines are one class, represented by the earliest. Classes are joined on the tokens of
     their prefixes: with the tokens in rarity order two similar lines share one of the first
-    n - ceil(t * n) + 1. Lengths, positions and a bit map (each token flips one of 64 bits; two sets
+    n - ceil(t * n) + 1. Lengths, positions and a bit map (each token flips one of 128 bits; two sets
     that differ in few tokens differ in few bits) exclude nearly all other pairs within the join;
     what is left is verified on the words. To remove a line one earlier match is enough: lines
     are first compared with the earliest line of each of their rarest tokens' groups, and those that
@@ -82,13 +82,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = marked.groupBy("h1", "h2").agg(F.min(F.struct("d", "l", "key")).alias("first"), F.first("line").alias("line"))
     classes = classes.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "first.*", "line", _tokens(F.col("line"), ranks).alias("toks"))
     size = F.size("toks")
-    flips = F.aggregate(
-        "toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
-    )
-    classes = classes.select(
-        "cid", "h1", "h2", "d", "l", "key", "line", size.cast("long").alias("n"), flips.alias("bits"),
-        F.slice("toks", 1, size - _ceil(size, t) + 1).alias("prefix"),
-    )
+    one = F.lit(1).cast("long")
+    zero = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
+
+    def flip(a: Column, x: Column) -> Column:
+        bit = F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
+        low = x.bitwiseAND(F.lit(64)) == 0
+        return F.struct(F.when(low, a["p"].bitwiseXOR(bit)).otherwise(a["p"]).alias("p"), F.when(low, a["q"]).otherwise(a["q"].bitwiseXOR(bit)).alias("q"))
+
+    flips = F.aggregate("toks", zero, flip)
+    classes = classes.select("cid", "h1", "h2", "d", "l", "key", "line", size.cast("long").alias("n"), flips.alias("bits"), F.slice("toks", 1, size - _ceil(size, t) + 1).alias("prefix"))
+    classes = classes.select("cid", "h1", "h2", "d", "l", "key", "line", "n", F.col("bits.p").alias("p"), F.col("bits.q").alias("q"), "prefix")
     classes = Table(classes, "lines").df
     _release(spark)
 
@@ -98,7 +102,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def alike(a: str, b: str) -> Column:
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
         pa, pb = (F.shiftright(F.col(f"{s}.meta"), 1).bitwiseAND(F.lit((1 << (SHIFT - 1)) - 1)) for s in (a, b))
-        apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+        apart = sum(F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in "pq")
         left = F.least(na - pa, nb - pb)  # tokens from the shared one on
         return (
             (apart * (hi + lo) <= (na + nb) * (hi - lo)) & (na * hi >= nb * lo) & (nb * hi >= na * lo) & (left * (hi + lo) >= (na + nb) * lo)
@@ -111,19 +115,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return (da < db) | ((da == db) & ((la < lb) | ((la == lb) & (ca < cb))))
 
     def signatures(lines: DataFrame, tokens: Column, done: Column) -> DataFrame:
-        """(tok, cid, d, n, bits, meta): meta packs the line's number, the token's place in it, and done."""
-        placed = lines.select("cid", "d", "l", "bits", "n", done.alias("done"), F.posexplode(tokens).alias("pos", "tok"))
+        """(tok, cid, d, n, p, q, meta): meta packs the line's number, the token's place in it, and done."""
+        placed = lines.select("cid", "d", "l", "p", "q", "n", done.alias("done"), F.posexplode(tokens).alias("pos", "tok"))
         meta = F.shiftleft(F.col("l").cast("long"), SHIFT).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("done").cast("long"))
-        return placed.select("tok", "cid", "d", "n", "bits", meta.alias("meta"))
+        return placed.select("tok", "cid", "d", "n", "p", "q", meta.alias("meta"))
 
     sig = signatures(classes, F.slice("prefix", 1, HUB_TOKENS), F.lit(0))
-    hubs = sig.groupBy("tok").agg(F.min(F.struct("d", F.shiftright("meta", SHIFT).alias("l"), "cid", "n", "bits", "meta")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("tok", "hub.*")
+    hubs = sig.groupBy("tok").agg(F.min(F.struct("d", F.shiftright("meta", SHIFT).alias("l"), "cid", "n", "p", "q", "meta")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("tok", "hub.*")
     near = sig.alias("x").join(hubs.alias("y"), "tok").where(earlier("y", "x") & alike("x", "y"))
     first = _verify(near.select(F.col("x.cid").alias("cid"), F.col("y.cid").alias("by")).distinct(), classes, lo, hi)
     done = Table(first.select("cid").distinct(), "lines-done").df
     _release(spark)
 
-    flagged = classes.select("cid", "d", "l", "n", "bits", "prefix").join(done.select("cid", F.lit(1).alias("gone")), "cid", "left")
+    flagged = classes.select("cid", "d", "l", "n", "p", "q", "prefix").join(done.select("cid", F.lit(1).alias("gone")), "cid", "left")
     sig = signatures(flagged, F.col("prefix"), F.coalesce("gone", F.lit(0)))
     # x.done is compared with the other side's, so that both sides stay one shuffle
     of = lambda s: F.col(f"{s}.meta").bitwiseAND(F.lit(1))
@@ -148,6 +152,7 @@ def _ceil(n: Column, t: Fraction) -> Column:
 def _verify(pairs: DataFrame, classes: DataFrame, lo: int, hi: int) -> DataFrame:
     """The pairs whose lines' sets of words are similar enough."""
     pairs = Table(pairs, "lines-candidates").df
+    _release(pairs.sparkSession)
     needed = pairs.select("cid").union(pairs.select("by")).distinct()
     known = Table(classes.select("cid", "line").join(needed, "cid", "left_semi"), "lines-texts").df
     both = pairs.join(known, "cid").join(known.select(F.col("cid").alias("by"), F.col("line").alias("other")), "by")
