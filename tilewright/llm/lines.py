@@ -16,7 +16,7 @@ BUCKETS = 1 << 16
 HASH_BITS = 47
 #: Prefix tokens by which a line is first compared with the earliest line only.
 HUB_TOKENS = 3
-#: Bits for a token's place in its line, and a flag, below the line's number.
+#: Bits for a token's place in its line, and a flag, below the line's number of tokens.
 SHIFT = 32
 
 
@@ -83,24 +83,29 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = classes.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "first.*", "line", _tokens(F.col("line"), ranks).alias("toks"))
     size = F.size("toks")
     one = F.lit(1).cast("long")
-    zero = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
+    none = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
 
     def flip(a: Column, x: Column) -> Column:
         bit = F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
         low = x.bitwiseAND(F.lit(64)) == 0
         return F.struct(F.when(low, a["p"].bitwiseXOR(bit)).otherwise(a["p"]).alias("p"), F.when(low, a["q"]).otherwise(a["q"].bitwiseXOR(bit)).alias("q"))
 
-    flips = F.aggregate("toks", zero, flip)
+    flips = F.aggregate("toks", none, flip)
     classes = classes.select("cid", "h1", "h2", "d", "l", "key", "line", size.cast("long").alias("n"), flips.alias("bits"), F.slice("toks", 1, size - _ceil(size, t) + 1).alias("prefix"))
     classes = classes.select("cid", "h1", "h2", "d", "l", "key", "line", "n", F.col("bits.p").alias("p"), F.col("bits.q").alias("q"), "prefix")
-    classes = Table(classes, "lines").df
+    kept_classes = Table(classes, "lines")
+    classes = kept_classes.df
     _release(spark)
+    # the lines' numbers in order: only ids and places are sorted
+    order = [F.col("d"), F.col("l"), F.col("key")]
+    slim = classes.select("cid", "d", "l", "key").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    places = Table(slim.sortWithinPartitions(*order).select("cid", F.monotonically_increasing_id().alias("ord")), "lines-order").df
 
     # (1 + t) * overlap >= t * (n1 + n2) for similar sets, so they differ in at most (1 - t) / (1 + t) of n1 + n2
     lo, hi = t.numerator, t.denominator
 
     def alike(a: str, b: str) -> Column:
-        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+        na, nb = (F.shiftright(F.col(f"{s}.meta"), SHIFT) for s in (a, b))
         pa, pb = (F.shiftright(F.col(f"{s}.meta"), 1).bitwiseAND(F.lit((1 << (SHIFT - 1)) - 1)) for s in (a, b))
         apart = sum(F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in "pq")
         left = F.least(na - pa, nb - pb)  # tokens from the shared one on
@@ -108,37 +113,35 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             (apart * (hi + lo) <= (na + nb) * (hi - lo)) & (na * hi >= nb * lo) & (nb * hi >= na * lo) & (left * (hi + lo) >= (na + nb) * lo)
         )
 
-    def earlier(a: str, b: str) -> Column:
-        """By document, then line; lines of documents with one id by the class's number."""
-        la, lb = (F.shiftright(F.col(f"{s}.meta"), SHIFT) for s in (a, b))
-        da, db, ca, cb = (F.col(f"{s}.{c}") for c in ("d", "cid") for s in (a, b))
-        return (da < db) | ((da == db) & ((la < lb) | ((la == lb) & (ca < cb))))
-
-    def signatures(lines: DataFrame, tokens: Column, done: Column) -> DataFrame:
-        """(tok, cid, d, n, p, q, meta): meta packs the line's number, the token's place in it, and done."""
-        placed = lines.select("cid", "d", "l", "p", "q", "n", done.alias("done"), F.posexplode(tokens).alias("pos", "tok"))
-        meta = F.shiftleft(F.col("l").cast("long"), SHIFT).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("done").cast("long"))
-        return placed.select("tok", "cid", "d", "n", "p", "q", meta.alias("meta"))
-
-    sig = signatures(classes, F.slice("prefix", 1, HUB_TOKENS), F.lit(0))
-    hubs = sig.groupBy("tok").agg(F.min(F.struct("d", F.shiftright("meta", SHIFT).alias("l"), "cid", "n", "p", "q", "meta")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("tok", "hub.*")
-    near = sig.alias("x").join(hubs.alias("y"), "tok").where(earlier("y", "x") & alike("x", "y"))
-    first = _verify(near.select(F.col("x.cid").alias("cid"), F.col("y.cid").alias("by")).distinct(), classes, lo, hi)
-    done = Table(first.select("cid").distinct(), "lines-done").df
+    def signatures(lines: DataFrame, tokens: Column) -> DataFrame:
+        """(tok, ord, p, q, meta): meta packs the line's number of tokens, the token's place in it, and done."""
+        placed = lines.select("ord", "p", "q", "n", "done", F.posexplode(tokens).alias("pos", "tok"))
+        meta = F.shiftleft("n", SHIFT).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("done").cast("long"))
+        return placed.select("tok", "ord", "p", "q", meta.alias("meta"))
+
+    numbered = classes.select("cid", "n", "p", "q", F.slice("prefix", 1, HUB_TOKENS).alias("prefix"), F.lit(0).alias("done")).join(places, "cid")
+    sig = signatures(numbered, F.col("prefix"))
+    hubs = sig.groupBy("tok").agg(F.min(F.struct("ord", "p", "q", "meta")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("tok", "hub.*")
+    near = sig.alias("x").join(hubs.alias("y"), "tok").where((F.col("y.ord") < F.col("x.ord")) & alike("x", "y"))
+    first = _verify(near.select(F.col("x.ord").alias("ord"), F.col("y.ord").alias("by")).distinct(), classes, places, lo, hi)
+    done = Table(first.select("ord").distinct(), "lines-done").df
     _release(spark)
 
-    flagged = classes.select("cid", "d", "l", "n", "p", "q", "prefix").join(done.select("cid", F.lit(1).alias("gone")), "cid", "left")
-    sig = signatures(flagged, F.col("prefix"), F.coalesce("gone", F.lit(0)))
-    # x.done is compared with the other side's, so that both sides stay one shuffle
-    of = lambda s: F.col(f"{s}.meta").bitwiseAND(F.lit(1))
+    places_done = places.join(done.select("ord", F.lit(1).alias("gone")), "ord", "left").select("cid", "ord", F.coalesce("gone", F.lit(0)).alias("done"))
+    sig = signatures(classes.select("cid", "n", "p", "q", "prefix").join(places_done, "cid"), F.col("prefix"))
+    # x.done is compared with what is always 0 on the other side, so that both sides stay one shuffle
+    flag = F.col("x.meta").bitwiseAND(F.lit(1))
+    zero = F.shiftright(F.col("y.meta"), 63)
     near = sig.alias("x").join(sig.alias("y"), F.col("x.tok") == F.col("y.tok")).where(
-        (of("x") <= of("y") * 0) & alike("x", "y") & earlier("y", "x")
+        (F.col("y.ord") < F.col("x.ord")) & (flag <= zero) & alike("x", "y")
     )
-    pairs = near.select(F.col("x.cid").alias("cid"), F.col("y.cid").alias("by")).distinct()
-    gone = Table(done.union(_verify(pairs, classes, lo, hi).select("cid")).distinct(), "lines-gone").df
+    pairs = near.select(F.col("x.ord").alias("ord"), F.col("y.ord").alias("by")).distinct()
+    gone = done.union(_verify(pairs, classes, places, lo, hi).select("ord")).distinct()
+    gone = Table(places.join(gone, "ord").select("cid"), "lines-gone").df
     _release(spark)
-    stay = classes.join(gone, "cid", "left_anti").select("h1", "h2", F.col("d").alias("fd"), F.col("l").alias("fl"), F.col("key").alias("fk"))
-    stay = Table(stay, "lines-stay").df
+    stay = classes.select("cid", "h1", "h2", "d", "l", "key").join(gone, "cid", "left_anti")
+    stay = Table(stay.select("h1", "h2", F.col("l").alias("fl"), F.col("key").alias("fk")), "lines-stay").df
+    kept_classes.drop()
     _release(spark)
     kept = marked.drop("line").join(stay, ["h1", "h2"], "left")
     here = (F.col("key") == F.col("fk")) & (F.col("l") == F.col("fl"))
@@ -149,16 +152,17 @@ def _ceil(n: Column, t: Fraction) -> Column:
     return F.floor((n * t.numerator + (t.denominator - 1)) / t.denominator).cast("int")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, lo: int, hi: int) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, places: DataFrame, lo: int, hi: int) -> DataFrame:
     """The pairs whose lines' sets of words are similar enough."""
     pairs = Table(pairs, "lines-candidates").df
     _release(pairs.sparkSession)
-    needed = pairs.select("cid").union(pairs.select("by")).distinct()
-    known = Table(classes.select("cid", "line").join(needed, "cid", "left_semi"), "lines-texts").df
-    both = pairs.join(known, "cid").join(known.select(F.col("cid").alias("by"), F.col("line").alias("other")), "by")
-    sets = both.select("cid", "by", F.array_distinct(words(F.col("line"))).alias("a"), F.array_distinct(words(F.col("other"))).alias("b"))
+    needed = pairs.select("ord").union(pairs.select("by")).distinct()
+    ids = places.join(needed, "ord", "left_semi")
+    known = Table(classes.select("cid", "line").join(ids, "cid").select("ord", "line"), "lines-texts").df
+    both = pairs.join(known, "ord").join(known.select(F.col("ord").alias("by"), F.col("line").alias("other")), "by")
+    sets = both.select("ord", "by", F.array_distinct(words(F.col("line"))).alias("a"), F.array_distinct(words(F.col("other"))).alias("b"))
     same = F.size(F.array_intersect("a", "b"))
-    return sets.where(same * (hi + lo) >= (F.size("a") + F.size("b")) * lo).select("cid", "by")
+    return sets.where(same * (hi + lo) >= (F.size("a") + F.size("b")) * lo).select("ord", "by")
 
 
 def document_key(id_col: str, text_col: str) -> Column:
