@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Table, text_or_empty
@@ -104,7 +104,7 @@ def plan_partitions(n: int, both: np.ndarray, distance: int, key_cost: float = 1
             for b in bits:
                 near[1:] = near[1:] * (1 - differ[b]) + near[:-1] * differ[b]
                 near[0] *= 1 - differ[b]
-            keys = np.cumsum([math.comb(len(bits), r) for r in range(distance + 1)])
+            keys = np.cumsum([float(math.comb(len(bits), r)) for r in range(distance + 1)])
             pairs = np.cumsum(near[: distance + 1]) * n * n / 2
             costs.append([0.0] + [n * keys[t] * key_cost + pairs[t] * pair_cost for t in range(len(pairs))])
         need = distance + 1  # sum of (threshold + 1)
@@ -150,12 +150,21 @@ def _signed(x: int) -> int:
 def _keys(fps: DataFrame, plan: list[tuple[list[int], int]], probe: bool, keep: list[str]) -> DataFrame:
     """One row per fingerprint and key. part: the partition's number; key: the fingerprint's bits there,
     for probes also all values up to the threshold away."""
-    every = []
+    parts, owns, masks = [], [], []
     for i, (bits, t) in enumerate(plan):
-        own = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        masks = _masks(bits, t) if probe else [0]
-        every += [F.struct(F.lit(i).alias("part"), own.bitwiseXOR(F.lit(_signed(x))).alias("key")) for x in masks]
-    return fps.select("*", F.explode(F.array(*every)).alias("k")).select(*keep, "k.part", "k.key")
+        flips = _masks(bits, t) if probe else [0]
+        parts += [i] * len(flips)
+        owns += [_signed(sum(1 << b for b in bits))] * len(flips)
+        masks += map(_signed, flips)
+
+    def listed(values: list[int]) -> Column:  # one literal, however many keys
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    every = F.transform(
+        listed(masks),
+        lambda m, i: F.struct(F.get(listed(parts), i).alias("part"), F.col("fp").bitwiseAND(F.get(listed(owns), i)).bitwiseXOR(m).alias("key")),
+    )
+    return fps.select("*", F.explode(every).alias("k")).select(*keep, "k.part", "k.key")
 
 
 def _apart(a: str, b: str):
