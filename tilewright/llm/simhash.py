@@ -89,7 +89,8 @@ def plan_partitions(n: int, both: np.ndarray, distance: int, key_cost: float = 1
     dynamic program spreads the thresholds at least cost: keys emitted, and candidate pairs
     estimated from how often two fingerprints differ in each bit. The cheapest plan wins.
     """
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 1)  # without any, all plans would cost nothing and the first be taken, whatever its keys
+    p = np.diag(both) / n
     cov = both / max(n, 1) - np.outer(p, p)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     corr = np.abs(cov / np.outer(sd, sd))
