@@ -81,6 +81,8 @@ def test_near_duplicates_and_keep_one(spark):
     assert got == sorted([(1, near, "k", 7), (9, rows[3][1], "k", 7), (4, None, "k", 7), (None, rows[8][1], "k", 7)], key=str)
     assert simhash.keep_one(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
     comp = {(r.id, r.component) for r in simhash.near_duplicates(df.select("doc_id", "text"), distance=14).collect()}
-    assert (3, 1) in comp and (2, 1) in comp and (5, 4) in comp and (9, 9) in comp
+    assert (3, 1) in comp and (2, 1) in comp and (5, 4) in comp
+    # a text of two shingles sets few bits, so it may link with the blank ones, whose fingerprint is 0
+    assert ((9, 4) in comp) == (bin(plain(rows[3][1])).count("1") <= 14)
     h = df.select(F.lower(F.lpad(F.hex(F.lit(-1)), 16, "0"))).first()[0]
     assert h == "f" * 16
