@@ -86,3 +86,55 @@ def test_near_duplicates_and_keep_one(spark):
     assert ((9, 4) in comp) == (bin(plain(rows[3][1])).count("1") <= 14)
     h = df.select(F.lower(F.lpad(F.hex(F.lit(-1)), 16, "0"))).first()[0]
     assert h == "f" * 16
+
+
+def test_keep_one_finds_every_pair_by_jaccard(spark):
+    """Against all comparisons: pairs at 0.80 to 0.85 and just below, far apart in bits, and repeated passages."""
+    rng = random.Random(5)
+    rows, far = [], 0
+
+    def sh(t):
+        w = t.lower().split()
+        return frozenset(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else frozenset([tuple(w)])
+
+    for k in range(80):
+        w = [f"a{k}x{i}" for i in range(rng.randrange(60, 200))]
+        v = w[: rng.randrange(int(len(w) * 0.78), int(len(w) * (0.95 if k % 2 else 0.86)))]  # Jaccard about the share that is kept
+        if k % 2:
+            v += v[3:12] * rng.randrange(10, 30)  # weighs much in the bits, little in the set
+        rows += [" ".join(w), " ".join(v)]
+    rows += ["one two", "ONE  two", "one two three", "", None] + [" ".join([rows[0], f"end{i}"]) for i in range(30)]
+    sets = [sh(t or "") for t in rows]
+    pairs = []
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if 10 * same >= 8 * (len(sets[i]) + len(sets[j]) - same):
+                pairs.append((i, j))
+                far += bin(plain(rows[i], 5) ^ plain(rows[j], 5)).count("1") > 14
+    assert far > 10
+    want = sorted(i for i, root in enumerate(union(len(rows), pairs)) if i == root)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df, distance=14).collect()) == want
+
+
+def test_pipeline_stage_is_keep_one_by_jaccard(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]
+    near = words[:84] + words[3:12] * 25
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:84])), (3, " ".join(words[:83]))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()] == [1]
+    df = spark.createDataFrame([(1, " ".join(words[:90])), (2, " ".join(near)), (3, " ".join(words[:60]))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()) == [1, 3]
+
+
+def test_sketches_never_exclude_a_similar_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: int(rng.integers(0, len(a) + 1))], rng.integers(0, 1 << 63, int(rng.integers(1, 300)), dtype=np.uint64)]))
+        assert simhash.least_difference(simhash.parity_sketch(a), simhash.parity_sketch(b)) <= len(np.setxor1d(a, b))
+        k = simhash.prefix_length(n, 0.8)
+        assert n - k + 1 >= 0.8 * n - 1e-9 and n - k < 0.8 * n

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Table, text_or_empty
@@ -172,10 +174,9 @@ def _apart(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def group(fps: DataFrame, distance: int = 4, verify=None) -> DataFrame:
+def group(fps: DataFrame, distance: int = 4) -> DataFrame:
     """fps(id, fp) -> (fp, component): component is the smallest id among all rows whose fingerprints are
-    reachable by steps of at most ``distance`` bits. One row per distinct fingerprint; exact. Links
-    must also pass verify(pairs(fp, fp2, ..), nodes(fp, id)), if given, which returns those that do.
+    reachable by steps of at most ``distance`` bits. One row per distinct fingerprint; exact.
 
     Equal fingerprints are one node. First every node is compared with the smallest and the largest
     node that share a partition's bits with it, and joined with them when near; groups of near
@@ -192,8 +193,6 @@ def group(fps: DataFrame, distance: int = 4, verify=None) -> DataFrame:
     hub_links = hubs.select("fp", F.explode(F.array("lo", "hi")).alias("fp2")).where(
         (F.col("fp") != F.col("fp2")) & (_apart("fp", "fp2") <= distance)
     )
-    if verify:
-        hub_links = verify(Table(hub_links.distinct(), "sim-hubs").df, nodes)
     first = connected_components(hub_links.select(F.col("fp").alias("src"), F.col("fp2").alias("dst")))
     tagged = nodes.join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "id", F.coalesce("component", "fp").alias("grp")
@@ -204,8 +203,6 @@ def group(fps: DataFrame, distance: int = 4, verify=None) -> DataFrame:
     links = index.join(probe, ["part", "key"]).where(
         (F.col("grp") != F.col("grp2")) & (_apart("fp", "fp2") <= distance)
     )
-    if verify:
-        links = verify(Table(links.select("fp", "fp2", "grp", "grp2").distinct(), "sim-links").df, nodes)
     second = connected_components(links.select(F.col("grp").alias("src"), F.col("grp2").alias("dst")))
     merged = tagged.join(second.withColumnRenamed("node", "grp"), "grp", "left").select(
         "fp", "id", F.coalesce("component", "grp").alias("root")
@@ -238,11 +235,15 @@ def keep_one(
 ) -> DataFrame:
     """docs with one document of each group of near copies, the one with the smallest id.
 
-    Documents link if their fingerprints differ in at most ``distance`` bits and the sets of their
-    ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``. Of rows that
-    share the smallest id (or have none: null ids come last) one stays. Columns are those of docs,
-    whatever their names; null and blank texts count as copies of each other; an empty table gives
-    an empty one.
+    Documents link if the sets of their ``shingle``-word shingles have a Jaccard similarity of at
+    least ``similarity``; all such pairs are found. Of rows that share the smallest id (or have
+    none: null ids come last) one stays. Columns are those of docs, whatever their names; null and
+    blank texts count as copies of each other; an empty table gives an empty one.
+
+    Equal sets are one node. Two sets that are similar enough share a shingle among the rarest
+    of each (its prefix). First every node is compared with the smallest node under each of its keys, if
+    their fingerprints differ in at most ``distance`` bits, so that groups of near copies come together;
+    then all nodes under a key that are still in different groups, whatever their fingerprints.
     """
 
     @F.arrow_udf("long")
@@ -250,39 +251,152 @@ def keep_one(
         fps = [fingerprint(t.as_py(), shingle) for t in texts.cast(pa.binary())]
         return pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
 
+    @F.arrow_udf("struct<digest:binary,n:long,sketch:binary>")
+    def set_of(texts: pa.Array) -> pa.Array:
+        digests, sizes, sketches = [], [], []
+        for t in texts.cast(pa.binary()):
+            x = shingle_set(t.as_py(), shingle)
+            digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
+            sizes.append(len(x))
+            sketches.append(parity_sketch(x).tobytes())
+        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["digest", "n", "sketch"])
+
+    text = text_or_empty(f"row.`{text_col}`")
     rows = docs.select(F.struct("*").alias("row")).select(
-        "row",
-        F.col(f"row.`{id_col}`").cast("long").alias("id"),
-        fp_of(text_or_empty(f"row.`{text_col}`")).alias("fp"),
-        F.monotonically_increasing_id().alias("uid"),
+        "row", F.col(f"row.`{id_col}`").cast("long").alias("id"), fp_of(text).alias("fp"), set_of(text).alias("set"), F.monotonically_increasing_id().alias("uid")
     )
     rows = Table(rows, "sim-rows").df
-    ranked = rows.select(F.struct(F.col("id").isNull().alias("none"), "id", "uid").alias("id"), "fp")
-    sets = shingle_sets(rows.select("uid", text_or_empty(f"row.`{text_col}`").alias("text")), shingle)
-
-    def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        who = nodes.select("fp", F.col("id.uid").alias("uid"))
-        needed = pairs.select("fp").union(pairs.select("fp2")).distinct()
-        known = sets.join(who.join(needed, "fp"), "uid").select("fp", "sh")
-        both = pairs.join(known, "fp").join(known.select(F.col("fp").alias("fp2"), F.col("sh").alias("sh2")), "fp2")
-        same = F.size(F.array_intersect("sh", "sh2"))
-        return both.where(same >= similarity * (F.size("sh") + F.size("sh2") - same)).select(*pairs.columns)
-
-    heads = group(ranked, distance, verify).select(F.col("component.uid").alias("uid")).distinct()
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
+    heads = rows.groupBy("set.digest").agg(F.min(order).alias("id")).select(F.col("id.uid").alias("uid"))
+    nodes = rows.join(heads, "uid", "left_semi").select(F.col("uid").alias("node"), order.alias("id"), "fp", "set.n", "set.sketch")
+    nodes = Table(nodes, "sim-nodes").df
+    texts = rows.select(F.col("uid").alias("node"), text.alias("text"))
+    keys = prefix_keys(texts.join(nodes, "node", "left_semi"), shingle, similarity)
+    ends = keys.select("node", "key", F.min("node").over(Window.partitionBy("key")).alias("lo"), F.max("node").over(Window.partitionBy("key")).alias("hi"))
+    shared = Table(ends.where("lo < hi").select("node", "key", "lo"), "sim-keys").df
+
+    hubs = shared.where("node != lo").select("node", F.col("lo").alias("node2")).distinct()
+    hubs = plausible(hubs, nodes, similarity, distance)
+    hub_links = similar(Table(hubs, "sim-hubs").df, texts, shingle, similarity)
+    first = connected_components(hub_links.select(F.col("node").alias("src"), F.col("node2").alias("dst")))
+    tagged = nodes.join(first, "node", "left").select("node", "id", F.coalesce("component", "node").alias("grp"))
+    tagged = Table(tagged, "sim-tagged").df
+
+    own = shared.join(tagged.select("node", "grp"), "node").select("key", "node", "grp")
+    other = own.select("key", F.col("node").alias("node2"), F.col("grp").alias("grp2"))
+    pairs = own.join(other, "key").where("node < node2 and grp != grp2").select("node", "node2", "grp", "grp2").distinct()
+    links = similar(Table(plausible(pairs, nodes, similarity), "sim-pairs").df, texts, shingle, similarity)
+    second = connected_components(links.select(F.col("grp").alias("src"), F.col("grp2").alias("dst")))
+    merged = tagged.join(second.withColumnRenamed("node", "grp"), "grp", "left").select("id", F.coalesce("component", "grp").alias("root"))
+    heads = merged.groupBy("root").agg(F.min("id").alias("id")).select(F.col("id.uid").alias("uid"))
     return rows.join(heads, "uid", "left_semi").select("row.*")
 
 
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(uid, text) -> (uid, sh): the set of hashed word shingles, for the rows that are asked for."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of the distinct word shingles, sorted; of all words if they are fewer."""
+    w = text.lower().split()
+    grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else [b" ".join(w)]
+    return np.array(sorted({xxhash.xxh64_intdigest(g, 42) for g in grams}), dtype=np.uint64)
+
+
+def frequent_shingles(texts: DataFrame, shingle: int, one_in: int = 16, least: int = 8, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many texts, sorted, and their counts, from one text in ``one_in``. They only decide
+    which shingles come last in a set's order, so no pair depends on what the sample has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column("text").cast(pa.binary())]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["sh"])
+
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0).select("text")
+    got = sample.mapInArrow(run, "sh long").groupBy("sh").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    got = got.orderBy(F.desc("n"), "sh").limit(most).toArrow()
+    sh, n = got.column("sh").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.int64)
+    by = np.argsort(sh)
+    return sh[by], n[by]
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    """So many shingles of a set, first in any order that all sets share, hold one of each set this similar."""
+    return size - math.ceil(similarity * size - 1e-9) + 1
 
-    @F.arrow_udf("array<long>")
-    def run(col: pa.Array) -> pa.Array:
-        out = []
-        for t in col.cast(pa.binary()):
-            w = t.as_py().lower().split()
-            grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else [b" ".join(w)]
-            hashes = np.array(sorted({xxhash.xxh64_intdigest(g, 42) for g in grams}), dtype=np.uint64)
-            out.append(hashes.view(np.int64))
-        return pa.array(out, type=pa.list_(pa.int64()))
 
-    return texts.select("uid", run("text").alias("sh"))
+def prefix_keys(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, text) -> (node, key): the prefix of each set, rare shingles first."""
+    known, times = frequent_shingles(texts, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column("text").cast(pa.binary()):
+                sh = shingle_set(t.as_py(), shingle)
+                n = prefix_length(len(sh), similarity)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, sh), len(known) - 1)
+                    sh = sh[np.lexsort((sh, np.where(known[at] == sh, times[at], 0)))]
+                out.append(sh[:n])
+            if out:
+                node = np.repeat(b.column("node").to_numpy(), [len(x) for x in out])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(out).view(np.int64))], ["node", "key"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, key long")
+
+
+def parity_sketch(sh: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the hashes modulo a power of two, about one for each shingle: whether their number
+    is odd. Two sets differ in at least as many shingles as their sketches in bits. Bytes, to be folded in half."""
+    m = 1 << max(6, (len(sh) - 1).bit_length())
+    return np.packbits(np.bincount((sh & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little")
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """Shingles in one set only, at least, by the sets' sketches."""
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float, distance: int = BITS) -> DataFrame:
+    """The rows of pairs(node, node2, ..) that sizes, sketches and the fingerprints' distance don't exclude. No pair that
+    is similar enough is excluded by its sizes or sketches: a similarity of s allows (1 - s) / (1 + s) of
+    all shingles to differ."""
+    names = pairs.columns
+    slim = nodes.select("node", "n", "fp")
+    second = lambda d: d.select(*[F.col(c).alias(c + "2") for c in d.columns])
+    sized = pairs.join(slim, "node").join(second(slim), "node2")
+    sized = sized.where((F.least("n", "n2") + 1e-9 >= similarity * F.greatest("n", "n2")) & (_apart("fp", "fp2") <= distance))
+    known = nodes.select("node", "sketch")
+    both = Table(sized.select(*names, (F.col("n") + F.col("n2")).alias("all")), "sim-sized").df.join(known, "node").join(second(known), "node2")
+    part = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column("all").to_pylist(), b.column("sketch"), b.column("sketch2"))
+            keep = [least_difference(*(np.frombuffer(x.as_py(), np.uint8) for x in (s, s2))) <= n * part + 1e-6 for n, s, s2 in rows]
+            yield b.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return both.select(*names, "all", "sketch", "sketch2").mapInArrow(run, pairs.schema)
+
+
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The rows of pairs(node, node2, ..) whose texts' sets are similar enough. Only texts of pairs are moved."""
+    names = pairs.columns
+    needed = pairs.select("node").union(pairs.select("node2")).distinct()
+    known = texts.join(needed, "node", "left_semi")
+    both = pairs.join(known, "node").join(known.select(F.col("node").alias("node2"), F.col("text").alias("text2")), "node2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = lru_cache(256)(lambda t: shingle_set(t, shingle))
+        for b in batches:
+            keep = []
+            for t, t2 in zip(b.column("text").cast(pa.binary()), b.column("text2").cast(pa.binary())):
+                x, y = sets(t.as_py()), sets(t2.as_py())
+                short = min(len(x), len(y)) + 1e-9 < similarity * max(len(x), len(y))
+                same = 0 if short else len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(same + 1e-9 >= similarity * (len(x) + len(y) - same))
+            yield b.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return both.select(*names, "text", "text2").mapInArrow(run, pairs.schema)
