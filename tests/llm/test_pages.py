@@ -57,6 +57,28 @@ def test_odd_pages(extractor):
     assert len(got) == 10
 
 
+def shown(page):
+    return "".join(s or "|" for _, _, s in pages.parse(page).texts)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>one</>two</p>three", "onetwo three"),
+        ("<p>I </3 you> and more</p>three", "I and more three"),
+        ("<div title=Bob's>one</div><p>two</p>", "one two"),
+        ("<div title=Bob's>one</div><p>don't</p>", "one don't"),
+        ("<div title='a>b' class=\"c>d\">one</div>two", "one two"),
+        ("<div title=\"open>one</div><p>two</p>", "one two"),
+        ("<head><title>t</title><body><p>one</p>", "one"),
+        ("<head><meta charset=x><title>t</title><p>one</p>two", "one two"),
+        ("<p>one</p><p class='x", "one"),
+    ],
+)
+def test_no_text_is_lost_after_odd_tags(page, want):
+    assert " ".join(shown(page).replace("|", " ").split()) == want
+
+
 def test_frame(spark, extractor):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, None, PAGE, "y"), (None, "v", None, None), (3, "w", "", "")], "page_id long, url string, html string, text string")
     got = sorted((tuple(r) for r in pages.extract(df, extractor).collect()), key=str)

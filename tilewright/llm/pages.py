@@ -22,7 +22,11 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SIBLING_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 SCOPE = frozenset("table td th ul ol dl article section aside main body html".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|</(?![A-Za-z])[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(>|\Z)", re.S)
+#: A tag whose last quote is never closed ends at its first '>', as far as there is one.
+UNQUOTED = re.compile(r"<([A-Za-z][^\s/>]*)([^>]*)(>)")
+#: What may stand in a head. Anything else that shows text ends a head that is not closed.
+HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 ATTRIBUTE_WORD = re.compile(r"[A-Za-z]+")
 SPACES = re.compile(r"\s+")
@@ -75,8 +79,10 @@ def parse(page: str) -> Dom:
             break
         text(page[at:i])
         m = TOKEN.match(page, i)
+        if m and m[2] and not m[4]:
+            m = UNQUOTED.match(page, i) or m
         if not m:
-            if page[i + 1 : i + 2].isalpha() or page[i + 1 : i + 2] in ("/", ""):
+            if i + 1 == n:
                 break  # a tag that the page's end cuts off
             text("<")
             at = i + 1
@@ -86,6 +92,8 @@ def parse(page: str) -> Dom:
             if not m[4]:
                 break
             tag = m[2].lower()
+            if tag not in HEAD and stack[-1][0] == "head":
+                pop(len(stack) - 1)
             if tag in CLOSES_P:
                 close(("p",), SCOPE - {"p"})
             if tag in SIBLING_ENDS:
