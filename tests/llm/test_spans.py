@@ -46,6 +46,26 @@ def test_entropy_adds_random_runs_and_leaves_allowed_ones(spark):
     assert got[13] == [] and got[3] == []
 
 
+@pytest.mark.parametrize(
+    ("run", "secret"),
+    [
+        ("qWzXeRtYuIoPaSdFgHjKlMnBvCxZQwErTyUiOpAs", True),  # letters of both cases
+        ("qwertyuiopasdfghjklzxcvbnm", True),  # lower case
+        ("QWERTYUIOPASDFGHJKLZXCVBNM", True),  # upper case
+        ("qWzXeRtYuIoPaSdF-gHjKlMnBvCxZQwErTyUiOpAs", True),  # URL-safe base64 without digits
+        ("qWzXeRtYuIoPaSdF/gHjKlMnBvCxZQwErTyUiOpAs", True),  # base64 with a slash
+        ("the_quick_brown_fox_jumps_over", False),
+        ("The-Quick-Brown-Fox-Jumps", False),
+        ("MAX_VALUE_OF_QUICK_FIELDS", False),
+        ("/usr/share/python/modules/quick", False),
+        ("xxxxxxxxxxyyyyyyyyyyzzzzzzzzzz", False),
+    ],
+)
+def test_letters_alone_reach_their_class(spark, run, secret):
+    got = secrets.scan(spark.createDataFrame([(1, f"see {run} now")], "doc_id long, text string")).first()
+    assert [tuple(x) for x in got.spans] == ([(4, 3, 4 + len(run))] if secret else [])
+
+
 def test_window_entropy_is_the_entropy_of_windows(spark):
     from collections import Counter
     from math import log2

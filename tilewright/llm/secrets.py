@@ -30,15 +30,17 @@ CLASSES = (
     ("^[A-Za-z]+$", 4.0),
     ("", 3.75),
 )
+#: A part of a name: a word in one case or with a capital.
+_PART = "(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,15})"
 #: Runs that match one of these are no secrets, however random: UUIDs, dates, paths, names in snake or kebab
 #: case, data URIs' media types, digests that say what they are, and one or two characters repeated.
 ALLOWED = (
     "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     "^[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9T-]*$",
-    "^/?[A-Za-z]+(/[A-Za-z]+)+/?$",
-    "^[A-Za-z]+([_-]+[A-Za-z]+)*$",
+    f"^/?{_PART}(?:/{_PART})++/?$",
+    f"^_*{_PART}(?:[_-]+{_PART})++$",
     "^(md5|sha1|sha256|sha384|sha512)-",
-    "^(.)(.?)(\\1|\\2)*$",
+    "^(.)(.)(?!.*?(?!\\1|\\2).)",
 )
 
 _SPAN = "array<struct<s:int,e:int>>"
