@@ -46,6 +46,8 @@ SPOKEN = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: (?:dot|underscore|dash) [A-Za-z0-9_%+-]+)*(?: at |@| @ ){_label}(?:(?: dot |\.){_label})*?(?: dot |\.)(?:{'|'.join(TOP_LABELS)})(?![A-Za-z0-9])",
     re.I,
 )
+#: Four numbers with dots between them, some of them words.
+SPOKEN_IP = re.compile(r"(?<![A-Za-z0-9.])[0-9]+(?:(?: dot |\.)[0-9]+){3}(?![A-Za-z0-9])", re.I)
 SPOKEN_WORD = re.compile(r" (at|dot|underscore|dash) | @ ", re.I)
 _digit = "|".join(DIGIT_WORDS)
 DIGITS = re.compile(rf"\b(?:{_digit}|oh)\b", re.I)
@@ -118,18 +120,24 @@ class Normalised:
         return left, right, dropped or any(p[2] for p in self.pieces[i : j + 1])
 
 
-def transducers(t: str) -> Iterator[list[tuple[int, int, str]]]:
-    """The edits of each transducer that finds work: (start, end, new text), in order, not overlapping.
-    Cheap substring tests tell which of them a text needs at all."""
-    odd = [(m.start(), m.end(), HOMOGLYPH[m[0]]) for m in ODD.finditer(t)] if not t.isascii() else []
+def homoglyphs(t: str) -> list[tuple[int, int, str]]:
+    """The edits that turn letters, digits and signs of other scripts into ASCII ones."""
+    return [(m.start(), m.end(), HOMOGLYPH[m[0]]) for m in ODD.finditer(t)] if not t.isascii() else []
+
+
+def words(t: str) -> list[tuple[int, int, str]]:
+    """The edits of signs and digits written as words: (start, end, new text), in order, not overlapping. Cheap
+    substring tests, each implied by its pattern, tell which patterns a text needs at all."""
     low = t.lower()
     words: list[tuple[int, int, str]] = []
-    if "dot" in low:
+    if "dot" in low or "at" in low and re.search(rf"{_open}\s*at\s*{_close}", low):
         words += [(m.start(), m.end(), SYMBOL[m[1].lower()]) for m in MARKED.finditer(t)]
+    if " at " in low or "@" in t:
         for a in SPOKEN.finditer(t):
             words += [(a.start() + m.start(), a.start() + m.end(), SYMBOL.get((m[1] or "at").lower(), "@")) for m in SPOKEN_WORD.finditer(a[0])]
-    elif "at" in low and re.search(rf"{_open}\s*at\s*{_close}", low):
-        words += [(m.start(), m.end(), SYMBOL[m[1].lower()]) for m in MARKED.finditer(t)]
+    if " dot " in low:
+        for a in SPOKEN_IP.finditer(t):
+            words += [(a.start() + m.start(), a.start() + m.end(), ".") for m in SPOKEN_WORD.finditer(a[0])]
     if any(w in low for w in DIGIT_WORDS):
         for run in DIGIT_RUN.finditer(t):
             s = run.start()
@@ -138,8 +146,7 @@ def transducers(t: str) -> Iterator[list[tuple[int, int, str]]]:
             for m in DIGITS.finditer(run[0]):
                 w = m[0].lower()
                 words.append((s + m.start(), s + m.end(), "0" if w == "oh" else str(DIGIT_WORDS.index(w))))
-    if odd or words:
-        yield _merge(odd + words)
+    return _merge(words)
 
 
 def _merge(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -155,10 +162,17 @@ def find(t: str) -> tuple[list[Span], list[Span]]:
     character and overlaps no base span but such of its kind as it extends. Both by kind, then start; code points, end exclusive."""
     base = base_spans(t)
     extra: list[Span] = []
-    for edits in transducers(t):
-        n = Normalised(t, edits)
+    odd = homoglyphs(t)
+    plain = Normalised(t, odd) if odd else None
+    text = plain.text if plain else t
+    edits = words(text)
+    if odd or edits:
+        n = Normalised(text, edits)
         for kind, s, e in base_spans(n.text):
             a, b, changed = n.source_span(s, e)
+            if plain:
+                a, b, odd_too = plain.source_span(a, b)
+                changed = changed or odd_too
             met = [x for x in base if x[1] < b and a < x[2]]
             if changed and all(x[0] == kind and a <= x[1] and x[2] <= b and (a, b) != x[1:] for x in met):
                 extra.append((kind, a, b))
