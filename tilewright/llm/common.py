@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,23 +33,39 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+#: Shuffle files go when the query that made them ends, not when the driver's collector finds its plan.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that end within the block leave no shuffle files. Settings are as before afterwards."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
 class Table:
     """A DataFrame written to the shared folder: its lineage is cut and lost executors cost nothing.
 
-    ``df`` reads it again; ``drop()`` removes the files once nothing refers to them.
+    ``df`` reads it again; ``drop()`` frees its space once nothing refers to it. The shuffles behind it
+    are freed when it is written.
     """
 
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
         schema = df.schema
-        df.write.parquet(self.path)
+        with freed_shuffles(self.spark):
+            df.write.parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        """An empty table in its place: writing is all that a DataFrame user can do to files, on any kind of session."""
+        self.spark.range(0).coalesce(1).write.mode("overwrite").parquet(self.path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
