@@ -2,190 +2,234 @@
 
 from __future__ import annotations
 
-import gc
+import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, Table, text_or_empty, words
 
-#: Token frequencies are counted in so many hash buckets; their ranks are all that the driver sees of the tokens.
-BUCKETS = 1 << 16
-#: Of a token's 63 sort bits the high ones are its bucket's rank and so many are its hash.
-HASH_BITS = 47
-#: Prefix tokens by which a line is first compared with the earliest line only.
-HUB_TOKENS = 3
-#: Bits for a token's place in its line, and a flag, below the line's number of tokens.
-SHIFT = 32
+#: Words are counted in so many hash buckets; a level of rarity for each is all that the driver sees of them.
+BUCKETS = 1 << 18
+#: Levels of rarity for each doubling of a count. They stay below 128, one byte each.
+LEVELS = 4
+#: Of a token's 63 sort bits the high ones are its level of rarity and so many are its hash.
+HASH_BITS = 56
+#: Bytes of the map, 7 bits each, that says which lines a verification needs. It only spares shuffles.
+MAP_BYTES = 1 << 18
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def _byte_at(table: bytes, at: Column) -> Column:
+    """The byte, below 128, at a place of a table that is part of the plan."""
+    return F.ascii(F.substring(F.lit(table), at + 1, 1).cast("string"))
 
 
-def rarity_ranks(texts: Column, docs: DataFrame) -> list[int]:
-    """For each bucket its place among all, rarest first, by how many words of all texts fall in it."""
+def rarity_levels(texts: Column, docs: DataFrame) -> bytes:
+    """For each bucket the logarithm of how many words of all texts fall in it. Tokens are put in this order, so it
+    decides how many pairs are compared, not which are found."""
     parts = F.explode(F.split(texts, rf"[{SPACE}]+"))  # with empty ones, which count for nothing here
-    counted = docs.select(parts.alias("w")).groupBy(_bucket(F.col("w")).alias("b")).count().collect()
-    n = [0] * BUCKETS
-    for r in counted:
-        n[r.b] = r["count"]
-    ranks = [0] * BUCKETS
-    for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (n[b], b))):
-        ranks[b] = rank
-    return ranks
+    counted = docs.select(parts.alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
+    levels = bytearray(BUCKETS)
+    for r in counted.collect():
+        levels[r.b] = min(127, int(LEVELS * math.log2(r["count"] + 1)))
+    return bytes(levels)
 
 
-def _tokens(line: Column, ranks: list[int]) -> Column:
-    """The set of a line's words as longs, sorted by rarity: rank of the bucket, then hash."""
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded into one literal
+def _tokens(line: Column, levels: bytes) -> Column:
+    """The set of a line's words as longs, sorted by rarity: level, then hash."""
 
     def one(h: Column) -> Column:
-        rank = F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int"))
-        return F.shiftleft(rank, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+        level = _byte_at(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long")
+        return F.shiftleft(level, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
     hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, one))
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets the driver notice that earlier shuffles are done with, so that their files go."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: str = "0.8") -> DataFrame:
-    """(key, l): the lines to remove, l from 0, of the documents that document_key() names.
+def _sketch(tokens: Column) -> Column:
+    """64 bits, one flipped by each token: sets that differ in few tokens differ in few bits."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once however often use has it in a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _ceil(n: Column, share: Fraction) -> Column:
+    return F.floor((n * share.numerator + (share.denominator - 1)) / share.denominator).cast("int")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What names a document: its id, for null ids the largest long, and a hash of id and text. Rows with the same id
+    and text are one document: the same lines go in each."""
+    d = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    return d.alias("d"), F.xxhash64(F.lit("doc"), F.col(id_col).cast("string"), text_or_empty(text_col)).alias("key")
+
+
+class _Join:
+    """The lines of docs by which each line that has words is represented, and the pairs of them that are similar."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, similarity: str):
+        self.t = Fraction(similarity)
+        self.lo, self.hi = self.t.numerator, self.t.denominator
+        self.texts = docs.select(*_named(docs, id_col, text_col), text_or_empty(text_col).alias("text"))
+        self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.levels = rarity_levels(F.col("text"), self.texts)
+        self.numbered = self._number()
+
+    def _lines(self) -> DataFrame:
+        return self.texts.select("d", "key", F.posexplode(F.split("text", "\n")).alias("l", "line"))
+
+    def _number(self) -> DataFrame:
+        """(d, key, l, ord): the first of all equal lines, numbered in the order of ids and lines."""
+        order = ["d", "l", "key"]
+        hashed = self._lines().where(F.rlike("line", F.lit(WORD))).select(*order, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+        first = Table(hashed.groupBy("h1", "h2").agg(F.min(F.struct(*order)).alias("first")).select("first.*"), "lines-first")
+        inorder = first.df.repartitionByRange(self.parts, *order).sortWithinPartitions(*order)
+        numbered = Table(inorder.select("d", "key", "l", F.monotonically_increasing_id().alias("ord")), "lines-numbered").df
+        first.drop()
+        return numbered
+
+    def prefixes(self) -> Table:
+        """(ord, n, sketch, prefix): the lines' numbers of tokens, sketches and rarest tokens."""
+        listed = self.numbered.groupBy("d", "key").agg(F.collect_list(F.struct("l", "ord")).alias("firsts"))
+        texts = self.texts.groupBy("d", "key").agg(F.first("text").alias("text"))
+        found = _once(F.split("text", "\n"), lambda p: F.transform("firsts", lambda f: F.struct(f.ord.alias("ord"), F.get(p, f.l).alias("line"))))
+        lines = texts.join(listed, ["d", "key"]).select(F.inline(found))
+        sets = lines.select("ord", _tokens(F.col("line"), self.levels).alias("toks"))
+        n = F.size("toks")
+        return Table(sets.select("ord", n.alias("n"), _sketch(F.col("toks")).alias("sketch"), F.slice("toks", 1, n - _ceil(n, self.t) + 1).alias("prefix")), "lines-prefixes")
+
+    def _alike(self, na: Column, nb: Column, a: Column, b: Column) -> Column:
+        """What lengths and sketches allow: similar sets differ in at most (1 - t) / (1 + t) of n1 + n2."""
+        lo, hi = self.lo, self.hi
+        return (F.bit_count(a.bitwiseXOR(b)) * (hi + lo) <= (na + nb) * (hi - lo)) & (na * hi >= nb * lo) & (nb * hi >= na * lo)
+
+    def first_by_hubs(self, prefixes: DataFrame) -> DataFrame:
+        """(ord): lines that are similar to the earliest of the lines with the same rarest, or the same two last,
+        tokens of the prefix. Each line has three partners at most, so that a line with thousands of variants never
+        becomes their pairs."""
+        ends = F.array_distinct(F.concat(F.slice("prefix", 1, 1), F.slice("prefix", F.greatest(F.size("prefix") - 1, F.lit(1)), 2)))
+        sig = prefixes.select("ord", "n", "sketch", F.explode(ends).alias("tok"))
+        hubs = sig.groupBy("tok").agg(F.min("ord").alias("by"), F.min_by("n", "ord").alias("bn"), F.min_by("sketch", "ord").alias("bs"), F.count("*").alias("c"))
+        near = sig.join(hubs.where("c > 1").drop("c"), "tok").where((F.col("by") < F.col("ord")) & self._alike(F.col("n"), F.col("bn"), F.col("sketch"), F.col("bs")))
+        return self._verified(near.select("ord", "by").distinct())
+
+    def by_prefixes(self, prefixes: DataFrame, done: DataFrame) -> DataFrame:
+        """(ord): lines not in done that are similar to an earlier line.
+
+        The longer line's prefix and the shorter one's index prefix (its first n - ceil(2t / (1 + t) * n) + 1
+        tokens) share a token. The place of the token in both lines bounds what they can share, too.
+        """
+        lo, hi = self.lo, self.hi
+        flagged = prefixes.join(done.select("ord", F.lit(1).cast("long").alias("gone")), "ord", "left")
+        placed = flagged.select("ord", "sketch", "n", "gone", F.posexplode("prefix").alias("pos", "tok"))
+        meta = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.coalesce("gone", F.lit(0).cast("long")))
+        sig = placed.select("tok", "ord", "sketch", meta.alias("meta"))  # both sides of the join are this one shuffle
+
+        def read(s: str) -> tuple[Column, Column, Column]:
+            m = F.col(f"{s}.meta")
+            return F.shiftright(m, 32), F.shiftright(m, 1).bitwiseAND(F.lit((1 << 31) - 1)), m.bitwiseAND(F.lit(1))
+
+        (nx, px, gx), (ny, py, gy) = read("x"), read("y")
+        x, y = F.col("x.ord"), F.col("y.ord")
+        # counted from what is always 0 on the other side, so that no side alone is filtered and shuffled apart
+        indexed = py + F.shiftright(F.col("x.meta"), 63) <= ny - _ceil(ny, 2 * self.t / (1 + self.t))
+        near = sig.alias("x").join(sig.alias("y"), F.col("x.tok") == F.col("y.tok")).where(
+            ((ny < nx) | ((ny == nx) & (y < x)))
+            & (nx * lo <= ny * hi)
+            & indexed
+            & (F.least(nx - px, ny - py) * (hi + lo) >= (nx + ny) * lo)
+            & self._alike(nx, ny, F.col("x.sketch"), F.col("y.sketch"))
+            & (F.when(x > y, gx).otherwise(gy) == 0)
+        )
+        return self._verified(near.select(F.greatest(x, y).alias("ord"), F.least(x, y).alias("by")).distinct())
+
+    def _verified(self, found: DataFrame) -> DataFrame:
+        """(ord): the lines whose words are similar enough to those of their partner."""
+        pairs = Table(found, "lines-pairs")
+        needed = self.numbered.join(pairs.df.select("ord").union(pairs.df.select("by")).distinct(), "ord")
+        needed = Table(needed, "lines-needed")
+        place = F.xxhash64("d", "key", "l")
+        known = self._lines().where(_in_map(_map_of(needed.df, place), place))
+        known = known.groupBy("d", "key", "l").agg(F.first("line").alias("line")).join(needed.df, ["d", "key", "l"]).select("ord", "line")
+        known = Table(known, "lines-texts")
+        both = pairs.df.join(known.df, "ord").join(known.df.select(F.col("ord").alias("by"), F.col("line").alias("other")), "by")
+        sets = both.select("ord", F.array_distinct(words(F.col("line"))).alias("a"), F.array_distinct(words(F.col("other"))).alias("b"))
+        similar = F.size(F.array_intersect("a", "b")) * (self.hi + self.lo) >= (F.size("a") + F.size("b")) * self.lo
+        out = Table(sets.where(similar).select("ord").distinct(), "lines-similar").df
+        for spent in (pairs, needed, known):
+            spent.drop()
+        return out
+
+
+def _map_of(rows: DataFrame, h: Column) -> bytes:
+    """A map with a bit for each hash."""
+    bit = F.call_function("shiftleft", F.lit(1), F.pmod(F.shiftright(h, 32), F.lit(7)).cast("int"))
+    table = bytearray(MAP_BYTES)
+    for r in rows.groupBy(F.pmod(h, F.lit(MAP_BYTES)).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).collect():
+        table[r["at"]] = r.bits
+    return bytes(table)
+
+
+def _in_map(table: bytes, h: Column) -> Column:
+    bit = F.call_function("shiftleft", F.lit(1), F.pmod(F.shiftright(h, 32), F.lit(7)).cast("int"))
+    return _byte_at(table, F.pmod(h, F.lit(MAP_BYTES)).cast("int")).bitwiseAND(bit) != 0
+
+
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: str = "0.8") -> DataFrame:
+    """(d, key, kept): for each document, as _named() names them, the sorted numbers (from 0) of its lines with words
+    that stay. Documents without any have no row.
 
     A line goes if an earlier one, by (id, line), is the same or has a set of words with a Jaccard
     similarity of at least ``similarity``. Lines without words stay and are compared with none.
 
-    Equal lines are one class, represented by the earliest. Classes are joined on the tokens of
-    their prefixes: with the tokens in rarity order two similar lines share one of the first
-    n - ceil(t * n) + 1. Lengths, positions and a bit map (each token flips one of 128 bits; two sets
-    that differ in few tokens differ in few bits) exclude nearly all other pairs within the join;
-    what is left is verified on the words. To remove a line one earlier match is enough: lines
-    are first compared with the earliest line of each of their rarest tokens' groups, and those that
-    match need no further partner. So a line with thousands of variants never becomes their pairs.
+    Equal lines are one class, represented by the earliest. Its tokens are put in rarity order and
+    classes are joined on the tokens of their prefixes; lengths, positions and sketches exclude nearly
+    all other pairs within the join; what is left is verified on the words. To remove a line one
+    earlier match is enough, so those that match the first line of a group need no further partner.
+    Texts are shuffled once, after that only those of lines that are candidates.
     """
-    spark = docs.sparkSession
-    t = Fraction(similarity)
-    text = text_or_empty(text_col)
-    ranks = rarity_ranks(text, docs)
-    lines = docs.select(
-        document_key(id_col, text_col).alias("key"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("d"),
-        F.posexplode(F.split(text, "\n")).alias("l", "line"),
-    ).where(F.rlike("line", F.lit(WORD)))
-    marked = lines.select("key", "d", "l", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "line")
-    classes = marked.groupBy("h1", "h2").agg(F.min(F.struct("d", "l", "key")).alias("first"), F.first("line").alias("line"))
-    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "first.*", "line", _tokens(F.col("line"), ranks).alias("toks"))
-    size = F.size("toks")
-    one = F.lit(1).cast("long")
-    none = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
-
-    def flip(a: Column, x: Column) -> Column:
-        bit = F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
-        low = x.bitwiseAND(F.lit(64)) == 0
-        return F.struct(F.when(low, a["p"].bitwiseXOR(bit)).otherwise(a["p"]).alias("p"), F.when(low, a["q"]).otherwise(a["q"].bitwiseXOR(bit)).alias("q"))
-
-    flips = F.aggregate("toks", none, flip)
-    classes = classes.select("cid", "h1", "h2", "d", "l", "key", "line", size.cast("long").alias("n"), flips.alias("bits"), F.slice("toks", 1, size - _ceil(size, t) + 1).alias("prefix"))
-    classes = classes.select("cid", "h1", "h2", "d", "l", "key", "line", "n", F.col("bits.p").alias("p"), F.col("bits.q").alias("q"), "prefix")
-    kept_classes = Table(classes, "lines")
-    classes = kept_classes.df
-    _release(spark)
-    # the lines' numbers in order: only ids and places are sorted
-    order = [F.col("d"), F.col("l"), F.col("key")]
-    slim = classes.select("cid", "d", "l", "key").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
-    places = Table(slim.sortWithinPartitions(*order).select("cid", F.monotonically_increasing_id().alias("ord")), "lines-order").df
-
-    # (1 + t) * overlap >= t * (n1 + n2) for similar sets, so they differ in at most (1 - t) / (1 + t) of n1 + n2
-    lo, hi = t.numerator, t.denominator
-
-    def alike(a: str, b: str) -> Column:
-        na, nb = (F.shiftright(F.col(f"{s}.meta"), SHIFT) for s in (a, b))
-        pa, pb = (F.shiftright(F.col(f"{s}.meta"), 1).bitwiseAND(F.lit((1 << (SHIFT - 1)) - 1)) for s in (a, b))
-        apart = sum(F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in "pq")
-        left = F.least(na - pa, nb - pb)  # tokens from the shared one on
-        return (
-            (apart * (hi + lo) <= (na + nb) * (hi - lo)) & (na * hi >= nb * lo) & (nb * hi >= na * lo) & (left * (hi + lo) >= (na + nb) * lo)
-        )
+    join = _Join(docs, id_col, text_col, similarity)
+    prefixes = join.prefixes()
+    done = join.first_by_hubs(prefixes.df)
+    gone = done.union(join.by_prefixes(prefixes.df, done))
+    prefixes.drop()
+    kept = join.numbered.join(gone, "ord", "left_anti").groupBy("d", "key").agg(F.sort_array(F.collect_list("l")).alias("kept"))
+    return Table(kept, "lines-kept").df
+
+
+def _flags(kept: Column) -> Column:
+    """From sorted numbers an array that is true at their places. It ends at the last."""
+    gaps = F.transform(kept, lambda k, i: k - F.when(i == 0, -1).otherwise(F.get(kept, i - 1)) - 1)
+    return F.flatten(F.transform(gaps, lambda g: F.concat(F.array_repeat(F.lit(False), g), F.array(F.lit(True)))))
+
 
-    def signatures(lines: DataFrame, tokens: Column) -> DataFrame:
-        """(tok, ord, p, q, meta): meta packs the line's number of tokens, the token's place in it, and done."""
-        placed = lines.select("ord", "p", "q", "n", "done", F.posexplode(tokens).alias("pos", "tok"))
-        meta = F.shiftleft("n", SHIFT).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("done").cast("long"))
-        return placed.select("tok", "ord", "p", "q", meta.alias("meta"))
-
-    numbered = classes.select("cid", "n", "p", "q", F.slice("prefix", 1, HUB_TOKENS).alias("prefix"), F.lit(0).alias("done")).join(places, "cid")
-    sig = signatures(numbered, F.col("prefix"))
-    hubs = sig.groupBy("tok").agg(F.min(F.struct("ord", "p", "q", "meta")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("tok", "hub.*")
-    near = sig.alias("x").join(hubs.alias("y"), "tok").where((F.col("y.ord") < F.col("x.ord")) & alike("x", "y"))
-    first = _verify(near.select(F.col("x.ord").alias("ord"), F.col("y.ord").alias("by")).distinct(), classes, places, lo, hi)
-    done = Table(first.select("ord").distinct(), "lines-done").df
-    _release(spark)
-
-    places_done = places.join(done.select("ord", F.lit(1).alias("gone")), "ord", "left").select("cid", "ord", F.coalesce("gone", F.lit(0)).alias("done"))
-    sig = signatures(classes.select("cid", "n", "p", "q", "prefix").join(places_done, "cid"), F.col("prefix"))
-    # x.done is compared with what is always 0 on the other side, so that both sides stay one shuffle
-    flag = F.col("x.meta").bitwiseAND(F.lit(1))
-    zero = F.shiftright(F.col("y.meta"), 63)
-    near = sig.alias("x").join(sig.alias("y"), F.col("x.tok") == F.col("y.tok")).where(
-        (F.col("y.ord") < F.col("x.ord")) & (flag <= zero) & alike("x", "y")
-    )
-    pairs = near.select(F.col("x.ord").alias("ord"), F.col("y.ord").alias("by")).distinct()
-    gone = done.union(_verify(pairs, classes, places, lo, hi).select("ord")).distinct()
-    gone = Table(places.join(gone, "ord").select("cid"), "lines-gone").df
-    _release(spark)
-    stay = classes.select("cid", "h1", "h2", "d", "l", "key").join(gone, "cid", "left_anti")
-    stay = Table(stay.select("h1", "h2", F.col("l").alias("fl"), F.col("key").alias("fk")), "lines-stay").df
-    kept_classes.drop()
-    _release(spark)
-    kept = marked.drop("line").join(stay, ["h1", "h2"], "left")
-    here = (F.col("key") == F.col("fk")) & (F.col("l") == F.col("fl"))
-    return kept.where(~F.coalesce(here, F.lit(False))).select("key", "l")
-
-
-def _ceil(n: Column, t: Fraction) -> Column:
-    return F.floor((n * t.numerator + (t.denominator - 1)) / t.denominator).cast("int")
-
-
-def _verify(pairs: DataFrame, classes: DataFrame, places: DataFrame, lo: int, hi: int) -> DataFrame:
-    """The pairs whose lines' sets of words are similar enough."""
-    pairs = Table(pairs, "lines-candidates").df
-    _release(pairs.sparkSession)
-    needed = pairs.select("ord").union(pairs.select("by")).distinct()
-    ids = places.join(needed, "ord", "left_semi")
-    known = Table(classes.select("cid", "line").join(ids, "cid").select("ord", "line"), "lines-texts").df
-    both = pairs.join(known, "ord").join(known.select(F.col("ord").alias("by"), F.col("line").alias("other")), "by")
-    sets = both.select("ord", "by", F.array_distinct(words(F.col("line"))).alias("a"), F.array_distinct(words(F.col("other"))).alias("b"))
-    same = F.size(F.array_intersect("a", "b"))
-    return sets.where(same * (hi + lo) >= (F.size("a") + F.size("b")) * lo).select("ord", "by")
-
-
-def document_key(id_col: str, text_col: str) -> Column:
-    """Rows with the same id and text are one document: the same lines go in each."""
-    return F.xxhash64(F.lit("doc"), F.col(id_col).cast("string"), text_or_empty(text_col))
+def _stays(line: Column, flag: Column) -> Column:
+    return F.coalesce(flag, F.lit(False)) | ~F.rlike(line, F.lit(WORD))
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: str = "0.8") -> DataFrame:
     """(id, n_lines, removed): removed is the sorted array of the numbers of the lines to remove, one row per row
     of docs. n_lines counts the parts between newlines; null and empty texts are one empty line.
     Null ids come last in the order; an empty table gives an empty one."""
-    gone = removed_lines(docs, id_col, text_col, similarity).groupBy("key").agg(F.sort_array(F.collect_set("l")).alias("removed"))
-    slim = docs.select(F.col(id_col).alias("id"), document_key(id_col, text_col).alias("key"), F.size(F.split(text_or_empty(text_col), "\n")).cast("long").alias("n_lines"))
-    return slim.join(gone, "key", "left").select("id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    kept = kept_lines(docs, id_col, text_col, similarity)
+    parts = F.split(text_or_empty(text_col), "\n")
+    worded = F.filter(F.transform(parts, lambda x, i: F.when(F.rlike(x, F.lit(WORD)), i)), lambda i: i.isNotNull())
+    slim = docs.select(F.col(id_col).alias("id"), *_named(docs, id_col, text_col), F.size(parts).cast("long").alias("n_lines"), worded.alias("worded"))
+    removed = F.array_except("worded", F.coalesce("kept", F.array().cast("array<int>")))
+    return slim.join(kept, ["d", "key"], "left").select("id", "n_lines", removed.alias("removed"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: str = "0.8") -> DataFrame:
     """docs with the repeated lines taken out of the texts; all rows and columns stay, whatever their names.
     Texts without a line to remove, null ones too, are as they were."""
-    row = F.struct("*").alias("row")
-    gone = removed_lines(docs, id_col, text_col, similarity).groupBy("key").agg(F.collect_set("l").alias("gone"))
-    keyed = docs.select(row, document_key(id_col, text_col).alias("key")).join(gone, "key", "left")
-    lines = F.split(F.col(f"row.`{text_col}`"), "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col(f"row.`{text_col}`")).otherwise(left)
-    return keyed.select(F.col("row").withField(f"`{text_col}`", text).alias("row")).select("row.*")
+    kept = kept_lines(docs, id_col, text_col, similarity)
+    keyed = docs.select(F.struct("*").alias("row"), *_named(docs, id_col, text_col)).join(kept, ["d", "key"], "left")
+    parts = F.split(F.col(f"row.`{text_col}`"), "\n")
+    flags = _flags(F.coalesce("kept", F.array().cast("array<int>")))
+    left = F.array_join(_once(flags, lambda f: F.filter(parts, lambda x, i: _stays(x, F.get(f, i)))), "\n")
+    return keyed.select(F.col("row").withField(f"`{text_col}`", left).alias("row")).select("row.*")
