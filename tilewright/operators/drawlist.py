@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,30 +149,34 @@ def draw_list(features: DataFrame, theme: Theme, zoom: float, view=None, sprites
 Matrix = list[float]
 
 
-def compose(a: Matrix, b: Matrix) -> Matrix:
-    """The 4 x 5 matrix that applies b, then a."""
-    out = []
-    for r in range(4):
-        for c in range(5):
-            out.append(sum(a[r * 5 + k] * b[k * 5 + c] for k in range(4)) + (a[r * 5 + 4] if c == 4 else 0.0))
-    return out
+def _affine(linear: np.ndarray, shift: float = 0.0) -> np.ndarray:
+    """Red, green and blue times ``linear`` plus ``shift``, alpha as it is, on columns (r, g, b, a, 1)."""
+    m = np.eye(5)
+    m[:3, :3], m[:3, 4] = linear, shift
+    return m
 
 
 def raster_matrix(hue: float = 0, saturation: float = 0, contrast: float = 0, low: float = 0, high: float = 1) -> Matrix:
-    """Hue in degrees, then saturation and contrast (-1..1), then brightness from low to high; channels 0..255."""
-    t = math.radians(hue)
-    s, c = math.sin(t), math.cos(t)
-    w0, w1, w2 = (2 * c + 1) / 3, (-math.sqrt(3) * s - c + 1) / 3, (math.sqrt(3) * s - c + 1) / 3
-    turn = [w0, w1, w2, 0, 0, w2, w0, w1, 0, 0, w1, w2, w0, 0, 0, 0, 0, 0, 1, 0]
-    k = 1 - 1 / (1.001 - saturation) if saturation > 0 else -saturation
-    same, other = 1 - k + k / 3, k / 3
-    sat = [same, other, other, 0, 0, other, same, other, 0, 0, other, other, same, 0, 0, 0, 0, 0, 1, 0]
-    f = 1 / (1 - contrast) if contrast > 0 else 1 + contrast
-    shift = (0.5 - 0.5 * f) * 255
-    con = [f, 0, 0, 0, shift, 0, f, 0, 0, shift, 0, 0, f, 0, shift, 0, 0, 0, 1, 0]
-    d = high - low
-    bri = [d, 0, 0, 0, low * 255, 0, d, 0, 0, low * 255, 0, 0, d, 0, low * 255, 0, 0, 0, 1, 0]
-    return compose(bri, compose(con, compose(sat, turn)))
+    """The 4 x 5 matrix, row by row, of a raster layer's colour properties; channels 0..255.
+
+    In this order: a turn by hue degrees about the grey axis, a blend with the mean, a stretch about
+    the middle, and brightness from low to high. Saturation and contrast are cut to -1..1, low and
+    high to 0..1, and the stretch to 1000, which is what a contrast of 1 gets.
+    """
+    saturation, contrast = (float(np.clip(v, -1, 1)) for v in (saturation, contrast))
+    low, high = (float(np.clip(v, 0, 1)) for v in (low, high))
+    same, mean = np.eye(3), np.full((3, 3), 1 / 3)
+    cross = np.cross(same, np.full(3, 1 / math.sqrt(3)))  # the cross product with the axis
+    angle = math.radians(hue % 360)
+    grey = 1 - 1 / (1.001 - saturation) if saturation > 0 else -saturation
+    stretch = 1 + contrast if contrast <= 0 else min(1000.0, 1 / (1 - contrast) if contrast < 1 else math.inf)
+    steps = [
+        _affine(math.cos(angle) * same + (1 - math.cos(angle)) * mean + math.sin(angle) * cross),
+        _affine(same + grey * (mean - same)),
+        _affine(stretch * same, (1 - stretch) * 127.5),
+        _affine((high - low) * same, low * 255),
+    ]
+    return reduce(lambda done, step: step @ done, steps)[:4].ravel().tolist()
 
 
 def apply_matrix(m: Matrix, rgba: Column) -> Column:

@@ -290,14 +290,14 @@ def too_bent(angles: Column, max_angle: Column) -> Column:
 
 
 # Parts of font names and the weight they stand for; the first that is found counts.
-WEIGHTS = (("thin", 100), ("extralight", 200), ("ultralight", 200), ("light", 300), ("semibold", 600), ("demibold", 600), ("extrabold", 800), ("ultrabold", 800), ("black", 900), ("heavy", 900), ("medium", 500), ("bold", 700))
+WEIGHTS = (("extrabold", 800), ("extra bold", 800), ("semibold", 600), ("semi bold", 600), ("bold", 700), ("medium", 500), ("light", 300), ("thin", 200))
 
 
 def font_weight(name: Column) -> Column:
-    plain = F.regexp_replace(F.lower(name), r"[\s_-]", "")
+    """The weight that a font's name, or a stack's names with spaces between them, asks for; 400 if none."""
     out = F.lit(400)
     for part, weight in reversed(WEIGHTS):
-        out = F.when(F.contains(plain, F.lit(part)), F.lit(weight)).otherwise(out)
+        out = F.when(F.contains(F.lower(name), F.lit(part)), F.lit(weight)).otherwise(out)
     return out
 
 

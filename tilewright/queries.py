@@ -225,24 +225,24 @@ def overzoom_join(spark, sf_dir):
     return joins.overzoom(display, data).select("x", "y", "n", "s")
 
 
-@query(f"""WITH {PTS}, want AS (SELECT DISTINCT x, y FROM pts), have AS (SELECT DISTINCT 8 - (event_id % 5)::INT AS z, x >> (event_id % 5)::INT AS x, y >> (event_id % 5)::INT AS y FROM pts WHERE k % 4 = 0)
+@query(f"""WITH {PTS}, want AS (SELECT DISTINCT x, y FROM pts), have AS (SELECT DISTINCT 8 - (event_id % 5)::INT AS z, x >> (event_id % 5)::INT AS x, y >> (event_id % 5)::INT AS y FROM pts)
  SELECT w.x, w.y, max(h.z)::BIGINT AS anc_z FROM want w JOIN have h ON h.z >= 4 AND h.x = w.x >> (8 - h.z) AND h.y = w.y >> (8 - h.z) GROUP BY 1, 2""")
 def ancestor_asof(spark, sf_dir):
     p = pts(spark, sf_dir)
     up = (F.col("event_id") % 5).cast("int")
-    have = p.where("k % 4 = 0").select((8 - up).alias("z"), T.shr(F.col("x"), up).alias("x"), T.shr(F.col("y"), up).alias("y"))
+    have = p.select((8 - up).alias("z"), T.shr(F.col("x"), up).alias("x"), T.shr(F.col("y"), up).alias("y"))
     return joins.nearest_ancestor(p.select("z", "x", "y"), have, min_zoom=4).select("x", "y", F.col("anc_z").cast("long").alias("anc_z"))
 
 
-OVERLAP = """a AS (SELECT DISTINCT 8 - (event_id % 3)::INT AS z, x >> (event_id % 3)::INT AS x, y >> (event_id % 3)::INT AS y FROM pts WHERE user_id % 7 = 0),
- b AS (SELECT DISTINCT 6 + (event_id % 2)::INT AS z, x >> (2 - event_id % 2)::INT AS x, y >> (2 - event_id % 2)::INT AS y FROM pts WHERE user_id % 5 = 0)"""
+OVERLAP = """a AS (SELECT DISTINCT 8 - (event_id % 3)::INT AS z, x >> (event_id % 3)::INT AS x, y >> (event_id % 3)::INT AS y FROM pts),
+ b AS (SELECT DISTINCT 6 + (event_id % 2)::INT AS z, x >> (2 - event_id % 2)::INT AS x, y >> (2 - event_id % 2)::INT AS y FROM pts)"""
 
 
 def _overlap_sides(spark, sf_dir):
     p = pts(spark, sf_dir)
     u, v = (F.col("event_id") % 3).cast("int"), (F.col("event_id") % 2).cast("int")
-    a = p.where("user_id % 7 = 0").select((8 - u).alias("z"), T.shr(F.col("x"), u).alias("x"), T.shr(F.col("y"), u).alias("y")).distinct()
-    b = p.where("user_id % 5 = 0").select((6 + v).alias("z"), T.shr(F.col("x"), 2 - v).alias("x"), T.shr(F.col("y"), 2 - v).alias("y")).distinct()
+    a = p.select((8 - u).alias("z"), T.shr(F.col("x"), u).alias("x"), T.shr(F.col("y"), u).alias("y")).distinct()
+    b = p.select((6 + v).alias("z"), T.shr(F.col("x"), 2 - v).alias("x"), T.shr(F.col("y"), 2 - v).alias("y")).distinct()
     return a, b
 
 
@@ -274,11 +274,11 @@ def grid_visible(spark, sf_dir):
     return T.visible_grid(s, buffer=1).select("s_suppkey", "x", "y", F.col("prio").cast("long").alias("prio"))
 
 
-@query(f"""WITH {PTS}, n AS (SELECT DISTINCT x >> 1 AS x, y >> 1 AS y FROM pts WHERE k % 2 = 0), b AS (SELECT DISTINCT x >> 1 AS x, y >> 1 AS y FROM pts WHERE k % 3 = 0)
+@query(f"""WITH {PTS}, n AS (SELECT DISTINCT x >> 1 AS x, y >> 1 AS y FROM pts WHERE event_type IN ('click', 'view', 'signup')), b AS (SELECT DISTINCT x >> 1 AS x, y >> 1 AS y FROM pts WHERE event_type IN ('view', 'error', 'purchase'))
  SELECT x, y, 'add' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM b) UNION ALL SELECT x, y, 'remove' FROM (SELECT * FROM b EXCEPT SELECT * FROM n)""")
 def grid_changes(spark, sf_dir):
-    p = pts(spark, sf_dir).select("k", F.lit(7).alias("z"), F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y"))
-    return joins.grid_changes(p.where("k % 2 = 0"), p.where("k % 3 = 0")).select("x", "y", "change")
+    p = pts(spark, sf_dir).select("event_type", F.lit(7).alias("z"), F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y"))
+    return joins.grid_changes(p.where("event_type IN ('click', 'view', 'signup')"), p.where("event_type IN ('view', 'error', 'purchase')")).select("x", "y", "change")
 
 
 # -- geometry ---------------------------------------------------------------------------------------------------
@@ -354,23 +354,27 @@ def dash_segments(spark, sf_dir):
     return got.select("vec_id", (F.round("s.a", 3) + 0.0).alias("a"), (F.round("s.b", 3) + 0.0).alias("b"))
 
 
-MATRIX = drawlist.raster_matrix(hue=40, saturation=-0.3, contrast=0.2, low=0.1, high=0.9)
+#: Hue, saturation, contrast, low and high, and the formulas in SQL, step by step.
+RASTER = [(40, -0.3, 0.2, 0.1, 0.9), (0, 0, 1, 0, 1), (400, 0.5, -0.4, -1, 2)]
 
 
-def _matrix_sql() -> str:
-    rows = []
-    for r, name in enumerate("rgba"):
-        m = MATRIX[r * 5 : r * 5 + 5]
-        rows.append(f"round(least(greatest({m[4]!r}::DOUBLE + c[1]*{m[0]!r}::DOUBLE + c[2]*{m[1]!r}::DOUBLE + c[3]*{m[2]!r}::DOUBLE + c[4]*{m[3]!r}::DOUBLE, 0), 255), 3) + 0.0 AS {name}")
-    return f"SELECT p_partkey, {', '.join(rows)} FROM (SELECT p_partkey, [(p_size * 5 % 256)::DOUBLE, (p_partkey % 256)::DOUBLE, 128::DOUBLE, 255::DOUBLE] AS c FROM part)"
+def _raster_sql(case: int) -> str:
+    hue, saturation, contrast, low, high = RASTER[case]
+    turn = lambda a, b, c: f"(({a} + {b} + {c}) / 3 * (1 - cos(radians({hue}))) + {a} * cos(radians({hue})) + ({c} - {b}) / sqrt(3) * sin(radians({hue})))"
+    grey = f"CASE WHEN {saturation} > 0 THEN 1 - 1 / (1.001 - {saturation}) ELSE -({saturation}) END"
+    stretch = 1000.0 if contrast == 1 else f"CASE WHEN {contrast} > 0 THEN 1 / (1 - {contrast}) ELSE 1 + ({contrast}) END"
+    lo, hi = max(low, 0), min(high, 1)
+    end = lambda c: f"round(least(greatest(255 * {lo} + ({hi} - {lo}) * (({c} + ((r + g + b) / 3 - {c}) * {grey} - 127.5) * {stretch} + 127.5), 0), 255), 3) + 0.0 AS {c}"
+    return f"""SELECT p_partkey, {case}::BIGINT AS setting, {end("r")}, {end("g")}, {end("b")}, 255.0::DOUBLE AS a FROM (SELECT p_partkey, {turn("r", "g", "b")}::DOUBLE AS r, {turn("g", "b", "r")}::DOUBLE AS g, {turn("b", "r", "g")}::DOUBLE AS b
+ FROM (SELECT p_partkey, (p_size * 5 % 256)::DOUBLE AS r, (p_partkey % 256)::DOUBLE AS g, 128::DOUBLE AS b FROM part))"""
 
 
-@query(_matrix_sql())
+@query(" UNION ALL ".join(map(_raster_sql, range(len(RASTER)))))
 def raster_colors(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     rgba = F.array((F.col("p_size") * 5 % 256).cast("double"), (F.col("p_partkey") % 256).cast("double"), F.lit(128.0), F.lit(255.0))
-    out = p.select("p_partkey", drawlist.apply_matrix(MATRIX, rgba).alias("c"))
-    return out.select("p_partkey", *[(F.round(F.get("c", F.lit(i)), 3) + 0.0).alias(k) for i, k in enumerate("rgba")])
+    every = F.array(*[F.struct(F.lit(i).cast("long").alias("setting"), drawlist.apply_matrix(drawlist.raster_matrix(*v), rgba).alias("c")) for i, v in enumerate(RASTER)])
+    return p.select("p_partkey", F.inline(every)).select("p_partkey", "setting", *[(F.round(F.get("c", F.lit(i)), 3) + 0.0).alias(k) for i, k in enumerate("rgba")])
 
 
 # -- draw lists and labels --------------------------------------------------------------------------------------
@@ -471,13 +475,14 @@ def nearest_memory(spark, sf_dir):
     return joins.nearest(seen, mem, ["user_id"]).select("id", "entry")
 
 
-@query("""SELECT p_partkey, CASE WHEN contains(s, 'thin') THEN 100 WHEN contains(s, 'extralight') THEN 200 WHEN contains(s, 'light') THEN 300 WHEN contains(s, 'semibold') THEN 600 WHEN contains(s, 'extrabold') THEN 800
- WHEN contains(s, 'black') THEN 900 WHEN contains(s, 'medium') THEN 500 WHEN contains(s, 'bold') THEN 700 ELSE 400 END::BIGINT AS weight, contains(s, 'italic') AS slanted FROM (SELECT p_partkey,
- replace(lower(['Noto Sans', 'Open Sans Semibold Italic', 'Roboto Light', 'Arial Black', 'Noto Extra Bold', 'Inter Medium'][(p_size % 6) + 1]), ' ', '') AS s FROM part)""")
+FONTS = ("Noto Sans", "Open Sans Semibold Italic", "Roboto Light", "Arial Black", "Noto Extra Bold", "Inter Medium", "Inter ExtraBold", "Lato Semi Bold", "Lato Bold Italic", "Lato Thin", "Noto Extra-Light", "Noto Semi-Bold")
+
+
+@query(f"""SELECT p_partkey, CASE WHEN s LIKE '%extrabold%' OR s LIKE '%extra bold%' THEN 800 WHEN s LIKE '%semibold%' OR s LIKE '%semi bold%' THEN 600 WHEN s LIKE '%bold%' THEN 700 WHEN s LIKE '%medium%' THEN 500
+ WHEN s LIKE '%light%' THEN 300 WHEN s LIKE '%thin%' THEN 200 ELSE 400 END::BIGINT AS weight, contains(s, 'italic') AS slanted FROM (SELECT p_partkey, lower({list(FONTS)!r}[(p_partkey % {len(FONTS)}) + 1]) AS s FROM part)""")
 def font_weights(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    names = F.array(*[F.lit(n) for n in ("Noto Sans", "Open Sans Semibold Italic", "Roboto Light", "Arial Black", "Noto Extra Bold", "Inter Medium")])
-    name = F.get(names, F.col("p_size") % 6)
+    name = F.get(F.array(*map(F.lit, FONTS)), (F.col("p_partkey") % len(FONTS)).cast("int"))
     return p.select("p_partkey", symbols.font_weight(name).cast("long").alias("weight"), symbols.italic(name).alias("slanted"))
 
 
@@ -492,10 +497,10 @@ def label_text(spark, sf_dir):
 # -- sources, caches, state -------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {PTS} SELECT x, y, event_id AS fid, (px % 256 * 16)::DOUBLE AS gx, (py % 256 * 16)::DOUBLE AS gy, event_type AS kind, k AS rank FROM pts WHERE event_id > 0""")
+@query(f"""WITH {PTS} SELECT x, y, nullif(event_id, 0) AS fid, (px % 256 * 16)::DOUBLE AS gx, (py % 256 * 16)::DOUBLE AS gy, event_type AS kind, k AS rank FROM pts""")
 def mvt_round_trip(spark, sf_dir):
-    """Tiles are encoded from the events and decoded again."""
-    p = pts(spark, sf_dir).where("event_id > 0")
+    """Tiles are encoded from the events and decoded again; an id of 0 is none."""
+    p = pts(spark, sf_dir)
 
     def encode(rows):
         body = [(1, mvt.commands_of(1, [[(int(r["px"] % 256 * 16), int(r["py"] % 256 * 16))]]), {"kind": r["event_type"], "rank": int(r["k"]), "spare": 1.5}, int(r["event_id"])) for r in rows]
@@ -508,13 +513,13 @@ def mvt_round_trip(spark, sf_dir):
     return f.select("x", "y", "fid", F.get(one, F.lit(0)).cast("double").alias("gx"), F.get(one, F.lit(1)).cast("double").alias("gy"), F.col("properties")["kind"]["s"].alias("kind"), F.col("properties")["rank"]["l"].alias("rank"))
 
 
-@query(f"""WITH {PTS}, ids AS (SELECT DISTINCT y * 256 + x AS tile_id FROM pts), e AS (SELECT DISTINCT (y * 256 + x) // 8 * 8 AS first, 1 + ((y * 256 + x) // 8) % 8 AS run FROM pts WHERE k % 3 = 0)
+@query(f"""WITH {PTS}, ids AS (SELECT DISTINCT y * 256 + x AS tile_id FROM pts), e AS (SELECT DISTINCT (y * 256 + x) // 8 * 8 AS first, 1 + ((y * 256 + x) // 8) % 8 AS run FROM pts)
  SELECT tile_id, first, run FROM ids JOIN e ON tile_id >= first AND tile_id < first + run""")
 def pmtiles_lookup(spark, sf_dir):
     p = pts(spark, sf_dir)
     tile = F.col("y") * 256 + F.col("x")
     block = F.floor(tile / 8)
-    entries = p.where("k % 3 = 0").select((block * 8).alias("first"), (block % 8 + 1).alias("run")).distinct()
+    entries = p.select((block * 8).alias("first"), (block % 8 + 1).alias("run")).distinct()
     return pmtiles.lookup(p.select(tile.alias("tile_id")).distinct(), entries).select("tile_id", "first", "run")
 
 
@@ -549,7 +554,12 @@ def property_union(spark, sf_dir):
     return joins.keep_lists(reads).select("source", F.array_join("properties", ",").alias("langs"))
 
 
-@query("""SELECT page_id, list_aggregate(list_transform(regexp_extract_all(html, '<a[^>]*?href="([^"]*)"', 1, 'i'), lambda u: u), 'string_agg', ' ') AS links FROM pages""")
+LINK = style.LINK.replace("'", "''")
+
+
+@query(f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '{LINK}', 0)) AS a, generate_subscripts(regexp_extract_all(html, '{LINK}', 0), 1) AS i FROM pages),
+ u AS (SELECT page_id, i, coalesce(nullif(regexp_extract(a, '{LINK}', 1), ''), nullif(regexp_extract(a, '{LINK}', 2), ''), nullif(regexp_extract(a, '{LINK}', 3), '')) AS u FROM a
+ WHERE regexp_matches(replace(regexp_replace(regexp_extract(a, '{LINK}', 4), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '\\S')) SELECT page_id, string_agg(u, ' ' ORDER BY i) AS links FROM pages LEFT JOIN u USING (page_id) GROUP BY 1""")
 def attribution_links(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.nullif(F.array_join(style.attribution_links(F.col("html")), " "), F.lit("")).alias("links"))
