@@ -6,11 +6,17 @@ Vertices are stored as 32-bit floats in tiles; arithmetic is in doubles.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value stands once in the plan and is computed once a row, however often use has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def n_points(p: Column) -> Column:
     return F.floor(F.size(p) / 2).cast("int")
 
@@ -56,7 +62,7 @@ def segment_lengths(p: Column) -> Column:
 
 
 def line_length(p: Column) -> Column:
-    return F.aggregate(segment_lengths(p), F.lit(0.0), lambda a, v: a + v)
+    return total(segment_lengths(p))
 
 
 def cumulative(p: Column) -> Column:
@@ -70,23 +76,31 @@ def cumulative(p: Column) -> Column:
     return F.aggregate(segment_lengths(p), zero, step, lambda a: a["all"])
 
 
+def total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0.0), lambda a, v: a + v)
+
+
 def midpoint(p: Column) -> Column:
     """STRUCT<x,y> half way along; the first vertex of a path without length."""
-    half = line_length(p) / 2
-    x0, y0 = _xy(p, F.lit(0))
-    zero = F.struct(F.lit(0.0).alias("done"), F.lit(False).alias("hit"), x0.alias("x"), y0.alias("y"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("done"), F.lit(-1).alias("at"), F.lit(0.0).alias("left"))
 
-    def step(a: Column, i: Column) -> Column:
-        (x1, y1), (x2, y2) = _xy(p, i), _xy(p, i + 1)
-        seg = F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
-        here = ~a["hit"] & (seg > 0) & (a["done"] + seg >= half)
-        t = F.when(seg > 0, (half - a["done"]) / seg).otherwise(0.0)
-        return F.struct(
-            (a["done"] + seg).alias("done"), (a["hit"] | here).alias("hit"),
-            F.when(here, x1 + (x2 - x1) * t).otherwise(a["x"]).alias("x"), F.when(here, y1 + (y2 - y1) * t).otherwise(a["y"]).alias("y"),
-        )
+    def of(lengths: Column, half: Column) -> Column:
+        def step(a: Column, s: Column) -> Column:
+            here = (a["at"] < 0) & (s > 0) & (a["done"] + s >= half)
+            return F.struct(
+                (a["i"] + 1).alias("i"), (a["done"] + s).alias("done"), F.when(here, a["i"]).otherwise(a["at"]).alias("at"),
+                F.when(here, (half - a["done"]) / s).otherwise(a["left"]).alias("left"),
+            )
 
-    return F.aggregate(_each(p, 2), zero, step, lambda a: F.struct(a["x"].alias("x"), a["y"].alias("y")))
+        def end(a: Column) -> Column:
+            i = F.greatest(a["at"], F.lit(0))
+            (x1, y1), (x2, y2) = _xy(p, i), _xy(p, i + 1)
+            found = a["at"] >= 0
+            return F.struct(F.when(found, x1 + (x2 - x1) * a["left"]).otherwise(x1).alias("x"), F.when(found, y1 + (y2 - y1) * a["left"]).otherwise(y1).alias("y"))
+
+        return F.aggregate(lengths, start, step, end)
+
+    return let(segment_lengths(p), lambda lengths: let(total(lengths) / 2, lambda half: of(lengths, half)))
 
 
 def centroid(p: Column) -> Column:
@@ -116,21 +130,24 @@ def segment_at(distances: Column, d: Column) -> Column:
 
 def point_at(p: Column, distances: Column, d: Column) -> Column:
     """STRUCT<x,y,angle> at distance d along a path with these cumulative distances."""
-    i = segment_at(distances, d)
-    (x1, y1), (x2, y2) = _xy(p, i), _xy(p, i + 1)
-    a, b = F.get(distances, i).cast("double"), F.get(distances, i + 1).cast("double")
-    t = F.when(b > a, (d - a) / (b - a)).otherwise(0.0)
-    return F.struct((x1 + (x2 - x1) * t).alias("x"), (y1 + (y2 - y1) * t).alias("y"), F.atan2(y2 - y1, x2 - x1).alias("angle"))
+
+    def on(i: Column) -> Column:
+        (x1, y1), (x2, y2) = _xy(p, i), _xy(p, i + 1)
+        a, b = F.get(distances, i).cast("double"), F.get(distances, i + 1).cast("double")
+        t = F.when(b > a, (d - a) / (b - a)).otherwise(0.0)
+        return F.struct((x1 + (x2 - x1) * t).alias("x"), (y1 + (y2 - y1) * t).alias("y"), F.atan2(y2 - y1, x2 - x1).alias("angle"))
+
+    return let(segment_at(distances, d), on)
 
 
-def anchor_distances(total: Column, spacing: Column) -> Column:
+def anchor_distances(length: Column, spacing: Column) -> Column:
     """Where labels stand along a line: half a spacing from its start, then one each spacing; one in the middle of a
     line shorter than that or with no usable spacing; none on a line under one pixel."""
     none = F.array().cast("array<double>")
-    single = spacing.isNull() | F.isnan(spacing) | (spacing <= 0) | (spacing == float("inf")) | (total < spacing)
-    last = F.ceil((total - spacing / 2) / spacing).cast("int") - 1
+    single = spacing.isNull() | F.isnan(spacing) | (spacing <= 0) | (spacing == float("inf")) | (length < spacing)
+    last = F.ceil((length - spacing / 2) / spacing).cast("int") - 1
     many = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: spacing / 2 + k * spacing)
-    return F.when(total < 1, none).when(single, F.array(total / 2)).otherwise(F.filter(many, lambda v: v < total))
+    return F.when(length < 1, none).when(single, F.array(length / 2)).otherwise(F.filter(many, lambda v: v < length))
 
 
 def segment_window(x1: Column, y1: Column, x2: Column, y2: Column, rect: tuple[float, float, float, float]) -> Column:

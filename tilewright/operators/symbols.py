@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,48 +63,44 @@ def candidates(features: DataFrame, theme: Theme, zoom: float, view=None, extra:
         text = F.trim(transformed(F.col("text_field"), F.col("text_transform")))
         own = own.withColumn("text", text).withColumn("icon", F.nullif(F.trim("icon_image"), F.lit(""))).where((F.col("text") != "") | F.col("icon").isNotNull())
         own = own.withColumn("layer_index", F.lit(y.index)).withColumn("layer", F.lit(y.id))
-        branches.append(_anchors(own).drop("parts", "scale", "off_x", "off_y", "at"))
+        branches.append(_anchors(own, y.properties.get("symbol-placement")).drop("parts", "scale", "off_x", "off_y", "at"))
     if not branches:
         raise ValueError("no layer of the theme has symbols at this zoom")
     made = reduce(DataFrame.unionByName, branches)
     return made.withColumnRenamed("symbol_sort_key", "sort_key")
 
 
-def _anchors(f: DataFrame) -> DataFrame:
-    px = lambda v, off: v * F.col("scale") + F.col(off)
-    point = lambda x, y, angle=None, line=False, d=None: F.struct(
-        x.cast("double").alias("x"), y.cast("double").alias("y"), (F.lit(0.0) if angle is None else angle).alias("angle"), F.lit(line).alias("line"), (F.lit(None).cast("double") if d is None else d).alias("d")
-    )
+def _anchors(f: DataFrame, placement: Any) -> DataFrame:
+    """f with a row for each anchor. Only what the layer can ask for is part of the plan: lines are followed
+    unless the style's own text says that labels stand at points."""
+    px = lambda x, y: (x * F.col("scale") + F.col("off_x"), y * F.col("scale") + F.col("off_y"))
 
-    def vertices(p: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), G.n_points(p) - 1), lambda i: point(px(F.get(p, i * 2), "off_x"), px(F.get(p, i * 2 + 1), "off_y")))
+    def point(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"), F.lit(0.0).alias("angle"), F.lit(False).alias("line"), F.lit(None).cast("double").alias("d"))
 
-    def middle(p: Column) -> Column:
-        m = G.midpoint(p)
-        return F.array(point(px(m["x"], "off_x"), px(m["y"], "off_y")))
+    def vertices(p: Column) -> Column:
+        every = F.filter(F.transform(p, lambda v, i: F.when(i % 2 == 0, F.struct(v.cast("double").alias("x"), F.get(p, i + 1).cast("double").alias("y")))), lambda v: v.isNotNull())
+        return F.transform(every, lambda v: point(*px(v["x"], v["y"])))
 
-    def centre(p: Column) -> Column:
-        m = G.centroid(p)
-        return F.array(point(px(m["x"], "off_x"), px(m["y"], "off_y")))
+    def single(m: Column) -> Column:
+        return G.let(m, lambda v: point(*px(v["x"], v["y"])))
 
     def along(p: Column) -> Column:
         scaled = F.transform(p, lambda v, i: (v * F.col("scale") + F.when(i % 2 == 0, F.col("off_x")).otherwise(F.col("off_y"))).cast("float"))
-        cum = G.cumulative(scaled)
-        total = F.element_at(cum, -1).cast("double")
 
-        def one(d: Column) -> Column:
-            q = G.point_at(scaled, cum, d)
-            return point(q["x"], q["y"], q["angle"], True, d)
+        def at(path: Column, cum: Column) -> Column:
+            stand = lambda q, d: F.struct(q["x"].alias("x"), q["y"].alias("y"), q["angle"].alias("angle"), F.lit(True).alias("line"), d.alias("d"))
+            spots = G.let(F.element_at(cum, -1).cast("double"), lambda length: G.anchor_distances(length, F.col("symbol_spacing")))
+            return F.transform(spots, lambda d: G.let(G.point_at(path, cum, d), lambda q: stand(q, d)))
 
-        return F.transform(G.anchor_distances(total, F.col("symbol_spacing")), one)
+        return G.let(scaled, lambda path: G.let(G.cumulative(path), lambda cum: at(path, cum)))
 
-    lines = (F.col("symbol_placement") != "point") & (F.col("geom_type") != "Point")
-    at = (
-        F.when(lines, F.flatten(F.transform("parts", along)))
-        .when(F.col("geom_type") == "Point", F.flatten(F.transform("parts", vertices)))
-        .when(F.col("geom_type") == "LineString", F.flatten(F.transform("parts", middle)))
-        .otherwise(centre(F.get("parts", F.lit(0))))
-    )
+    kind = F.col("geom_type")
+    at = F.when(kind == "Point", F.flatten(F.transform("parts", vertices))).when(kind == "LineString", F.transform("parts", lambda p: single(G.midpoint(p))))
+    at = at.otherwise(F.array(G.let(F.get("parts", F.lit(0)), lambda p: single(G.centroid(p)))))
+    if placement not in (None, "point"):
+        lines = kind != "Point" if isinstance(placement, str) else (F.col("symbol_placement") != "point") & (kind != "Point")
+        at = F.when(lines, F.flatten(F.transform("parts", along))).otherwise(at)
     f = f.withColumn("at", F.explode(at))
     inside = (F.col("at.x") >= -SEAM) & (F.col("at.x") < T.TILE_PX + SEAM) & (F.col("at.y") >= -SEAM) & (F.col("at.y") < T.TILE_PX + SEAM)
     return f.where(inside).select(
