@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as PT
 
 from ..functions import color, geometry
 from ..functions import tiles as T
-from ..plans.expressions import Context, MapView
+from ..plans.expressions import Context, MapView, TypedView
 from ..plans.theme import Theme
 
 #: Pixels around a tile in which geometry is still drawn, and zooms of overzoom from which it is clipped.
@@ -45,30 +46,54 @@ def placed(features: DataFrame) -> DataFrame:
     return features.select("*", scale.alias("scale"), ox.alias("off_x"), oy.alias("off_y"), (F.col("z") - F.col("data_z")).alias("shift"))
 
 
-_PARTS = PT.ArrayType(PT.ArrayType(PT.FloatType()))
+_PARTS = PT.ArrayType(PT.ArrayType(PT.DoubleType()))
+_CUT = PT.StructType([PT.StructField("parts", _PARTS), PT.StructField("starts", PT.ArrayType(PT.DoubleType()))])
 
 
-@F.arrow_udf(_PARTS)
+@F.arrow_udf(_CUT)
 def clip_parts(parts: pa.Array, kinds: pa.Array, l: pa.Array, t: pa.Array, r: pa.Array, b: pa.Array) -> pa.Array:  # noqa: E741
+    """What of each row's parts lies in its window, and how far along the whole part each piece starts. Rows whose
+    parts are null stay so."""
     out = []
     for ps, kind, *rect in zip(*(c.to_pylist() for c in (parts, kinds, l, t, r, b))):
-        if kind == "Polygon":
-            rings = [geometry.clip_ring(p, tuple(rect)) for p in ps]
-            out.append([p for p in rings if p])
+        if ps is None:
+            out.append(None)
         elif kind == "LineString":
-            out.append([run for p in ps for run, _, _ in geometry.clip_line(p, tuple(rect))])
+            runs = [(run, start) for p in ps for run, start, _ in geometry.clip_line(p, tuple(rect))]
+            out.append({"parts": [p for p, _ in runs], "starts": [start for _, start in runs]})
         else:
-            out.append(ps)
-    return pa.array(out, pa.list_(pa.list_(pa.float32())))
+            rings = [p for p in (geometry.clip_ring(p, tuple(rect)) for p in ps) if p] if kind == "Polygon" else ps
+            out.append({"parts": rings, "starts": [0.0] * len(rings)})
+    return pa.array(out, pa.struct([("parts", pa.list_(pa.list_(pa.float64()))), ("starts", pa.list_(pa.float64()))]))
 
 
 def clipped(features: DataFrame) -> DataFrame:
-    """placed() rows with parts cut to the window, where overzoom is deep and the bounds don't lie within it already."""
+    """placed() rows with parts cut to the window, where overzoom is deep and the bounds don't lie within it already,
+    and with ``starts``: how far along its whole part each piece begins. Rows with nothing left are left out. Only
+    parts that have to be cut go to Python."""
     rect = window(F.col("scale"), F.col("off_x"), F.col("off_y"))
-    need = (F.col("shift") >= CLIP_FROM) & ~inside(rect)
-    f = features.withColumn("__cut", F.when(need, F.col("parts")))
-    cut = f.where("__cut is not null").withColumn("parts", clip_parts("parts", "geom_type", *rect)).where(F.size("parts") > 0)
-    return f.where("__cut is null").unionByName(cut).drop("__cut")
+    need = (F.col("shift") >= CLIP_FROM) & ~inside(rect) & (F.col("geom_type") != "Point")
+    f = features.withColumn("__cut", clip_parts(F.when(need, F.col("parts")), F.col("geom_type"), *rect))
+    whole = F.array_repeat(F.lit(0.0), F.size("parts"))
+    f = f.withColumn("starts", F.coalesce("__cut.starts", whole)).withColumn("parts", F.coalesce("__cut.parts", F.col("parts").cast(_PARTS)))
+    return f.drop("__cut").where(F.size("parts") > 0)
+
+
+def in_pixels(features: DataFrame) -> DataFrame:
+    """parts and starts in pixels of the display tile."""
+    moved = lambda v, i: v.cast("double") * F.col("scale") + F.when(i % 2 == 0, F.col("off_x")).otherwise(F.col("off_y"))
+    parts = F.transform("parts", lambda p: F.transform(p, moved))
+    return features.withColumn("parts", parts).withColumn("starts", F.transform("starts", lambda d: d * F.col("scale")))
+
+
+def centres(features: DataFrame, reach: Column) -> DataFrame:
+    """A row for each point of the rows' parts, in pixels, that lies no farther than reach from the display tile."""
+    xy = lambda p: F.filter(F.transform(p, lambda v, i: F.when(i % 2 == 0, F.array(v * F.col("scale") + F.col("off_x"), F.get(p, i + 1) * F.col("scale") + F.col("off_y")))), lambda c: F.get(c, F.lit(1)).isNotNull())
+    f = features.withColumn("__reach", reach)
+    near = lambda v: (v >= -F.col("__reach")) & (v <= F.lit(T.TILE_PX) + F.col("__reach"))
+    shown = F.filter(F.flatten(F.transform("parts", lambda p: xy(F.transform(p, lambda v: v.cast("double"))))), lambda c: near(F.get(c, F.lit(0))) & near(F.get(c, F.lit(1))))
+    f = f.withColumn("parts", shown).withColumn("parts", F.explode("parts"))
+    return f.withColumn("parts", F.array("parts")).withColumn("starts", F.array(F.lit(0.0))).drop("__reach")
 
 
 def visible(layer_type: str, p: dict[str, Column]) -> Column:
@@ -121,27 +146,84 @@ DRAW = {
 }
 
 
+#: Columns of a draw list before the paint.
+HEAD = ("z", "x", "y", "layer_index", "layer", "kind", "ord")
+
+
+def _row(own: DataFrame, layer, kind: str, paint_cols: dict[str, Column], *more: Column | str) -> DataFrame:
+    named = [paint_cols.get(k, F.lit(None)).cast(t).alias(k) for k, t in DRAW.items()]
+    return own.select("z", "x", "y", F.lit(layer.index).alias("layer_index"), F.lit(layer.id).alias("layer"), F.lit(kind).alias("kind"), *more, *named)
+
+
 def draw_list(features: DataFrame, theme: Theme, zoom: float, view=None, sprites: frozenset[str] | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """The geometry rows of a theme in drawing order columns (layer_index, ord): for each layer the features of its
-    source-layer, by type, bounds, filter, and visible paint, in that order.
+    """The rows that a theme draws of placed() features, to be drawn in the order of layer_index and ord: for each layer
+    the features of its source-layer, by type, bounds, filter, and visible paint, in that order.
 
-    One branch per layer, since each has columns of its own; zoom is a number, so all that depends on
-    it alone is folded. Layers that don't cover the zoom are left out when the plan is made.
+    ``parts`` and ``starts`` are in the display tile's pixels, cut to it where overzoom is deep; circles
+    give a row for each centre within reach. One branch per layer, since each has columns of its own;
+    zoom is a number, so all that depends on it alone is folded. Layers that don't cover the zoom
+    are left out when the plan is made.
     """
     ctx = Context(view or MapView(F.col("properties")), zoom, F.col("geom_type"), F.col("fid"))
     rect = window(F.col("scale"), F.col("off_x"), F.col("off_y"))
-    branches = []
+    shape = ("ord", "parts", "geom_type", "scale", "off_x", "off_y", "shift", "minx", "miny", "maxx", "maxy", *extra)
+    shapes, circles = [], []
     for y in theme.layers:
         if y.type not in ("fill", "line", "circle") or not y.minzoom <= zoom < y.maxzoom:
             continue
         own = features.where((F.col("source") == y.source) & (F.col("source_layer") == y.source_layer) & y.shapes(F.col("geom_type")))
         p = y.resolved(ctx)
         own = own.where(meets(rect)).where(y.filter_column(ctx).value.col).where(visible(y.type, p))
-        cols = paint(y.type, p, sprites)
-        branches.append(own.select("z", "x", "y", F.lit(y.index).alias("layer_index"), F.lit(y.id).alias("layer"), F.lit(y.type).alias("kind"), "ord", *extra, *[c.cast(DRAW[k]).alias(k) for k, c in cols.items()]))
-    if not branches:
+        row = _row(own, y, y.type, paint(y.type, p, sprites), *shape)
+        if y.type == "circle":
+            circles.append(centres(row, F.col("radius") + F.coalesce("stroke_width", F.lit(0.0))))
+        else:
+            shapes.append(row)
+    if not shapes + circles:
         raise ValueError("no layer of the theme draws geometry at this zoom")
-    return reduce(DataFrame.unionByName, branches)
+    whole = [in_pixels(clipped(reduce(DataFrame.unionByName, shapes)))] if shapes else []
+    return reduce(DataFrame.unionByName, whole + circles).select(*HEAD, *extra, "parts", "starts", *DRAW)
+
+
+def constant(columns: dict[str, Column], spark: SparkSession) -> dict[str, Any]:
+    """The values of columns that read no row."""
+    return spark.createDataFrame([(0,)], "i int").select(*[c.alias(k) for k, c in columns.items()]).first().asDict(recursive=True)
+
+
+def backgrounds(tiles: DataFrame, theme: Theme, zoom: float) -> DataFrame | None:
+    """A row for each of tiles(z, x, y) and visible background layer, somewhat larger than the tile. None: no layer."""
+    ctx, m = Context(TypedView({}), zoom), BACKGROUND_MARGIN
+    box = [-m, -m, T.TILE_PX + m, -m, T.TILE_PX + m, T.TILE_PX + m, -m, T.TILE_PX + m]
+    rows = []
+    for y in theme.layers:
+        if y.type == "background" and y.minzoom <= zoom < y.maxzoom:
+            p = y.resolved(ctx)
+            shown = color.with_opacity(p["background_color"], F.greatest(p["background_opacity"], F.lit(0.0)))
+            geometry_cols = (F.lit(-1).cast("long").alias("ord"), F.array(F.array(*map(F.lit, box))).alias("parts"), F.array(F.lit(0.0)).alias("starts"))
+            rows.append(_row(tiles.where(shown["a"] > 0), y, "background", {"argb": color.argb_column(shown), "opacity": p["background_opacity"]}, *geometry_cols))
+    return reduce(DataFrame.unionByName, rows) if rows else None
+
+
+def rasters(shown: DataFrame, theme: Theme, zoom: float) -> DataFrame | None:
+    """A row for each image and raster layer of its source, for shown(z, x, y, source, data_z, data_x, data_y, width,
+    height): display tiles joined with images by overzoom(). ``src`` is the part of the image that the
+    tile shows, ``matrix`` the colour matrix, null if colours stay as they are. None: no layer."""
+    ctx = Context(TypedView({}), zoom)
+    rows = []
+    for y in theme.layers:
+        if y.type != "raster" or not y.minzoom <= zoom < y.maxzoom:
+            continue
+        v = constant(y.resolved(ctx), shown.sparkSession)
+        opacity = min(1.0, max(0.0, v["raster_opacity"]))
+        if opacity <= 0:
+            continue
+        look = [v[f"raster_{k}"] for k in ("hue_rotate", "saturation", "contrast", "brightness_min", "brightness_max")]
+        m = raster_matrix(*look)
+        matrix = F.lit(None).cast("array<double>") if np.allclose(m, raster_matrix(), atol=1e-12) else F.array(*map(F.lit, m))
+        own = shown.where(F.col("source") == y.source)
+        src = raster_rect(*[F.col(c) for c in ("z", "x", "y", "data_z", "data_x", "data_y", "width", "height")])
+        rows.append(own.select("z", "x", "y", F.lit(y.index).alias("layer_index"), F.lit(y.id).alias("layer"), "source", "data_z", "data_x", "data_y", F.lit(opacity).alias("opacity"), src.alias("src"), matrix.alias("matrix")))
+    return reduce(DataFrame.unionByName, rows) if rows else None
 
 
 # -- raster colours ---------------------------------------------------------------------------------------------
@@ -229,15 +311,3 @@ def sdf_edge(halo: Column, size: Column) -> Column:
 
 def sdf_slope(px_per_texel: Column) -> Column:
     return F.least(F.greatest(px_per_texel * 8, F.lit(4.0)), F.lit(128.0))
-
-
-def raster_layers(theme: Theme, zoom: float) -> list[tuple[str, str, dict[str, float]]]:
-    """(layer id, source, {property: value}) of the raster layers at a zoom; values that need a feature are defaults."""
-    from ..plans.theme import PROPERTIES
-
-    out = []
-    for y in theme.layers:
-        if y.type == "raster" and y.minzoom <= zoom < y.maxzoom:
-            given = {k: y.properties.get(k, d) for k, (_, d) in PROPERTIES["raster"].items()}
-            out.append((y.id, y.source, {k: float(v) if isinstance(v, (int, float)) else float(PROPERTIES["raster"][k][1]) for k, v in given.items()}))
-    return out

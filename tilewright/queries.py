@@ -420,6 +420,107 @@ def draw_list(spark, sf_dir):
     return got.select("ord", "layer", "argb", r6(F.col("radius")).alias("radius"), r6(F.col("stroke_width")).alias("stroke"))
 
 
+SHAPES: dict[str, Any] = {
+    "version": 8, "name": "shapes",
+    "layers": [
+        {"id": "land", "type": "background", "paint": {"background-color": "#204060", "background-opacity": ["interpolate", ["linear"], ["zoom"], 8, 0, 10, 1]}},
+        {"id": "photo", "type": "raster", "source": "photos", "paint": {"raster-opacity": ["interpolate", ["linear"], ["zoom"], 8, 0.1, 10, 0.9]}},
+        {"id": "dim", "type": "raster", "source": "photos", "minzoom": 9, "paint": {"raster-hue-rotate": 40, "raster-brightness-max": {"stops": [[8, 1], [12, 0.6]]}}},
+        {"id": "areas", "type": "fill", "source": "shapes", "source-layer": "lines", "filter": [">=", ["get", "label"], 3],
+         "paint": {"fill-color": ["match", ["get", "label"], 3, "#ff8000", "#0080ff"], "fill-opacity": ["interpolate", ["linear"], ["zoom"], 8, 0.2, 10, 1], "fill-outline-color": "#102030"}},
+        {"id": "ways", "type": "line", "source": "shapes", "source-layer": "lines", "filter": ["<", ["get", "label"], 8],
+         "paint": {"line-color": "#00ff00", "line-width": {"base": 1.5, "stops": [[5, 1], [15, 20]]}, "line-gap-width": ["case", [">", ["get", "label"], 4], 2, 0], "line-dasharray": [4, 2]}},
+    ],
+}
+
+
+def shape_features(spark: SparkSession, sf_dir: str, geometry_type: str, zooms: int) -> DataFrame:
+    """lines of data tiles at zoom 8 as placed() features of one display tile each, ``zooms`` deeper."""
+    n, v = 1 << zooms, F.col("vec_id")
+    dx, dy = v % 256, F.floor(v / 256) % 256
+    ln = lines(spark, sf_dir).select("*", geometry.bounds(F.col("p")).alias("b"))
+    return drawlist.placed(ln.select(
+        F.lit("shapes").alias("source"), F.lit("lines").alias("source_layer"), F.lit(8 + zooms).alias("z"), (dx * n + v % n).alias("x"), (dy * n + F.floor(v / n) % n).alias("y"), F.lit(8).alias("data_z"),
+        dx.alias("data_x"), dy.alias("data_y"), F.lit(4096).alias("extent"), v.alias("ord"), v.alias("fid"), F.lit(geometry_type).alias("geom_type"), F.array(F.col("p").cast("array<float>")).alias("parts"), "b.*", "label",
+    ))
+
+
+def shape_view() -> TypedView:
+    return TypedView({"label": (F.col("label"), "num")})
+
+
+def _shape_sql(zooms: int) -> str:
+    """w: each line with scale s, offsets ox and oy, and its window l, t, r, b, if its bounds touch that."""
+    n = 1 << zooms
+    return f"""{LINES}, o AS (SELECT vec_id, label, p, {n} / 16.0::DOUBLE AS s, -256.0::DOUBLE * (vec_id % {n}) AS ox, -256.0::DOUBLE * (vec_id // {n} % {n}) AS oy FROM lines),
+ w AS (SELECT *, (-64 - ox) / s AS l, (-64 - oy) / s AS t, (320 - ox) / s AS r, (320 - oy) / s AS b FROM o WHERE
+ list_max([p[2*i+1] for i in range(len(p)//2)]) >= (-64 - ox) / s AND list_min([p[2*i+1] for i in range(len(p)//2)]) <= (320 - ox) / s AND
+ list_max([p[2*i+2] for i in range(len(p)//2)]) >= (-64 - oy) / s AND list_min([p[2*i+2] for i in range(len(p)//2)]) <= (320 - oy) / s)"""
+
+
+@query(f"""WITH {_shape_sql(1)} SELECT vec_id AS ord, (204::BIGINT << 24) + CASE WHEN label = 3 THEN 16744448 ELSE 33023 END AS argb, (204::BIGINT << 24) + 1056816 AS stroke_argb, 0.8::DOUBLE AS opacity,
+ (len(p) // 2)::BIGINT AS vertices, round(p[1] * s + ox, 6) + 0.0 AS x0, round(p[2] * s + oy, 6) + 0.0 AS y0 FROM w WHERE label >= 3""")
+def draw_fills(spark, sf_dir):
+    """One zoom over the data: culled, not cut. At zoom 9.5 the opacity ramp gives 0.8."""
+    got = drawlist.draw_list(shape_features(spark, sf_dir, "Polygon", 1), read_theme(SHAPES), 9.5, shape_view()).where("kind = 'fill'")
+    ring = F.get("parts", F.lit(0))
+    return got.select("ord", "argb", "stroke_argb", r6(F.col("opacity")).alias("opacity"), F.floor(F.size(ring) / 2).alias("vertices"), r6(F.get(ring, F.lit(0))).alias("x0"), r6(F.get(ring, F.lit(1))).alias("y0"))
+
+
+@query(f"""WITH {_shape_sql(3)}, g AS (SELECT w.*, i, x1, y1, x2, y2, len, sum(len) OVER (PARTITION BY vec_id ORDER BY i) - len AS done FROM w JOIN seg USING (vec_id, label)),
+ d AS (SELECT *, greatest(0.0, CASE WHEN x2 > x1 THEN (l-x1)/(x2-x1) WHEN x2 < x1 THEN (r-x1)/(x2-x1) ELSE 0 END, CASE WHEN y2 > y1 THEN (t-y1)/(y2-y1) WHEN y2 < y1 THEN (b-y1)/(y2-y1) ELSE 0 END) AS t0,
+ least(1.0, CASE WHEN x2 > x1 THEN (r-x1)/(x2-x1) WHEN x2 < x1 THEN (l-x1)/(x2-x1) ELSE 1 END, CASE WHEN y2 > y1 THEN (b-y1)/(y2-y1) WHEN y2 < y1 THEN (t-y1)/(y2-y1) ELSE 1 END) AS t1 FROM g
+ WHERE NOT (x1 = x2 AND (x1 < l OR x1 > r)) AND NOT (y1 = y2 AND (y1 < t OR y1 > b)))
+ SELECT vec_id AS ord, round(sum((t1 - t0) * len * s), 3) AS length, round(min(done + t0 * len) * min(s), 3) + 0.0 AS start, round(1 + 19 * (pow(1.5, 6.5) - 1) / (pow(1.5, 10.0) - 1), 6) AS width,
+ CASE WHEN min(label) > 4 THEN round(2 + 2 * (1 + 19 * (pow(1.5, 6.5) - 1) / (pow(1.5, 10.0) - 1)), 6) END AS casing FROM d WHERE t0 < t1 AND label < 8 GROUP BY 1 HAVING sum((t1 - t0) * len) > 1e-6""")
+def draw_lines(spark, sf_dir):
+    """Three zooms over the data: lines are cut to the tile, and know how far along they begin."""
+    got = drawlist.draw_list(shape_features(spark, sf_dir, "LineString", 3), read_theme(SHAPES), 11.5, shape_view()).where("kind = 'line'")
+    length = F.aggregate(F.transform("parts", geometry.line_length), F.lit(0.0), lambda a, v: a + v)
+    cut = got.select("ord", length.alias("length"), F.array_min("starts").alias("start"), "width", "casing_width").where("length > 1e-6")
+    return cut.select("ord", F.round("length", 3).alias("length"), (F.round("start", 3) + 0.0).alias("start"), r6(F.col("width")).alias("width"), F.round("casing_width", 6).alias("casing"))
+
+
+@query(f"""WITH {_shape_sql(3)}, e AS (SELECT vec_id, s, l, t, r - l AS w, b, p[2*i+1] AS x1, p[2*i+2] AS y1, p[2*((i+1) % (len(p)//2))+1] AS x2, p[2*((i+1) % (len(p)//2))+2] AS y2 FROM w, unnest(range(len(p)//2)) AS u(i) WHERE label >= 3),
+ c AS (SELECT *, greatest(least(y1, b), t) AS ya, greatest(least(y2, b), t) AS yb FROM e WHERE y1 <> y2),
+ u AS (SELECT *, x1 + (x2 - x1) * (ya - y1) / (y2 - y1) - l AS ua, x1 + (x2 - x1) * (yb - y1) / (y2 - y1) - l AS ub FROM c),
+ h AS (SELECT *, CASE WHEN ua <= 0 THEN 0 WHEN ua <= w THEN ua * ua / 2 ELSE w * ua - w * w / 2 END AS ha, CASE WHEN ub <= 0 THEN 0 WHEN ub <= w THEN ub * ub / 2 ELSE w * ub - w * w / 2 END AS hb FROM u)
+ SELECT vec_id AS ord, round(sum(CASE WHEN ua = ub THEN greatest(least(ua, w), 0) ELSE (hb - ha) / (ub - ua) END * (yb - ya)) * min(s) * min(s), 2) AS area FROM h GROUP BY 1
+ HAVING abs(sum(CASE WHEN ua = ub THEN greatest(least(ua, w), 0) ELSE (hb - ha) / (ub - ua) END * (yb - ya))) > 1e-3""")
+def draw_rings(spark, sf_dir):
+    """Rings cut to the tile: their areas are those of the part within the window."""
+    got = drawlist.draw_list(shape_features(spark, sf_dir, "Polygon", 3), read_theme(SHAPES), 11.5, shape_view()).where("kind = 'fill'")
+    area = got.select("ord", geometry.ring_area(F.get("parts", F.lit(0))).alias("area")).where("abs(area) > 0.00025")
+    return area.select("ord", F.round("area", 2).alias("area"))
+
+
+@query(f"""WITH {PTS}, c AS (SELECT event_id AS ord, unnest([px % 256, px % 256 + 300, px % 256])::DOUBLE AS cx, unnest([py % 256, py % 256, py % 256 - 40])::DOUBLE AS cy FROM pts WHERE event_type <> 'click' AND value > 50)
+ SELECT * FROM c WHERE cx BETWEEN -4 AND 260 AND cy BETWEEN -4 AND 260""")
+def draw_circles(spark, sf_dir):
+    """Features of three points each: a row for each centre that a circle of 3 pixels and a stroke of 1 can show of."""
+    f = event_features(spark, sf_dir)
+    x, y = F.col("minx"), F.col("miny")
+    f = f.withColumn("parts", F.array(*[F.array(a.cast("float"), b.cast("float")) for a, b in ((x, y), (x + 300, y), (x, y - 40))])).withColumn("maxx", x + 300).withColumn("miny", y - 40)
+    got = drawlist.draw_list(f, read_theme(THEME), 8.0, event_view()).where("layer = 'big'")
+    return got.select("ord", F.get(F.get("parts", F.lit(0)), F.lit(0)).alias("cx"), F.get(F.get("parts", F.lit(0)), F.lit(1)).alias("cy"))
+
+
+@query(f"""WITH {PTS} SELECT DISTINCT x, y, round(0.1 + 0.8 * 0.625, 6) AS opacity, (x % 4) * 128.0::DOUBLE AS l, (y % 4) * 96.0::DOUBLE AS t, (x % 4 + 1) * 128.0::DOUBLE AS r, (y % 4 + 1) * 96.0::DOUBLE AS b FROM pts""")
+def draw_rasters(spark, sf_dir):
+    """Display tiles of zoom 8 with images of zoom 6; at zoom 9.25 the photo layer's opacity is on its way, and at its colours."""
+    tiles = pts(spark, sf_dir).select("z", "x", "y").distinct()
+    images = tiles.select(F.lit("photos").alias("source"), F.lit(6).alias("z"), F.shiftright("x", 2).alias("x"), F.shiftright("y", 2).alias("y"), F.lit(512).alias("width"), F.lit(384).alias("height")).distinct()
+    got = drawlist.rasters(joins.overzoom(joins.to_data_tiles(tiles, "photos", -2, 0, 6), images), read_theme(SHAPES), 9.25)
+    return got.where("matrix is null").select("x", "y", r6(F.col("opacity")).alias("opacity"), "src.*")
+
+
+@query(f"""WITH {PTS} SELECT DISTINCT x, y, (191::BIGINT << 24) + 2113632 AS argb, -4.0::DOUBLE AS edge FROM pts""")
+def draw_backgrounds(spark, sf_dir):
+    tiles = pts(spark, sf_dir).select("z", "x", "y").distinct()
+    got = drawlist.backgrounds(tiles, read_theme(SHAPES), 9.5)
+    return got.select("x", "y", "argb", F.get(F.get("parts", F.lit(0)), F.lit(0)).alias("edge"))
+
+
 @query(f"""WITH {PTS} SELECT event_id AS ord, upper(event_type || ' ' || k) AS text, k::DOUBLE AS sort_key, (px % 256)::DOUBLE AS anchor_x, (py % 256)::DOUBLE AS anchor_y FROM pts WHERE k >= 50""")
 def symbol_candidates(spark, sf_dir):
     got = symbols.candidates(event_features(spark, sf_dir), read_theme(THEME), 8.0, event_view())
