@@ -55,3 +55,25 @@ def test_emit(spark):
     assert out.columns == df.columns
     assert out.count() == mixed.agg(F.sum("copies")).first()[0]
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_copies_are_those_of_the_prefix_sums(spark):
+    """Against plain Python: in each source's order the sums of expected copies and one offset, and the integers they cross."""
+    import math
+    import random
+
+    rows = make()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    got = sorted((r.source or "~", len((r.text or "").split()), r.doc_id is not None, r.doc_id or 0, r.copies) for r in mixing.mix(df).select("row.*", "copies").collect())
+    by: dict = {}
+    for d, t, s, _ in rows:
+        by.setdefault(s, []).append((len((t or "").split()), d is not None, d or 0))
+    want_of = targets({s: sum(n for n, _, _ in v) for s, v in by.items()}, (5, 2, 1), 3)
+    offset, want = random.Random(42).random(), []
+    for s, v in by.items():
+        total = sum(n for n, _, _ in v)
+        each = want_of[s] / total if total else 0.0
+        copies = [math.floor((i + 1) * each + offset) - math.floor(i * each + offset) for i in range(len(v))]
+        want += [(s or "~", *x, c) for x, c in zip(sorted(v), copies)]
+        assert abs(sum(x[0] * c for x, c in zip(sorted(v), copies)) - want_of[s]) <= max(n for n, _, _ in v)
+    assert got == sorted(want)

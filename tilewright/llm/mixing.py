@@ -10,14 +10,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Table, text_or_empty
 
-#: The sampler's one random offset is a multiple of this, so sums with it stay exact.
-OFFSET_STEPS = 1 << 20
-#: Offsets tried per source.
-OFFSETS = 32
-#: Documents larger than this share of their source's target are sampled apart.
-LARGE = 0.05
-
-
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
@@ -74,11 +66,9 @@ def mix(
 
     Within a source each document is expected target / source_size times, at most max_repeat. The
     expected copies are summed up in the order (size, id), one offset drawn from the seed is added
-    and the document is emitted once for each integer the sum crosses; in that order neighbours in
-    the sum have like sizes. So that a few long documents don't carry a source away from its target,
-    those over LARGE of the target are summed apart, first; what they leave of the target sets the
-    expected copies of the others. The offset is, for each source and of both parts, that of OFFSETS
-    seeded ones that brings the words taken nearest to the target.
+    and the document is emitted once for each integer the sum crosses. In that order neighbours in
+    the sum have like sizes, so what a source gives differs from its target by less than its longest
+    document.
 
     A source never meets in one task: rows are range partitioned by (source, size, id), positions
     within partitions come with the rows, and only one count per partition and source is summed up.
@@ -88,8 +78,6 @@ def mix(
     an empty table gives an empty one. Columns of docs may have any names, they stay inside ``row``.
     """
     spark = docs.sparkSession
-    rng = random.Random(seed)
-    offsets = [(k + rng.randrange(OFFSET_STEPS) / OFFSET_STEPS) / OFFSETS for k in range(OFFSETS)]
     base = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
@@ -109,61 +97,17 @@ def mix(
         F.min("pos").alias("first"), F.count("*").alias("n"), F.sum("size").alias("words")
     )
     pieces = Table(pieces, "mix-pieces").df
-    sizes = pieces.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("docs"))
-    targets = Table(source_targets(sizes, weights, max_repeat), "mix-targets").df
+    targets = source_targets(pieces.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_repeat)
     within = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.select(
-        "source", "part", (F.coalesce(F.sum("n").over(within), F.lit(0)) - F.col("first")).alias("shift")
-    )
-    starts = Table(starts, "mix-starts").df
-
-    rank = F.col("pos") + F.col("shift")  # from 0 within the source
-    large = F.col("size") > LARGE * F.col("target")
-
-    def placed(per_source: DataFrame) -> DataFrame:
-        by_piece = _null_safe(starts, per_source, ["source"])
-        j = _null_safe(dealt, by_piece, ["source", "part"])
-        return j.withColumn("large", large).withColumn("rank", F.when(large, F.col("docs") - 1 - rank).otherwise(rank))
-
-    def copies(each: Column, offset: Column) -> Column:
-        return F.floor((F.col("rank") + 1) * each + offset) - F.floor(F.col("rank") * each + offset)
-
-    def best(rows: DataFrame, each: Column, *more: Column) -> DataFrame:
-        """For each source the words each offset takes, as array ``words``."""
-        sums = [F.sum(F.col("size") * copies(each, F.lit(o))).alias(f"w{k}") for k, o in enumerate(offsets)]
-        got = rows.groupBy("source").agg(*sums, *more)
-        return got.select("source", F.array(*[F.col(f"w{k}") for k in range(OFFSETS)]).alias("words"), *[c for c in got.columns if not c.startswith("w")][1:])
-
-    even = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    most = F.lit(float(max_repeat))
-    slim = placed(targets)
-    longs = best(slim.where("large"), even, F.sum("size").alias("large_size"))
-    plan = _null_safe(targets, longs, ["source"], "left").select(
-        *targets.columns, F.coalesce("large_size", F.lit(0)).alias("large_size"),
-        F.coalesce("words", F.array_repeat(F.lit(0).cast("long"), OFFSETS)).alias("words"),
-    )
-    rest = F.col("source_size") - F.col("large_size")
-    others = lambda taken: F.when(rest > 0, F.least(most, F.greatest(F.lit(0.0), (F.col("target") - taken) / rest))).otherwise(0.0)
-    plan = plan.withColumn(
-        "large_pick",
-        F.array_min(F.transform("words", lambda w, k: F.struct(F.abs(w + others(w) * rest - F.col("target")).alias("off"), k.alias("k"), w.alias("w")))),
-    )
-    plan = plan.withColumn("each", others(F.col("large_pick.w"))).drop("words")
-    plan = Table(plan, "mix-large").df
-    shorts = best(placed(plan).where(~F.col("large")), F.col("each"))
-    plan = _null_safe(plan, shorts, ["source"], "left").withColumn(
-        "pick",
-        F.array_min(F.transform("words", lambda w, k: F.struct(F.abs(F.col("large_pick.w") + w - F.col("target")).alias("off"), k.alias("k")))),
-    )
-    at = F.array(*[F.lit(o) for o in offsets])
-    plan = plan.select(
-        "source", "source_size", "docs", "target", "each",
-        F.get(at, F.col("large_pick.k")).alias("large_offset"), F.coalesce(F.get(at, F.col("pick.k")), F.lit(0.0)).alias("offset"),
-    )
-    plan = Table(plan, "mix-plan").df
-    got = F.when(F.col("large"), copies(even, F.col("large_offset"))).otherwise(copies(F.col("each"), F.col("offset")))
-    return placed(plan).select(
-        "row", "size", "source_size", "target", F.least(got, F.floor(most)).cast("long").alias("copies")
+    before = F.coalesce(F.sum("n").over(within), F.lit(0)) - F.col("first")  # from a row's place to its rank
+    plan = Table(_null_safe(pieces.select("source", "part", before.alias("shift")), targets, ["source"]), "mix-plan").df
+
+    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    offset, rank = F.lit(random.Random(seed).random()), F.col("pos") + F.col("shift")  # ranks from 0 within the source
+    copies = F.floor((rank + 1) * each + offset) - F.floor(rank * each + offset)
+    placed = _null_safe(dealt, plan, ["source", "part"])
+    return placed.select(
+        "row", "size", "source_size", "target", F.least(copies, F.lit(int(max_repeat))).alias("copies")
     ).withColumn("taken", F.col("copies") * F.col("size"))
 
 
