@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +75,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return Table(df, tag).df
 
 
+def sent(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A broadcast of value, and what tasks call for it. Its classes go along, so executors need no copy of this
+    package, which a plain broadcast would have them import."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

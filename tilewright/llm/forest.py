@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table
+from .common import Table, sent
 from .components import connected_components
 
 TREES = 6
@@ -18,6 +20,8 @@ TREES = 6
 SAMPLE_ROWS = 20_000
 #: Vectors expected in a leaf, and the share of a node's vectors nearest to its threshold that goes to both sides.
 LEAF, SPILL = 400, 0.10
+#: Rows of the sample that a split is learned from, at least, and splits beyond those, at most.
+FEW, DEEPEST = 32, 24
 #: A leaf with more vectors is compared in pairs of blocks of this many, each pair a task's work of its own.
 BLOCK = 1024
 
@@ -25,66 +29,98 @@ BLOCK = 1024
 @dataclass
 class Tree:
     """Inner nodes in order; a child >= 0 is a node, one below 0 the leaf -child - 1. A vector goes to the low
-    side if its projection is under high, and to the high side if it is over low: to both in between."""
+    side if its projection is under high, and to the high side if it is over low: to both in between.
+
+    Where the sample is too small to tell more, a leaf is split on by ``levels`` planes through its
+    sample's mean, with directions that all leaves of the tree share; ``band`` is as wide on either side.
+    """
 
     normals: np.ndarray
     low: np.ndarray
     high: np.ndarray
     children: np.ndarray
+    centres: np.ndarray
+    levels: np.ndarray
+    band: np.ndarray
+    directions: np.ndarray
 
     @staticmethod
-    def grow(x: np.ndarray, leaf: float, spill: float, rng: np.random.Generator) -> Tree:
-        """Splits x at the median along random directions until a node has at most ``leaf`` rows. Nodes whose
-        rows all project to one value can't be split: they stay leaves, however large."""
+    def grow(x: np.ndarray, leaf: float, spill: float, rng: np.random.Generator, share: float = 1.0) -> Tree:
+        """Splits x, a share of all vectors, at the median along random directions until a node stands for at most
+        ``leaf`` vectors or has FEW rows. Nodes whose rows all project to one value can't be split: they
+        stay leaves, however large."""
         normals, low, high, children = [], [], [], []
-        leaves = 0
+        centres, levels, band = [], [], []
+        k = x.shape[1]
+        width = NormalDist().inv_cdf(0.5 + spill / 2)
+
+        def end(rows: np.ndarray, flat: bool) -> int:
+            of = x[rows]
+            stands = len(rows) / share
+            centres.append(of.mean(0) if len(rows) else np.zeros(k))
+            levels.append(0 if flat or stands <= leaf else min(DEEPEST, math.ceil(math.log2(stands / leaf))))
+            band.append(width * math.sqrt(of.var(0).sum() / k) if len(rows) else 0.0)
+            return -len(levels)
 
         def add(rows: np.ndarray) -> int:
-            nonlocal leaves
-            d = rng.standard_normal(x.shape[1])
+            d = rng.standard_normal(k)
             d /= np.linalg.norm(d)
             p = x[rows] @ d
             mid = np.median(p) if len(rows) else 0.0
-            if len(rows) <= leaf or not (p.min() < mid or p.max() > mid) or len(rows) < 4:
-                leaves += 1
-                return -leaves
+            flat = len(rows) > 0 and not (p.min() < mid or p.max() > mid)
+            if len(rows) / share <= leaf or len(rows) <= FEW or flat:
+                return end(rows, flat)
             lo, hi = np.quantile(p, [0.5 - spill / 2, 0.5 + spill / 2])
-            me = len(normals)
-            normals.append(d), low.append(lo), high.append(hi), children.append([0, 0])
             left, right = rows[p <= hi], rows[p >= lo]
             if len(left) == len(rows) or len(right) == len(rows):
-                normals.pop(), low.pop(), high.pop(), children.pop()
-                leaves += 1
-                return -leaves
+                return end(rows, True)
+            me = len(normals)
+            normals.append(d), low.append(lo), high.append(hi), children.append([0, 0])
             children[me] = [add(left), add(right)]
             return me
 
         add(np.arange(len(x)))
-        k = x.shape[1]
-        return Tree(np.array(normals).reshape(-1, k), np.array(low), np.array(high), np.array(children, dtype=int).reshape(-1, 2))
+        directions = rng.standard_normal((DEEPEST, k))
+        directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+        return Tree(
+            np.array(normals).reshape(-1, k), np.array(low), np.array(high), np.array(children, dtype=int).reshape(-1, 2),
+            np.array(centres).reshape(-1, k), np.array(levels), np.array(band), directions,
+        )
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of all leaves that each row of x reaches."""
-        if not len(self.normals):
-            return np.arange(len(x)), np.zeros(len(x), dtype=int)
         rows_out, leaf_out = [], []
-        stack = [(0, np.arange(len(x)))]
+        stack = [(0 if len(self.normals) else -1, np.arange(len(x)))]
         while stack:
             node, rows = stack.pop()
             if not len(rows):
                 continue
             if node < 0:
-                rows_out.append(rows), leaf_out.append(np.full(len(rows), -node - 1))
+                r, path = self._deeper(x, rows, -node - 1)
+                rows_out.append(r), leaf_out.append((-node - 1 << DEEPEST) + path)
                 continue
             p = x[rows] @ self.normals[node]
             stack.append((self.children[node, 0], rows[p <= self.high[node]]))
             stack.append((self.children[node, 1], rows[p >= self.low[node]]))
         return np.concatenate(rows_out or [np.zeros(0, int)]), np.concatenate(leaf_out or [np.zeros(0, int)])
 
+    def _deeper(self, x: np.ndarray, rows: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+        path = np.zeros(len(rows), int)
+        n = self.levels[leaf]
+        if n:
+            side = (x[rows] - self.centres[leaf]) @ self.directions[:n].T
+            at = np.arange(len(rows))
+            for j in range(n):
+                p = side[at, j]
+                up, down = p >= -self.band[leaf], p <= self.band[leaf]
+                at, path = np.concatenate([at[down], at[up]]), np.concatenate([path[down], path[up] | 1 << j])
+            rows = rows[at]
+        return rows, path
+
 
 def grow_forest(x: np.ndarray, share: float, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 42) -> list[Tree]:
-    """Trees over a sample that is ``share`` of all vectors; leaves shrink with it."""
-    return [Tree.grow(x, max(4.0, leaf * share), spill, np.random.default_rng([seed, t])) for t in range(trees)]
+    """Trees over a sample that is ``share`` of all vectors."""
+    return [Tree.grow(x, leaf, spill, np.random.default_rng([seed, t]), share) for t in range(trees)]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -124,9 +160,9 @@ def near(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     for dim in sorted(dims):
         one = _one_length(classes.where(F.size("v") == dim), dim, threshold, trees)
         found = one if found is None else tuple(a.unionByName(b) for a, b in zip(found, one))
-    slim = v.select("id", "usable", F.when(F.col("usable"), zero).alias("v"))
+    alone = v.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), "usable")
     if found is None:
-        return slim.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+        return alone.drop("usable")
     links, edges = found
     comp = connected_components(edges)
     nodes = (
@@ -137,11 +173,9 @@ def near(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     nodes = Table(nodes, "forest-roots").df
     smallest = nodes.groupBy("root").agg(F.min("node").alias("component"))
     nodes = nodes.join(smallest, "root").select(F.col("v").alias("nv"), "copies", "links", "component")
-    return slim.join(nodes, slim.v == nodes.nv, "left").select(
-        "id",
-        F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "id").alias("component"),
-    )
+    linked = v.where("usable").select("id", zero.alias("v")).join(nodes, F.col("v") == F.col("nv"))
+    linked = linked.select("id", (F.col("copies") - 1 + F.col("links")).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
+    return linked.unionByName(alone.where(~F.col("usable")).drop("usable"))
 
 
 def _one_length(classes: DataFrame, dim: int, threshold: float, trees: int) -> tuple[DataFrame, DataFrame]:
@@ -150,17 +184,18 @@ def _one_length(classes: DataFrame, dim: int, threshold: float, trees: int) -> t
     n = classes.count()
     sample = classes.select("v", F.xxhash64("node").alias("h")).orderBy("h").limit(SAMPLE_ROWS).select("v").toArrow()
     x = unit(_numpy(sample.column("v").combine_chunks(), dim))
-    forest = spark.sparkContext.broadcast(grow_forest(x, len(x) / max(n, 1), trees))
+    forest = sent(spark, grow_forest(x, len(x) / max(n, 1), trees))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grown = forest()
         for b in batches:
             if not b.num_rows:
                 continue
             x = unit(_numpy(b.column("v"), dim))
             rows, keys = [], []
-            for t, tree in enumerate(forest.value):
+            for t, tree in enumerate(grown):
                 r, leaf = tree.leaves(x)
-                rows.append(r), keys.append(leaf.astype(np.int64) * len(forest.value) + t)
+                rows.append(r), keys.append(leaf.astype(np.int64) * len(grown) + t)
             rows, keys = np.concatenate(rows), np.concatenate(keys)
             order = np.lexsort((keys, rows))
             offsets = np.searchsorted(rows[order], np.arange(b.num_rows + 1))
@@ -214,7 +249,7 @@ def _compare(group: pa.Table, dim: int, threshold: float) -> pa.Table:
     for at in range(0, len(left), 512):
         part = left[at : at + 512]
         dots = raw[part] @ raw[right].T
-        near = dots >= (threshold - 1e-12) * norms[part][:, None] * norms[right][None, :]
+        near = dots / norms[part][:, None] / norms[right][None, :] >= threshold
         if a == b:
             near &= part[:, None] < right[None, :]
         i, j = np.nonzero(near)

@@ -328,7 +328,7 @@ def train(docs: DataFrame, vocabulary, start: np.ndarray, rate: float) -> np.nda
     tasks are averaged by the tokens they saw. The average is a plain aggregation by weight number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
+        v = Vocabulary(**vocabulary.value)
         net = Network(start.copy())
         trainer, seen = Trainer(net, rate), 0
         held, size = [], 0
@@ -387,13 +387,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     own = min(CLASSES * CLASSES - 1, len(head_tokens))
     index = {t: i for i, t in enumerate(head_tokens)}
     v = Vocabulary(index, np.log10(head_n + 1.0), total.n, total.v, own, head_n[:own], dict(list(index.items())[:own]))
-    shared = spark.sparkContext.broadcast(v)
+    shared = spark.sparkContext.broadcast(vars(v))  # plain values: executors need no copy of this package
     weights = Network.start(v.own_counts, max(0.0, total.n - float(v.own_counts.sum()))).flat
     for r in range(ROUNDS):
         weights = train(training.where(F.col("h") % ROUNDS == r), shared, weights, RATES[r])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, net = shared.value, Network(weights)
+        v, net = Vocabulary(**shared.value), Network(weights)
         for b in batches:
             size = pc.binary_length(b.column("text").cast(pa.binary())).to_numpy(zero_copy_only=False)
             cut = np.cumsum(size.astype(np.int64)) // TEXT_BYTES

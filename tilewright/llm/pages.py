@@ -7,12 +7,15 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sent
+
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -30,6 +33,7 @@ HEAD = frozenset("head base basefont bgsound link meta noframes noscript script
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 ATTRIBUTE_WORD = re.compile(r"[A-Za-z]+")
 SPACES = re.compile(r"\s+")
+NO_DIGITS = dict.fromkeys(range(ord("0"), ord("9") + 1))
 
 
 @dataclass
@@ -204,7 +208,7 @@ def node_features(doms: list[Dom], lexicon: Lexicon) -> tuple[np.ndarray, np.nda
                     if inside:
                         link[b + node] += k
                     marks[b + node] += s.count(".") + s.count(",") + s.count("?") + s.count("!")
-                    digits[b + node] += sum(map(str.isdigit, s)) if k < 64 else 0
+                    digits[b + node] += len(s) - len(s.translate(NO_DIGITS))
     own = chars.copy()
     depth, level = np.zeros(n, int), []
     if n:
@@ -520,16 +524,23 @@ class Extractor:
         return [blocks(d, kept[s:e]) for d, s, e in zip(doms, begin[:-1], begin[1:])]
 
 
+@lru_cache(1)
+def trained() -> Extractor:
+    """The extractor with its production parameters, learned once a process."""
+    return Extractor.train()
+
+
 def extract(pages: DataFrame, extractor: Extractor, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """keep's columns, text and n_chars for each row of pages. Null and blank pages, and such without main text,
     give an empty text; repeated rows stay; an empty table gives an empty one."""
-    shared = pages.sparkSession.sparkContext.broadcast(extractor)
+    shared = sent(pages.sparkSession, extractor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extractor = shared()
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
-                texts = shared.value.texts(part.column("__html").to_pylist())
+                texts = extractor.texts(part.column("__html").to_pylist())
                 cols = [part.column(k) for k in keep]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 

@@ -191,11 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(F.col("doc_id").alias("id"), "quality")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     labelled = statistics(texts.join(F.broadcast(few), "id"), "id", "text", ["quality"])
-    rows = labelled.select("quality", *features(), F.xxhash64("id").alias("h")).collect()
+    taught = labelled.select("quality", *features(), F.xxhash64("id").alias("h"))
+    rows = taught.orderBy("h", *[c for c in taught.columns if c != "h"]).limit(sample_rows).collect()  # ids may repeat
     if not rows:
         return []
-    rows.sort(key=lambda r: (r.h, tuple(r)))
-    rows = rows[:sample_rows]
     x = np.array([[r[f] for f in FEATURES] for r in rows], dtype=float)
     return learn_rules(x, np.array([r.quality > 0 for r in rows]))
 

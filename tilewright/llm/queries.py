@@ -86,7 +86,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extract(read(spark, sf_dir, "pages"), pages.Extractor.train())
+    return pages.extract(read(spark, sf_dir, "pages"), pages.trained())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
