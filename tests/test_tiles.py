@@ -145,6 +145,44 @@ def test_range_fetch():
         pmtiles.url_reader("http://u", opener=lambda r: Answer(200, b"a"))(2, 3)
 
 
+def test_small_archives_and_ranges():
+    import urllib.error
+
+    class Answer:
+        status = 200
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            pass
+
+        def read(self):
+            return b"abcdef"
+
+    def opener(request):
+        if "Range" in request.headers:
+            raise urllib.error.HTTPError("http://u", 416, "beyond the end", {}, None)
+        return Answer()
+
+    assert pmtiles.url_reader("http://u", opener=opener)(2, 300) == b"cdef"
+    data = pmtiles.build_archive(TILES, leaf_size=7)
+    opened = []
+
+    def read(offset, length):
+        opened.append(offset)
+        return data[offset : offset + length]
+
+    whole = list(pmtiles.Archive(read).entries())
+    for n in (1, 2, 5, 50):
+        archive = pmtiles.Archive(read)
+        cuts = archive.cuts(n)
+        assert len(cuts) <= n + 1 and [e for a, b in zip(cuts, cuts[1:]) for e in archive.entries(a, b)] == whole
+    archive = pmtiles.Archive(read)
+    opened.clear()
+    assert list(archive.entries(whole[0].tile_id, whole[0].tile_id + 1)) == whole[:1] and len(opened) <= 1
+
+
 def test_culling_changes_nothing_that_shows(spark):
     """Clipped and unclipped lines are the same within the tile."""
     line = [(-300 + 40 * i, (i * 977) % 700 - 200) for i in range(30)]

@@ -6,18 +6,20 @@ import gzip
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .cache import LruCache
 from .mvt import put_varint, varint
 
 HEADER = 127
 #: First bytes read, which hold the header and the root directory.
 FIRST = 16_384
 MAX_LEVELS = 4
+#: Leaf directories kept, and their bytes, of so many an entry.
+LEAVES, LEAF_BYTES, ENTRY_BYTES = 32, 2 << 20, 48
 NONE, GZIP = 1, 2
 MAX_ZOOM = 26
 Read = Callable[[int, int], bytes]
@@ -158,20 +160,38 @@ class Archive:
         if len(root) < h.root_length:
             root = read(h.root_offset, h.root_length)
         self.root = directory(inflate(root, h.internal_compression))
-        self.leaf = lru_cache(maxsize=32)(self._leaf)
-
-    def _leaf(self, offset: int, length: int) -> list[Entry]:
-        return directory(inflate(self.read(self.header.leaf_offset + offset, length), self.header.internal_compression))
-
-    def entries(self, found: list[Entry] | None = None, level: int = 0) -> Iterator[Entry]:
-        """All entries with tiles, leaves opened, in id order."""
+        self.leaves = LruCache(LEAVES, LEAF_BYTES, lambda entries: ENTRY_BYTES * len(entries))
+
+    def leaf(self, offset: int, length: int) -> list[Entry]:
+        found = self.leaves.get((offset, length))
+        if found is None:
+            found = directory(inflate(self.read(self.header.leaf_offset + offset, length), self.header.internal_compression))
+            self.leaves.put((offset, length), found)
+        return found
+
+    def entries(self, first: int = 0, last: int = 1 << 63, found: list[Entry] | None = None, level: int = 0) -> Iterator[Entry]:
+        """The entries with tiles whose ids begin in first .. last - 1, in id order. Only leaves that meet the range are
+        opened."""
         if level >= MAX_LEVELS:
             raise PmTilesError("directories are nested too deep")
-        for e in self.root if found is None else found:
+        here = self.root if found is None else found
+        for e, end in zip(here, [*(e.tile_id for e in here[1:]), 1 << 63]):
             if e.run:
-                yield e
-            else:
-                yield from self.entries(self.leaf(e.offset, e.length), level + 1)
+                if first <= e.tile_id < last:
+                    yield e
+            elif e.tile_id < last and end > first:
+                yield from self.entries(first, last, self.leaf(e.offset, e.length), level + 1)
+
+    def cuts(self, n: int) -> list[int]:
+        """At most n + 1 ids that part the archive into ranges of about as many directory entries. The upper levels do
+        if they have n entries, so the leaves of a large archive stay closed."""
+        here = self.root
+        for _ in range(MAX_LEVELS):
+            if len(here) >= n or all(e.run for e in here):
+                break
+            here = [x for e in here for x in ([e] if e.run else self.leaf(e.offset, e.length))]
+        size = max(1, -(-len(here) // n))
+        return [*(e.tile_id for e in here[::size]), 1 << 63] if here else []
 
     def find(self, tile_id: int) -> Entry | None:
         entries = self.root
@@ -255,7 +275,8 @@ def file_reader(path: str) -> Read:
 
 
 def url_reader(url: str, retries: int = 2, opener=None) -> Read:
-    """Range requests. A server that ignores ranges will do if its answer covers the range."""
+    """Range requests. A server that ignores ranges will do if its answer covers the range; one that finds the range
+    beyond a small archive's end (416) is asked for all of it."""
     import time
     import urllib.error
     import urllib.request
@@ -273,7 +294,14 @@ def url_reader(url: str, retries: int = 2, opener=None) -> Read:
                 if len(body) > offset:
                     return body[offset : offset + length]
                 raise PmTilesError("the server gives no ranges")
-            except (OSError, urllib.error.URLError):
+            except urllib.error.HTTPError as e:
+                if e.code == 416:
+                    with open_url(urllib.request.Request(url)) as r:
+                        return r.read()[offset : offset + length]
+                if attempt == retries or e.code < 500:
+                    raise
+                time.sleep(0.25 * 2**attempt)
+            except OSError:
                 if attempt == retries:
                     raise
                 time.sleep(0.25 * 2**attempt)
@@ -291,8 +319,8 @@ class _Range(InputPartition):
 class PmTilesSource(DataSource):
     """spark.read.format("pmtiles").option("path", ..): a row (z, x, y, tile_id, bytes) for each tile.
 
-    Options: partitions, minzoom, maxzoom. The driver reads the header and the directories; each
-    partition reads its range of entries.
+    Options: partitions, minzoom, maxzoom. The driver reads the header and the upper directories; each
+    partition opens the leaves of its range.
     """
 
     @classmethod
@@ -316,22 +344,17 @@ class _Reader(DataSourceReader):
         return Archive(url_reader(self.path) if "://" in self.path and not self.path.startswith("file:") else file_reader(self.path.removeprefix("file://")))
 
     def partitions(self) -> list[InputPartition]:
-        ids = [e.tile_id for e in self._archive().entries()]
-        if not ids:
-            return []
-        size = -(-len(ids) // self.n)
-        cuts = [*ids[::size], ids[-1] + 1]
+        cuts = self._archive().cuts(self.n)
         return [_Range(a, b) for a, b in zip(cuts, cuts[1:])]
 
     def read(self, partition):
         archive = self._archive()
-        for e in archive.entries():
-            if partition.first <= e.tile_id < partition.last:
-                b = archive.bytes(e)
-                for i in range(e.tile_id, e.tile_id + e.run):
-                    z, x, y = zxy(i)
-                    if b is not None and self.zooms[0] <= z <= self.zooms[1]:
-                        yield z, x, y, i, b
+        for e in archive.entries(partition.first, partition.last):
+            b = archive.bytes(e)
+            for i in range(e.tile_id, e.tile_id + e.run):
+                z, x, y = zxy(i)
+                if b is not None and self.zooms[0] <= z <= self.zooms[1]:
+                    yield z, x, y, i, b
 
 
 def read_archive(spark: SparkSession, path: str, source: str, partitions: int = 8) -> DataFrame:
