@@ -14,24 +14,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, text_or_empty
+from .common import Table, freed_shuffles, text_or_empty
 
 LN10 = math.log(10)
 #: The end of a document as a token; words are never empty.
 END = b""
-#: Tokens whose counts every task holds (the most frequent); rarer ones get theirs by a join.
+#: Tokens whose counts every task holds (the most frequent), at most; rarer ones get theirs by a join.
 HEAD = 300_000
-#: Sizes of the network: CLASSES ** 2 output tokens, one of them for all tokens without an output of their own.
-CLASSES, HIDDEN = 32, 16
+#: Sizes of the network: CLASSES ** 2 outputs. ENDINGS of them stand for all words with one ending, output 0 for
+#: all words without an output of their own whose ending has none either.
+CLASSES, HIDDEN, ENDINGS = 32, 16, 255
+#: Bytes at the end of a word that make its ending.
+ENDING = 3
 #: Logits are cut off here, far from what float32 can't hold.
 HIGHEST = np.float32(60)
 ONES = np.ones(CLASSES, np.float32)
-#: Backpropagation goes this far; lanes trained side by side; tokens gathered before a training run.
-WINDOW, LANES, GATHER = 16, 512, 1 << 20
+#: Backpropagation goes this far; lanes trained side by side, at most; steps that a shard's lanes have, at least.
+WINDOW, LANES, STEPS = 16, 512, 64 * 16
 #: Tokens whose outputs are computed at once when scoring.
 SCORED = 1 << 15
-#: Each training document is learned from once, in the round that its id's hash names.
-ROUNDS, RATES = 4, (0.02, 0.012, 0.006, 0.003)
+#: Each training document is learned from once, in the round that its hash names. In a round shards of about
+#: SHARD tokens learn side by side.
+ROUNDS, RATES, SHARD = 4, (0.02, 0.012, 0.006, 0.003), 1 << 20
 #: Bytes of text tokenised at a time, and distinct tokens counted before the counts are handed on.
 TEXT_BYTES, FLUSH = 1 << 25, 200_000
 
@@ -71,42 +75,61 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The most frequent training tokens by falling count, and the totals over all of them."""
+    """The most frequent training tokens by falling count, the totals over all of them, and the outputs: each of the
+    first ``own`` tokens has its own, other words share that of their ending, or output 0."""
 
     index: dict[bytes, int]
     log_count: np.ndarray  # log10(count + 1)
     train_tokens: int
     distinct: int
-    own: int  # the first so many have an output of their own
-    own_counts: np.ndarray
-    own_index: dict[bytes, int]  # index of those, small enough to stay in a processor's cache
+    own_index: dict[bytes, int]  # output of each token that has its own; small enough to stay in a processor's cache
+    endings: dict[bytes, int]  # output of each ending that has one
+    rest_total: np.ndarray  # by output, of add-one smoothing among the words that share it, unseen ones included
+    output_counts: np.ndarray
+
+    @staticmethod
+    def of(tokens: list[bytes], counts: np.ndarray, total: int, distinct: int, endings: list[tuple[bytes, int, int]], outputs: int) -> Vocabulary:
+        """From tokens by falling count, and (ending, count, distinct tokens) of frequent endings; both are of all
+        training tokens. Outputs are in the order of their counts."""
+        own = min(outputs - 1 - min(ENDINGS, outputs // 4), len(tokens))
+        n, v = Counter(), Counter()
+        for t, c in zip(tokens[:own], counts[:own].tolist()):
+            n[t[-ENDING:]] += c
+            v[t[-ENDING:]] += 1
+        shared = [(e, c - n[e], d - v[e]) for e, c, d in endings]  # without the tokens that have an output
+        shared = sorted((x for x in shared if x[1] > 0), key=lambda x: (-x[1], x[0]))[: outputs - 1 - own]
+        order = sorted([(-c, 0, t) for t, c in zip(tokens[:own], counts[:own].tolist())] + [(-c, 1, e) for e, c, _ in shared])
+        place = {(kind, x): k + 1 for k, (_, kind, x) in enumerate(order)}
+        rest, output_counts = np.zeros(outputs), np.zeros(outputs)
+        for k, (c, _, _) in enumerate(order):
+            output_counts[k + 1] = -c
+        for e, c, d in shared:
+            rest[place[1, e]] = math.log10(c + d + 1)
+        output_counts[0] = total - output_counts.sum()
+        rest[0] = math.log10(output_counts[0] + distinct - own - sum(d for _, _, d in shared) + 1)
+        return Vocabulary(
+            {t: k for k, t in enumerate(tokens)}, np.log10(counts + 1.0), total, distinct,
+            {t: place[0, t] for t in tokens[:own]}, {e: place[1, e] for e, _, _ in shared}, rest, output_counts,
+        )
 
     @property
     def base_total(self) -> float:
         return math.log10(self.train_tokens + self.distinct + 1)
 
-    @property
-    def rest_total(self) -> float:
-        """Of add-one smoothing among the tokens without an output of their own, unseen ones included."""
-        return math.log10(self.train_tokens - int(self.own_counts.sum()) + self.distinct - self.own + 1)
-
-    def own_ids(self, words: list[bytes]) -> np.ndarray:
-        """Places of the tokens with an output of their own, -1 for others."""
-        return np.fromiter(map(self.own_index.get, words, repeat(-1)), np.int32, len(words))
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Places of all tokens, -1 for those that the index lacks."""
-        ids = self.own_ids(words)
-        rest = np.flatnonzero(ids < 0)
-        ids[rest] = np.fromiter(map(self.index.get, map(words.__getitem__, rest.tolist()), repeat(-1)), np.int32, len(rest))
-        return ids
+    def outputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(output of each token, the places of those that share theirs)."""
+        out = np.fromiter(map(self.own_index.get, words, repeat(-1)), np.int32, len(words))
+        shared = np.flatnonzero(out < 0)
+        if len(shared):
+            ends = [words[k][-ENDING:] for k in shared.tolist()]
+            out[shared] = np.fromiter(map(self.endings.get, ends, repeat(0)), np.int32, len(shared))
+        return out, shared
 
 
 class Network:
     """Embedding, one layer of gated recurrent units, and a softmax over classes times one within the class.
 
-    Output 0 stands for all tokens without an own output; the k-th most frequent token is output
-    k + 1. Outputs are cut into CLASSES runs of like length.
+    Outputs are cut into CLASSES runs of like length in the order of their counts; output 0 comes first.
     """
 
     SHAPES = {
@@ -241,13 +264,14 @@ class Trainer:
 
     def learn(self, ids: np.ndarray, first: np.ndarray) -> None:
         """ids: outputs of the tokens of documents in a row; first marks each document's first. They are cut into
-        lanes that run side by side, a document over a cut goes on without what was before it."""
-        lanes = max(1, min(LANES, len(ids) // (4 * WINDOW)))
-        steps = len(ids) // lanes
-        if not steps:
+        lanes that run side by side, a document over a cut goes on without what was before it. The last lane
+        goes on with the first one's tokens until it is as long as the others, so all are learned from."""
+        if not len(ids):
             return
-        y = ids[: steps * lanes].reshape(lanes, steps).T
-        new = first[: steps * lanes].reshape(lanes, steps).T
+        lanes = max(1, min(LANES, len(ids) // STEPS))
+        steps = -(-len(ids) // lanes)
+        at = np.arange(lanes * steps) % len(ids)
+        y, new = ids[at].reshape(lanes, steps).T, first[at].reshape(lanes, steps).T
         x = np.zeros_like(y)  # a document begins after output 0
         x[1:] = y[:-1]
         x[new] = 0
@@ -319,128 +343,152 @@ def score_documents(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _outputs_of(ids: np.ndarray, own: int) -> np.ndarray:
-    return np.where((ids >= 0) & (ids < own), ids + 1, 0).astype(np.int32)
-
+def train(coded: DataFrame, round_: int, shards: int, start: np.ndarray, rate: float) -> np.ndarray:
+    """One round over coded(h, ids), a row for each training document: each shard learns from its documents in the
+    order of their hashes, beginning with the same weights, and the weights of all shards are averaged by
+    the tokens they saw. Shards depend on hashes alone, so the result is the same however rows are laid out.
 
-def train(docs: DataFrame, vocabulary, start: np.ndarray, rate: float) -> np.ndarray:
-    """One round: every task learns from its documents, beginning with the same weights, and the weights of all
-    tasks are averaged by the tokens they saw. The average is a plain aggregation by weight number."""
+    Equal documents are counted before they are dealt out, and their copies go to shards in turn.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(**vocabulary.value)
+    def learn(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("h", "ascending"), ("copy", "ascending")])
+        docs = [np.frombuffer(x.as_py(), "<u2").astype(np.int32) for x in group.column("ids")]
+        ids = np.concatenate(docs)
+        first = np.zeros(len(ids), bool)
+        first[np.cumsum([0, *map(len, docs[:-1])])] = True
         net = Network(start.copy())
-        trainer, seen = Trainer(net, rate), 0
-        held, size = [], 0
-
-        def learn() -> None:
-            ids = np.concatenate(held)
-            first = np.zeros(len(ids), bool)
-            first[np.cumsum([0, *map(len, held[:-1])])] = True
-            trainer.learn(ids, first)
-
-        for b in batches:
-            for t in b.column("text").cast(pa.binary()):
-                ids = v.own_ids(tokens(t.as_py())) + 1
-                held.append(ids)
-                size += len(ids)
-                seen += len(ids)
-                if size >= GATHER:
-                    learn()
-                    held, size = [], 0
-        if held:
-            learn()
-        if seen:
-            w = net.flat.astype(np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w * seen), pa.array(np.full(len(w), float(seen)))], ["i", "w", "n"]
-            )
-
-    rows = docs.select("text").mapInArrow(run, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
-    if not rows.num_rows:
-        return start
+        Trainer(net, rate).learn(ids, first)
+        w = net.flat.astype(np.float64)
+        return pa.table({"i": np.arange(len(w), dtype=np.int32), "w": w * len(ids), "n": np.full(len(w), float(len(ids)))})
+
+    hashed = F.pmod(F.col("h"), F.lit(ROUNDS))
+    equal = coded.where(hashed == round_).groupBy("h").agg(F.first("ids").alias("ids"), F.count("*").alias("copies"))
+    dealt = equal.select("h", "ids", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    dealt = dealt.withColumn("shard", F.pmod(F.shiftright("h", 8) + F.col("copy"), F.lit(shards)))
+    with freed_shuffles(coded.sparkSession):
+        rows = dealt.groupBy("shard").applyInArrow(learn, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
     out = start.copy()
-    out[rows.column("i").to_numpy()] = rows.column("w").to_numpy()
+    if rows.num_rows:
+        out[rows.column("i").to_numpy()] = rows.column("w").to_numpy()
     return out
 
 
+def head_of(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent tokens of counts(token, n), at most ``most``, by falling count. All with a count from
+    some power of 2 on: how many there are is counted first, so no task sees more than it keeps."""
+    power = F.length(F.bin("n"))
+    sizes = {r.p: r["count"] for r in counts.groupBy(power.alias("p")).count().collect()}
+    least, held = 65, 0
+    while least > 1 and held + sizes.get(least - 1, 0) <= most:
+        least -= 1
+        held += sizes.get(least, 0)
+    head = counts.where(power >= least).toArrow()
+    tokens, n = [bytes(x) for x in head.column("token").to_pylist()], head.column("n").to_numpy().astype(np.int64)
+    order = sorted(range(len(tokens)), key=lambda k: (-n[k], tokens[k]))
+    return [tokens[k] for k in order], n[order]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     base_score: sum of log10((c + 1) / (N + V + 1)) over the tokens, from counts over all training
-    documents. score: the network's log10 probability of the whole document; a token without an
-    output of its own counts as output 0 times its add-one share among such tokens. Network and
-    counts learn from all documents that are not held out, each once.
+    documents. score: the network's log10 probability of the whole document; a word that shares its
+    output counts as that output times its add-one share among the words that share it. So every
+    word of the corpus has a probability of its own, however many there are. Network and counts learn
+    from all documents that are not held out, each once.
 
     Null texts are empty (just the end); rows with a null id train; repeated rows count each; an
-    empty table gives an empty one, and with no training document all tokens are unknown.
+    empty table gives an empty one, and with no training document all tokens are unknown. Scores
+    don't depend on how rows are laid out, but for the order of sums.
     """
     spark = docs.sparkSession
-    d = docs.select(
-        F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text"), F.crc32(F.concat(F.lit("r"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h")
-    )
-    training = d.where(~F.col("held_out"))
-    counts = Table(count_tokens(training), "lm-counts").df
+    text = text_or_empty(text_col)
+    d = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"))
+    counts = Table(count_tokens(d.where(~F.col("held_out"))), "lm-counts").df
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head = counts.orderBy(F.desc("n"), "token").limit(HEAD).toArrow()
-    head_tokens, head_n = [bytes(x) for x in head.column("token").to_pylist()], head.column("n").to_numpy().astype(np.int64)
-    own = min(CLASSES * CLASSES - 1, len(head_tokens))
-    index = {t: i for i, t in enumerate(head_tokens)}
-    v = Vocabulary(index, np.log10(head_n + 1.0), total.n, total.v, own, head_n[:own], dict(list(index.items())[:own]))
+    ending = F.when(F.length("token") > ENDING, F.expr(f"substring(token, -{ENDING}, {ENDING})")).otherwise(F.col("token"))
+    ends = counts.groupBy(ending.alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).orderBy(F.desc("n"), "e").limit(4 * CLASSES * CLASSES).collect()
+    head, head_n = head_of(counts, HEAD)
+    v = Vocabulary.of(head, head_n, total.n, total.v, [(bytes(r.e), r.n, r.v) for r in ends], CLASSES * CLASSES)
     shared = spark.sparkContext.broadcast(vars(v))  # plain values: executors need no copy of this package
-    weights = Network.start(v.own_counts, max(0.0, total.n - float(v.own_counts.sum()))).flat
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary(**shared.value)
+        for b in batches:
+            size = pc.binary_length(b.column("text").cast(pa.binary())).to_numpy(zero_copy_only=False)
+            cut = np.cumsum(size.astype(np.int64)) // TEXT_BYTES
+            for k in np.unique(cut):
+                i = np.flatnonzero(cut == k)
+                yield _encode_batch(v, b.slice(int(i[0]), len(i)))
+
+    kind = d.schema["id"].dataType.simpleString()
+    keep = f"uid long, id {kind}, held_out boolean, h long"
+    coded = d.select(F.monotonically_increasing_id().alias("uid"), "id", "held_out", "h", "text").mapInArrow(
+        encode, keep + ", n_tokens long, n_head long, head_sum double, rest_sum double, ids binary, tail array<binary>, times array<int>"
+    )
+    coded = Table(coded, "lm-coded").df
+    weights = Network.start(v.output_counts[1:], v.output_counts[0]).flat
+    training = coded.where(~F.col("held_out")).select("h", "ids")
     for r in range(ROUNDS):
-        weights = train(training.where(F.col("h") % ROUNDS == r), shared, weights, RATES[r])
+        weights = train(training, r, max(1, round(total.n / ROUNDS / SHARD)), weights, RATES[r])
+    packed = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, net = Vocabulary(**shared.value), Network(weights)
+        net = Network(packed.value)
         for b in batches:
-            size = pc.binary_length(b.column("text").cast(pa.binary())).to_numpy(zero_copy_only=False)
+            size = pc.binary_length(b.column("ids")).to_numpy(zero_copy_only=False)
             cut = np.cumsum(size.astype(np.int64)) // TEXT_BYTES
             for k in np.unique(cut):
                 i = np.flatnonzero(cut == k)
-                yield _score_batch(v, net, b.slice(int(i[0]), len(i)))
-
-    schema = "uid long, n_tokens long, n_head long, head_sum double, n_rest long, rest_sum double, net double, tail array<binary>, times array<int>"
-    scored = d.select(F.monotonically_increasing_id().alias("uid"), "id", "held_out", "text").mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, held_out boolean, " + schema)
-    scored = Table(scored, "lm-scored").df
-    tail = scored.select("uid", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("uid", F.col("t.tail").alias("token"), F.col("t.times").alias("times"))
-    known = tail.join(counts, "token", "left").groupBy("uid").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("tail_sum"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_tail"),
+                part = b.slice(int(i[0]), len(i))
+                sums = score_documents(net, [np.frombuffer(x.as_py(), "<u2").astype(np.int32) for x in part.column("ids")])
+                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(sums)], ["uid", "net"])
+
+    nets = coded.select("uid", "ids").mapInArrow(run, "uid long, net double")
+    tail = coded.select("uid", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("uid", F.col("t.tail").alias("token"), F.col("t.times").alias("times"))
+    known = tail.join(counts, "token", "left").select(
+        "uid",
+        (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("tail_sum"),
+        F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).cast("long").alias("n_tail"),
+        F.lit(0.0).alias("net"),
     )
-    j = scored.drop("tail", "times").join(known, "uid", "left")
-    tail_sum = F.coalesce("tail_sum", F.lit(0.0))
+    parts = known.unionByName(nets.select("uid", F.lit(0.0).alias("tail_sum"), F.lit(0).cast("long").alias("n_tail"), "net"))
+    sums = parts.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("tail_sum", "n_tail", "net")])
+    j = coded.drop("h", "ids", "tail", "times").join(Table(sums, "lm-sums").df, "uid")
     return j.select(
         "id",
         "held_out",
         "n_tokens",
-        (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("n_head") + F.col("n_tail")).alias("n_known"),
         F.lit(total.n).cast("long").alias("train_tokens"),
-        (F.col("head_sum") + tail_sum - F.col("n_tokens") * v.base_total).alias("base_score"),
-        (F.col("net") / LN10 + F.col("rest_sum") + tail_sum - F.col("n_rest") * v.rest_total).alias("score"),
+        (F.col("head_sum") + F.col("tail_sum") - F.col("n_tokens") * v.base_total).alias("base_score"),
+        (F.col("net") / LN10 + F.col("rest_sum") + F.col("tail_sum")).alias("score"),
     )
 
 
-def _score_batch(v: Vocabulary, net: Network, b: pa.RecordBatch) -> pa.RecordBatch:
-    n, head, head_sum, rest, rest_sum, outs, tails, times = [], [], [], [], [], [], [], []
+def _encode_batch(v: Vocabulary, b: pa.RecordBatch) -> pa.RecordBatch:
+    """For each text its outputs, the sums that the known tokens give, and the tokens that the index lacks."""
+    n, head, head_sum, rest_sum, ids, tails, times = [], [], [], [], [], [], []
+    own_logs = np.zeros(len(v.output_counts))
+    for t, k in v.own_index.items():
+        own_logs[k] = v.log_count[v.index[t]]
     for t in b.column("text").cast(pa.binary()):
         w = tokens(t.as_py())
-        ids = v.ids(w)
-        known = ids >= 0
-        logs = v.log_count[ids[known]] if known.any() else np.zeros(0)
-        is_rest = ids >= v.own
+        out, shared = v.outputs(w)
+        others = [w[k] for k in shared.tolist()]
+        at = np.fromiter(map(v.index.get, others, repeat(-1)), np.int32, len(others))
+        shared_sum = float(v.log_count[at[at >= 0]].sum())
         n.append(len(w))
-        head.append(int(known.sum()))
-        head_sum.append(float(logs.sum()))
-        rest.append(int(is_rest.sum() + (~known).sum()))
-        rest_sum.append(float(v.log_count[ids[is_rest]].sum()) if is_rest.any() else 0.0)
-        rare = Counter(map(w.__getitem__, np.flatnonzero(~known).tolist()))
+        head.append(len(w) - int((at < 0).sum()))
+        head_sum.append(shared_sum + float(own_logs[out].sum()))
+        rest_sum.append(shared_sum - float(v.rest_total[out[shared]].sum()))
+        ids.append(out.astype("<u2").tobytes())
+        rare = Counter(others[k] for k in np.flatnonzero(at < 0).tolist())
         tails.append(list(rare))
         times.append(list(rare.values()))
-        outs.append(_outputs_of(ids, v.own))
-    net_sum = score_documents(net, outs)
+    keep = ["uid", "id", "held_out", "h"]
     return pa.RecordBatch.from_arrays(
-        [b.column("id"), b.column("held_out"), b.column("uid"), pa.array(n, pa.int64()), pa.array(head, pa.int64()), pa.array(head_sum, pa.float64()), pa.array(rest, pa.int64()), pa.array(rest_sum, pa.float64()), pa.array(net_sum), pa.array(tails, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
-        ["id", "held_out", "uid", "n_tokens", "n_head", "head_sum", "n_rest", "rest_sum", "net", "tail", "times"],
+        [*[b.column(k) for k in keep], pa.array(n, pa.int64()), pa.array(head, pa.int64()), pa.array(head_sum, pa.float64()), pa.array(rest_sum, pa.float64()), pa.array(ids, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
+        [*keep, "n_tokens", "n_head", "head_sum", "rest_sum", "ids", "tail", "times"],
     )
