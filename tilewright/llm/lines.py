@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, Table, text_or_empty, words
+from .common import SPACE, WORD, Table, freed_shuffles, text_or_empty, words
 
 #: Words are counted in so many hash buckets; a level of rarity for each is all that the driver sees of them.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 #: Levels of rarity for each doubling of a count. They stay below 128, one byte each.
 LEVELS = 4
 #: Of a token's 63 sort bits the high ones are its level of rarity and so many are its hash.
 HASH_BITS = 56
+#: A row of the join packs the line's number, done, its number of tokens and the token's place into one long of
+#: these bits. Longer lines count as of LONG tokens and are excluded by nothing that needs more.
+DONE_AT, SIZE_AT, PLACE_BITS = 22, 10, 10
+LONG, FAR = (1 << DONE_AT - SIZE_AT) - 1, (1 << PLACE_BITS) - 1
+#: Of groups of more lines than HOT so many first lines, by a hash of their numbers, are compared with all others.
+HOT, HUBS = 64, 16
 #: Bytes of the map, 7 bits each, that says which lines a verification needs. It only spares shuffles.
 MAP_BYTES = 1 << 18
 
@@ -30,9 +35,13 @@ def rarity_levels(texts: Column, docs: DataFrame) -> bytes:
     decides how many pairs are compared, not which are found."""
     parts = F.explode(F.split(texts, rf"[{SPACE}]+"))  # with empty ones, which count for nothing here
     counted = docs.select(parts.alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
+    level = F.least(F.floor(F.log2(F.col("count") + 1) * LEVELS), F.lit(127)).cast("int")
+    packed = counted.groupBy(F.shiftright("b", 8).alias("block")).agg(F.collect_list(F.shiftleft(F.col("b").bitwiseAND(F.lit(255)), 7).bitwiseOR(level)).alias("of"))
     levels = bytearray(BUCKETS)
-    for r in counted.collect():
-        levels[r.b] = min(127, int(LEVELS * math.log2(r["count"] + 1)))
+    with freed_shuffles(docs.sparkSession):
+        for r in packed.collect():
+            for x in r.of:
+                levels[r.block << 8 | x >> 7] = x & 127
     return bytes(levels)
 
 
@@ -84,14 +93,17 @@ class _Join:
         return self.texts.select("d", "key", F.posexplode(F.split("text", "\n")).alias("l", "line"))
 
     def _number(self) -> DataFrame:
-        """(d, key, l, ord): the first of all equal lines, numbered in the order of ids and lines."""
+        """(d, key, l, ord): the first of all equal lines, numbered from 0 in the order of ids and lines."""
         order = ["d", "l", "key"]
         hashed = self._lines().where(F.rlike("line", F.lit(WORD))).select(*order, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
         first = Table(hashed.groupBy("h1", "h2").agg(F.min(F.struct(*order)).alias("first")).select("first.*"), "lines-first")
         inorder = first.df.repartitionByRange(self.parts, *order).sortWithinPartitions(*order)
-        numbered = Table(inorder.select("d", "key", "l", F.monotonically_increasing_id().alias("ord")), "lines-numbered").df
+        at = Table(inorder.select("d", "key", "l", F.monotonically_increasing_id().alias("at")), "lines-numbered").df
         first.drop()
-        return numbered
+        at = at.select("d", "key", "l", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+        counted = at.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+        return at.join(F.broadcast(Table(counted, "lines-parts").df), "part").select("d", "key", "l", (F.col("before") + F.col("place")).alias("ord"))
 
     def prefixes(self) -> Table:
         """(ord, n, sketch, prefix): the lines' numbers of tokens, sketches and rarest tokens."""
@@ -110,13 +122,22 @@ class _Join:
 
     def first_by_hubs(self, prefixes: DataFrame) -> DataFrame:
         """(ord): lines that are similar to the earliest of the lines with the same rarest, or the same two last,
-        tokens of the prefix. Each line has three partners at most, so that a line with thousands of variants never
-        becomes their pairs."""
+        tokens of the prefix; in large groups, to one of HUBS early ones. Each line has so few partners that one
+        with thousands of variants never becomes their pairs."""
         ends = F.array_distinct(F.concat(F.slice("prefix", 1, 1), F.slice("prefix", F.greatest(F.size("prefix") - 1, F.lit(1)), 2)))
         sig = prefixes.select("ord", "n", "sketch", F.explode(ends).alias("tok"))
-        hubs = sig.groupBy("tok").agg(F.min("ord").alias("by"), F.min_by("n", "ord").alias("bn"), F.min_by("sketch", "ord").alias("bs"), F.count("*").alias("c"))
-        near = sig.join(hubs.where("c > 1").drop("c"), "tok").where((F.col("by") < F.col("ord")) & self._alike(F.col("n"), F.col("bn"), F.col("sketch"), F.col("bs")))
-        return self._verified(near.select("ord", "by").distinct())
+        first = [F.min("ord").alias("by"), F.min_by("n", "ord").alias("bn"), F.min_by("sketch", "ord").alias("bs")]
+        hubs = sig.groupBy("tok").agg(*first, F.count("*").alias("c")).where("c > 1")
+        hubs = Table(hubs, "lines-hubs")
+        hot = sig.join(hubs.df.where(F.col("c") > HOT).select("tok"), "tok", "left_semi")
+        more = hot.groupBy("tok", F.pmod(F.xxhash64("ord"), F.lit(HUBS)).alias("k")).agg(*first).drop("k")
+        near = [
+            sig.join(h, "tok").where((F.col("by") < F.col("ord")) & self._alike(F.col("n"), F.col("bn"), F.col("sketch"), F.col("bs"))).select("ord", "by")
+            for h in (hubs.df.drop("c"), more)
+        ]
+        out = self._verified(near[0].union(near[1]).distinct())
+        hubs.drop()
+        return out
 
     def by_prefixes(self, prefixes: DataFrame, done: DataFrame) -> DataFrame:
         """(ord): lines not in done that are similar to an earlier line.
@@ -126,24 +147,25 @@ class _Join:
         """
         lo, hi = self.lo, self.hi
         flagged = prefixes.join(done.select("ord", F.lit(1).cast("long").alias("gone")), "ord", "left")
-        placed = flagged.select("ord", "sketch", "n", "gone", F.posexplode("prefix").alias("pos", "tok"))
-        meta = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.coalesce("gone", F.lit(0).cast("long")))
-        sig = placed.select("tok", "ord", "sketch", meta.alias("meta"))  # both sides of the join are this one shuffle
-
-        def read(s: str) -> tuple[Column, Column, Column]:
-            m = F.col(f"{s}.meta")
-            return F.shiftright(m, 32), F.shiftright(m, 1).bitwiseAND(F.lit((1 << 31) - 1)), m.bitwiseAND(F.lit(1))
-
-        (nx, px, gx), (ny, py, gy) = read("x"), read("y")
-        x, y = F.col("x.ord"), F.col("y.ord")
-        # counted from what is always 0 on the other side, so that no side alone is filtered and shuffled apart
-        indexed = py + F.shiftright(F.col("x.meta"), 63) <= ny - _ceil(ny, 2 * self.t / (1 + self.t))
-        near = sig.alias("x").join(sig.alias("y"), F.col("x.tok") == F.col("y.tok")).where(
-            ((ny < nx) | ((ny == nx) & (y < x)))
+        n = F.col("n").cast("long")
+        line = F.shiftleft("ord", DONE_AT + 1).bitwiseOR(F.shiftleft(F.coalesce("gone", F.lit(0).cast("long")), DONE_AT)).bitwiseOR(F.shiftleft(F.least(n, F.lit(LONG)), SIZE_AT))
+        flagged = flagged.select("prefix", "sketch", "n", line.alias("line"))
+        indexed = F.when(F.col("n") < LONG, F.slice("prefix", 1, F.col("n") - _ceil(F.col("n"), 2 * self.t / (1 + self.t)) + 1)).otherwise(F.col("prefix"))
+
+        def rows(tokens: Column) -> DataFrame:
+            placed = flagged.select("sketch", "line", F.posexplode(tokens).alias("pos", "tok"))
+            return placed.select("tok", "sketch", F.col("line").bitwiseOR(F.least(F.col("pos").cast("long"), F.lit(FAR))).alias("at"))
+
+        def read(s: str) -> tuple[Column, Column, Column, Column]:
+            at = F.col(f"{s}.at")
+            return F.shiftright(at, DONE_AT + 1), F.shiftright(at, SIZE_AT).bitwiseAND(F.lit(LONG)), at.bitwiseAND(F.lit(FAR)), F.shiftright(at, DONE_AT).bitwiseAND(F.lit(1))
+
+        (x, nx, px, gx), (y, ny, py, gy) = read("x"), read("y")
+        near = rows(F.col("prefix")).alias("x").join(rows(indexed).alias("y"), F.col("x.tok") == F.col("y.tok")).where(
+            ((ny < nx) | ((ny == nx) & ((y < x) | ((nx == LONG) & (y != x)))))
             & (nx * lo <= ny * hi)
-            & indexed
-            & (F.least(nx - px, ny - py) * (hi + lo) >= (nx + ny) * lo)
-            & self._alike(nx, ny, F.col("x.sketch"), F.col("y.sketch"))
+            & ((nx == LONG) | (F.least(nx - px, ny - py) * (hi + lo) >= (nx + ny) * lo))
+            & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) * (hi + lo) <= (nx + ny) * (hi - lo))
             & (F.when(x > y, gx).otherwise(gy) == 0)
         )
         return self._verified(near.select(F.greatest(x, y).alias("ord"), F.least(x, y).alias("by")).distinct())
