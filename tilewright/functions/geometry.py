@@ -80,6 +80,12 @@ def total(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0.0), lambda a, v: a + v)
 
 
+def distances(lengths: Column) -> Column:
+    """Distance along a path at each vertex, from its segments' lengths, in doubles."""
+    zero = F.struct(F.lit(0.0).alias("at"), F.array(F.lit(0.0)).alias("all"))
+    return F.aggregate(lengths, zero, lambda a, s: F.struct((a["at"] + s).alias("at"), F.concat(a["all"], F.array(a["at"] + s)).alias("all")), lambda a: a["all"])
+
+
 def midpoint(p: Column) -> Column:
     """STRUCT<x,y> half way along; the first vertex of a path without length."""
     start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("done"), F.lit(-1).alias("at"), F.lit(0.0).alias("left"))
@@ -179,7 +185,7 @@ def radial_shift(anchor: str, radius: float) -> tuple[float, float]:
     """A label moved radius away from its point, to the side that its anchor faces."""
     fx, fy = ANCHORS.get(anchor, (0.5, 0.5))
     sx, sy = 1 - 2 * fx, 1 - 2 * fy
-    k = 0.7071 if sx and sy else 1.0
+    k = math.sqrt(0.5) if sx and sy else 1.0
     return sx * radius * k, sy * radius * k
 
 

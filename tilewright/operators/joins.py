@@ -112,9 +112,14 @@ def keep_lists(reads: DataFrame) -> DataFrame:
 
 
 def nearest(seen: DataFrame, memory: DataFrame, key: list[str], radius: float = 32.0) -> DataFrame:
-    """For each row of seen(id, key.., x, y) the nearest memory(entry, key.., mx, my) of its key, nearer than radius."""
+    """For each row of seen(id, key.., x, y) the nearest memory(entry, key.., mx, my) of its key, nearer than radius.
+    Both sides meet in square cells as wide as the radius; memory stands in the nine around it."""
     d2 = (F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2
-    j = seen.join(memory, key).withColumn("d2", d2).where(F.col("d2") < radius * radius)
+    cell = lambda c: F.floor(F.col(c) / radius)
+    around = F.explode(F.array(*[F.struct((cell("mx") + i).alias("cx"), (cell("my") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    m = memory.withColumn("__at", around).select("*", F.col("__at.cx").alias("__cx"), F.col("__at.cy").alias("__cy")).drop("__at")
+    s = seen.withColumn("__cx", cell("x")).withColumn("__cy", cell("y"))
+    j = s.join(m, [*key, "__cx", "__cy"]).withColumn("d2", d2).where(F.col("d2") < radius * radius)
     return j.groupBy("id").agg(F.min(F.struct("d2", "entry")).alias("best")).select("id", F.col("best.entry").alias("entry"), F.col("best.d2").alias("d2"))
 
 

@@ -17,6 +17,7 @@ from ..plans.expressions import Context, MapView
 from ..plans.theme import TOP_ZOOM, Theme
 from .drawlist import meets, window
 from .folds import Rows, fold
+from .joins import with_sprites
 
 #: Pixels that an anchor may lie outside its tile, and outside the screen.
 SEAM, OFFSCREEN = 0.5, 150.0
@@ -191,6 +192,76 @@ def boxes(c: DataFrame) -> DataFrame:
     return c.withColumn("text_boxes", F.when(has, F.transform(tried, one)).otherwise(F.transform(F.slice(tried, 1, 0), one)))
 
 
+def icon_boxes(c: DataFrame, sprites: DataFrame) -> DataFrame:
+    """Candidates with ``icon_box``: the room that their icon takes, with its margin; null without a sprite that shows.
+    sprites(name, width, height, pixel_ratio, ..) is a sheet's index."""
+    from .tilestore import icon_box
+
+    s = with_sprites(c, sprites, "icon", "sprite")
+    args = ("screen_x", "screen_y", "sprite_width", "sprite_height", "sprite_pixel_ratio", "icon_size", "icon_opacity", "icon_offset", "icon_anchor")
+    box = F.when(F.col("sprite_name").isNotNull(), icon_box(*map(F.col, args), margin=ICON_MARGIN))
+    return s.withColumn("icon_box", box).drop(*[f"sprite_{k}" for k in sprites.columns])
+
+
+#: A glyph's height along a line in text sizes, and the bend, in radians, up to which a line counts as straight.
+GLYPH_HEIGHT, STRAIGHT = 1.2, 0.02
+
+
+def along_lines(c: DataFrame, was_flipped: Column | None = None) -> DataFrame:
+    """c(text, text_size, path, path_distance, text_offset, text_padding, text_max_angle, text_keep_upright) with path on
+    the screen -> with flipped, glyphs (array of char, x, y, angle, w) and glyph_boxes: null where the
+    label doesn't fit its line or would bend too sharply.
+
+    Each character but spaces stands on the line and is turned with it; the label is walked backwards where
+    it would read upside down. ``was_flipped`` tells how it read before, and holds near the vertical. A
+    label that is straight, and not moved off its line, takes one box.
+    """
+    from .tilestore import FLIP_BAND
+
+    size, n, pad, pi = F.col("text_size"), F.length("text"), F.col("text_padding"), math.pi
+    char = size * CHAR_WIDTH
+    half, mid = char * n / 2, F.col("path_distance")
+    off = F.coalesce(F.get("text_offset", F.lit(1)), F.lit(0.0)) * size
+    at = lambda d: G.point_at(F.col("path"), F.col("__cum"), d)
+
+    f = _apart(_apart(c, __len=G.segment_lengths(F.col("path"))), __cum=G.distances(F.col("__len")))
+    f = _apart(f, __a=at(mid - half), __b=at(mid + half), __mid=at(mid))
+    dx, dy = (F.col(f"__b.{k}") - F.col(f"__a.{k}") for k in "xy")
+    chord = F.sqrt(dx * dx + dy * dy)
+    edge = F.lit(0.0) if was_flipped is None else F.when(was_flipped.isNull(), 0.0).when(was_flipped, FLIP_BAND).otherwise(-FLIP_BAND)
+    before = F.lit(False) if was_flipped is None else F.coalesce(was_flipped, F.lit(False))
+    f = _apart(f, flipped=F.when(chord > 0, dx / chord < edge).otherwise(before))
+    back = F.col("flipped") & F.coalesce(F.col("text_keep_upright"), F.lit(True))
+
+    def glyph(i: Column) -> Column:
+        centre = (i + 0.5) * char
+        return F.struct(F.substring("text", i + 1, F.lit(1)).alias("char"), at(F.when(back, mid + half - centre).otherwise(mid - half + centre)).alias("q"))
+
+    def stand(g: Column) -> Column:
+        turned = g["q"]["angle"] + F.when(back, pi).otherwise(0.0)
+        angle = F.when(turned > pi, turned - 2 * pi).otherwise(turned)
+        return F.struct(g["char"].alias("char"), (g["q"]["x"] - F.sin(angle) * off).alias("x"), (g["q"]["y"] + F.cos(angle) * off).alias("y"), angle.alias("angle"), char.alias("w"))
+
+    def box(x: Column, y: Column, w: Column, h: Column, angle: Column) -> Column:
+        rw, rh = G.rotated_size(w, h, angle)
+        return F.struct((x - rw / 2 - pad).alias("l"), (y - rh / 2 - pad).alias("t"), (x + rw / 2 + pad).alias("r"), (y + rh / 2 + pad).alias("b"))
+
+    f = _apart(f, __on=F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), glyph), lambda g: ~F.rlike(g["char"], F.lit(r"\s"))))
+    f = _apart(f, __glyphs=F.transform("__on", stand), __angles=F.transform("__on", lambda g: stand(g)["angle"]))
+    fits = (n > 0) & (mid - half >= 0) & (mid + half <= F.element_at("__cum", -1)) & ~too_bent(F.col("__angles"), F.col("text_max_angle"))
+    f = _apart(f, __fits=fits, __straight=(max_deviation(F.col("__angles")) < STRAIGHT) & (off == 0))
+    whole = F.array(box(F.col("__mid.x"), F.col("__mid.y"), half * 2, size * LINE_HEIGHT, F.col("__mid.angle")))
+    each = F.transform("__glyphs", lambda g: box(g["x"], g["y"], g["w"], size * GLYPH_HEIGHT, g["angle"]))
+    f = f.withColumn("glyphs", F.when(F.col("__fits"), F.col("__glyphs"))).withColumn("glyph_boxes", F.when(F.col("__fits"), F.when(F.col("__straight"), whole).otherwise(each)))
+    return f.drop(*[k for k in f.columns if k.startswith("__")])
+
+
+def _apart(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed where they stand: the optimiser writes no expression out into a later one, as it
+    would with each use, and nested lambdas stay few."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 PLACED = "placed boolean, anchor string, text_dropped boolean"
 
 
@@ -225,7 +296,8 @@ def place(c: DataFrame, screen: list[str], order: list[str], remembered: str | N
     with their icon_box. Adds placed, anchor and text_dropped.
 
     Columns: text_boxes, icon_box (l, t, r, b or null), allow_overlap (neither tests nor claims),
-    text_optional (the icon alone will do). ``remembered`` names a column with the anchor used last, which
+    text_optional (the icon alone will do), and glyph_boxes, if there is one: the boxes of a label along a
+    line, all of which it takes or none, null for others. ``remembered`` names a column with the anchor used last, which
     is tried first. What one candidate may take depends on all before it, so a screen is one task's
     work, of as many candidates as a screen has; screens are independent.
     """
@@ -244,6 +316,10 @@ def place(c: DataFrame, screen: list[str], order: list[str], remembered: str | N
 def _try(grid: Grid, r: dict, remembered: str | None) -> tuple[bool, str | None, bool]:
     """Whether a candidate is placed, with which anchor, and whether without its text."""
     tried = [(b["anchor"], (b["l"], b["t"], b["r"], b["b"])) for b in (r["text_boxes"] if r["text_boxes"] is not None else [])]
+    tried = [(anchor, [box]) for anchor, box in tried]
+    glyphs = r.get("glyph_boxes")
+    if glyphs is not None and len(glyphs):
+        tried = [("center", [(b["l"], b["t"], b["r"], b["b"]) for b in glyphs])]
     if remembered:
         tried.sort(key=lambda x: x[0] != remembered)
     icon = r["icon_box"]
@@ -252,8 +328,8 @@ def _try(grid: Grid, r: dict, remembered: str | None) -> tuple[bool, str | None,
         return False, None, False
     if r["allow_overlap"]:
         return True, tried[0][0] if tried else None, False
-    for anchor, box in tried:
-        if grid.claim_all([box, *icon]):
+    for anchor, taken in tried:
+        if grid.claim_all([*taken, *icon]):
             return True, anchor, False
     if icon and (not tried or r["text_optional"]) and grid.claim_all(icon):
         return True, None, bool(tried)

@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import geometry
+from .operators import symbols
 from .operators import tilestore as S
 from .plans.theme import read_theme
 from .queries import OVERLAP, PTS, _overlap_sides, lines, pts, query, table
@@ -211,6 +213,25 @@ def polygon_paths(spark, sf_dir):
     return lines(spark, sf_dir).select("vec_id", S.polygon_path(F.array("p")).alias("path"))
 
 
+@query("""WITH l AS (SELECT vec_id, list_transform(embedding, lambda e: round(CAST(e AS DOUBLE) * 8192) + 2048) AS p FROM embeddings),
+ g AS (SELECT vec_id, i, p[2*i+1] AS x1, p[2*i+2] AS y1, p[2*i+3] AS x2, p[2*i+4] AS y2, sqrt((p[2*i+3]-p[2*i+1])*(p[2*i+3]-p[2*i+1]) + (p[2*i+4]-p[2*i+2])*(p[2*i+4]-p[2*i+2])) AS len FROM l, unnest(range(len(p)//2 - 1)) AS t(i)),
+ s AS (SELECT *, sum(len) OVER (PARTITION BY vec_id ORDER BY i) - len AS done FROM g), t AS (SELECT vec_id, sum(len) / 2 AS mid FROM g GROUP BY 1),
+ a AS (SELECT t.vec_id, max(CASE WHEN e = 0 THEN x1 + (x2 - x1) * (mid - 350 - done) / len END) AS xa, max(CASE WHEN e = 1 THEN x1 + (x2 - x1) * (mid + 350 - done) / len END) AS xb, any_value(mid) AS mid FROM t CROSS JOIN (SELECT unnest([0, 1]) AS e) JOIN s
+ ON s.vec_id = t.vec_id AND mid + (e * 700 - 350) >= done AND mid + (e * 700 - 350) < done + len GROUP BY 1),
+ c AS (SELECT vec_id, k, xb < xa AS flipped, CASE WHEN xb < xa THEN mid + 350 - (k + 0.5) * 100 ELSE mid - 350 + (k + 0.5) * 100 END AS d FROM a, unnest([0, 1, 2, 3, 5, 6]) AS u(k)),
+ q AS (SELECT c.vec_id, k, flipped, x1 + (x2 - x1) * (d - done) / len AS x, y1 + (y2 - y1) * (d - done) / len AS y, atan2(CASE WHEN flipped THEN y1 - y2 ELSE y2 - y1 END, CASE WHEN flipped THEN x1 - x2 ELSE x2 - x1 END) AS angle
+ FROM c JOIN s ON s.vec_id = c.vec_id AND d >= done AND d < done + len),
+ b AS (SELECT *, abs(angle - lag(angle) OVER (PARTITION BY vec_id ORDER BY k)) AS turn FROM q)
+ SELECT vec_id, flipped, round(avg(x), 3) AS x, round(avg(y), 3) AS y, count(*)::BIGINT AS glyphs FROM b GROUP BY 1, 2 HAVING NOT bool_or(coalesce(least(turn, 2 * pi() - turn) > radians(170), false))""")
+def curved_labels(spark, sf_dir):
+    """'Main St' of 200 pixels at the middle of each line, glyph by glyph; lines that turn by more than 170 degrees under it have none."""
+    ln = lines(spark, sf_dir).select("vec_id", F.col("p").alias("path"), F.lit("Main St").alias("text"), F.lit(200.0).alias("text_size"), F.lit(2.0).alias("text_padding"), F.lit(170.0).alias("text_max_angle"),
+        F.lit(True).alias("text_keep_upright"), F.array(F.lit(0.0), F.lit(0.0)).alias("text_offset"))
+    got = symbols.along_lines(ln.withColumn("path_distance", geometry.line_length(F.col("path")) / 2)).where("glyphs is not null")
+    mean = lambda k: F.round(F.aggregate("glyphs", F.lit(0.0), lambda a, g: a + g[k]) / F.size("glyphs"), 3)
+    return got.select("vec_id", "flipped", mean("x").alias("x"), mean("y").alias("y"), F.size("glyphs").cast("long").alias("glyphs"))
+
+
 @query()
 def label_sightings(spark, sf_dir):
     """Which label is which depends on every earlier sighting; tests hold it against a plain loop."""

@@ -9,7 +9,7 @@ from itertools import groupby
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -170,10 +170,12 @@ def queue_order(jobs: DataFrame) -> DataFrame:
     last = jobs.groupBy("tile", "phase").agg(F.max(F.struct("seq", "priority")).alias("j")).select("tile", "phase", "j.*")
     raster = last.where("phase = 'raster'").select("tile", F.col("seq").alias("rseq"))
     alive = last.join(raster, "tile", "left").where("phase = 'raster' or rseq is null or seq > rseq").drop("rseq")
-    from pyspark.sql import Window
-
-    w = Window.orderBy((F.col("phase") != "raster").cast("int"), "priority", "seq")
-    return alive.withColumn("turn", F.row_number().over(w))
+    # turns within each phase and priority, after all of those before it: only their counts meet in one place
+    late = (F.col("phase") != "raster").cast("int")
+    before = Window.orderBy(late, "priority").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = alive.groupBy("phase", "priority").count().select("phase", "priority", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("phase", "priority").orderBy("seq"))
+    return alive.withColumn("own", own).join(sizes, ["phase", "priority"]).withColumn("turn", F.col("before") + F.col("own")).drop("before", "own")
 
 
 # -- streams ----------------------------------------------------------------------------------------------------
