@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, WORD, Table, freed_shuffles, text_or_empty, words
 
 #: Words are counted in so many hash buckets; a level of rarity for each is all that the driver sees of them.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 #: Levels of rarity for each doubling of a count. They stay below 128, one byte each.
 LEVELS = 4
 #: Of a token's 63 sort bits the high ones are its level of rarity and so many are its hash.
@@ -121,22 +121,22 @@ class _Join:
         return (F.bit_count(a.bitwiseXOR(b)) * (hi + lo) <= (na + nb) * (hi - lo)) & (na * hi >= nb * lo) & (nb * hi >= na * lo)
 
     def first_by_hubs(self, prefixes: DataFrame) -> DataFrame:
-        """(ord): lines that are similar to the earliest of the lines with the same rarest, or the same two last,
-        tokens of the prefix; in large groups, to one of HUBS early ones. Each line has so few partners that one
-        with thousands of variants never becomes their pairs."""
-        ends = F.array_distinct(F.concat(F.slice("prefix", 1, 1), F.slice("prefix", F.greatest(F.size("prefix") - 1, F.lit(1)), 2)))
+        """(ord): lines that are similar to the earliest of the lines with one of the same two last tokens of the prefix;
+        in large groups, to one of HUBS early ones. Each line has so few partners that one with thousands of
+        variants never becomes their pairs."""
+        ends = F.slice("prefix", F.greatest(F.size("prefix") - 1, F.lit(1)), 2)
         sig = prefixes.select("ord", "n", "sketch", F.explode(ends).alias("tok"))
         first = [F.min("ord").alias("by"), F.min_by("n", "ord").alias("bn"), F.min_by("sketch", "ord").alias("bs")]
-        hubs = sig.groupBy("tok").agg(*first, F.count("*").alias("c")).where("c > 1")
-        hubs = Table(hubs, "lines-hubs")
-        hot = sig.join(hubs.df.where(F.col("c") > HOT).select("tok"), "tok", "left_semi")
+        hubs = Table(sig.groupBy("tok").agg(*first, F.count("*").alias("c")).where("c > 1"), "lines-hubs")
+        near = (F.col("by") < F.col("ord")) & self._alike(F.col("n"), F.col("bn"), F.col("sketch"), F.col("bs"))
+        met = sig.join(hubs.df, "tok").withColumn("near", near).where(F.col("near") | (F.col("c") > HOT))
+        met = Table(met.select("ord", "by", "near", *[F.when(F.col("c") > HOT, F.col(k)).alias(k) for k in ("tok", "n", "sketch")]), "lines-met")
+        hot = met.df.where("tok is not null").select("ord", "tok", "n", "sketch")
         more = hot.groupBy("tok", F.pmod(F.xxhash64("ord"), F.lit(HUBS)).alias("k")).agg(*first).drop("k")
-        near = [
-            sig.join(h, "tok").where((F.col("by") < F.col("ord")) & self._alike(F.col("n"), F.col("bn"), F.col("sketch"), F.col("bs"))).select("ord", "by")
-            for h in (hubs.df.drop("c"), more)
-        ]
-        out = self._verified(near[0].union(near[1]).distinct())
+        pairs = met.df.where("near").select("ord", "by").union(hot.join(more, "tok").where(near).select("ord", "by"))
+        out = self._verified(pairs.distinct())
         hubs.drop()
+        met.drop()
         return out
 
     def by_prefixes(self, prefixes: DataFrame, done: DataFrame) -> DataFrame:
