@@ -17,7 +17,7 @@ def test_gradients_match_differences():
     net = small()
     net.flat[:] = net.flat.astype(np.float32)
     rng = np.random.default_rng(0)
-    y = rng.integers(0, 1024, (6, 3))
+    y = rng.integers(0, lm.CLASSES**2, (6, 3))
     new = rng.random((6, 3)) < 0.3
     new[0] = True
     x = np.zeros_like(y)
@@ -49,15 +49,15 @@ def test_gradients_match_differences():
 def test_outputs_are_a_distribution():
     net = small()
     h = np.random.default_rng(1).standard_normal((1, lm.HIDDEN)).astype(np.float32)
-    every = np.arange(1024)
-    logp, _ = net.outputs(np.repeat(h, 1024, axis=0), every)
+    every = np.arange(lm.CLASSES**2)
+    logp, _ = net.outputs(np.repeat(h, lm.CLASSES**2, axis=0), every)
     assert np.exp(logp).sum() == pytest.approx(1.0, abs=1e-4)
 
 
 def test_whole_documents_score_like_one_step_at_a_time():
     net = small()
     rng = np.random.default_rng(2)
-    docs = [rng.integers(0, 1024, n).astype(np.int32) for n in (1, 3, 200, 33, 32, 64, 1, 90)]
+    docs = [rng.integers(0, lm.CLASSES**2, n).astype(np.int32) for n in (1, 3, 200, 33, 32, 64, 1, 90)]
     got = lm.score_documents(net, docs)
     for d, g in zip(docs, got):
         h, total, before, new = np.zeros((1, lm.HIDDEN), np.float32), 0.0, 0, True

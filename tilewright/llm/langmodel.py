@@ -23,7 +23,7 @@ END = b""
 HEAD = 300_000
 #: Sizes of the network: CLASSES ** 2 outputs. ENDINGS of them stand for all words with one ending, output 0 for
 #: all words without an output of their own whose ending has none either.
-CLASSES, HIDDEN, ENDINGS = 32, 16, 255
+CLASSES, HIDDEN, ENDINGS = 48, 16, 575
 #: Bytes at the end of a word that make its ending.
 ENDING = 3
 #: Logits are cut off here, far from what float32 can't hold.
@@ -35,7 +35,7 @@ WINDOW, LANES, STEPS = 16, 512, 64 * 16
 SCORED = 1 << 15
 #: Each training document is learned from once, in the round that its hash names. In a round shards of about
 #: SHARD tokens learn side by side.
-ROUNDS, RATES, SHARD = 4, (0.02, 0.012, 0.006, 0.003), 1 << 20
+ROUNDS, RATES, SHARD = 4, (0.02, 0.012, 0.006, 0.003), 3 << 18
 #: Bytes of text tokenised at a time, and distinct tokens counted before the counts are handed on.
 TEXT_BYTES, FLUSH = 1 << 25, 200_000
 
@@ -193,8 +193,12 @@ class Network:
         """log p of the targets (n,) from the states (n, HIDDEN). With grad, adds the loss's gradients to it and
         returns that of the states."""
         p = self.p
-        cls, within = targets // CLASSES, targets % CLASSES
-        a = h @ p["Wc"] + p["bc"]
+        cls = (targets // CLASSES).astype(np.int16)  # few bits sort fast
+        order = np.argsort(cls, kind="stable")  # the targets of a class side by side: their rows are slices
+        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        h, cls, within = h[order], cls[order], (targets % CLASSES)[order]
+        a = h @ p["Wc"]
+        a += p["bc"]
         np.minimum(a, HIGHEST, out=a)
         e = np.exp(a)
         s = e @ ONES  # summing short rows is much slower
@@ -207,26 +211,31 @@ class Network:
             grad["Wc"] += h.T @ e
             grad["bc"] += e.sum(0)
             dh = e @ p["Wc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
-            i = order[cuts[k] : cuts[k + 1]]
-            if not len(i):
+            i = slice(cuts[k], cuts[k + 1])
+            if cuts[k] == cuts[k + 1]:
                 continue
-            hk = h[i]
-            a = hk @ p["Wo"][k] + p["bo"][k]
+            hk, w = h[i], p["Wo"][k]
+            a = hk @ w
+            a += p["bo"][k]
             np.minimum(a, HIGHEST, out=a)
             e = np.exp(a)
             s = e @ ONES
-            n = np.arange(len(i))
+            n = rows[: len(hk)]
             logp[i] += a[n, within[i]] - np.log(s)
             if grad is not None:
                 e /= s[:, None]
                 e[n, within[i]] -= 1
                 grad["Wo"][k] += hk.T @ e
                 grad["bo"][k] += e.sum(0)
-                dh[i] += e @ p["Wo"][k].T
-        return logp, dh
+                dh[i] += e @ w.T
+        out = np.empty_like(logp)
+        out[order] = logp
+        if dh is not None:
+            back = np.empty_like(dh)
+            back[order] = dh
+            dh = back
+        return out, dh
 
     def backward(self, inputs: np.ndarray, fresh: np.ndarray, saved: list, dout: np.ndarray, grad: dict) -> None:
         p = self.p
@@ -245,7 +254,7 @@ class Network:
             dnext = d * z + gh @ p["Wh"].T
             dnext[fresh[t]] = 0
         flat = dgx.reshape(-1, 3 * HIDDEN)
-        ids = inputs.reshape(-1)
+        ids = inputs.reshape(-1).astype(np.int16)
         grad["Wx"] += p["E"][ids].T @ flat
         grad["bx"] += flat.sum(0)
         de = flat @ p["Wx"].T
