@@ -148,41 +148,64 @@ DRAW = {
 
 #: Columns of a draw list before the paint.
 HEAD = ("z", "x", "y", "layer_index", "layer", "kind", "ord")
+#: Layers that one pass over the features draws; a style with more takes more passes.
+LAYERS = 24
 
 
 def _row(own: DataFrame, layer, kind: str, paint_cols: dict[str, Column], *more: Column | str) -> DataFrame:
-    named = [paint_cols.get(k, F.lit(None)).cast(t).alias(k) for k, t in DRAW.items()]
-    return own.select("z", "x", "y", F.lit(layer.index).alias("layer_index"), F.lit(layer.id).alias("layer"), F.lit(kind).alias("kind"), *more, *named)
+    return own.select("z", "x", "y", *_named(layer, kind), *more, *_painted(paint_cols))
 
 
-def draw_list(features: DataFrame, theme: Theme, zoom: float, view=None, sprites: frozenset[str] | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+def _named(layer, kind: str) -> list[Column]:
+    return [F.lit(layer.index).alias("layer_index"), F.lit(layer.id).alias("layer"), F.lit(kind).alias("kind")]
+
+
+def _painted(cols: dict[str, Column]) -> list[Column]:
+    return [cols.get(k, F.lit(None)).cast(t).alias(k) for k, t in DRAW.items()]
+
+
+def _drawn(features: DataFrame, layers: list, ctx: Context, sprites: frozenset[str] | None, keep: tuple[str, ...]) -> DataFrame:
+    """A row for each feature and layer that draws it: the layers' tests and paints are evaluated side by side, so
+    features are read once, not once for each layer."""
+    passes = []
+    for at in range(0, len(layers), LAYERS):
+        every = []
+        for y in layers[at : at + LAYERS]:
+            p = y.resolved(ctx)
+            shows = (F.col("source") == y.source) & (F.col("source_layer") == y.source_layer) & y.shapes(F.col("geom_type"))
+            shows = shows & F.coalesce(y.filter_column(ctx).value.col, F.lit(False)) & F.coalesce(visible(y.type, p), F.lit(False))
+            every.append(F.when(shows, F.struct(*_named(y, y.type), *_painted(paint(y.type, p, sprites)))))
+        passes.append(features.select(*keep, F.inline(F.filter(F.array(*every), lambda row: row.isNotNull()))))
+    return reduce(DataFrame.unionByName, passes)
+
+
+def draw_list(features: DataFrame, theme: Theme, zoom: float, view=None, sprites: frozenset[str] | None = None, extra: tuple[str, ...] = (), cull: bool = True) -> DataFrame:
     """The rows that a theme draws of placed() features, to be drawn in the order of layer_index and ord: for each layer
-    the features of its source-layer, by type, bounds, filter, and visible paint, in that order.
+    the features of its source-layer, by type, bounds, filter, and visible paint.
 
     ``parts`` and ``starts`` are in the display tile's pixels, cut to it where overzoom is deep; circles
-    give a row for each centre within reach. One branch per layer, since each has columns of its own;
-    zoom is a number, so all that depends on it alone is folded. Layers that don't cover the zoom
-    are left out when the plan is made.
+    give a row for each centre within reach. Zoom is a number, so all that depends on it alone is
+    folded, and layers that don't cover the zoom are left out when the plan is made. Without ``cull``
+    nothing is left out or cut by its place, to measure what that spares.
     """
     ctx = Context(view or MapView(F.col("properties")), zoom, F.col("geom_type"), F.col("fid"))
-    rect = window(F.col("scale"), F.col("off_x"), F.col("off_y"))
-    shape = ("ord", "parts", "geom_type", "scale", "off_x", "off_y", "shift", "minx", "miny", "maxx", "maxy", *extra)
-    shapes, circles = [], []
-    for y in theme.layers:
-        if y.type not in ("fill", "line", "circle") or not y.minzoom <= zoom < y.maxzoom:
-            continue
-        own = features.where((F.col("source") == y.source) & (F.col("source_layer") == y.source_layer) & y.shapes(F.col("geom_type")))
-        p = y.resolved(ctx)
-        own = own.where(meets(rect)).where(y.filter_column(ctx).value.col).where(visible(y.type, p))
-        row = _row(own, y, y.type, paint(y.type, p, sprites), *shape)
-        if y.type == "circle":
-            circles.append(centres(row, F.col("radius") + F.coalesce("stroke_width", F.lit(0.0))))
+    features = features.where(meets(window(F.col("scale"), F.col("off_x"), F.col("off_y")))) if cull else features
+    keep = ("z", "x", "y", "ord", "parts", "geom_type", "scale", "off_x", "off_y", "shift", "minx", "miny", "maxx", "maxy", *extra)
+    layers = [y for y in theme.layers if y.minzoom <= zoom < y.maxzoom]
+    shapes, circles = ([y for y in layers if y.type in types] for types in (("fill", "line"), ("circle",)))
+    out = []
+    if shapes:
+        rows = _drawn(features, shapes, ctx, sprites, keep)
+        if cull:
+            rows = clipped(rows)
         else:
-            shapes.append(row)
-    if not shapes + circles:
+            rows = rows.withColumn("parts", F.col("parts").cast(_PARTS)).withColumn("starts", F.array_repeat(F.lit(0.0), F.size("parts")))
+        out.append(in_pixels(rows))
+    if circles:
+        out.append(centres(_drawn(features, circles, ctx, sprites, keep), F.col("radius") + F.coalesce("stroke_width", F.lit(0.0))))
+    if not out:
         raise ValueError("no layer of the theme draws geometry at this zoom")
-    whole = [in_pixels(clipped(reduce(DataFrame.unionByName, shapes)))] if shapes else []
-    return reduce(DataFrame.unionByName, whole + circles).select(*HEAD, *extra, "parts", "starts", *DRAW)
+    return reduce(DataFrame.unionByName, out).select(*HEAD, *extra, "parts", "starts", *DRAW)
 
 
 def constant(columns: dict[str, Column], spark: SparkSession) -> dict[str, Any]:
