@@ -17,6 +17,8 @@ from .common import Table, text_or_empty
 from .components import connected_components
 
 BITS = 64
+#: Fingerprints farther apart than this aren't worth a first comparison.
+FAR = 14
 #: Shingles hashed before their bits are counted, so that very long texts need bounded memory.
 CHUNK = 1 << 16
 
@@ -230,7 +232,7 @@ def keep_one(
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 5,
-    distance: int = 10,
+    distance: int = 6,
     similarity: float = 0.8,
 ) -> DataFrame:
     """docs with one document of each group of near copies, the one with the smallest id.
@@ -240,10 +242,13 @@ def keep_one(
     none: null ids come last) one stays. Columns are those of docs, whatever their names; null and
     blank texts count as copies of each other; an empty table gives an empty one.
 
-    Equal sets are one node. Two sets that are similar enough share a shingle among the rarest
-    of each (its prefix). First every node is compared with the smallest node under each of its keys, if
-    their fingerprints differ in at most ``distance`` bits, so that groups of near copies come together;
-    then all nodes under a key that are still in different groups, whatever their fingerprints.
+    Equal sets are one node. Nodes whose fingerprints are at most ``distance`` bits apart are found by
+    generalised pigeonhole: each node probes for the smallest node under every key within the partitions'
+    thresholds. Fingerprints of similar sets can be farther apart, so there is an exact way for the rest: two
+    sets that are similar enough share a shingle among the rarest of each (its prefix). Every node is also
+    compared with the smallest under each of its prefix keys, unless their fingerprints differ in more than FAR
+    bits. All these links are verified, and groups of near copies come together; then all nodes under a
+    prefix key that are still in different groups are compared, whatever their fingerprints.
     """
 
     @F.arrow_udf("long")
@@ -275,8 +280,8 @@ def keep_one(
     ends = keys.select("node", "key", F.min("node").over(Window.partitionBy("key")).alias("lo"), F.max("node").over(Window.partitionBy("key")).alias("hi"))
     shared = Table(ends.where("lo < hi").select("node", "key", "lo"), "sim-keys").df
 
-    hubs = shared.where("node != lo").select("node", F.col("lo").alias("node2")).distinct()
-    hubs = plausible(hubs, nodes, similarity, distance)
+    hubs = shared.where("node != lo").select("node", F.col("lo").alias("node2"))
+    hubs = plausible(hubs.unionByName(probed(nodes, distance)).distinct(), nodes, similarity, FAR)
     hub_links = similar(Table(hubs, "sim-hubs").df, texts, shingle, similarity)
     first = connected_components(hub_links.select(F.col("node").alias("src"), F.col("node2").alias("dst")))
     tagged = nodes.join(first, "node", "left").select("node", "id", F.coalesce("component", "node").alias("grp"))
@@ -292,6 +297,16 @@ def keep_one(
     return rows.join(heads, "uid", "left_semi").select("row.*")
 
 
+def probed(nodes: DataFrame, distance: int) -> DataFrame:
+    """(node, node2): for each row of nodes(node, fp) the smallest node with each key that it probes for, of those at most
+    ``distance`` bits away."""
+    n, both = bit_statistics(nodes)
+    plan = plan_partitions(n, both, distance)
+    least = _keys(nodes, plan, False, ["node", "fp"]).groupBy("part", "key").agg(F.min("node").alias("node2"), F.min_by("fp", "node").alias("fp2"))
+    met = _keys(nodes, plan, True, ["node", "fp"]).join(least, ["part", "key"])
+    return met.where((F.col("node") != F.col("node2")) & (_apart("fp", "fp2") <= distance)).select("node", "node2")
+
+
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     """The hashes of the distinct word shingles, sorted; of all words if they are fewer."""
     w = text.lower().split()
