@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, WORD, Table, freed_shuffles, text_or_empty, words
 
 #: Words are counted in so many hash buckets; a level of rarity for each is all that the driver sees of them.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 #: Levels of rarity for each doubling of a count. They stay below 128, one byte each.
 LEVELS = 4
 #: Of a token's 63 sort bits the high ones are its level of rarity and so many are its hash.
@@ -22,7 +22,7 @@ LONG, FAR = (1 << DONE_AT - SIZE_AT) - 1, (1 << PLACE_BITS) - 1
 #: Of groups of more lines than HOT so many first lines, by a hash of their numbers, are compared with all others.
 HOT, HUBS = 64, 16
 #: Bytes of the map, 7 bits each, that says which lines a verification needs. It only spares shuffles.
-MAP_BYTES = 1 << 18
+MAP_BYTES = 1 << 17
 
 
 def _byte_at(table: bytes, at: Column) -> Column:
