@@ -55,15 +55,15 @@ class Table:
     """A DataFrame written to the shared folder: its lineage is cut and lost executors cost nothing.
 
     ``df`` reads it again; ``drop()`` frees its space once nothing refers to it. The shuffles behind it
-    are freed when it is written.
+    are freed when it is written. ``by`` names columns that parts of it are read by.
     """
 
-    def __init__(self, df: DataFrame, tag: str):
+    def __init__(self, df: DataFrame, tag: str, *by: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
         schema = df.schema
         with freed_shuffles(self.spark):
-            df.write.parquet(self.path)
+            (df.write.partitionBy(*by) if by else df.write).parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:

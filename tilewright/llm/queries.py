@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, langmodel, lines, mixing, pages, pieces, pii, quality, secrets, simhash
+from . import exact, forest, langmodel, lines, mixing, negatives, pages, pieces, pii, quality, ranked, secrets, simhash
 from .common import read
 
 
@@ -89,6 +89,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(read(spark, sf_dir, "pages"), pages.trained())
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = exact.mark(read(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -101,6 +115,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_html_extraction": op10_html_extraction,
+        "op11_exact_dedup": op11_exact_dedup,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
