@@ -95,10 +95,30 @@ def test_attributions():
 
     a = style.attribution("&copy; <a href='https://o.org'>O</a> people, <a href=https://c.org/?a=1&amp;b=2>C</a>. a<br>b")
     assert a.text == "© O people, C. a b" and [u for _, u in a.spans] == [None, "https://o.org", None, "https://c.org/?a=1&b=2", None]
+    assert a.html.startswith("&copy; <a href")
+    a = style.attribution('<a href="https://p.com">Pro</a> &copy; <a href="https://osm.org">Open</a>')
+    assert a.spans == (("Pro", "https://p.com"), ("©", None), ("Open", "https://osm.org")) and a.text == "Pro © Open"
+    a = style.attribution("<a>Tiles</a> by me (<a href='u'>you</a>)!")
+    assert a.text == "Tiles by me ( you)!" and a.spans[0] == ("Tiles", None)
+    assert style.attribution("a<br/>b &amp; c").text == "a b & c" and style.attribution(" <a href=x></a> ").spans == ()
     x, y = style.attribution("x"), style.attribution("y")
     assert [v.text for v in style.first_by_text([x, y, style.attribution("<b>x</b>")])] == ["x", "y"]
 
 
+def test_attribution_links(spark):
+    from pyspark.sql import functions as F
+
+    from tilewright.plans import style
+
+    cases = {
+        "<a href='u'>x</a><A\nclass=c HREF = \"v w\" >y<b>z</b></A>": ["u", "v w"], "<a href=u>&nbsp; <img></a><a href=w>w<a href=x>x": ["w", "x"],
+        "<abbr href=n>n</abbr><a name=n>n</a><a href=''>e</a>": [], "no tags": [], "": [], "<": [], "<a href=k>k": ["k"], "<a data-href=n href=y>y</a>": ["y"],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    got = {r.h: r.l for r in df.select("h", style.attribution_links(F.col("h")).alias("l")).collect()}
+    assert got == cases
+
+
 def test_raster_matrices():
     m = drawlist.raster_matrix(contrast=5)
     assert m[0] == 1000 and m[4] == pytest.approx((1 - 1000) * 127.5)

@@ -655,12 +655,15 @@ def property_union(spark, sf_dir):
     return joins.keep_lists(reads).select("source", F.array_join("properties", ",").alias("langs"))
 
 
-LINK = style.LINK.replace("'", "''")
-
-
-@query(f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '{LINK}', 0)) AS a, generate_subscripts(regexp_extract_all(html, '{LINK}', 0), 1) AS i FROM pages),
- u AS (SELECT page_id, i, coalesce(nullif(regexp_extract(a, '{LINK}', 1), ''), nullif(regexp_extract(a, '{LINK}', 2), ''), nullif(regexp_extract(a, '{LINK}', 3), '')) AS u FROM a
- WHERE regexp_matches(replace(regexp_replace(regexp_extract(a, '{LINK}', 4), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '\\S')) SELECT page_id, string_agg(u, ' ' ORDER BY i) AS links FROM pages LEFT JOIN u USING (page_id) GROUP BY 1""")
+@query("""WITH p AS (SELECT page_id, unnest(str_split(html, '<')) AS piece, generate_subscripts(str_split(html, '<'), 1) AS i FROM pages),
+ t AS (SELECT page_id, i, split_part(piece, '>', 1) AS tag, substr(piece, length(split_part(piece, '>', 1)) + 2) AS shown FROM p WHERE i > 1),
+ n AS (SELECT *, translate(tag, chr(9) || chr(10) || chr(13) || chr(34) || chr(39), '     ') AS flat FROM t),
+ k AS (SELECT *, split_part(lower(flat), ' ', 1) IN ('a', '/a') AS anchor, strpos(lower(flat), ' href') AS k FROM n),
+ h AS (SELECT *, CASE WHEN anchor AND left(tag, 1) <> '/' AND k > 0 AND left(ltrim(substr(tag, k + 5)), 1) = '=' THEN ltrim(substr(ltrim(substr(tag, k + 5)), 2)) END AS rest,
+ sum(anchor::int) OVER (PARTITION BY page_id ORDER BY i) AS link FROM k),
+ u AS (SELECT page_id, link, min(i) AS i, string_agg(' ' || shown, '' ORDER BY i) AS label,
+ first(CASE left(rest, 1) WHEN chr(34) THEN split_part(substr(rest, 2), chr(34), 1) WHEN chr(39) THEN split_part(substr(rest, 2), chr(39), 1) ELSE split_part(rest, ' ', 1) END ORDER BY i) AS url FROM h WHERE link > 0 GROUP BY page_id, link)
+ SELECT page_id, links FROM pages LEFT JOIN (SELECT page_id, string_agg(url, ' ' ORDER BY i) AS links FROM u WHERE url <> '' AND trim(replace(label, '&nbsp;', ' '), ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY 1) USING (page_id)""")
 def attribution_links(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.nullif(F.array_join(style.attribution_links(F.col("html")), " "), F.lit("")).alias("links"))
