@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Table, text_or_empty
 
+#: The longest documents of each source whose expected copies are whole numbers.
+WHOLE = 64
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
@@ -64,11 +68,13 @@ def mix(
     """Every row of docs with how often the mix takes it: columns ``row`` (a struct of the columns of
     docs, or of those in keep), size, source_size, target, copies and taken (= copies * size).
 
-    Within a source each document is expected target / source_size times, at most max_repeat. The
-    expected copies are summed up in the order (size, id), one offset drawn from the seed is added
-    and the document is emitted once for each integer the sum crosses. In that order neighbours in
-    the sum have like sizes, so what a source gives differs from its target by less than its longest
-    document.
+    Expected copies are summed up in the order (size, id), one offset drawn from the seed is added and the
+    document is emitted once for each integer the sum crosses. Every document is expected target /
+    source_size times, at most max_repeat, but for the longest of each source, whose lot would decide
+    how far the source misses its target: from the longest down they are expected a whole number of
+    times, the one that brings what they give nearest to their share, rounded by the offset, and the
+    others share what is left. So a source differs from its target by about the size of its
+    longest document but WHOLE, however long that is; over seeds each is still taken in proportion.
 
     A source never meets in one task: rows are range partitioned by (source, size, id), positions
     within partitions come with the rows, and only one count per partition and source is summed up.
@@ -99,18 +105,48 @@ def mix(
     pieces = Table(pieces, "mix-pieces").df
     targets = source_targets(pieces.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_repeat)
     within = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(within), F.lit(0)) - F.col("first")  # from a row's place to its rank
-    plan = Table(_null_safe(pieces.select("source", "part", before.alias("shift")), targets, ["source"]), "mix-plan").df
-
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset, rank = F.lit(random.Random(seed).random()), F.col("pos") + F.col("shift")  # ranks from 0 within the source
+    before = F.coalesce(F.sum("n").over(within), F.lit(0))
+    ranked = pieces.select("source", "part", "n", "first", before.alias("before"), F.sum("n").over(Window.partitionBy("source")).alias("docs"))
+    ranked = ranked.withColumn("shift", F.col("before") - F.col("first"))  # from a row's place to its rank, from 0 within the source
+    offset = random.Random(seed).random()
+    long = _whole(dealt, ranked, targets, offset, max_repeat)
+    plan = _null_safe(ranked.select("source", "part", "shift", "docs"), long, ["source"])
+    plan = Table(plan, "mix-plan").df
+
+    rank = F.col("pos") + F.col("shift")
+    each = F.col("each")
     copies = F.floor((rank + 1) * each + offset) - F.floor(rank * each + offset)
+    from_top = (F.col("docs") - 1 - rank).cast("int")
+    copies = F.coalesce(F.get("whole", from_top), copies)
     placed = _null_safe(dealt, plan, ["source", "part"])
     return placed.select(
         "row", "size", "source_size", "target", F.least(copies, F.lit(int(max_repeat))).alias("copies")
     ).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def _whole(dealt: DataFrame, ranked: DataFrame, targets: DataFrame, offset: float, most: float) -> DataFrame:
+    """targets with ``whole``, the copies of each source's longest documents from the longest down, and ``each``, what
+    every other document of it is expected. Only the longest WHOLE of each source meet."""
+    ends = ranked.where(F.col("before") + F.col("n") > F.col("docs") - WHOLE).select("source", "part", "shift", "docs")
+    rows = _null_safe(dealt.select("source", "part", "pos", "size"), ends, ["source", "part"])
+    from_top = F.col("docs") - 1 - F.col("pos") - F.col("shift")
+    top = rows.where(from_top < WHOLE).groupBy("source").agg(F.sort_array(F.collect_list(F.struct(from_top.alias("k"), "size"))).alias("top"))
+    t = _null_safe(targets, top, ["source"])
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    start = F.struct(F.lit(0.0).alias("due"), F.lit(0).cast("long").alias("given"), F.lit(0).cast("long").alias("words"), F.array().cast("array<long>").alias("copies"))
+
+    def step(a: Column, x: Column) -> Column:
+        due, size = a["due"] + F.col("share") * x["size"], x["size"]
+        k = F.when(size > 0, F.floor((due - a["given"]) / size + offset)).otherwise(F.lit(0))
+        k = F.least(F.greatest(k, F.lit(0)), F.lit(int(most))).cast("long")
+        return F.struct(due.alias("due"), (a["given"] + k * size).alias("given"), (a["words"] + size).alias("words"), F.concat(a["copies"], F.array(k)).alias("copies"))
+
+    t = t.withColumn("share", share).withColumn("got", F.aggregate("top", start, step))
+    rest = F.col("source_size") - F.col("got.words")
+    each = F.when(rest > 0, F.least(F.greatest((F.col("target") - F.col("got.given")) / rest, F.lit(0.0)), F.lit(float(most)))).otherwise(0.0)
+    return t.select("source", "source_size", "target", each.alias("each"), F.col("got.copies").alias("whole"))
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on keys where null equals null; the keys appear once."""
     r = right.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in right.columns])
