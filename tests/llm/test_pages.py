@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -73,14 +75,34 @@ def shown(page):
         ("<head><title>t</title><body><p>one</p>", "one"),
         ("<head><meta charset=x><title>t</title><p>one</p>two", "one two"),
         ("<p>one</p><p class='x", "one"),
+        ("<head><title>t</title>one two<p>three</p>", "one two three"),
+        ("<head><meta charset=x>one", "one"),
+        ("<button>menu<article><p>one</p></article>", "one"),
+        ("<video src=x><h1>one</h1><p>two</p>", "one two"),
+        ("<object><p>one</p>", "one"),
+        ("<svg><path d=x><p>one</p>two", "one two"),
+        ("<noscript>none<p>one</p>", "one"),
+        ("<noscript><p>none</p></noscript><p>one</p>", "one"),
+        ("<video><p>none</p></video>one", "one"),
+        ("<button>menu<article>one</article><button>x</button>two", "one two"),
+        ("<i>a<b>b</i>c</b><p>d</p>", "abc d"),
     ],
 )
 def test_no_text_is_lost_after_odd_tags(page, want):
     assert " ".join(shown(page).replace("|", " ").split()) == want
 
 
+@pytest.mark.parametrize("page", ["<div>" * 12_000 + "<p>x", "<i>" * 12_000 + "<b>" * 12_000 + "</i>" * 12_000, "<x><table>" + "<div>" * 12_000 + "</x>" * 12_000, "<button>" + "<p>" * 12_000])
+def test_time_grows_with_the_page(page):
+    start = time.process_time()
+    pages.parse(page)
+    assert time.process_time() - start < 1
+
+
 def test_frame(spark, extractor):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, None, PAGE, "y"), (None, "v", None, None), (3, "w", "", "")], "page_id long, url string, html string, text string")
-    got = sorted((tuple(r) for r in pages.extract(df, extractor).collect()), key=str)
+    got = sorted((tuple(r) for r in pages.extract(df, extractor).select("row.*", "text", "n_chars").collect()), key=str)
     assert got == sorted([(1, "u", WANT, len(WANT)), (1, None, WANT, len(WANT)), (None, "v", "", 0), (3, "w", "", 0)], key=str)
     assert pages.extract(df.limit(0), extractor).count() == 0
+    kept = pages.extract(df.withColumn("n_chars", pages.F.lit(7)), extractor, keep=("text", "n_chars", "html")).select("row.*").collect()
+    assert sorted(str(r.text) for r in kept) == ["", "None", "x", "y"] and all(r.n_chars == 7 for r in kept)

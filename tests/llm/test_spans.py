@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,25 @@ def test_letters_alone_reach_their_class(spark, run, secret):
     assert [tuple(x) for x in got.spans] == ([(4, 3, 4 + len(run))] if secret else [])
 
 
+def test_secrets_beside_base_matches(spark):
+    """What base matches leave of a run is a candidate of its own."""
+    run, other = "qZ7xK2vB9mT4rW8nL1cY", "Hf3dP0sJ6gQ5aU2eXw9Z"
+    texts = [f"AKIA{'A1B2' * 4}-{run}", f"deadbeef01234567/{run}", f"{run}+deadbeef01234567+{other}", f"password=abcdefabcdef&x={run}", f"{run}-AKIA{'A1B2' * 4}", "deadbeef01234567/short"]
+    got = {r.id: r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        found = [t[x.s : x.e] for x in got[i] if x.k == 3]
+        want = [x for x in (run, other) if x in t]
+        assert len(found) == len(want) and all(w in f for w, f in zip(want, found)), (t, found)
+        assert not any(x.s < y.e and y.s < x.e for x in got[i] if x.k == 3 for y in got[i] if y.k < 3)
+
+
+def test_secrets_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "AKIA" + "A1B2" * 4, 1, 2, 3, 4, 5)], "doc_id long, text string, base int, t int, runs int, `values` int, spans int")
+    keep = ["base", "t", "runs", "values", "spans", "text"]
+    got = secrets.scan(df, keep=keep).first()
+    assert got.row.asDict() == {"base": 1, "t": 2, "runs": 3, "values": 4, "spans": 5, "text": "AKIA" + "A1B2" * 4} and len(got.spans) == 1
+
+
 def test_window_entropy_is_the_entropy_of_windows(spark):
     from collections import Counter
     from math import log2
@@ -145,6 +166,38 @@ def test_prose_is_left_alone(text):
     assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "want"),
+    [
+        ("at 192[.]168[.]0[.]1 now", "ip", "192[.]168[.]0[.]1"),
+        ("mail jane(@)example.com", "email", "jane(@)example.com"),
+        ("jane [at] example (.) org", "email", "jane [at] example (.) org"),
+        ("call +1 four one five 5550 one two three", "phone", "+1 four one five 5550 one two three"),
+        ("plus one,  four one five,   five five five, one two three four!", "phone", "plus one,  four one five,   five five five, one two three four"),
+        ("four one one one - 1111 -- 1111 , one one one one", "card", "four one one one - 1111 -- 1111 , one one one one"),
+        ("1.two.3.four", "ip", "1.two.3.four"),
+        ("write to jane at example dot xyz today", "email", "jane at example dot xyz"),
+        ("jane at example dot com dot au ok", "email", "jane at example dot com dot au"),
+        ("jane at example.xyz", "email", "jane at example.xyz"),
+    ],
+)
+def test_pii_disguises(text, kind, want):
+    base, spans = pii.find(text)
+    assert base == [] and [(k, text[s:e]) for k, s, e in spans] == [(kind, want)]
+
+
+@pytest.mark.parametrize("text", ["looked at home.The end", "one two three four five", "x (.) y (at) z", "at 5 (.) 6", "one, two; three. Four five"])
+def test_pii_plain_text(text):
+    assert pii.find(text)[1] == []
+
+
+def test_pii_time_grows_with_the_text():
+    start = time.process_time()
+    for t in (" " * 300_000 + "[at]", "one " * 100_000, "1, " * 100_000, "a at " * 100_000, "one-" * 100_000):
+        pii.find(t)
+    assert time.process_time() - start < 5
+
+
 def test_pii_frame(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(PII)] + [(None, "a@b.c", 2)], "doc_id long, text string, base int")
     got = pii.scan(df).collect()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import sent
 
@@ -28,6 +30,11 @@ SCOPE = frozenset("table td th ul ol dl article section aside main body html".sp
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|</(?![A-Za-z])[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(>|\Z)", re.S)
 #: A tag whose last quote is never closed ends at its first '>', as far as there is one.
 UNQUOTED = re.compile(r"<([A-Za-z][^\s/>]*)([^>]*)(>)")
+#: An inline element that was closed before those within it.
+GONE = "#gone"
+#: Elements that hide what is in them, and what ends them where they were never closed: parts of a page that can't stand in them.
+UNCLOSED = NEVER - RAW - {"head", "template"}
+STARTS = frozenset("article main section h1 h2 h3 h4 h5 h6 p ul ol dl table blockquote pre body".split())
 #: What may stand in a head. Anything else that shows text ends a head that is not closed.
 HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -52,30 +59,49 @@ def parse(page: str) -> Dom:
     dom = Dom()
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with their node
     at, links, hidden = 0, 0, 0  # hidden: open elements that never show text
+    open_: dict[str, list[int]] = {}  # the places of each in the stack, so that no tag walks the stack
     n = len(page)
 
     def text(s: str) -> None:
+        if s and hidden and stack[-1][0] == "head" and not s.isspace():
+            pop(len(stack) - 1)
         if s and not hidden:
             dom.texts.append((stack[-1][1], links > 0, entities.unescape(s) if "&" in s else s))
 
+    def push(tag: str, node: int) -> None:
+        open_.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
+
     def pop(k: int) -> None:
         """Closes the open elements from place k on."""
         nonlocal links, hidden
+        edge = False
         for tag, _ in stack[k:]:
-            links -= tag == "a"
-            hidden -= tag in NEVER
-        edge = any(tag not in INLINE for tag, _ in stack[k:])
+            if tag != GONE:
+                open_[tag].pop()
+                links -= tag == "a"
+                hidden -= tag in NEVER
+                edge = edge or tag not in INLINE
         del stack[k:]
         if edge:
             dom.texts.append((stack[-1][1], False, None))
 
-    def close(names: tuple[str, ...] | frozenset, scope: frozenset = SCOPE) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                return pop(k)
-            if stack[k][0] in scope:
-                return None
+    def innermost(names: tuple[str, ...] | frozenset) -> int:
+        return max((open_[t][-1] for t in names if open_.get(t)), default=0)
 
+    def close(names: tuple[str, ...] | frozenset, scope: frozenset = SCOPE) -> None:
+        k = innermost(names)
+        if k and k >= innermost(scope):
+            pop(k)
+
+    def closes(tag: str) -> bool:
+        """Whether the next tag of this name is an end tag."""
+        if tag not in tags_of:
+            tags_of[tag] = [(m.start(), m[1] == "/") for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])", page, re.I)]
+        k = bisect_left(tags_of[tag], (at, False))
+        return k < len(tags_of[tag]) and tags_of[tag][k][1]
+
+    tags_of: dict[str, list[tuple[int, bool]]] = {}
     while at < n:
         i = page.find("<", at)
         if i < 0:
@@ -98,8 +124,12 @@ def parse(page: str) -> Dom:
             tag = m[2].lower()
             if tag not in HEAD and stack[-1][0] == "head":
                 pop(len(stack) - 1)
+            if hidden and tag in STARTS:
+                k = min(open_[t][0] for t in NEVER if open_.get(t))
+                if stack[k][0] in UNCLOSED and not closes(stack[k][0]):
+                    pop(k)
             if tag in CLOSES_P:
-                close(("p",), SCOPE - {"p"})
+                close(("p",), SCOPE)
             if tag in SIBLING_ENDS:
                 ends = SIBLING_ENDS[tag]
                 close(ends, frozenset({"table", "ul", "ol", "dl", "select"}))
@@ -110,7 +140,7 @@ def parse(page: str) -> Dom:
             void = tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path")
             if tag in INLINE:
                 if not void:
-                    stack.append((tag, stack[-1][1]))
+                    push(tag, stack[-1][1])
                     links += tag == "a"
                 continue
             if void:
@@ -120,7 +150,7 @@ def parse(page: str) -> Dom:
             dom.tags.append(tag)
             dom.parents.append(stack[-1][1])
             dom.words.append(tuple(w.lower() for a in found for w in ATTRIBUTE_WORD.findall(a[1] or a[2] or a[3])))
-            stack.append((tag, len(dom.tags) - 1))
+            push(tag, len(dom.tags) - 1)
             hidden += tag in NEVER
             dom.texts.append((stack[-1][1], False, None))
             if tag in RAW:
@@ -135,13 +165,9 @@ def parse(page: str) -> Dom:
             if tag == "br":
                 text(" ")
             elif tag in INLINE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        links -= tag == "a"
-                        del stack[k]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
+                if open_.get(tag) and open_[tag][-1] > innermost(open_.keys() - INLINE):
+                    stack[open_[tag].pop()] = (GONE, stack[-1][1])
+                    links -= tag == "a"
             else:
                 close((tag,), frozenset({"table"}) if tag not in ("table", "html", "body", "article", "main", "section", "div") else frozenset())
     return dom
@@ -531,7 +557,7 @@ def trained() -> Extractor:
 
 
 def extract(pages: DataFrame, extractor: Extractor, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """keep's columns, text and n_chars for each row of pages. Null and blank pages, and such without main text,
+    """row, a struct of keep's columns, text and n_chars for each row of pages; columns may have any name. Null and blank pages, and such without main text,
     give an empty text; repeated rows stay; an empty table gives an empty one."""
     shared = sent(pages.sparkSession, extractor)
 
@@ -540,10 +566,9 @@ def extract(pages: DataFrame, extractor: Extractor, html_col: str = "html", keep
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
-                texts = extractor.texts(part.column("__html").to_pylist())
-                cols = [part.column(k) for k in keep]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
+                texts = extractor.texts(part.column("html").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["row", "text", "n_chars"])
 
-    slim = pages.select(*keep, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("__html"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return slim.mapInArrow(run, f"{kinds}, text string, n_chars long")
+    row = F.struct(*[F.col(f"`{k}`") for k in keep]) if keep else F.lit(None).cast("int")
+    slim = pages.select(row.alias("row"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    return slim.mapInArrow(run, T.StructType([slim.schema["row"], *T.StructType.fromDDL("text string, n_chars long")]))

@@ -27,7 +27,7 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 # Letters of other scripts that look like ASCII ones, in pairs.
 LOOKALIKES = "аaеeоoрpсcхxуyіiјjѕsԁdɡgһhӏlԛqԝwАAВBЕEКKМMНHОOРPСCТTХXУYІIЅSαaοoνvρpιiκkΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧX＠@．.。.․.﹒.﹫@＋+－-–-‐-‑-−-—-"
 DIGIT_WORDS = "zero one two three four five six seven eight nine".split()
-#: Domains' last labels that make "a at b dot c" without brackets an address.
+#: Last labels that end a spoken address after a written dot in any case; in lower case, or after "dot", any label does.
 TOP_LABELS = "com org net edu gov mil int info biz io co dev app me tv ai uk us de fr es it nl eu ch at be pl ru jp cn in br au ca example test invalid".split()
 
 HOMOGLYPH = {a: b for a, b in zip(LOOKALIKES[::2], LOOKALIKES[1::2])}
@@ -39,11 +39,11 @@ ODD = re.compile("[" + re.escape("".join(HOMOGLYPH)) + "]")
 
 _open, _close = r"[\[({<]", r"[\])}>]"
 _label = r"[A-Za-z0-9-]+"
-#: at and dot in brackets, which need no context, ...
-MARKED = re.compile(rf"\s*{_open}\s*(at|dot)\s*{_close}\s*", re.I)
-#: ... and as bare words, in a whole address that ends in a known label.
+#: at and dot in brackets, as words or signs, which need no context, ...
+MARKED = re.compile(rf"(?<!\s)\s*{_open}\s*(at|dot|@|\.)\s*{_close}\s*", re.I)
+#: ... and as bare words, in a whole address.
 SPOKEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: (?:dot|underscore|dash) [A-Za-z0-9_%+-]+)*(?: at |@| @ ){_label}(?:(?: dot |\.){_label})*?(?: dot |\.)(?:{'|'.join(TOP_LABELS)})(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: (?:dot|underscore|dash) [A-Za-z0-9_%+-]+)*(?: at |@| @ ){_label}(?:(?: dot |\.){_label})*(?: dot [A-Za-z]{{2,24}}|\.(?:{'|'.join(TOP_LABELS)}|(?-i:[a-z]{{2,24}})))(?![A-Za-z0-9])",
     re.I,
 )
 #: Four numbers with dots between them, some of them words.
@@ -51,8 +51,10 @@ SPOKEN_IP = re.compile(r"(?<![A-Za-z0-9.])[0-9]+(?:(?: dot |\.)[0-9]+){3}(?![A-Z
 SPOKEN_WORD = re.compile(r" (at|dot|underscore|dash) | @ ", re.I)
 _digit = "|".join(DIGIT_WORDS)
 DIGITS = re.compile(rf"\b(?:{_digit}|oh)\b", re.I)
-DIGIT_RUN = re.compile(rf"(?:\bplus\s+)?\b(?:{_digit})\b(?:[\s,.()-]{{1,3}}(?:(?:{_digit}|oh)\b|[0-9]+)){{3,}}", re.I)
-SYMBOL = {"at": "@", "dot": ".", "underscore": "_", "dash": "-"}
+#: Digits, some of them words, with any number of separators between them.
+DIGIT_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus\s+)?(?:(?:{_digit})\b|[0-9]+)(?:[\s,.()–—-]+(?:(?:{_digit}|oh)\b|[0-9]+)){{3,}}(?![A-Za-z0-9])", re.I)
+SEPARATOR = re.compile(r"(?<=[A-Za-z0-9])[\s,.()–—-]+(?=[A-Za-z0-9])")
+SYMBOL = {"at": "@", "@": "@", "dot": ".", ".": ".", "underscore": "_", "dash": "-"}
 
 
 def _luhn(d: str) -> bool:
@@ -130,7 +132,7 @@ def words(t: str) -> list[tuple[int, int, str]]:
     substring tests, each implied by its pattern, tell which patterns a text needs at all."""
     low = t.lower()
     words: list[tuple[int, int, str]] = []
-    if "dot" in low or "at" in low and re.search(rf"{_open}\s*at\s*{_close}", low):
+    if any(c in low for c in "[({<"):
         words += [(m.start(), m.end(), SYMBOL[m[1].lower()]) for m in MARKED.finditer(t)]
     if " at " in low or "@" in t:
         for a in SPOKEN.finditer(t):
@@ -140,10 +142,17 @@ def words(t: str) -> list[tuple[int, int, str]]:
             words += [(a.start() + m.start(), a.start() + m.end(), ".") for m in SPOKEN_WORD.finditer(a[0])]
     if any(w in low for w in DIGIT_WORDS):
         for run in DIGIT_RUN.finditer(t):
-            s = run.start()
-            if run[0][:4].lower() == "plus":
-                words.append((s, s + 4 + len(run[0][4:]) - len(run[0][4:].lstrip()), "+"))
-            for m in DIGITS.finditer(run[0]):
+            s, r = run.start(), run[0]
+            if not DIGITS.search(r):
+                continue
+            plus = re.match(r"plus\s+", r, re.I)
+            if plus:
+                words.append((s, s + plus.end(), "+"))
+            for m in SEPARATOR.finditer(r, plus.end() if plus else 0):
+                new = "." if "." in m[0] and not re.search(r"\s", m[0]) else " "
+                if m[0] not in (new, "-"):
+                    words.append((s + m.start(), s + m.end(), new))
+            for m in DIGITS.finditer(r):
                 w = m[0].lower()
                 words.append((s + m.start(), s + m.end(), "0" if w == "oh" else str(DIGIT_WORDS.index(w))))
     return _merge(words)

@@ -86,7 +86,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extract(read(spark, sf_dir, "pages"), pages.trained())
+    return pages.extract(read(spark, sf_dir, "pages"), pages.trained()).select("row.*", "text", "n_chars")
 
 
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,17 +105,19 @@ def scan(
     keep: Sequence[str] = (),
     allowed: Sequence[str] = ALLOWED,
 ) -> DataFrame:
-    """(id, *keep, base, spans) for each row of docs: arrays of (s, k, e): start, number in KINDS and end of each
-    secret, by start, then kind; code points, end exclusive.
-
-    base has the pattern matches; spans adds candidate runs in which some window's entropy reaches
-    its class's threshold, unless the run is allow-listed or overlaps a base match. Null texts
-    are empty; repeated rows stay; an empty table gives an empty one.
+    """(id, row, base, spans) for each row of docs: row is a struct of the kept columns (null if none are kept), base and
+    spans are arrays of (s, k, e): start, number in KINDS and end of each secret, by start, then kind; code points, end
+    exclusive.
+
+    base has the pattern matches. spans adds candidate runs in which some window's entropy reaches its class's
+    threshold, unless the run is allow-listed. Base matches are cut out of the runs first, and what is left
+    of WINDOW characters or more is a candidate of its own. Null texts are empty; repeated rows stay; an
+    empty table gives an empty one; kept columns may have any name.
     """
-    t = F.col("t")
-    d = docs.select(F.col(id_col).alias("id"), *keep, text_or_empty(text_col).alias("t"))
+    t, row = F.col("t"), F.struct(*[F.col(f"`{k}`") for k in keep]) if keep else F.lit(None).cast("int")
+    d = docs.select(F.col(id_col).alias("id"), row.alias("row"), text_or_empty(text_col).alias("t"))
     d = d.select(
-        "id", *keep, "t",
+        "id", "row", "t",
         _spans(t, ASSIGN).alias("assign"),
         F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)).alias("values"),
         _spans(t, ACCESS).alias("access"), _spans(t, HEX).alias("hex"), _spans(t, CANDIDATE).alias("runs"),
@@ -123,11 +125,11 @@ def scan(
     tag = lambda name, k: F.transform(name, lambda x: F.struct(x.s.alias("s"), F.lit(k).alias("k"), x.e.alias("e")))
     long_enough = F.filter("assign", lambda x, i: F.length(F.get("values", i)) >= ASSIGN_MIN)
     d = d.select(
-        "id", *keep, "t", "runs",
+        "id", "row", "t", "runs",
         F.sort_array(F.concat(tag(long_enough, 0), tag("access", 1), tag("hex", 2))).alias("base"),
     )
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b.s < r.e) & (r.s < b.e)))
-    d = d.select("id", *keep, "base", F.transform(free, lambda r: F.struct(r.s.alias("s"), r.e.alias("e"), F.substring(t, r.s + 1, r.e - r.s).alias("v"))).alias("runs"))
+    free = F.flatten(F.transform("runs", lambda r: _without(r, F.col("base"))))
+    d = d.select("id", "row", "base", F.transform(free, lambda r: F.struct(r.s.alias("s"), r.e.alias("e"), F.substring(t, r.s + 1, r.e - r.s).alias("v"))).alias("runs"))
 
     def random_looking(v: Column) -> Column:
         least = F.lit(None).cast("double")
@@ -138,11 +140,25 @@ def scan(
     passed = F.filter("runs", lambda r: ~_any(r.v, allowed))
     added = F.filter(passed, lambda r: random_looking(r.v))
     return d.select(
-        "id", *keep, "base",
+        "id", "row", "base",
         F.when(F.size("runs") == 0, F.col("base")).otherwise(F.sort_array(F.concat("base", tag(added, 3)))).alias("spans"),
     )
 
 
+def _without(run: Column, base: Column) -> Column:
+    """What base spans, ordered by start, leave of a run: its pieces of at least WINDOW characters."""
+    piece = lambda s, e: F.when(e - s >= WINDOW, F.array(F.struct(s.alias("s"), e.alias("e")))).otherwise(_none())
+
+    def step(a: Column, b: Column) -> Column:
+        out = F.concat(a["out"], piece(a["at"], F.least(b.s, run.e)))
+        return F.struct(F.greatest(a["at"], b.e).alias("at"), out.alias("out"))
+
+    start = F.struct(run.s.alias("at"), _none().alias("out"))
+    met = F.filter(base, lambda b: (b.s < run.e) & (run.s < b.e))
+    cut = F.aggregate(met, start, step, lambda a: F.concat(a["out"], piece(a["at"], run.e)))
+    return F.when(F.exists(base, lambda b: (b.s < run.e) & (run.s < b.e)), cut).otherwise(F.array(run))
+
+
 def _any(v: Column, patterns: Sequence[str]) -> Column:
     hit = F.lit(False)
     for p in patterns:
