@@ -2,7 +2,6 @@
 
 import hashlib
 import re
-
 import time
 
 import pytest

@@ -27,6 +27,7 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 # Letters of other scripts that look like ASCII ones, in pairs.
 LOOKALIKES = "аaеeоoрpсcхxуyіiјjѕsԁdɡgһhӏlԛqԝwАAВBЕEКKМMНHОOРPСCТTХXУYІIЅSαaοoνvρpιiκkΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧX＠@．.。.․.﹒.﹫@＋+－-–-‐-‑-−-—-"
 DIGIT_WORDS = "zero one two three four five six seven eight nine".split()
+DETERMINERS = "a an the this that these those my your his her its our their each every some any no one all both".split()
 #: Last labels that end a spoken address after a written dot in any case; in lower case, or after "dot", any label does.
 TOP_LABELS = "com org net edu gov mil int info biz io co dev app me tv ai uk us de fr es it nl eu ch at be pl ru jp cn in br au ca example test invalid".split()
 
@@ -41,11 +42,12 @@ _open, _close = r"[\[({<]", r"[\])}>]"
 _label = r"[A-Za-z0-9-]+"
 #: at and dot in brackets, as words or signs, which need no context, ...
 MARKED = re.compile(rf"(?<!\s)\s*{_open}\s*(at|dot|@|\.)\s*{_close}\s*", re.I)
-#: ... and as bare words, in a whole address.
-SPOKEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: (?:dot|underscore|dash) [A-Za-z0-9_%+-]+)*(?: at |@| @ ){_label}(?:(?: dot |\.){_label})*(?: dot [A-Za-z]{{2,24}}|\.(?:{'|'.join(TOP_LABELS)}|(?-i:[a-z]{{2,24}})))(?![A-Za-z0-9])",
-    re.I,
-)
+_local = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: (?:dot|underscore|dash) [A-Za-z0-9_%+-]+)*(?: at |@| @ )"
+_domain = rf"{_label}(?:(?: dot |\.){_label})*"
+#: ... and as bare words, in a whole address: with a last label that is known, ...
+SPOKEN = re.compile(rf"{_local}{_domain}(?: dot |\.)(?:{'|'.join(TOP_LABELS)})(?![A-Za-z0-9])", re.I)
+#: ... or with any, unless what follows at is a word that begins a phrase.
+SPOKEN_ANY = re.compile(rf"{_local}(?!(?:{'|'.join(DETERMINERS)})\b){_domain}(?: dot [A-Za-z]{{2,24}}|\.(?-i:[a-z]{{2,24}}))(?![A-Za-z0-9])", re.I)
 #: Four numbers with dots between them, some of them words.
 SPOKEN_IP = re.compile(r"(?<![A-Za-z0-9.])[0-9]+(?:(?: dot |\.)[0-9]+){3}(?![A-Za-z0-9])", re.I)
 SPOKEN_WORD = re.compile(r" (at|dot|underscore|dash) | @ ", re.I)
@@ -135,7 +137,7 @@ def words(t: str) -> list[tuple[int, int, str]]:
     if any(c in low for c in "[({<"):
         words += [(m.start(), m.end(), SYMBOL[m[1].lower()]) for m in MARKED.finditer(t)]
     if " at " in low or "@" in t:
-        for a in SPOKEN.finditer(t):
+        for a in (*SPOKEN.finditer(t), *SPOKEN_ANY.finditer(t)):
             words += [(a.start() + m.start(), a.start() + m.end(), SYMBOL.get((m[1] or "at").lower(), "@")) for m in SPOKEN_WORD.finditer(a[0])]
     if " dot " in low:
         for a in SPOKEN_IP.finditer(t):
