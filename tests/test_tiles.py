@@ -198,3 +198,65 @@ def test_culling_changes_nothing_that_shows(spark):
         assert [pytest.approx(w, abs=1e-3) for w in want] == [list(p) for p in r.parts]
         seen += 1
     assert 3 < seen <= 64
+
+
+def _counting(archive: bytes):
+    """A reader of an archive that counts the leaves and tiles that are fetched."""
+    h = pmtiles.Header.parse(archive)
+    seen = {"leaves": 0, "tiles": 0}
+
+    def read(offset: int, length: int) -> bytes:
+        seen["leaves"] += h.leaf_offset <= offset < h.leaf_offset + h.leaf_length
+        seen["tiles"] += offset >= h.data_offset
+        return archive[offset : offset + length]
+
+    return read, seen
+
+
+def test_windows_are_exact_ranges():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        z = rng.randint(0, 6)
+        (x0, x1), (y0, y1) = (sorted(rng.randint(-2, (1 << z) + 1) for _ in "ab") for _ in "xy")
+        w = pmtiles.Window(z=(z, z), x=(x0, x1), y=(y0, y1))
+        ranges = w.ranges()
+        want = {pmtiles.hilbert_id(z, x, y) for x in range(max(x0, 0), min(x1, (1 << z) - 1) + 1) for y in range(max(y0, 0), min(y1, (1 << z) - 1) + 1)}
+        assert {i for a, b in ranges for i in range(a, b)} == want and all(b < c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+    deep = pmtiles.Window(z=(26, 26), x=(12345, 12345678), y=(7, 2345678)).ranges()
+    assert 0 < len(deep) <= pmtiles.MAX_RANGES and pmtiles.Window(z=(3, 2)).ranges() == []
+
+
+def test_pushed_filters_open_few_leaves(monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual, StringContains
+
+    tiles = {(z, x, y): f"{z}/{x}/{y // 4}".encode() for z in range(7) for x in range(1 << z) for y in range(1 << z)}
+    archive = pmtiles.build_archive(tiles, leaf_size=16)
+    asked = {
+        "one tile": ([EqualTo(("z",), 6), EqualTo(("x",), 9), EqualTo(("y",), 50)], lambda z, x, y: (z, x, y) == (6, 9, 50), 1),
+        "a window": ([EqualTo(("z",), 6), GreaterThan(("x",), 15), LessThanOrEqual(("x",), 23), LessThanOrEqual(("y",), 7)], lambda z, x, y: z == 6 and 15 < x <= 23 and y <= 7, 6),
+        "some zooms": ([In(("z",), (1, 3))], lambda z, x, y: z in (1, 3), 9),
+        "nothing": ([GreaterThan(("z",), 6)], lambda z, x, y: False, 0),
+    }
+    for name, (filters, holds, leaves) in asked.items():
+        read, seen = _counting(archive)
+        reader = pmtiles._Reader({"content": "x", "partitions": "3"})
+        monkeypatch.setattr(reader, "_archive", lambda read=read: pmtiles.Archive(read))
+        rest = StringContains(("bytes",), "a")
+        assert list(reader.pushFilters([*filters, rest])) == [rest]
+        got = [r for p in reader.partitions() for r in reader.read(p)]
+        assert sorted(r[:3] for r in got) == sorted(k for k in tiles if holds(*k)), name
+        assert all(r[4] == tiles[r[:3]] for r in got)
+        assert seen["leaves"] <= leaves * 2, (name, seen)  # the driver may open one to cut it, a task to read it
+        assert seen["tiles"] <= len(got)
+
+
+def test_filters_reach_the_source(spark, tmp_path):
+    tiles = {(5, x, y): f"{x}".encode() for x in range(32) for y in range(32)}
+    path = tmp_path / "t.pmtiles"
+    path.write_bytes(pmtiles.build_archive(tiles, leaf_size=32))
+    df = pmtiles.read_archive(spark, str(path), "s", 4).where("z = 5 and x between 3 and 4 and y in (1, 9) and tile_id > 0")
+    assert sorted((r.x, r.y) for r in df.collect()) == [(3, 1), (3, 9), (4, 1), (4, 9)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (" not in plan, plan

@@ -624,6 +624,18 @@ def pmtiles_lookup(spark, sf_dir):
     return pmtiles.lookup(p.select(tile.alias("tile_id")).distinct(), entries).select("tile_id", "first", "run")
 
 
+@query(f"""WITH {PTS}, t AS (SELECT r.z, (px << r.z) >> 16 AS x, (py << r.z) >> 16 AS y, count(*) AS n FROM pts, (SELECT unnest(range(0, 7)) AS z) r GROUP BY ALL)
+ SELECT z::int AS z, x, y, n FROM t WHERE z >= 3 AND x BETWEEN 5 AND 20 AND y < 11""")
+def pmtiles_window(spark, sf_dir):
+    """Counts of events by tile of the zooms 0 to 6, at most 5,461, as an archive, and a window of it by pushed filters."""
+    p = pts(spark, sf_dir).select(F.explode(F.sequence(F.lit(0), F.lit(6))).alias("z"), "px", "py")
+    at = lambda c: F.expr(f"shiftright({c} << z, 16)").alias(c[1])
+    counts = p.select("z", at("px"), at("py")).groupBy("z", "x", "y").count()
+    archive = pmtiles.build_archive({(r.z, r.x, r.y): str(r["count"]).encode() for r in counts.collect()} or {(0, 0, 0): b""}, leaf_size=64, compress=True)
+    tiles = pmtiles.read_archive(spark, None, "events", 4, archive)
+    return tiles.where((F.col("z") >= 3) & F.col("x").between(5, 20) & (F.col("y") < 11)).select("z", "x", "y", F.col("bytes").cast("string").cast("bigint").alias("n"))
+
+
 @query("""SELECT source, doc_id FROM (SELECT source, doc_id, sum(n_chars) OVER w AS s, row_number() OVER w AS r FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)) WHERE (s <= 60000 OR r <= 1) AND r <= 40""")
 def lru_budget(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import struct
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from .cache import LruCache
 from .mvt import put_varint, varint
@@ -148,6 +150,19 @@ def zxy(tile_id: int) -> tuple[int, int, int]:
     return z, x, y
 
 
+IdRange = tuple[int, int]
+
+
+def _meeting(entries: list[Entry], ranges: list[IdRange] | None, end: int = 1 << 63) -> list[tuple[Entry, int]]:
+    """Entries that meet one of the sorted id ranges, each with the id where the next one begins."""
+    pairs = [(e, e.tile_id + e.run if e.run else after) for e, after in zip(entries, [*(e.tile_id for e in entries[1:]), end])]
+    if ranges is None:
+        return pairs
+    ends = [b for _, b in ranges]
+    at = [bisect_right(ends, e.tile_id) for e, _ in pairs]
+    return [p for p, k in zip(pairs, at) if k < len(ranges) and ranges[k][0] < p[1]]
+
+
 class Archive:
     """An archive behind a range reader."""
 
@@ -170,28 +185,27 @@ class Archive:
         return found
 
     def entries(self, first: int = 0, last: int = 1 << 63, found: list[Entry] | None = None, level: int = 0) -> Iterator[Entry]:
-        """The entries with tiles whose ids begin in first .. last - 1, in id order. Only leaves that meet the range are
-        opened."""
+        """The entries whose tiles meet the ids first .. last - 1, in id order. Only leaves that meet the range are opened."""
         if level >= MAX_LEVELS:
             raise PmTilesError("directories are nested too deep")
         here = self.root if found is None else found
         for e, end in zip(here, [*(e.tile_id for e in here[1:]), 1 << 63]):
             if e.run:
-                if first <= e.tile_id < last:
+                if e.tile_id < last and first < e.tile_id + e.run:
                     yield e
             elif e.tile_id < last and end > first:
                 yield from self.entries(first, last, self.leaf(e.offset, e.length), level + 1)
 
-    def cuts(self, n: int) -> list[int]:
-        """At most n + 1 ids that part the archive into ranges of about as many directory entries. The upper levels do
-        if they have n entries, so the leaves of a large archive stay closed."""
-        here = self.root
+    def cuts(self, n: int, ranges: list[IdRange] | None = None) -> list[int]:
+        """At most n + 1 ids that part the archive, or what of it meets the ranges, into ranges of about as many
+        directory entries. The upper levels do if they have n entries, so the leaves of a large archive stay closed."""
+        here = _meeting(self.root, ranges)
         for _ in range(MAX_LEVELS):
-            if len(here) >= n or all(e.run for e in here):
+            if len(here) >= n or all(e.run for e, _ in here):
                 break
-            here = [x for e in here for x in ([e] if e.run else self.leaf(e.offset, e.length))]
+            here = [x for e, end in here for x in ([(e, end)] if e.run else _meeting(self.leaf(e.offset, e.length), ranges, end))]
         size = max(1, -(-len(here) // n))
-        return [*(e.tile_id for e in here[::size]), 1 << 63] if here else []
+        return [*(e.tile_id for e, _ in here[::size]), 1 << 63] if here else []
 
     def find(self, tile_id: int) -> Entry | None:
         entries = self.root
@@ -216,8 +230,6 @@ class Archive:
 
 def find(entries: list[Entry], tile_id: int) -> Entry | None:
     """The entry that holds an id: the last one not after it, if that is a leaf or its run reaches so far."""
-    from bisect import bisect_right
-
     i = bisect_right(entries, tile_id, key=lambda e: e.tile_id) - 1
     if i < 0:
         return None
@@ -310,17 +322,76 @@ def url_reader(url: str, retries: int = 2, opener=None) -> Read:
     return read
 
 
+#: Id ranges that a window is cut into at most; what is coarser is tested tile by tile.
+MAX_RANGES = 4096
+
+
+@dataclass(frozen=True)
+class Window:
+    """Bounds of tiles, both ends included."""
+
+    z: tuple[int, int] = (0, MAX_ZOOM)
+    x: tuple[int, int] = (0, (1 << MAX_ZOOM) - 1)
+    y: tuple[int, int] = (0, (1 << MAX_ZOOM) - 1)
+    tile_id: tuple[int, int] = (0, (1 << 63) - 1)
+
+    def cut(self, column: str, low: int | None = None, high: int | None = None) -> Window:
+        a, b = getattr(self, column)
+        return replace(self, **{column: (a if low is None else max(a, low), b if high is None else min(b, high))})
+
+    def holds(self, z: int, x: int, y: int, tile_id: int) -> bool:
+        pairs = zip((self.z, self.x, self.y, self.tile_id), (z, x, y, tile_id))
+        return all(a <= v <= b for (a, b), v in pairs)
+
+    def ranges(self, low: int = 0, high: int = MAX_ZOOM) -> list[IdRange]:
+        """Sorted, disjoint ranges of ids with all of the window's tiles of the zooms low .. high.
+
+        A square of the Hilbert curve's grid holds ids without a gap. Squares within the window are taken
+        whole, others are cut in four, zoom by zoom, until there are MAX_RANGES of them.
+        """
+        found: list[IdRange] = []
+        for z in range(max(self.z[0], low), min(self.z[1], high) + 1):
+            start, edge = ((1 << 2 * z) - 1) // 3, (1 << z) - 1
+            box = max(0, self.x[0]), min(edge, self.x[1]), max(0, self.y[0]), min(edge, self.y[1])
+            if box[0] > box[1] or box[2] > box[3]:
+                continue
+            whole: list[IdRange] = []
+            squares = [(0, 0)]
+            for level in range(z + 1):
+                side = 1 << z - level
+                cut = []
+                for cx, cy in squares:
+                    x, y = cx * side, cy * side
+                    if x > box[1] or x + side <= box[0] or y > box[3] or y + side <= box[2]:
+                        continue
+                    first = start + (hilbert_id(level, cx, cy) - ((1 << 2 * level) - 1) // 3) * side * side
+                    inside = box[0] <= x and x + side - 1 <= box[1] and box[2] <= y and y + side - 1 <= box[3]
+                    if inside or len(squares) * 4 + len(whole) > MAX_RANGES:
+                        whole.append((first, first + side * side))
+                    else:
+                        cut += [(2 * cx + i, 2 * cy + j) for i in (0, 1) for j in (0, 1)]
+                squares = cut
+            found += whole
+        out: list[IdRange] = []
+        for a, b in sorted(found):
+            a, b = max(a, self.tile_id[0]), min(b, self.tile_id[1] + 1)
+            if a < b:
+                out[-1:] = [(out[-1][0], b)] if out and out[-1][1] == a else [*out[-1:], (a, b)]
+        return out
+
+
 @dataclass
-class _Range(InputPartition):
-    first: int
-    last: int
+class _Ranges(InputPartition):
+    ranges: list[IdRange]
 
 
 class PmTilesSource(DataSource):
     """spark.read.format("pmtiles").option("path", ..): a row (z, x, y, tile_id, bytes) for each tile.
 
-    Options: partitions, minzoom, maxzoom. The driver reads the header and the upper directories; each
-    partition opens the leaves of its range.
+    Options: partitions, minzoom, maxzoom, and in place of path content, a small archive in base64. The driver
+    reads the header and the upper directories; each partition opens the leaves of its ranges. With
+    ``spark.sql.python.filterPushdown.enabled`` comparisons of z, x, y and tile_id with numbers become id
+    ranges, and only leaves and tiles within them are read.
     """
 
     @classmethod
@@ -336,32 +407,73 @@ class PmTilesSource(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"]
+        self.path, self.content = options.get("path"), options.get("content")
         self.n = int(options.get("partitions", "8"))
-        self.zooms = int(options.get("minzoom", "0")), int(options.get("maxzoom", str(MAX_ZOOM)))
+        self.window = Window(z=(int(options.get("minzoom", "0")), int(options.get("maxzoom", str(MAX_ZOOM)))))
+        self.among: list[tuple[str, frozenset[int]]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Takes what bounds a column by a whole number; gives back all else."""
+        for f in filters:
+            column = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+            if isinstance(f, IsNotNull) and column in ("z", "x", "y", "tile_id"):
+                continue
+            if column not in ("z", "x", "y", "tile_id"):
+                yield f
+            elif isinstance(f, In) and all(isinstance(v, int) for v in f.value):
+                self.among.append((column, frozenset(f.value)))
+                self.window = self.window.cut(column, min(f.value, default=1), max(f.value, default=0))
+            elif not isinstance(getattr(f, "value", None), int):
+                yield f
+            elif isinstance(f, EqualTo):
+                self.window = self.window.cut(column, f.value, f.value)
+            elif isinstance(f, GreaterThan | GreaterThanOrEqual):
+                self.window = self.window.cut(column, low=f.value + isinstance(f, GreaterThan))
+            elif isinstance(f, LessThan | LessThanOrEqual):
+                self.window = self.window.cut(column, high=f.value - isinstance(f, LessThan))
+            else:
+                yield f
 
     def _archive(self) -> Archive:
+        if self.content:
+            held = base64.b64decode(self.content)
+            return Archive(lambda offset, length: held[offset : offset + length])
         return Archive(url_reader(self.path) if "://" in self.path and not self.path.startswith("file:") else file_reader(self.path.removeprefix("file://")))
 
     def partitions(self) -> list[InputPartition]:
-        cuts = self._archive().cuts(self.n)
-        return [_Range(a, b) for a, b in zip(cuts, cuts[1:])]
+        archive = self._archive()
+        ranges = self.window.ranges(archive.header.min_zoom, archive.header.max_zoom)
+        cuts = archive.cuts(self.n, ranges)
+        dealt = [[(max(a, first), min(b, last)) for first, last in ranges if max(a, first) < min(b, last)] for a, b in zip(cuts, cuts[1:])]
+        return [_Ranges(r) for r in dealt if r] or [_Ranges([])]
 
     def read(self, partition):
-        archive = self._archive()
-        for e in archive.entries(partition.first, partition.last):
-            b = archive.bytes(e)
-            for i in range(e.tile_id, e.tile_id + e.run):
-                z, x, y = zxy(i)
-                if b is not None and self.zooms[0] <= z <= self.zooms[1]:
-                    yield z, x, y, i, b
+        archive = self._archive() if partition.ranges else None
+        for first, last in partition.ranges:
+            for e in archive.entries(first, last):
+                ids = [i for i in range(max(e.tile_id, first), min(e.tile_id + e.run, last)) if self._asked(i)]
+                b = archive.bytes(e) if ids else None
+                if b is not None:
+                    for i in ids:
+                        yield *zxy(i), i, b
+
+    def _asked(self, tile_id: int) -> bool:
+        z, x, y = zxy(tile_id)
+        row = {"z": z, "x": x, "y": y, "tile_id": tile_id}
+        return self.window.holds(z, x, y, tile_id) and all(row[c] in values for c, values in self.among)
+
+
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
-def read_archive(spark: SparkSession, path: str, source: str, partitions: int = 8) -> DataFrame:
-    """tiles(source, z, x, y, status, bytes) of an archive."""
+def read_archive(spark: SparkSession, path: str | None, source: str, partitions: int = 8, content: bytes | None = None) -> DataFrame:
+    """tiles(source, z, x, y, tile_id, status, bytes) of an archive: at a path or URL, or a small one's bytes. Filters on z, x, y and
+    tile_id decide what of it is read; the session is set to hand them to data sources in Python."""
     spark.dataSource.register(PmTilesSource)
-    got = spark.read.format("pmtiles").option("path", path).option("partitions", str(partitions)).load()
-    return got.select(F.lit(source).alias("source"), "z", "x", "y", F.lit("data").alias("status"), "bytes")
+    spark.conf.set(PUSHDOWN, "true")
+    where = ("path", path) if content is None else ("content", base64.b64encode(content).decode())
+    got = spark.read.format("pmtiles").option(*where).option("partitions", str(partitions)).load()
+    return got.select(F.lit(source).alias("source"), "z", "x", "y", "tile_id", F.lit("data").alias("status"), "bytes")
 
 
 def delta_ids(deltas: Column) -> Column:
