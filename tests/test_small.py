@@ -1,6 +1,7 @@
 """Small functions by hand-computed values, and state held against plain loops."""
 
 import math
+import re
 import random
 
 import pytest
@@ -127,3 +128,88 @@ def test_raster_matrices():
     assert drawlist.raster_matrix(saturation=-9)[:3] == pytest.approx([1 / 3] * 3)
     red = drawlist.raster_matrix(hue=120)
     assert [red[0], red[5], red[10]] == pytest.approx([0, 1, 0], abs=1e-9)  # red turns green
+
+
+def greedy_lines(text, room, most=4):
+    lines, now = [], None
+    for part in [w for line in re.split(r"(\n)", text) for w in ([line] if line == "\n" else line.split())]:
+        for w in [part] if part == "\n" else [part[i : i + room] for i in range(0, len(part), room)]:
+            if w == "\n":
+                lines.append(now or "") if now is not None else None
+                now = ""
+            elif not now:
+                now = w
+            elif len(now) + 1 + len(w) <= room:
+                now += " " + w
+            else:
+                lines.append(now)
+                now = w
+    return ([*lines, now] if now is not None else lines)[:most]
+
+
+def test_lines(spark):
+    from pyspark.sql import functions as F
+
+    from tilewright.operators import symbols
+
+    texts = ["", "a", "one two three four five six seven", "word", "averyverylongwordthatisbroken in parts", "a\nb", "  spaced   out \n\n lines  ", "x" * 100, "é ü ñ ß", "exactly ten", "\n"]
+    rows = [(t, w) for t in texts for w in (0.5, 2.0, 5.0, 10.0)]
+    df = spark.createDataFrame(rows, "t string, w double")
+    got = {(r.t, r.w): r.l for r in df.select("t", "w", symbols.wrapped(F.col("t"), F.col("w")).alias("l")).collect()}
+    for t, w in rows:
+        room = int(max(w, 2.0) / 0.5)
+        if "\n" not in t:
+            assert got[t, w] == greedy_lines(t, room), (t, w)
+        assert all(len(x) <= room for x in got[t, w]) and len(got[t, w]) <= 4
+    assert got["a\nb", 5.0] == ["a", "b"]
+    size = df.select(*symbols.text_box(F.lit("one two three"), F.lit(10.0), F.lit(4.0), F.lit(False)), *symbols.text_box(F.lit("one two three"), F.lit(10.0), F.lit(4.0), F.lit(True))).first()
+    assert size[0] == 7 * 5 and size[1] == pytest.approx(2 * 11.5) and size[2] == 13 * 5 and size[3] == pytest.approx(11.5)
+
+
+def test_one_placement_of_all_kinds(spark):
+    """Points with icons, labels along lines and ghosts against a plain loop; groups go on from batch to batch."""
+    import random
+
+    from tilewright.operators import symbols
+
+    rng = random.Random(2)
+    box = lambda: dict(zip("ltrb", (lambda x, y: (x, y, x + rng.randint(5, 60), y + rng.randint(5, 30)))(float(rng.randint(0, 500)), float(rng.randint(0, 500)))))
+    rows = []
+    for s in range(7):
+        for i in range(rng.choice([1, 3, 150])):
+            kind = rng.choice(["text", "both", "icon", "curve", "ghost", "free", "none"])
+            texts = [{"anchor": a, **box()} for a in rng.sample(["center", "top", "left", "right"], 3)] if kind in ("text", "both", "free") else []
+            rows.append((s, i, texts, box() if kind in ("icon", "both") else None, [box() for _ in range(4)] if kind == "curve" else None, kind == "free", rng.random() < 0.5, kind == "ghost", rng.choice([None, "left", "bottom"])))
+    b = "struct<l:double,t:double,r:double,b:double>"
+    rows = [(*r[:2], [{**x, "r": float(x["r"]), "b": float(x["b"])} for x in r[2]], *[{k: float(v) for k, v in r[3].items()} if r[3] else None], [{k: float(v) for k, v in x.items()} for x in r[4]] if r[4] else None, *r[5:]) for r in rows]
+    df = spark.createDataFrame(rows, f"screen int, ord int, text_boxes array<struct<anchor:string,l:double,t:double,r:double,b:double>>, icon_box {b}, glyph_boxes array<{b}>, allow_overlap boolean, text_optional boolean, ghost boolean, sat string")
+    want, claimed = {}, {}
+    edges = lambda x: (x["l"], x["t"], x["r"], x["b"])
+    for s, i, texts, icon, glyphs, free, optional, ghost, sat in rows:
+        taken = claimed.setdefault(s, [])
+        fits = lambda bs, taken=taken: not any(p[0] < q[2] and q[0] < p[2] and p[1] < q[3] and q[1] < p[3] for p in bs for q in taken)
+        icons = [edges(icon)] if icon else []
+        tried = [("center", [edges(g) for g in glyphs])] if glyphs else [(t["anchor"], [edges(t)]) for t in texts]
+        tried = [t for t in tried if t[0] == sat] + [t for t in tried if t[0] != sat]
+        out = (False, None, False)
+        if ghost:
+            out = (True, sat, False)
+        elif free:
+            out = (True, tried[0][0], False)
+        else:
+            for a, bs in tried:
+                if fits(bs + icons):
+                    out = (True, a, False)
+                    taken += bs + icons
+                    break
+            else:
+                if icons and (not tried or optional) and fits(icons):
+                    out = (True, None, bool(tried))
+                    taken += icons
+        want[s, i] = out
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = {(r.screen, r.ord): (r.placed, r.anchor, r.text_dropped) for r in symbols.place(df.repartition(3), ["screen"], ["ord"], "sat").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want

@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 Rows = list[dict[str, Any]]
 
@@ -43,6 +47,51 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[Rows]
     return dealt.mapInPandas(run, schema)
 
 
+def fold_columns(df: DataFrame, keys: list[str], order: list[str], step: Callable[[pa.Table, np.ndarray], list[pa.Array]], added: str) -> DataFrame:
+    """df with the ``added`` columns that step() makes of whole groups: it gets a table of groups, each in order, and where
+    each begins.
+
+    Columns stay Arrow columns: what step() doesn't look at is handed on as it is. A task holds the groups of one batch
+    and the one that goes on in the next. Rows with a null key are left out.
+    """
+    for k in keys:
+        df = df.where(df[k].isNotNull())
+    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields])
+    names = schema.fieldNames()
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def made(parts: list[pa.RecordBatch], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        columns = [*(c.combine_chunks() for c in t.columns), *step(t, starts)]
+        yield from pa.Table.from_arrays(columns, names).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # one group's rows
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held:
+                b = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0]
+            starts = _starts(b, keys)
+            if len(starts) > 1:
+                yield from made([b.slice(0, starts[-1])], starts[:-1])
+            held = [b.slice(starts[-1])]
+        if held:
+            yield from made(held, np.zeros(1, int))
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _starts(b: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where a batch's groups begin."""
+    new = np.zeros(b.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        c = b.column(k)
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+    return np.nonzero(new)[0]
+
+
 def _split(schema: str) -> list[str]:
     """A schema's columns: commas within brackets don't count."""
     out, depth, now = [], 0, ""

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +18,15 @@ from ..functions import tiles as T
 from ..plans.expressions import Context, MapView
 from ..plans.theme import TOP_ZOOM, Theme
 from .drawlist import meets, window
-from .folds import Rows, fold
+from .folds import fold_columns
 from .joins import with_sprites
 
 #: Pixels that an anchor may lie outside its tile, and outside the screen.
 SEAM, OFFSCREEN = 0.5, 150.0
 #: The width of a character and the height of a line, in text sizes: there is no text engine here.
 CHAR_WIDTH, LINE_HEIGHT, MAX_LINES = 0.5, 1.15, 4
+#: The least width that lines are broken to, in text sizes.
+MIN_WIDTH = 2.0
 MIN_SIZE, MAX_SIZE = 1.0, 96.0
 ICON_MARGIN = 2.0
 
@@ -153,12 +157,41 @@ def opacity_buckets(drawn: DataFrame) -> DataFrame:
     return drawn.groupBy("opacity").agg(F.count("*").alias("n"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"))
 
 
+def wrapped(text: Column, max_width: Column) -> Column:
+    """ARRAY<STRING>: a text's lines, at most MAX_LINES of at most max_width text sizes.
+
+    Words go on a line while they fit it with a space before them; one that is longer than a line is broken.
+    A line feed begins a line; white space where lines break is dropped.
+    """
+    room = F.greatest(F.floor(F.greatest(max_width, F.lit(MIN_WIDTH)) / CHAR_WIDTH), F.lit(1)).cast("int")
+
+    def pieces(w: Column) -> Column:
+        last = F.floor((F.greatest(F.length(w), F.lit(1)) - 1) / room).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(w, i * room + 1, room))
+
+    def step(a: Column, w: Column) -> Column:
+        line = F.concat(a["now"], F.lit(" "), w)
+        fits = (w != "\n") & (F.length(line) <= room)
+        end = F.concat(a["lines"], F.array(a["now"]))
+        return (
+            F.when(a["now"].isNull(), F.struct(a["lines"].alias("lines"), F.when(w == "\n", "").otherwise(w).alias("now")))
+            .when(a["now"] == "", F.struct(F.when(w == "\n", end).otherwise(a["lines"]).alias("lines"), F.when(w == "\n", "").otherwise(w).alias("now")))
+            .when(fits, F.struct(a["lines"].alias("lines"), line.alias("now")))
+            .otherwise(F.struct(end.alias("lines"), F.when(w == "\n", "").otherwise(w).alias("now")))
+        )
+
+    apart = F.filter(F.split(F.regexp_replace(text, "[ \\t\\r]*\n[ \\t\\r]*", " \n "), "[ \\t\\r]+"), lambda w: w != "")
+    words = F.flatten(F.transform(apart, pieces))
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(None).cast("string").alias("now"))
+    every = F.aggregate(words, start, step, lambda a: F.when(a["now"].isNull(), a["lines"]).otherwise(F.concat(a["lines"], F.array(a["now"]))))
+    return F.slice(every, 1, MAX_LINES)
+
+
 def text_box(text: Column, size: Column, max_width: Column, along: Column) -> tuple[Column, Column]:
-    """Width and height of a label under the width model: lines of at most max_width text sizes, four of them."""
-    full = F.length(text) * size * CHAR_WIDTH
-    per_line = F.greatest(max_width * size, size)
-    lines = F.when(along, F.lit(1.0)).otherwise(F.least(F.lit(float(MAX_LINES)), F.greatest(F.lit(1.0), F.ceil(full / per_line))))
-    return F.when(along, full).otherwise(F.least(full, per_line)), lines * size * LINE_HEIGHT
+    """Width and height of a label under the width model, broken into lines unless it stands along one."""
+    lines = F.when(along, F.array(text)).otherwise(wrapped(text, max_width))
+    longest = F.coalesce(F.array_max(F.transform(lines, lambda line: F.length(line))), F.lit(0))
+    return longest * size * CHAR_WIDTH, F.greatest(F.size(lines), F.lit(1)) * size * LINE_HEIGHT
 
 
 def readable(opacity: Column, size: Column) -> Column:
@@ -169,7 +202,8 @@ def boxes(c: DataFrame) -> DataFrame:
     """Candidates on the screen with ``text_boxes``: for each anchor that may be tried, in order, the box of the text;
     and icon_w, icon_h. Sizes are cut to what is readable."""
     size = F.least(F.greatest(F.col("text_size"), F.lit(MIN_SIZE)), F.lit(MAX_SIZE))
-    w, h = text_box(F.col("text"), size, F.col("text_max_width"), F.col("along_line"))
+    c = _apart(c, __box=F.struct(*[v.alias(k) for k, v in zip("wh", text_box(F.col("text"), size, F.col("text_max_width"), F.col("along_line")))]))
+    w, h = F.col("__box.w"), F.col("__box.h")
     has = (F.col("text") != "") & readable(F.col("text_opacity"), F.col("text_size"))
     tried = F.coalesce(F.col("text_variable_anchor"), F.array("text_anchor"))
     variable = F.col("text_variable_anchor").isNotNull()
@@ -189,7 +223,7 @@ def boxes(c: DataFrame) -> DataFrame:
         pad = F.col("text_padding")
         return F.struct(a.alias("anchor"), (left - pad).alias("l"), (top - pad).alias("t"), (left + rw + pad).alias("r"), (top + rh + pad).alias("b"))
 
-    return c.withColumn("text_boxes", F.when(has, F.transform(tried, one)).otherwise(F.transform(F.slice(tried, 1, 0), one)))
+    return c.withColumn("text_boxes", F.when(has, F.transform(tried, one)).otherwise(F.transform(F.slice(tried, 1, 0), one))).drop("__box")
 
 
 def icon_boxes(c: DataFrame, sprites: DataFrame) -> DataFrame:
@@ -203,6 +237,14 @@ def icon_boxes(c: DataFrame, sprites: DataFrame) -> DataFrame:
     return s.withColumn("icon_box", box).drop(*[f"sprite_{k}" for k in sprites.columns])
 
 
+def placeable(c: DataFrame, sprites: DataFrame) -> DataFrame:
+    """Candidates on the screen as place() takes them: the boxes of their text and icon, and whether they may overlap,
+    which the text's property decides where there is text. Candidates with neither are left out."""
+    b = icon_boxes(boxes(c), sprites)
+    has = F.size("text_boxes") > 0
+    return b.where(has | F.col("icon_box").isNotNull()).withColumn("allow_overlap", F.when(has, F.col("text_allow_overlap")).otherwise(F.col("icon_allow_overlap")))
+
+
 #: A glyph's height along a line in text sizes, and the bend, in radians, up to which a line counts as straight.
 GLYPH_HEIGHT, STRAIGHT = 1.2, 0.02
 
@@ -262,76 +304,87 @@ def _apart(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
+Box = tuple[float, float, float, float]
 PLACED = "placed boolean, anchor string, text_dropped boolean"
 
 
-class Grid:
-    """Claimed boxes in square cells. Boxes collide if they overlap; those that only touch don't."""
-
-    CELL, EDGE = 128.0, 512.0
+class Claimed:
+    """Claimed boxes of one screen, in columns. Boxes collide if they overlap; those that only touch don't."""
 
     def __init__(self):
-        self.cells: dict[tuple[int, int], list[tuple[float, float, float, float]]] = {}
-
-    def _cells(self, b: tuple[float, float, float, float]) -> Iterator[tuple[int, int]]:
-        lo = [math.floor((v + self.EDGE) / self.CELL) for v in b[:2]]
-        hi = [math.floor((v + self.EDGE) / self.CELL) for v in b[2:]]
-        return ((i, j) for i in range(lo[0], hi[0] + 1) for j in range(lo[1], hi[1] + 1))
+        self.n = 0
+        self.boxes = np.empty((4, 32))
 
-    def free(self, b: tuple[float, float, float, float]) -> bool:
-        return not any(b[0] < o[2] and o[0] < b[2] and b[1] < o[3] and o[1] < b[3] for c in self._cells(b) for o in self.cells.get(c, ()))
+    def free(self, b: Box) -> bool:
+        l, t, r, low = self.boxes[:, : self.n]
+        return not self.n or not ((b[0] < r) & (l < b[2]) & (b[1] < low) & (t < b[3])).any()
 
-    def claim_all(self, every: list[tuple[float, float, float, float]]) -> bool:
+    def claim_all(self, every: list[Box]) -> bool:
         """All boxes of a symbol or none; they aren't tested against each other."""
-        if not all(self.free(b) for b in every):
+        if not all(map(self.free, every)):
             return False
-        for b in every:
-            for c in self._cells(b):
-                self.cells.setdefault(c, []).append(b)
+        while self.n + len(every) > self.boxes.shape[1]:
+            self.boxes = np.hstack([self.boxes, np.empty_like(self.boxes)])
+        self.boxes[:, self.n : self.n + len(every)] = np.array(every).T
+        self.n += len(every)
         return True
 
 
+def _boxes_of(column: pa.Array) -> tuple[list[int], list[Box], list[str] | None]:
+    """Of an array of boxes a row: where each row's begin, and all boxes, with their anchors if they have any."""
+    flat = column.flatten()
+    sizes = pc.fill_null(column.value_lengths(), 0).to_numpy()
+    at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    return at, list(zip(*(flat.field(k).to_pylist() for k in "ltrb"))), flat.field("anchor").to_pylist() if "anchor" in [f.name for f in flat.type] else None
+
+
 def place(c: DataFrame, screen: list[str], order: list[str], remembered: str | None = None) -> DataFrame:
-    """Greedy placement on each screen: candidates by ``order`` take the first of their text_boxes that is free together
-    with their icon_box. Adds placed, anchor and text_dropped.
+    """Greedy placement on each screen, of points, icons, labels along lines and ghosts in one order: candidates take the
+    first of their text_boxes that is free together with their icon_box. Adds placed, anchor and text_dropped.
 
     Columns: text_boxes, icon_box (l, t, r, b or null), allow_overlap (neither tests nor claims),
-    text_optional (the icon alone will do), and glyph_boxes, if there is one: the boxes of a label along a
-    line, all of which it takes or none, null for others. ``remembered`` names a column with the anchor used last, which
-    is tried first. What one candidate may take depends on all before it, so a screen is one task's
+    text_optional (the icon alone will do); if there are such, glyph_boxes, the boxes of a label along a line,
+    all of which it takes or none, null for others, and ghost, which is drawn as it was and neither tests
+    nor claims. ``remembered`` names a column with the anchor used last, which is tried first if the style
+    still offers it. What one candidate may take depends on all before it, so a screen is one task's
     work, of as many candidates as a screen has; screens are independent.
     """
-
-    columns = c.columns
-
-    def run(rows: Rows) -> Iterator[tuple]:
-        grid = Grid()
-        for r in rows:
-            yield *(r[k] for k in columns), *_try(grid, r, r[remembered] if remembered else None)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema.fields)
-    return fold(c, screen, order, run, f"{schema}, {PLACED}")
-
-
-def _try(grid: Grid, r: dict, remembered: str | None) -> tuple[bool, str | None, bool]:
+    extra = [k for k in ("glyph_boxes", "ghost") if k in c.columns]
+
+    def step(t: pa.Table, starts: np.ndarray) -> list[pa.Array]:
+        column = lambda k: t.column(k).combine_chunks()
+        at, boxes, names = _boxes_of(column("text_boxes"))
+        glyph_at, glyphs, _ = _boxes_of(column("glyph_boxes")) if "glyph_boxes" in extra else ([0] * (t.num_rows + 1), [], None)
+        icon = column("icon_box")
+        icons = [[b] if ok else [] for ok, b in zip(icon.is_valid().to_pylist(), zip(*(icon.field(k).to_pylist() for k in "ltrb")))]
+        overlap, optional = column("allow_overlap").to_pylist(), column("text_optional").to_pylist()
+        ghost = column("ghost").to_pylist() if "ghost" in extra else [False] * t.num_rows
+        held = column(remembered).to_pylist() if remembered else [None] * t.num_rows
+        out: list[tuple[bool, str | None, bool]] = []
+        for first, end in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows]):
+            claimed = Claimed()
+            for i in range(first, end):
+                tried = [(names[k], [boxes[k]]) for k in range(at[i], at[i + 1])]
+                if glyph_at[i] < glyph_at[i + 1]:
+                    tried = [("center", glyphs[glyph_at[i] : glyph_at[i + 1]])]
+                if held[i]:
+                    tried.sort(key=lambda x: x[0] != held[i])
+                out.append((True, held[i], False) if ghost[i] else _try(claimed, tried, icons[i], overlap[i], optional[i]))
+        return [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.bool_(), pa.string(), pa.bool_()))]
+
+    return fold_columns(c, screen, order, step, PLACED)
+
+
+def _try(claimed: Claimed, tried: list[tuple[str, list[Box]]], icon: list[Box], allow_overlap: bool, text_optional: bool) -> tuple[bool, str | None, bool]:
     """Whether a candidate is placed, with which anchor, and whether without its text."""
-    tried = [(b["anchor"], (b["l"], b["t"], b["r"], b["b"])) for b in (r["text_boxes"] if r["text_boxes"] is not None else [])]
-    tried = [(anchor, [box]) for anchor, box in tried]
-    glyphs = r.get("glyph_boxes")
-    if glyphs is not None and len(glyphs):
-        tried = [("center", [(b["l"], b["t"], b["r"], b["b"]) for b in glyphs])]
-    if remembered:
-        tried.sort(key=lambda x: x[0] != remembered)
-    icon = r["icon_box"]
-    icon = [(icon["l"], icon["t"], icon["r"], icon["b"])] if isinstance(icon, dict) else []
     if not tried and not icon:
         return False, None, False
-    if r["allow_overlap"]:
+    if allow_overlap:
         return True, tried[0][0] if tried else None, False
     for anchor, taken in tried:
-        if grid.claim_all([*taken, *icon]):
+        if claimed.claim_all([*taken, *icon]):
             return True, anchor, False
-    if icon and (not tried or r["text_optional"]) and grid.claim_all(icon):
+    if icon and (not tried or text_optional) and claimed.claim_all(icon):
         return True, None, bool(tried)
     return False, None, False
 

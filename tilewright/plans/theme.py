@@ -33,7 +33,7 @@ PROPERTIES: dict[str, dict[str, tuple[str, Any]]] = {
         "text-font": ("strings", ["Open Sans Regular"]), "text-max-width": ("number", 10), "text-letter-spacing": ("number", 0), "text-transform": ("string", "none"),
         "text-anchor": ("string", "center"), "text-variable-anchor": ("strings", None), "text-radial-offset": ("number", 0), "text-offset": ("numbers", [0, 0]),
         "text-padding": ("number", 2), "text-allow-overlap": ("boolean", False), "text-optional": ("boolean", False), "text-max-angle": ("number", 45), "text-keep-upright": ("boolean", True),
-        "text-rotation-alignment": ("string", "auto"), "icon-image": ("string", ""), "icon-size": ("number", 1), "icon-anchor": ("string", "center"), "icon-offset": ("numbers", [0, 0]),
+        "text-rotation-alignment": ("string", "auto"), "icon-image": ("string", ""), "icon-size": ("number", 1), "icon-anchor": ("string", "center"), "icon-allow-overlap": ("boolean", False), "icon-offset": ("numbers", [0, 0]),
         "icon-rotate": ("number", 0), "icon-rotation-alignment": ("string", "auto"), "text-color": ("color", "#000000"), "text-opacity": ("number", 1), "text-halo-color": ("color", None),
         "text-halo-width": ("number", 0), "icon-opacity": ("number", 1), "icon-color": ("color", "#000000"), "icon-halo-color": ("color", None), "icon-halo-width": ("number", 0),
     },

@@ -543,9 +543,13 @@ def zoom_opacity(spark, sf_dir):
     return p.select("event_id", symbols.band_opacity(zoom, lo, hi).alias("band"), symbols.opacity_step((zoom - 11) / 5).alias("shown"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PTS}, c AS (SELECT event_id AS ord, x, y, upper(event_type || ' ' || k) AS text, px % 256 AS ax, py % 256 AS ay, k FROM pts WHERE k >= 50),
+ b AS (SELECT ord, x, y, text, row_number() OVER (PARTITION BY x, y ORDER BY k, ay, ord) AS n, struct_pack(l := ax - length(text) * 3.0::DOUBLE - 2, t := ay - 12 * 1.15::DOUBLE / 2 - 2, r := ax + length(text) * 3.0::DOUBLE + 2, b := ay + 12 * 1.15::DOUBLE / 2 + 2) AS b FROM c),
+ r AS (SELECT ord, x, y, text, n, true AS placed, [b] AS claimed FROM b WHERE n = 1 UNION ALL
+ SELECT ord, x, y, text, n, free, CASE WHEN free THEN list_append(claimed, b) ELSE claimed END FROM (SELECT c.*, r.claimed, len(list_filter(r.claimed, lambda o: c.b.l < o.r AND o.l < c.b.r AND c.b.t < o.b AND o.t < c.b.b)) = 0 AS free FROM r JOIN b c ON c.x = r.x AND c.y = r.y AND c.n = r.n + 1))
+ SELECT ord, text, placed, CASE WHEN placed THEN 'center' END AS anchor FROM r""")
 def collision_greedy(spark, sf_dir):
-    """Greedy placement depends on every earlier choice of its screen; tests hold it against a plain loop."""
+    """Greedy placement on each tile; every choice depends on all earlier ones of its screen."""
     c = symbols.candidates(event_features(spark, sf_dir), read_theme(THEME), 8.0, event_view())
     c = symbols.boxes(c.withColumn("screen_x", F.col("anchor_x")).withColumn("screen_y", F.col("anchor_y")))
     c = symbols.with_priority(c, ["x", "y"]).withColumn("icon_box", F.lit(None).cast("struct<l:double,t:double,r:double,b:double>"))
@@ -553,6 +557,66 @@ def collision_greedy(spark, sf_dir):
     return symbols.place(c, ["x", "y"], ["rank"]).select("ord", "text", "placed", "anchor")
 
 
+_TEXT = {"text-field": "{event_type} {event_type} number {k}", "text-size": 96, "text-max-width": 8}
+_OF = {"source": "events", "source-layer": "pts"}
+LABELS: dict[str, Any] = {
+    "version": 8, "name": "labels",
+    "layers": [
+        {"id": "clicks", "type": "symbol", **_OF, "filter": ["==", "event_type", "click"], "layout": _TEXT | {"text-variable-anchor": ["center", "top", "left"], "text-radial-offset": 1, "symbol-sort-key": ["get", "k"]}},
+        {"id": "pins", "type": "symbol", **_OF, "filter": ["==", "event_type", "view"], "layout": {"icon-image": "pin", "icon-size": 4}},
+        {"id": "shops", "type": "symbol", **_OF, "filter": ["==", "event_type", "purchase"], "layout": _TEXT | {"icon-image": "pin", "icon-size": 4, "text-anchor": "left", "text-offset": [1, 0], "text-optional": True}},
+        {"id": "ways", "type": "symbol", **_OF, "filter": ["==", "event_type", "signup"], "layout": {"text-field": "{event_type}", "text-size": 96}},
+    ],
+}
+
+
+@query(f"""WITH RECURSIVE {PTS}, e AS (SELECT event_id AS ord, event_type AS kind, px >> 12 AS sx, py >> 12 AS sy, (px % 4096)::DOUBLE AS x, (py % 4096)::DOUBLE AS y, k, [event_type, event_type, 'number', k::VARCHAR] AS ws FROM pts),
+ w AS (SELECT ord, ws, 1 AS i, ws[1] AS now, 0 AS longest, 1 AS n FROM e UNION ALL SELECT ord, ws, i + 1, CASE WHEN fits THEN now || ' ' || ws[i + 1] ELSE ws[i + 1] END, CASE WHEN fits THEN longest ELSE greatest(longest, length(now)) END,
+ CASE WHEN fits THEN n ELSE n + 1 END FROM (SELECT *, length(now) + 1 + length(ws[i + 1]) <= 16 AS fits FROM w WHERE i < 4)),
+ m AS (SELECT e.*, greatest(longest, length(now)) * 48.0::DOUBLE AS w, n * 96 * 1.15::DOUBLE AS h, struct_pack(l := x - 66, t := y - 50, r := x + 66, b := y + 50) AS icon FROM e JOIN w USING (ord) WHERE i = 4),
+ o AS (SELECT ord, kind, sx, sy, row_number() OVER (PARTITION BY sx, sy ORDER BY CASE kind WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END, CASE WHEN kind = 'click' THEN k ELSE 0 END, y, ord) AS n,
+ CASE kind WHEN 'click' THEN [struct_pack(a := 'center', d := false, bs := [struct_pack(l := x - w / 2 - 2, t := y - h / 2 - 2, r := x + w / 2 + 2, b := y + h / 2 + 2)]), struct_pack(a := 'top', d := false, bs := [struct_pack(l := x - w / 2 - 2, t := y + 94, r := x + w / 2 + 2, b := y + 96 + h + 2)]),
+  struct_pack(a := 'left', d := false, bs := [struct_pack(l := x + 94, t := y - h / 2 - 2, r := x + 96 + w + 2, b := y + h / 2 + 2)])]
+ WHEN 'view' THEN [struct_pack(a := NULL::VARCHAR, d := false, bs := [icon])]
+ WHEN 'purchase' THEN [struct_pack(a := 'left', d := false, bs := [struct_pack(l := x + 94, t := y - h / 2 - 2, r := x + 96 + w + 2, b := y + h / 2 + 2), icon]), struct_pack(a := NULL::VARCHAR, d := true, bs := [icon])]
+ ELSE [struct_pack(a := 'center', d := false, bs := [struct_pack(l := x - 146, t := y - 96 * 1.15::DOUBLE / 2 - 2, r := x + 146, b := y + 96 * 1.15::DOUBLE / 2 + 2)])] END AS opts FROM m WHERE kind <> 'error'),
+ r AS (SELECT sx, sy, 0::BIGINT AS n, NULL::BIGINT AS ord, NULL::VARCHAR AS kind, NULL::STRUCT(a VARCHAR, d BOOLEAN, bs STRUCT(l DOUBLE, t DOUBLE, r DOUBLE, b DOUBLE)[]) AS pick, []::STRUCT(l DOUBLE, t DOUBLE, r DOUBLE, b DOUBLE)[] AS claimed FROM o WHERE n = 1 UNION ALL
+ SELECT sx, sy, n, ord, kind, pick, CASE WHEN pick IS NULL THEN claimed ELSE list_concat(claimed, pick.bs) END FROM (SELECT o.sx, o.sy, o.n, o.ord, o.kind, r.claimed,
+ list_filter(o.opts, lambda q: len(list_filter(q.bs, lambda b: len(list_filter(r.claimed, lambda c: b.l < c.r AND c.l < b.r AND b.t < c.b AND c.t < b.b)) > 0)) = 0)[1] AS pick FROM r JOIN o ON o.sx = r.sx AND o.sy = r.sy AND o.n = r.n + 1))
+ SELECT ord, kind, pick IS NOT NULL AS placed, pick.a AS anchor, coalesce(pick.d, false) AS text_dropped FROM r WHERE n > 0 UNION ALL SELECT ord, kind, true, 'top', false FROM e WHERE kind = 'error'""")
+def label_placement(spark, sf_dir):
+    """One placement of texts with three anchors, icons, both together, labels along lines, and ghosts, on screens of 16 x 16 tiles."""
+    f = event_features(spark, sf_dir)
+    c = symbols.candidates(f.where("event_type <> 'error'"), read_theme(LABELS), 8.0, event_view(), extra=("event_type", "px", "py"))
+    at = lambda c: (F.col(c) % 4096).cast("double")
+    c = c.select("*", F.shiftright("px", 12).alias("sx"), F.shiftright("py", 12).alias("sy"), at("px").alias("screen_x"), at("py").alias("screen_y"))
+    pin = spark.createDataFrame([("pin", 64, 48, 2.0)], "name string, width int, height int, pixel_ratio double")
+    c = symbols.placeable(c.withColumn("layer_index", -F.col("layer_index")), pin)
+    way = F.array(F.col("screen_x") - 200, F.col("screen_y"), F.col("screen_x") + 200, F.col("screen_y"))
+    ways = symbols.along_lines(c.where("event_type = 'signup'").withColumn("path", way).withColumn("path_distance", F.lit(200.0)))
+    shown = ("ord", F.col("event_type").alias("kind"), "sx", "sy", "layer_index", "sort_key", "screen_y", "text_boxes", "icon_box", "allow_overlap", "text_optional")
+    none = F.lit(None).cast(ways.schema["glyph_boxes"].dataType)
+    rows = ways.select(*shown, "glyph_boxes").unionByName(c.where("event_type <> 'signup'").select(*shown, none.alias("glyph_boxes")))
+    rows = rows.withColumn("ghost", F.lit(False)).withColumn("sat", F.lit(None).cast("string"))
+    gone = f.where("event_type = 'error'").select("ord", F.col("event_type").alias("kind"), F.shiftright("px", 12).alias("sx"), F.shiftright("py", 12).alias("sy"), F.lit(-9).alias("layer_index"), F.lit(True).alias("ghost"), F.lit("top").alias("sat"))
+    rows = rows.unionByName(gone, allowMissingColumns=True)
+    ranked = symbols.with_priority(rows, ["sx", "sy"])
+    return symbols.place(ranked, ["sx", "sy"], ["rank"], remembered="sat").select("ord", "kind", "placed", "anchor", "text_dropped")
+
+
+@query("""WITH RECURSIVE t AS (SELECT page_id, greatest(5 + page_id % 20, 4) * 2 AS room, list_filter(str_split_regex(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+'), lambda w: w <> '')[:40] AS ws FROM pages),
+ p AS (SELECT page_id, room, row_number() OVER (PARTITION BY page_id ORDER BY i, j) AS n, substr(ws[i], j * room + 1, room) AS w FROM t, unnest(range(1, len(ws) + 1)) AS a(i), unnest(range(0, (length(ws[i]) - 1) // room + 1)) AS b(j)),
+ r AS (SELECT page_id, n, 1 AS line, w AS now, false AS ends, w AS was FROM p WHERE n = 1 UNION ALL
+ SELECT p.page_id, p.n, CASE WHEN length(r.now) + 1 + length(w) <= room THEN line ELSE line + 1 END, CASE WHEN length(r.now) + 1 + length(w) <= room THEN r.now || ' ' || w ELSE w END, length(r.now) + 1 + length(w) > room, r.now FROM r JOIN p ON p.page_id = r.page_id AND p.n = r.n + 1)
+ SELECT page_id, line, max_by(now, n) AS words FROM r WHERE line <= 4 GROUP BY 1, 2""")
+def label_lines(spark, sf_dir):
+    """The first 40 words of each page as a label of at most four lines."""
+    p = table(spark, sf_dir, "pages")
+    text = F.array_join(F.slice(F.filter(F.split(F.regexp_replace("html", "<[^>]*>", " "), "[ \\t\\r\\n]+"), lambda w: w != ""), 1, 40), " ")
+    lines = p.select("page_id", F.posexplode(symbols.wrapped(text, (5 + F.col("page_id") % 20).cast("double"))).alias("i", "words"))
+    return lines.select("page_id", (F.col("i") + 1).alias("line"), "words")
+
+
 @query(f"""WITH {PTS} SELECT (k % 9) / 8.0::DOUBLE AS opacity, count(*) AS n, min(px)::DOUBLE AS l, min(py)::DOUBLE AS t, max(px)::DOUBLE AS r, max(py)::DOUBLE AS b FROM pts GROUP BY 1""")
 def opacity_buckets(spark, sf_dir):
     p = pts(spark, sf_dir)
