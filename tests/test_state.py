@@ -57,6 +57,66 @@ def test_streams_follow_the_batch_rules(spark, tmp_path):
     assert got == want
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def streamed(spark, tmp_path, df, made, parts, expected, wait=40):
+    """What a stream makes of df, part after part, with a restart between the first and the others; it ends when as many
+    rows as expected are there."""
+    import time
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df.where(parts[0]).coalesce(1).write.parquet(src)
+    schema = made(spark.readStream.schema(df.schema).parquet(src)).schema
+    count = lambda: spark.read.schema(schema).parquet(out).count() if (tmp_path / "out" / "_spark_metadata").exists() else 0
+    for k in range(2):
+        stream = made(spark.readStream.schema(df.schema).parquet(src))
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="0 seconds").start()
+        try:
+            for p in parts[1:] if k else ():
+                df.where(p).coalesce(1).write.mode("append").parquet(src)
+                time.sleep(1)
+            end = time.time() + wait
+            while q.isActive and count() < (expected if k else 1) and time.time() < end:
+                time.sleep(0.5)
+            assert q.exception() is None
+        finally:
+            q.stop()
+    return sorted(map(tuple, spark.read.schema(schema).parquet(out).collect()))
+
+
+def test_fades_tick_without_input(spark, tmp_path):
+    rows = [("s1", 0, "a"), ("s1", 25, "a"), ("s1", 25, "b"), ("s2", 0, "a"), ("s1", 400, "b"), ("s1", 430, "c"), ("s2", 300, "b"), ("s3", 1000, "a")]
+    df = spark.createDataFrame(rows, "session string, frame long, key string")
+    want = sorted(map(tuple, labels.fade_states(df, "session", "frame", "key", 100, tick=20).collect()))
+    plain = {r[:3] for r in labels.fade_states(df, "session", "frame", "key", 100).collect()}
+    assert plain < {w[:3] for w in want} and ("s3", 1100, "a", 1.0) in want
+    got = streamed(spark, tmp_path, df, lambda d: labels.fade_stream(d, 100, tick=20, tick_ms=20), ["frame < 30", "frame >= 30 and frame < 420", "frame >= 420"], len(want))
+    assert [(g[:3]) for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-9 for g, w in zip(got, want))
+
+
+def test_passes_run_when_they_are_due(spark, tmp_path):
+    rows = [("s", 0, 1), ("s", 100_000, 1), ("s", 250_000, 1), ("s", 900_000, 1), ("s", 950_000, 2), ("s", 1_000_000, 2), ("t", 5, 1), ("t", 400_000, 1), ("u", 7, 1), ("u", 8, 1)]
+    df = spark.createDataFrame(rows, "session string, time long, generation long")
+    want = sorted(map(tuple, labels.passes(df, "session", "time", "generation", 300_000).collect()))
+    assert [w[1] for w in want if w[0] == "s" and w[4]] == [300_000, 1_250_000] and [w[1] for w in want if w[0] == "u" and w[4]] == [300_007]
+    got = streamed(spark, tmp_path, df, lambda d: labels.pass_stream(d, 300_000), ["time < 300000", "time between 300000 and 920000", "time > 920000"], len(want))
+    assert got == want
+
+
+def test_memory_stream(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    rows = [(f"s{rng.randint(0, 1)}", f, rng.choice("abc"), float(rng.randint(0, 120)), float(rng.randint(0, 40))) for f in [*range(0, 60), *range(100, 130), *range(300, 320)] for _ in range(3)]
+    df = spark.createDataFrame(rows, "session string, frame long, key string, x double, y double")
+    want = sorted(map(tuple, labels.key_sightings(df).collect()))
+    assert max(w[5] for w in want) > 3
+    got = streamed(spark, tmp_path, df, labels.memory_stream, ["frame < 40", "frame between 40 and 109", "frame > 109"], len(want))
+    assert got == want
+
+
 def test_disk_cache(tmp_path):
     now = [1000.0]
     c = DiskCache(str(tmp_path), 60, 10, lambda: now[0])

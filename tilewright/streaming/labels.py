@@ -37,13 +37,24 @@ class Fades:
     duration: int
     opacity: dict[Any, float] = field(default_factory=dict)
     last: int | None = None
+    shown: set[Any] = field(default_factory=set)
+
+    @property
+    def active(self) -> bool:
+        """Whether a fade is under way, so that frames have to go on without anything new."""
+        return any(o < 1 or k not in self.shown for k, o in self.opacity.items())
+
+    def ticks(self, tick: int, until: int | None = None) -> Iterator[tuple[int, dict[Any, float]]]:
+        """Frames a tick apart, before ``until``, while a fade is under way: what was shown last stays shown."""
+        while self.active and (until is None or self.last + tick < until):
+            yield self.last + tick, self.frame(self.last + tick, self.shown)
 
     def frame(self, now: int, shown: set[Any]) -> dict[Any, float]:
         if self.last is None or self.duration <= 0:
             step = 1.0
         else:
             step = min(max((now - self.last) / self.duration, 0.0), 1.0)
-        self.last = now
+        self.last, self.shown = now, shown
         out = {}
         for k in shown | set(self.opacity):
             if k not in self.opacity:
@@ -64,13 +75,20 @@ class Throttle:
     interval: int
     last: int | None = None
     seen: Any = None
+    owed: bool = False
 
     def place(self, now: int, generation: Any = None) -> bool:
         due = self.last is None or self.interval <= 0 or generation != self.seen or now >= self.last + self.interval or now < self.last
+        self.owed = not due
         if due:
             self.last, self.seen = now, generation
         return due
 
+    def overdue(self, until: int | None = None) -> int | None:
+        """When a pass that was put off runs by itself, if nothing places before; None if none is owed until then."""
+        at = self.last + self.interval if self.owed else None
+        return None if at is None or until is not None and at >= until else at
+
 
 @dataclass
 class Memory:
@@ -123,15 +141,20 @@ class Retry:
 # -- batches ----------------------------------------------------------------------------------------------------
 
 
-def fade_states(frames: DataFrame, session: str, frame: str, key: str, duration: int, shift: int = 1) -> DataFrame:
+def fade_states(frames: DataFrame, session: str, frame: str, key: str, duration: int, shift: int = 1, tick: int | None = None) -> DataFrame:
     """frames(session, frame, key): the keys shown in each frame of each session -> the opacity of every key that is
-    shown or fading in each frame. ``shift`` is the time from one frame number to the next."""
+    shown or fading in each frame. ``shift`` is the time from one frame number to the next. With a ``tick`` frames so
+    far apart go on between and after the given ones until all fades have ended."""
 
     def run(rows: Rows) -> Iterator[tuple]:
         state = Fades(duration)
         for f, part in groupby(rows, key=lambda r: r[frame]):
+            for at, o in state.ticks(tick, int(f)) if tick else ():
+                yield from ((rows[0][session], at, k, v) for k, v in sorted(o.items()))
             for k, o in sorted(state.frame(int(f) * shift, {r[key] for r in part}).items()):
                 yield rows[0][session], f, k, o
+        for at, o in state.ticks(tick) if tick else ():
+            yield from ((rows[0][session], at, k, v) for k, v in sorted(o.items()))
 
     s = frames.select(session, frame, key).where(F.col(key).isNotNull())
     kinds = {f.name: f.dataType.simpleString() for f in s.schema.fields}
@@ -152,6 +175,56 @@ def throttled(events: DataFrame, session: str, time_us: str, order: str, interva
     return fold(events, [session], [time_us, order], step, f"{schema}, placed boolean")
 
 
+def passes(events: DataFrame, session: str, time_us: str, generation: str, interval: int) -> DataFrame:
+    """(session, time, generation, placed, owed): events(session, time, generation) in order of time, and, as rows that are
+    owed, the passes that run by themselves an interval after the last one because an event was put off."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+
+    def step(rows: Rows) -> Iterator[tuple]:
+        t = Throttle(interval)
+        for r in rows:
+            yield from _passes(t, rows[0][session], int(r[time_us]), int(r[generation]))
+        yield from _owed(t, rows[0][session])
+
+    return fold(events.select(session, time_us, generation), [session], [time_us, generation], step, f"{session} {kinds[session]}, time long, generation long, placed boolean, owed boolean")
+
+
+def _owed(t: Throttle, session: Any, until: int | None = None) -> Iterator[tuple]:
+    at = t.overdue(until)
+    if at is not None:
+        yield session, at, t.seen, t.place(at, t.seen), True
+
+
+def _passes(t: Throttle, session: Any, now: int, generation: int) -> Iterator[tuple]:
+    yield from _owed(t, session, now)
+    yield session, now, generation, t.place(now, generation), False
+
+
+def key_sightings(frames: DataFrame, session: str = "session", frame: str = "frame", key: str = "key", x: str = "x", y: str = "y") -> DataFrame:
+    """frames(session, frame, key, x, y) with ``entry``: a label nearer than 32 pixels to where one of its key sat is that
+    one; one that isn't seen for 90 frames is forgotten. Entries are numbered within session and key."""
+    s = frames.select(session, frame, key, x, y)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema.fields)
+
+    def step(rows: Rows) -> Iterator[tuple]:
+        memory, count = Memory(), 0
+        for r in rows:
+            e, count = _sighting(memory, r[key], int(r[frame]), r[x], r[y], count)
+            yield r[session], r[frame], r[key], r[x], r[y], e["number"]
+
+    return fold(s, [session, key], [frame, x, y], step, f"{schema}, entry int")
+
+
+def _sighting(memory: Memory, key: Any, frame: int, x: float, y: float, count: int) -> tuple[dict[str, Any], int]:
+    if memory.frame != frame + 1:
+        memory.frame = frame  # frames without the key do nothing but pass
+        memory.begin()
+    e = memory.sitting(key, x, y)
+    if "number" not in e:
+        e["number"], count = count, count + 1
+    return e, count
+
+
 def load_status(age: Column, ttl: Column, present: Column, empty: Column) -> Column:
     """What a cache answers: fresh or stale bytes, known to be absent, or a miss that goes to the provider."""
     word = F.when(age <= ttl, F.lit("fresh")).otherwise(F.lit("stale"))
@@ -182,58 +255,101 @@ def queue_order(jobs: DataFrame) -> DataFrame:
 
 
 class FadeProcessor(StatefulProcessor):
-    """Keyed by session; rows (session, frame, key), any number of frames in a batch. State: each key's opacity and the
-    last frame's time."""
+    """Keyed by session; rows (session, frame, key), any number of frames in a batch. State: each key's opacity and
+    whether it is shown, and the last frame's time.
+
+    With a tick a timer, ``tick_ms`` of processing time later, runs the next frame of a session that has a fade
+    under way, whether anything comes in or not. Frames that input finds missing are made up before it, so the
+    result is the batch's, however late timers are.
+    """
 
-    def __init__(self, duration: int):
-        self.duration = duration
+    def __init__(self, duration: int, tick: int | None = None, tick_ms: int = 16):
+        self.duration, self.tick, self.tick_ms = duration, tick, tick_ms
 
     def init(self, handle) -> None:
-        self.opacities = handle.getMapState("opacities", "key string", "opacity double")
+        self.handle = handle
+        self.opacities = handle.getMapState("opacities", "key string", "opacity double, shown boolean")
         self.last = handle.getValueState("last", "time long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         every = pd.concat(list(rows))
-        state = Fades(self.duration, {k[0]: v[0] for k, v in self.opacities.iterator()}, self.last.get()[0] if self.last.exists() else None)
-        out = []
+        state, out = self._state(), []
         for f, part in every.groupby("frame", sort=True):
-            out += [(key[0], int(f), k, o) for k, o in sorted(state.frame(int(f), set(part["key"])).items())]
+            out += list(state.ticks(self.tick, int(f))) if self.tick else []
+            out.append((int(f), state.frame(int(f), set(part["key"]))))
+        yield self._kept(key, state, out, timer_values)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = self._state()
+        yield self._kept(key, state, [(state.last + self.tick, state.frame(state.last + self.tick, state.shown))] if state.active else [], timerValues)
+
+    def _state(self) -> Fades:
+        held = {k[0]: v for k, v in self.opacities.iterator()}
+        last = self.last.get()[0] if self.last.exists() else None
+        return Fades(self.duration, {k: v[0] for k, v in held.items()}, last, {k for k, v in held.items() if v[1]})
+
+    def _kept(self, key, state: Fades, frames: list[tuple[int, dict[str, float]]], timer_values) -> pd.DataFrame:
         for (k,) in list(self.opacities.keys()):
             if k not in state.opacity:
                 self.opacities.removeKey((k,))
         for k, o in state.opacity.items():
-            self.opacities.updateValue((k,), (o,))
+            self.opacities.updateValue((k,), (o, k in state.shown))
         self.last.update((state.last,))
-        yield pd.DataFrame(out, columns=["session", "frame", "key", "opacity"])
+        if self.tick:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if state.active:
+                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.tick_ms)
+        out = [(key[0], f, k, o) for f, opacities in frames for k, o in sorted(opacities.items())]
+        return pd.DataFrame(out, columns=["session", "frame", "key", "opacity"])
 
     def close(self) -> None:
         pass
 
 
-def fade_stream(frames: DataFrame, duration: int) -> DataFrame:
+def fade_stream(frames: DataFrame, duration: int, tick: int | None = None, tick_ms: int = 16) -> DataFrame:
     """The streaming twin of fade_states(): frames(session, frame, key)."""
-    return frames.groupBy("session").transformWithStateInPandas(
-        FadeProcessor(duration), "session string, frame long, key string, opacity double", "append", "none"
-    )
+    made = FadeProcessor(duration, tick, tick_ms)
+    return frames.groupBy("session").transformWithStateInPandas(made, "session string, frame long, key string, opacity double", "append", "processingTime" if tick else "none")
 
 
 class ThrottleProcessor(StatefulProcessor):
-    """Keyed by session; rows (session, time, generation)."""
+    """Keyed by session; rows (session, time, generation). A pass that is put off sets a timer, for when it is due
+    by the time that has passed since; a placement before that takes it back."""
 
-    def __init__(self, interval: int):
-        self.interval = interval
+    def __init__(self, interval: int, owed: bool = False):
+        self.interval, self.owed = interval, owed
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("state", "last long, generation long")
+        self.handle = handle
+        self.state = handle.getValueState("state", "last long, generation long, owed boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        t = Throttle(self.interval)
-        if self.state.exists():
-            t.last, t.seen = self.state.get()
-        every = pd.concat(list(rows)).sort_values("time")
-        every["placed"] = [t.place(int(a), int(g)) for a, g in zip(every["time"], every["generation"])]
-        self.state.update((t.last, t.seen))
-        yield every[["session", "time", "generation", "placed"]]
+        t = self._throttle()
+        every = pd.concat(list(rows)).sort_values(["time", "generation"])
+        if not self.owed:
+            every["placed"] = [t.place(int(a), int(g)) for a, g in zip(every["time"], every["generation"])]
+            self.state.update((t.last, t.seen, t.owed))
+            yield every[["session", "time", "generation", "placed"]]
+            return
+        out = [p for a, g in zip(every["time"], every["generation"]) for p in _passes(t, key[0], int(a), int(g))]
+        yield self._kept(t, out, int(every["time"].iloc[-1]), timer_values)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        t = self._throttle()
+        yield self._kept(t, list(_owed(t, key[0])), t.last, timerValues)
+
+    def _throttle(self) -> Throttle:
+        return Throttle(self.interval, *self.state.get()) if self.state.exists() else Throttle(self.interval)
+
+    def _kept(self, t: Throttle, out: list[tuple], now: int, timer_values) -> pd.DataFrame:
+        self.state.update((t.last, t.seen, t.owed))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if t.owed:
+            wait = max(1, -(-(t.last + t.interval - now) // 1000))
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + wait)
+        return pd.DataFrame(out, columns=["session", "time", "generation", "placed", "owed"])
 
     def close(self) -> None:
         pass
@@ -243,3 +359,44 @@ def throttle_stream(events: DataFrame, interval: int) -> DataFrame:
     return events.groupBy("session").transformWithStateInPandas(
         ThrottleProcessor(interval), "session string, time long, generation long, placed boolean", "append", "none"
     )
+
+
+def pass_stream(events: DataFrame, interval: int) -> DataFrame:
+    """The streaming twin of passes(): events(session, time, generation), times in microseconds."""
+    schema = "session string, time long, generation long, placed boolean, owed boolean"
+    return events.groupBy("session").transformWithStateInPandas(ThrottleProcessor(interval, owed=True), schema, "append", "processingTime")
+
+
+class MemoryProcessor(StatefulProcessor):
+    """Keyed by session and label key; rows (session, frame, key, x, y). State: the list of where its labels sat, which is
+    also forgotten if nothing is seen of the key for ``ttl_ms`` of processing time."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.entries = handle.getListState("entries", "x double, y double, seen long, number int", self.ttl_ms)
+        self.count = handle.getValueState("count", "n int", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        k = key[1]
+        held = [dict(zip(("x", "y", "seen", "number"), e)) for e in self.entries.get()]
+        memory, count = Memory({k: held} if held else {}), self.count.get()[0] if self.count.exists() else 0
+        every = pd.concat(list(rows)).sort_values(["frame", "x", "y"])
+        numbers = []
+        for r in every.itertuples(index=False):
+            e, count = _sighting(memory, k, int(r.frame), r.x, r.y, count)
+            numbers.append(e["number"])
+        self.entries.put([(e["x"], e["y"], e["seen"], e["number"]) for e in memory.entries.get(k, [])])
+        self.count.update((count,))
+        every["entry"] = numbers
+        yield every[["session", "frame", "key", "x", "y", "entry"]]
+
+    def close(self) -> None:
+        pass
+
+
+def memory_stream(frames: DataFrame, ttl_ms: int = 600_000) -> DataFrame:
+    """The streaming twin of key_sightings(): frames(session, frame, key, x, y)."""
+    schema = "session string, frame long, key string, x double, y double, entry int"
+    return frames.groupBy("session", "key").transformWithStateInPandas(MemoryProcessor(ttl_ms), schema, "append", "processingTime")
