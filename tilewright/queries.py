@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import color, geometry
 from .functions import tiles as T
-from .operators import drawlist, joins, symbols
+from .operators import drawlist, joins, stamps, symbols
 from .operators.folds import fold
 from .plans import style
 from .plans.expressions import Context, TypedView, compile_expression, compile_filter, property_column
@@ -514,6 +514,87 @@ def draw_rasters(spark, sf_dir):
     return got.where("matrix is null").select("x", "y", r6(F.col("opacity")).alias("opacity"), "src.*")
 
 
+STAMPS: dict[str, Any] = {
+    "version": 8, "name": "stamps",
+    "layers": [
+        {"id": "rails", "type": "line", "source": "shapes", "source-layer": "lines", "filter": ["<", ["get", "label"], 8], "paint": {"line-pattern": "rail", "line-width": 8}},
+        {"id": "woods", "type": "fill", "source": "shapes", "source-layer": "lines", "filter": [">=", ["get", "label"], 3], "paint": {"fill-pattern": "tree", "fill-opacity": 0.5}},
+    ],
+}
+SHEET = [("rail", 0, 0, 64, 8, 1.0, False), ("tree", 64, 0, 96, 80, 2.0, False), ("star", 0, 16, 24, 24, 2.0, True)]
+
+
+def sheet(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SHEET, "name string, x int, y int, width int, height int, pixel_ratio double, sdf boolean")
+
+
+def _cut_sql(zooms: int) -> str:
+    """d: each line's segments with the part t0 .. t1 of them that lies in the window."""
+    return f"""{_shape_sql(zooms)}, g AS (SELECT w.*, i, x1, y1, x2, y2, len, sum(len) OVER (PARTITION BY vec_id ORDER BY i) - len AS done FROM w JOIN seg USING (vec_id, label)),
+ d AS (SELECT *, greatest(0.0, CASE WHEN x2 > x1 THEN (l-x1)/(x2-x1) WHEN x2 < x1 THEN (r-x1)/(x2-x1) ELSE 0 END, CASE WHEN y2 > y1 THEN (t-y1)/(y2-y1) WHEN y2 < y1 THEN (b-y1)/(y2-y1) ELSE 0 END) AS t0,
+ least(1.0, CASE WHEN x2 > x1 THEN (r-x1)/(x2-x1) WHEN x2 < x1 THEN (l-x1)/(x2-x1) ELSE 1 END, CASE WHEN y2 > y1 THEN (b-y1)/(y2-y1) WHEN y2 < y1 THEN (t-y1)/(y2-y1) ELSE 1 END) AS t1 FROM g
+ WHERE NOT (x1 = x2 AND (x1 < l OR x1 > r)) AND NOT (y1 = y2 AND (y1 < t OR y1 > b)))"""
+
+
+@query(f"""WITH {_cut_sql(3)}, k AS (SELECT *, unnest(range(ceil(((done + t0 * len) * s - 32) / 64)::BIGINT, ceil(((done + t1 * len) * s - 32) / 64)::BIGINT)) * 64 + 32 AS far FROM d WHERE t0 < t1 AND label < 8)
+ SELECT vec_id AS ord, far, round((x1 + (x2 - x1) * (far / s - done) / len) * s + ox, 3) + 0.0 AS at_x, round((y1 + (y2 - y1) * (far / s - done) / len) * s + oy, 3) + 0.0 AS at_y, round(atan2(y2 - y1, x2 - x1), 4) + 0.0 AS angle FROM k""")
+def draw_stamps(spark, sf_dir):
+    """Sprites along lines that are cut to their tiles, three zooms over the data; ``far`` is how far along the whole line."""
+    drawn = drawlist.draw_list(shape_features(spark, sf_dir, "LineString", 3), read_theme(STAMPS), 11.5, shape_view(), frozenset({"rail", "tree"}))
+    starts = drawn.where("kind = 'line'").select("layer_index", "ord", "z", "x", "y", F.posexplode("starts").alias("part", "start"))
+    got = stamps.line_stamps(drawn, sheet(spark)).join(starts, ["layer_index", "ord", "z", "x", "y", "part"])
+    at = F.ceil(F.round((F.col("start") - 32) / 64, 9)) * 64 + 32 + F.col("stamp") * 64
+    r3 = lambda c: F.round(c, 3) + 0.0
+    return got.select("ord", at.cast("bigint").alias("far"), r3("at_x").alias("at_x"), r3("at_y").alias("at_y"), (F.round("angle", 4) + 0.0).alias("angle"))
+
+
+@query(f"""WITH {_shape_sql(1)}, e AS (SELECT vec_id, -((2 * (vec_id % 256) + vec_id % 2) * 256 % 48) AS tx, -((2 * (vec_id // 256 % 256) + vec_id // 2 % 2) * 256 % 40) AS ty, list_min([p[2*i+1] for i in range(len(p)//2)]) * s + ox AS l, list_max([p[2*i+1] for i in range(len(p)//2)]) * s + ox AS r,
+ list_min([p[2*i+2] for i in range(len(p)//2)]) * s + oy AS t, list_max([p[2*i+2] for i in range(len(p)//2)]) * s + oy AS b FROM w WHERE label >= 3),
+ i AS (SELECT *, unnest(range(floor((l - tx) / 48)::BIGINT, floor((r - tx) / 48)::BIGINT + 1)) AS i FROM e), j AS (SELECT *, unnest(range(floor((t - ty) / 40)::BIGINT, floor((b - ty) / 40)::BIGINT + 1)) AS j FROM i)
+ SELECT vec_id AS ord, i, j, (tx + i * 48)::DOUBLE AS left_px, (ty + j * 40)::DOUBLE AS top_px FROM j""")
+def draw_patterns(spark, sf_dir):
+    """Cells of a pattern of 48 x 40 pixels over areas; they run on from tile to tile."""
+    drawn = drawlist.draw_list(shape_features(spark, sf_dir, "Polygon", 1), read_theme(STAMPS), 9.5, shape_view(), frozenset({"rail", "tree"}))
+    got = stamps.pattern_cells(drawn, sheet(spark))
+    return got.select("ord", "i", "j", F.col("left").alias("left_px"), F.col("top").alias("top_px"))
+
+
+@query(f"""WITH {PTS}, e AS (SELECT event_id, k, CASE WHEN event_type IN ('click', 'view') THEN 'star' WHEN event_type = 'purchase' THEN 'tree' END AS icon, 1 + k % 3 AS size, (k % 5) / 4.0::DOUBLE AS opacity, event_type = 'view' AND k % 2 = 0 AS halo FROM pts),
+ s AS (SELECT event_id, icon, least(greatest(8 * size / 2.0::DOUBLE, 4), 128) AS slope, unnest(CASE WHEN icon = 'tree' THEN [struct_pack(turn := 1, edge := NULL::DOUBLE, alpha := opacity)] WHEN halo THEN
+ [struct_pack(turn := 0, edge := least(greatest((6 - 2.0::DOUBLE / size) / 8, 0), 0.75), alpha := opacity * 0.5), struct_pack(turn := 1, edge := 0.75::DOUBLE, alpha := opacity)] ELSE [struct_pack(turn := 1, edge := 0.75::DOUBLE, alpha := opacity)] END) AS m FROM e WHERE icon IS NOT NULL AND opacity > 0)
+ SELECT event_id, m.turn AS turn, round(m.alpha, 6) AS alpha, CASE WHEN icon = 'tree' THEN NULL ELSE CASE WHEN m.turn = 0 THEN 0.0 ELSE 255.0 END END::DOUBLE AS red, CASE WHEN icon <> 'tree' THEN slope END AS slope, round((0.5 - m.edge * slope) * 255, 6) + 0.0 AS shift FROM s""")
+def draw_icons(spark, sf_dir):
+    """Red stars of a distance field, those of views with a halo, and plain trees: a row for each image that is drawn."""
+    p, k = pts(spark, sf_dir), F.col("k")
+    icon = F.when(F.col("event_type").isin("click", "view"), "star").when(F.col("event_type") == "purchase", "tree")
+    tint = lambda a, r: F.struct(F.lit(a).alias("a"), F.lit(r).alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b"))
+    x, y, size = F.col("px").cast("double"), F.col("py").cast("double"), (1 + k % 3).cast("double")
+    rect = F.struct(x.alias("l"), y.alias("t"), (x + 12 * size).alias("r"), (y + 12 * size).alias("b"))
+    halo = F.when((F.col("event_type") == "view") & (k % 2 == 0), tint(0.5, 0.0))
+    icons = p.select("event_id", icon.alias("icon"), rect.alias("rect"), size.alias("icon_size"), ((k % 5) / 4.0).alias("icon_opacity"), tint(1.0, 1.0).alias("icon_color"), halo.alias("icon_halo_color"), F.lit(2.0).alias("icon_halo_width"))
+    got = stamps.icon_rows(icons, sheet(spark))
+    m = lambda i: F.get("matrix", F.lit(i))
+    return got.select("event_id", "turn", F.round("alpha", 6).alias("alpha"), m(4).alias("red"), m(18).alias("slope"), (F.round(m(19), 6) + 0.0).alias("shift"))
+
+
+@query(f"""WITH {PTS}, t AS (SELECT DISTINCT x, y FROM pts), d AS (SELECT 'background' AS kind, 0 AS stage, x % 2 AS a, 8 AS b, y AS c, x AS e, 0 AS f, -1::BIGINT AS ord FROM t UNION ALL
+ SELECT 'circle', 0, x % 2, 8, y, x, CASE WHEN event_type = 'click' THEN 1 ELSE 2 END, event_id FROM pts WHERE event_type = 'click' OR value > 50 UNION ALL
+ SELECT 'label', 1, CASE WHEN k % 9 = 8 THEN 0 ELSE 1 + k % 9 END, 4, 0, 0, 0, event_id FROM pts WHERE k >= 50)
+ SELECT kind, ord, row_number() OVER (ORDER BY stage, a, b, c, e, f, ord)::BIGINT AS turn, CASE WHEN kind = 'background' THEN e END AS x, CASE WHEN kind = 'background' THEN c END AS y FROM d""")
+def draw_order(spark, sf_dir):
+    """One order of backgrounds and circles, retained tiles (here those of even columns) first, and of labels over all."""
+    f, theme = event_features(spark, sf_dir), read_theme(THEME)
+    circles = drawlist.draw_list(f, theme, 8.0, event_view())
+    grounds = drawlist.backgrounds(f.select("z", "x", "y").distinct(), theme, 8.0)
+    slim = ["z", "x", "y", "layer_index", "kind", "ord"]
+    tiles = stamps.tile_draws(circles.select(*slim).unionByName(grounds.select("z", "x", "y", "layer_index", F.lit("background").alias("kind"), "ord")), F.col("x") % 2)
+    names = symbols.candidates(f, theme, 8.0, event_view(), extra=("k",)).select("z", "x", "y", "layer_index", F.lit("label").alias("kind"), "ord", ((F.col("k") % 9) / 8.0).alias("opacity"))
+    labels_ = stamps.label_draws(names, F.col("opacity")).drop("opacity")
+    got = stamps.draw_turns(tiles.unionByName(labels_))
+    ground = lambda c: F.when(F.col("kind") == "background", F.col(c)).alias(c)
+    return got.select("kind", "ord", "turn", ground("x"), ground("y"))
+
+
 @query(f"""WITH {PTS} SELECT DISTINCT x, y, (191::BIGINT << 24) + 2113632 AS argb, -4.0::DOUBLE AS edge FROM pts""")
 def draw_backgrounds(spark, sf_dir):
     tiles = pts(spark, sf_dir).select("z", "x", "y").distinct()
