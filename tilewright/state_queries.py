@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry
-from .operators import symbols
+from .operators import retention, symbols
 from .operators import tilestore as S
 from .plans.theme import read_theme
 from .queries import OVERLAP, PTS, _overlap_sides, lines, pts, query, table
@@ -243,3 +243,40 @@ def _by_tile():
     from pyspark.sql import Window
 
     return Window.partitionBy("tile").orderBy("event_id")
+
+
+TILE = "STRUCT(z BIGINT, x BIGINT, y BIGINT, c BIGINT)"
+SAME = "len(list_filter({0}, lambda o: o.z = t.z AND o.x = t.x AND o.y = t.y)) > 0"
+SYMBOLS, LOADED = "(t.x + t.y) % 3 <> 0", "n >= t.c + (t.x * 7 + t.y * 13) % 4"
+SEEN_ON = " AND ".join(f"CASE WHEN t.z <= z THEN t.{c} BETWEEN {c}0 >> (z - t.z)::INT AND {c}1 >> (z - t.z)::INT ELSE t.{c} >> (t.z - z)::INT BETWEEN {c}0 AND {c}1 END" for c in "xy")
+
+
+
+@query(f"""WITH RECURSIVE {PTS}, p AS (SELECT user_id AS view, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, k FROM pts),
+ q AS (SELECT view, n, 8 - (n // 4) % 3 AS z, (view * 7919) % 30000 + n * 90 + 400 AS cx, (view * 104729) % 30000 + n * 60 + k % 40 + 300 AS cy FROM p),
+ f AS (SELECT view, n, z, (cx - 400) // (65536 >> z::INT) AS x0, (cx + 400) // (65536 >> z::INT) AS x1, (cy - 300) // (65536 >> z::INT) AS y0, (cy + 300) // (65536 >> z::INT) AS y1 FROM q),
+ g AS (SELECT *, list_transform(range((x1 - x0 + 1) * (y1 - y0 + 1)), lambda i: struct_pack(z := z, x := x0 + i // (y1 - y0 + 1), y := y0 + i % (y1 - y0 + 1), c := n)) AS layout FROM f),
+ r AS (SELECT view, 0::BIGINT AS n, -1::BIGINT AS z, []::{TILE}[] AS cur, []::{TILE}[] AS ret, []::{TILE}[] AS gh FROM g WHERE n = 1 UNION ALL
+ SELECT view, n, z, cur, list_filter(ret, lambda t: {LOADED} AND NOT ready AND {SEEN_ON}) AS ret,
+ list_concat(list_concat(gh, parked), list_transform(list_filter(ret, lambda t: {LOADED} AND {SYMBOLS} AND (ready OR NOT ({SEEN_ON}))), lambda t: struct_pack(z := t.z, x := t.x, y := t.y, c := n))) AS gh FROM (
+ SELECT *, len(list_filter(cur, lambda t: NOT (n - 2 >= t.c + (t.x * 7 + t.y * 13) % 4))) = 0 AS ready FROM (
+ SELECT view, n, z, x0, x1, y0, y1, list_concat(kept, list_filter(layout, lambda t: NOT {SAME.format("kept")})) AS cur, ret, gh, parked FROM (
+ SELECT g.view, g.n, g.z, g.x0, g.x1, g.y0, g.y1, g.layout, list_filter(r.gh, lambda t: g.n - t.c < 2) AS gh,
+ CASE WHEN g.z <> r.z THEN list_transform(list_filter(r.ret, lambda t: {SAME.format("r.cur")} AND g.{LOADED} AND {SYMBOLS}), lambda t: struct_pack(z := t.z, x := t.x, y := t.y, c := g.n)) ELSE [] END AS parked,
+ CASE WHEN g.z <> r.z THEN list_concat(list_filter(r.ret, lambda t: NOT {SAME.format("r.cur")}), r.cur) ELSE r.ret END AS ret,
+ CASE WHEN g.z <> r.z THEN [] ELSE list_filter(r.cur, lambda t: t.x BETWEEN g.x0 AND g.x1 AND t.y BETWEEN g.y0 AND g.y1) END AS kept FROM r JOIN g ON g.view = r.view AND g.n = r.n + 1)))),
+ o AS (SELECT view, n, cur, unnest(list_concat(list_concat(list_transform(cur, lambda t: struct_pack(role := 'current', t := t)), list_transform(ret, lambda t: struct_pack(role := 'retained', t := t))), list_transform(gh, lambda t: struct_pack(role := 'ghost', t := t)))) AS e FROM r WHERE n > 0),
+ m AS (SELECT view, n, e.role AS role, e.t AS t, list_filter(cur, lambda a: a.x >> greatest(a.z - e.t.z, 0)::INT = e.t.x >> greatest(e.t.z - a.z, 0)::INT AND a.y >> greatest(a.z - e.t.z, 0)::INT = e.t.y >> greatest(e.t.z - a.z, 0)::INT) AS met FROM o)
+ SELECT view, n AS frame, role, t.z::INT AS z, t.x AS x, t.y AS y, CASE role WHEN 'current' THEN NOT ({LOADED}) WHEN 'retained' THEN {SYMBOLS} AND (len(met) = 0 OR len(list_filter(met, lambda u: NOT ({LOADED.replace("t.", "u.")}))) > 0) ELSE false END AS flag FROM m""")
+def tile_frames(spark, sf_dir):
+    """A camera path for each user, four frames a zoom: which tiles are current, retained and parked in every frame."""
+    from pyspark.sql import Window
+
+    p = pts(spark, sf_dir)
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    p = p.select(F.col("user_id").alias("view"), n.alias("frame"), "k").withColumn("zoom", (8 - F.floor(F.col("frame") / 4) % 3).cast("int"))
+    cx = (F.col("view") * 7919) % 30000 + F.col("frame") * 90 + 400
+    cy = (F.col("view") * 104729) % 30000 + F.col("frame") * 60 + F.col("k") % 40 + 300
+    side = F.call_function("shiftright", F.lit(65536), F.col("zoom"))
+    box = [F.floor(v / side).alias(c) for c, v in (("x0", cx - 400), ("x1", cx + 400), ("y0", cy - 300), ("y1", cy + 300))]
+    return retention.retention(p.select("view", "frame", "zoom", *box), lambda k: ((k[1] * 7 + k[2] * 13) % 4, (k[1] + k[2]) % 3 != 0), fade=2)
