@@ -200,3 +200,59 @@ def test_queue(spark):
     got = [(r.tile, r.phase) for r in labels.queue_order(jobs).orderBy("turn").collect()]
     assert got == [("t1", "raster"), ("t2", "raster"), ("t3", "symbols")]
     assert jobs.select(F.max("seq")).first()[0] == 6
+
+
+def test_network_tiles(spark, tmp_path):
+    """A batch and a stream against a server of this machine, under two names; never more requests to a host than agreed."""
+    import threading
+    import time
+    from collections import Counter
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from tilewright.plans import problems
+    from tilewright.sources import network
+
+    open_now, most, lock = Counter(), Counter(), threading.Lock()
+
+    class Tiles(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            host = self.headers["Host"]
+            with lock:
+                open_now[host] += 1
+                most[host] = max(most[host], open_now[host])
+            time.sleep(0.01)
+            z, x, y = map(int, self.path.strip("/").split("/"))
+            code = 404 if x == 3 else 403 if y == 5 else 200
+            with lock:
+                open_now[host] -= 1
+            self.send_response(code)
+            self.end_headers()
+            if code == 200:
+                self.wfile.write(f"{z}/{x}/{y}".encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Tiles)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    urls = [f"http://{h}:{server.server_port}/{{z}}/{{x}}/{{y}}" for h in ("127.0.0.1", "localhost")]
+    try:
+        df = network.read_tiles(spark, urls, perhost=2).where("z = 4 and x between 1 and 6 and y < 7")
+        seen, o = problems.observed(df)
+        got = {(r.z, r.x, r.y): r for r in seen.collect()}
+        assert set(got) == {(4, x, y) for x in range(1, 7) for y in range(7)}
+        for (z, x, y), r in got.items():
+            want = ("not_found", None) if x == 3 else ("error", None) if y == 5 else ("data", f"{z}/{x}/{y}".encode())
+            assert (r.status, bytes(r.bytes) if r.bytes else None) == want and (y != 5 or x == 3 or r.error == "status 403")
+        assert o.get == {"tiles": 42, "data": 30, "not_found": 7, "error": 5}
+        assert [tuple(r) for r in problems.counted(problems.tile_problems(df, F.col("url"))).collect()] == [("tile", "status 403", 5)]
+        assert len(most) == 2 and max(most.values()) <= 2
+        q = network.read_tiles(spark, urls, stream=True, minzoom=2, maxzoom=3, batch=30).writeStream.format("memory").queryName("tiles_by_net").option("checkpointLocation", str(tmp_path / "cp")).start()
+        end = time.time() + 60
+        while q.isActive and spark.table("tiles_by_net").count() < 80 and time.time() < end:
+            time.sleep(0.5)
+        q.stop()
+        rows = spark.table("tiles_by_net").collect()
+        assert len(rows) == 80 and len({(r.z, r.x, r.y) for r in rows}) == 80 and max(most.values()) <= 2
+    finally:
+        server.shutdown()

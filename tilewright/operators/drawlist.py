@@ -170,12 +170,14 @@ def _drawn(features: DataFrame, layers: list, ctx: Context, sprites: frozenset[s
     passes = []
     for at in range(0, len(layers), LAYERS):
         every = []
+        drawn = [(F.col("source") == y.source) & (F.col("source_layer") == y.source_layer) & y.shapes(F.col("geom_type")) for y in layers[at : at + LAYERS]]
+        any_layer = reduce(lambda a, b: a | b, drawn)  # reaches the scan; what no layer draws is evaluated for none
         for y in layers[at : at + LAYERS]:
             p = y.resolved(ctx)
             shows = (F.col("source") == y.source) & (F.col("source_layer") == y.source_layer) & y.shapes(F.col("geom_type"))
             shows = shows & F.coalesce(y.filter_column(ctx).value.col, F.lit(False)) & F.coalesce(visible(y.type, p), F.lit(False))
             every.append(F.when(shows, F.struct(*_named(y, y.type), *_painted(paint(y.type, p, sprites)))))
-        passes.append(features.select(*keep, F.inline(F.filter(F.array(*every), lambda row: row.isNotNull()))))
+        passes.append(features.where(any_layer).select(*keep, F.inline(F.filter(F.array(*every), lambda row: row.isNotNull()))))
     return reduce(DataFrame.unionByName, passes)
 
 

@@ -16,7 +16,7 @@ from .functions import color, geometry
 from .functions import tiles as T
 from .operators import drawlist, joins, stamps, symbols
 from .operators.folds import fold
-from .plans import style
+from .plans import problems, style
 from .plans.expressions import Context, TypedView, compile_expression, compile_filter, property_column
 from .plans.theme import read_theme
 from .sources import cache, mvt, pmtiles, providers
@@ -769,6 +769,27 @@ def pmtiles_lookup(spark, sf_dir):
     return pmtiles.lookup(p.select(tile.alias("tile_id")).distinct(), entries).select("tile_id", "first", "run")
 
 
+ODD: dict[str, Any] = {
+    "version": 8, "name": "odd",
+    "layers": [
+        {"id": "hills", "type": "hillshade", "source": "dem"}, {"id": "heat", "type": "heatmap", "source": "s"}, {"id": "off", "type": "line", "source": "s", "source-layer": "l", "layout": {"visibility": "none"}},
+        {"id": "loose", "type": "fill"}, {"id": "new", "type": "hologram", "source": "s"}, {"id": "ok", "type": "circle", "source": "s", "source-layer": "l", "paint": {"circle-radius": ["elevation"]}},
+        {"id": "too", "type": "line", "source": "s", "source-layer": "l", "filter": ["all", ["==", ["elevation"], 1]]},
+    ],
+}
+
+
+@query(f"""WITH {PTS}, t AS (SELECT CASE WHEN event_type = 'error' THEN CASE WHEN k < 30 THEN 'status 503' WHEN k < 60 THEN 'timed out' ELSE 'unknown' END END AS reason FROM pts)
+ SELECT 'tile' AS kind, reason, count(*) AS n FROM t WHERE reason IS NOT NULL GROUP BY 2 UNION ALL
+ SELECT * FROM (VALUES ('layer', 'type hillshade is not drawn', 1), ('layer', 'type heatmap is not drawn', 1), ('layer', 'not visible', 1), ('layer', 'no source', 1), ('style', 'unknown type hologram', 1), ('expression', 'not supported: operator elevation', 2)) v(kind, reason, n)""")
+def problem_counts(spark, sf_dir):
+    """What a style leaves out and which tiles failed, counted by reason."""
+    k = F.col("k")
+    failed = F.when(k < 30, "status 503").when(k < 60, "timed out")
+    tiles = pts(spark, sf_dir).select("event_id", F.when(F.col("event_type") == "error", "error").otherwise("data").alias("status"), failed.alias("error"))
+    return problems.counted(problems.style_problems(spark, ODD).unionByName(problems.tile_problems(tiles, F.col("event_id"))))
+
+
 @query(f"""WITH {PTS}, t AS (SELECT r.z, (px << r.z) >> 16 AS x, (py << r.z) >> 16 AS y, count(*) AS n FROM pts, (SELECT unnest(range(0, 7)) AS z) r GROUP BY ALL)
  SELECT z::int AS z, x, y, n FROM t WHERE z >= 3 AND x BETWEEN 5 AND 20 AND y < 11""")
 def pmtiles_window(spark, sf_dir):

@@ -405,10 +405,10 @@ class PmTilesSource(DataSource):
         return _Reader(self.options)
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.content = options.get("path"), options.get("content")
-        self.n = int(options.get("partitions", "8"))
+class WindowFilters:
+    """Filters on tiles that a reader takes from Spark: its window, and values a column has to be among."""
+
+    def start(self, options) -> None:
         self.window = Window(z=(int(options.get("minzoom", "0")), int(options.get("maxzoom", str(MAX_ZOOM)))))
         self.among: list[tuple[str, frozenset[int]]] = []
 
@@ -434,6 +434,18 @@ class _Reader(DataSourceReader):
             else:
                 yield f
 
+    def asked(self, tile_id: int) -> bool:
+        z, x, y = zxy(tile_id)
+        row = {"z": z, "x": x, "y": y, "tile_id": tile_id}
+        return self.window.holds(z, x, y, tile_id) and all(row[c] in values for c, values in self.among)
+
+
+class _Reader(WindowFilters, DataSourceReader):
+    def __init__(self, options):
+        self.path, self.content = options.get("path"), options.get("content")
+        self.n = int(options.get("partitions", "8"))
+        self.start(options)
+
     def _archive(self) -> Archive:
         if self.content:
             held = base64.b64decode(self.content)
@@ -451,17 +463,12 @@ class _Reader(DataSourceReader):
         archive = self._archive() if partition.ranges else None
         for first, last in partition.ranges:
             for e in archive.entries(first, last):
-                ids = [i for i in range(max(e.tile_id, first), min(e.tile_id + e.run, last)) if self._asked(i)]
+                ids = [i for i in range(max(e.tile_id, first), min(e.tile_id + e.run, last)) if self.asked(i)]
                 b = archive.bytes(e) if ids else None
                 if b is not None:
                     for i in ids:
                         yield *zxy(i), i, b
 
-    def _asked(self, tile_id: int) -> bool:
-        z, x, y = zxy(tile_id)
-        row = {"z": z, "x": x, "y": y, "tile_id": tile_id}
-        return self.window.holds(z, x, y, tile_id) and all(row[c] in values for c, values in self.among)
-
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
