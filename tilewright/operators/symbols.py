@@ -194,6 +194,14 @@ def text_box(text: Column, size: Column, max_width: Column, along: Column) -> tu
     return longest * size * CHAR_WIDTH, F.greatest(F.size(lines), F.lit(1)) * size * LINE_HEIGHT
 
 
+def rough_box(text: Column, size: Column, max_width: Column) -> tuple[Column, Column]:
+    """Width and height of a text by its length alone, as if words could be cut anywhere: an estimate that follows no words,
+    for texts far longer than a label."""
+    full, per_line = F.length(text) * size * CHAR_WIDTH, F.greatest(max_width * size, size)
+    lines = F.least(F.lit(float(MAX_LINES)), F.greatest(F.lit(1.0), F.ceil(full / per_line)))
+    return F.least(full, per_line), lines * size * LINE_HEIGHT
+
+
 def readable(opacity: Column, size: Column) -> Column:
     return (opacity > 0) & (size >= MIN_SIZE) & ~F.isnan(size)
 

@@ -736,7 +736,7 @@ def font_weights(spark, sf_dir):
  least(length(text) * 6.0, 120.0)::DOUBLE AS w, least(4.0, greatest(1.0, ceil(length(text) * 6.0 / 120.0))) * 12 * 1.15::DOUBLE AS h FROM documents""")
 def label_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    w, h = symbols.text_box(F.col("text"), F.lit(12.0), F.lit(10.0), F.lit(False))
+    w, h = symbols.rough_box(F.col("text"), F.lit(12.0), F.lit(10.0))
     return d.select("doc_id", symbols.curve_safe(F.col("text")).alias("safe"), w.alias("w"), h.alias("h"))
 
 
