@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as PT
 
-from ..functions import color, geometry
+from ..functions import clipping, color
 from ..functions import tiles as T
 from ..plans.expressions import Context, MapView, TypedView
 from ..plans.theme import Theme
@@ -54,17 +54,11 @@ _CUT = PT.StructType([PT.StructField("parts", _PARTS), PT.StructField("starts",
 def clip_parts(parts: pa.Array, kinds: pa.Array, l: pa.Array, t: pa.Array, r: pa.Array, b: pa.Array) -> pa.Array:  # noqa: E741
     """What of each row's parts lies in its window, and how far along the whole part each piece starts. Rows whose
     parts are null stay so."""
-    out = []
-    for ps, kind, *rect in zip(*(c.to_pylist() for c in (parts, kinds, l, t, r, b))):
-        if ps is None:
-            out.append(None)
-        elif kind == "LineString":
-            runs = [(run, start) for p in ps for run, start, _ in geometry.clip_line(p, tuple(rect))]
-            out.append({"parts": [p for p, _ in runs], "starts": [start for _, start in runs]})
-        else:
-            rings = [p for p in (geometry.clip_ring(p, tuple(rect)) for p in ps) if p] if kind == "Polygon" else ps
-            out.append({"parts": rings, "starts": [0.0] * len(rings)})
-    return pa.array(out, pa.struct([("parts", pa.list_(pa.list_(pa.float64()))), ("starts", pa.list_(pa.float64()))]))
+    kind, found = np.asarray(kinds.to_pylist(), dtype=object), clipping.ragged(parts)
+    rect = np.column_stack([c.to_numpy(zero_copy_only=False) for c in (l, t, r, b)]).astype(np.float64)
+    line, ring = kind == "LineString", kind == "Polygon"
+    cut = [clipping.clip_lines(clipping.chosen(found, line), rect), clipping.clip_rings(clipping.chosen(found, ring), rect), clipping.chosen(found, ~line & ~ring)]
+    return clipping.as_struct(clipping.together(cut), parts.is_null().to_numpy(zero_copy_only=False))
 
 
 def clipped(features: DataFrame) -> DataFrame:
