@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,17 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def once(measure: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A measure whose path is computed once a row. Filters are pushed down with the path's own expression in the
+    measure's place for it, where it would otherwise be computed again for each vertex."""
+
+    @wraps(measure)
+    def of(p: Column) -> Column:
+        return let(p, measure)
+
+    return of
+
+
 def n_points(p: Column) -> Column:
     return F.floor(F.size(p) / 2).cast("int")
 
@@ -42,6 +54,7 @@ def bounds(p: Column) -> Column:
     )
 
 
+@once
 def ring_area(p: Column) -> Column:
     """Signed area of the closed ring; positive for rings that run clockwise on a screen (y down)."""
     n = n_points(p)
@@ -53,6 +66,7 @@ def ring_area(p: Column) -> Column:
     return F.aggregate(F.transform(_each(p), term), F.lit(0.0), lambda a, v: a + v) / 2
 
 
+@once
 def segment_lengths(p: Column) -> Column:
     def one(i: Column) -> Column:
         (x1, y1), (x2, y2) = _xy(p, i), _xy(p, i + 1)
@@ -86,6 +100,7 @@ def distances(lengths: Column) -> Column:
     return F.aggregate(lengths, zero, lambda a, s: F.struct((a["at"] + s).alias("at"), F.concat(a["all"], F.array(a["at"] + s)).alias("all")), lambda a: a["all"])
 
 
+@once
 def midpoint(p: Column) -> Column:
     """STRUCT<x,y> half way along; the first vertex of a path without length."""
     start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("done"), F.lit(-1).alias("at"), F.lit(0.0).alias("left"))
@@ -109,6 +124,7 @@ def midpoint(p: Column) -> Column:
     return let(segment_lengths(p), lambda lengths: let(total(lengths) / 2, lambda half: of(lengths, half)))
 
 
+@once
 def centroid(p: Column) -> Column:
     """STRUCT<x,y>: the ring's centre of area; the first vertex if the ring has next to no area."""
     n = n_points(p)
