@@ -37,8 +37,9 @@ def union(n, pairs):
     return [root(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("distance", [0, 1, 4, 9])
-def test_groups_are_exact(spark, distance):
+@pytest.mark.parametrize(("distance", "hot"), [(0, 1024), (1, 1024), (4, 1024), (9, 1024), (0, 1), (1, 2), (4, 2), (4, 6)])
+def test_groups_are_exact(spark, distance, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(distance)
     fps = []
     for _ in range(60):

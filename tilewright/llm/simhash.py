@@ -19,6 +19,8 @@ from .components import connected_components
 BITS = 64
 #: Fingerprints farther apart than this aren't worth a first comparison.
 FAR = 14
+#: Nodes under one key from which it is hot, and the hubs and rounds at most that then bring its groups together.
+HOT, HUBS, TURNS = 1024, 8, 4
 #: Shingles hashed before their bits are counted, so that very long texts need bounded memory.
 CHUNK = 1 << 16
 
@@ -184,34 +186,77 @@ def group(fps: DataFrame, distance: int = 4) -> DataFrame:
     node that share a partition's bits with it, and joined with them when near; groups of near
     copies come together there with two comparisons a node. Then all nodes that share a key are
     compared, but only links between different groups leave the join, so a group of thousands of
-    near copies never becomes its pairs.
+    near copies never becomes its pairs. Keys of more than HOT nodes take more hubs and rounds before
+    that, and are split by their other bits, so that no task compares all nodes of such a key.
     """
     nodes = Table(fps.groupBy("fp").agg(F.min("id").alias("id")), "sim-nodes").df
     n, both = bit_statistics(nodes)
     plan = plan_partitions(n, both, distance)
-    own = _keys(nodes, plan, False, ["fp"])
-    ends = own.groupBy("part", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
-    hubs = own.join(ends, ["part", "key"])
-    hub_links = hubs.select("fp", F.explode(F.array("lo", "hi")).alias("fp2")).where(
-        (F.col("fp") != F.col("fp2")) & (_apart("fp", "fp2") <= distance)
-    )
-    first = connected_components(hub_links.select(F.col("fp").alias("src"), F.col("fp2").alias("dst")))
-    tagged = nodes.join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "id", F.coalesce("component", "fp").alias("grp")
-    )
-    tagged = Table(tagged, "sim-tagged").df
+    tagged, node = nodes.select("fp", "id", F.col("fp").alias("grp")), F.struct("fp", "grp")
+    own = _keys(tagged, plan, False, ["fp", "grp"])
+    hot = Table(own.groupBy("part", "key").count().where(F.col("count") > HOT).select("part", "key"), "sim-hot").df
+    crowded = not hot.isEmpty()
+
+    tagged = _merged(tagged, _hub_links(own, [F.min(node), F.max(node)], distance))
+    for turn in range(TURNS if crowded else 0):
+        own = _keys(tagged, plan, False, ["fp", "grp"]).join(hot, ["part", "key"], "left_semi")
+        hubs = [F.min_by(node, F.xxhash64("fp", F.lit(turn * HUBS + k))) for k in range(HUBS)]
+        links = Table(_hub_links(own, hubs, distance).distinct(), "sim-links").df
+        if links.isEmpty():
+            break
+        tagged = _merged(tagged, links)
+
     index = _keys(tagged, plan, False, ["fp", "grp"])
     probe = _keys(tagged, plan, True, [F.col("fp").alias("fp2"), F.col("grp").alias("grp2")])
-    links = index.join(probe, ["part", "key"]).where(
-        (F.col("grp") != F.col("grp2")) & (_apart("fp", "fp2") <= distance)
-    )
-    second = connected_components(links.select(F.col("grp").alias("src"), F.col("grp2").alias("dst")))
-    merged = tagged.join(second.withColumnRenamed("node", "grp"), "grp", "left").select(
-        "fp", "id", F.coalesce("component", "grp").alias("root")
-    )
-    merged = Table(merged, "sim-merged").df
-    smallest = merged.groupBy("root").agg(F.min("id").alias("component"))
-    return merged.join(smallest, "root").select("fp", "component")
+    if crowded:
+        key = ["part", "key"]
+        met = index.join(probe.join(hot, key, "left_anti"), key)
+        links = _between(met, distance).unionByName(_hot_links(*(d.join(hot, key, "left_semi") for d in (index, probe)), plan, distance))
+    else:
+        links = _between(index.join(probe, ["part", "key"]), distance)
+    merged = _merged(tagged, links)
+    smallest = merged.groupBy("grp").agg(F.min("id").alias("component"))
+    return merged.join(smallest, "grp").select("fp", "component")
+
+
+def _between(met: DataFrame, distance: int) -> DataFrame:
+    """(grp, grp2): links between groups among pairs of nodes that met."""
+    return met.where((F.col("grp") != F.col("grp2")) & (_apart("fp", "fp2") <= distance)).select("grp", "grp2")
+
+
+def _hub_links(own: DataFrame, hubs: list[Column], distance: int) -> DataFrame:
+    """Links between each of own(fp, grp, part, key) and its key's hubs, which are aggregates; for keys with more groups
+    than one."""
+    several = own.groupBy("part", "key").agg(F.array(*hubs).alias("hubs"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi")
+    met = own.join(several.select("part", "key", "hubs"), ["part", "key"]).select("fp", "grp", F.explode("hubs").alias("hub"))
+    return _between(met.select("fp", "grp", F.col("hub.fp").alias("fp2"), F.col("hub.grp").alias("grp2")), distance)
+
+
+def _merged(tagged: DataFrame, links: DataFrame) -> DataFrame:
+    """tagged(fp, id, grp) with linked groups as one, named by the smallest of them."""
+    found = connected_components(links.select(F.col("grp").alias("src"), F.col("grp2").alias("dst"))).withColumnRenamed("node", "grp")
+    return Table(tagged.join(found, "grp", "left").select("fp", "id", F.coalesce("component", "grp").alias("grp")), "sim-tagged").df
+
+
+def _hot_links(index: DataFrame, probe: DataFrame, plan: list[tuple[list[int], int]], distance: int) -> DataFrame:
+    """Links between the groups under hot keys. The bits outside a key's partition are dealt to ``distance`` + 1 parts, in
+    one of which two near fingerprints are equal, so nodes meet where a part is. Probes leave out nodes
+    that are all in their own group; what is still large under one such key is dealt to several tasks."""
+    parts = distance + 1
+    others = [[b for b in range(BITS) if b not in bits] for bits, _ in plan]
+    masks = [_signed(sum(1 << b for b in rest[j::parts])) for rest in others for j in range(parts)]
+    listed = F.array(*map(F.lit, masks))
+
+    def finer(d: DataFrame, fp: str) -> DataFrame:
+        every = F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda j: F.struct(j.alias("sub"), F.col(fp).bitwiseAND(F.get(listed, F.col("part") * parts + j)).alias("subkey")))
+        return d.select("*", F.explode(every).alias("s")).select(*d.columns, "s.*")
+
+    by = ["part", "key", "sub", "subkey"]
+    index, probe = finer(index, "fp"), finer(probe, "fp2")
+    heads = index.groupBy(by).agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+    asked = probe.join(heads, by).where("lo < hi or grp2 != lo").select(*probe.columns, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt = index.join(heads.select(*by, "salts"), by).select(*index.columns, F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"))
+    return _between(dealt.join(asked, [*by, "salt"]), distance)
 
 
 def near_duplicates(
