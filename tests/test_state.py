@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.plans import style
-from tilewright.sources.cache import DiskCache, LruCache, fnv1a
+from tilewright.sources.cache import DiskCache, LruCache, after_sweep, fnv1a, within_budget
 from tilewright.sources.providers import Memory, Network, fetch_tiles, lookup
 from tilewright.streaming import labels
 
@@ -256,3 +256,20 @@ def test_network_tiles(spark, tmp_path):
         assert len(rows) == 80 and len({(r.z, r.x, r.y) for r in rows}) == 80 and max(most.values()) <= 2
     finally:
         server.shutdown()
+
+
+def test_budgets_do_not_take_a_group_for_each_row(spark):
+    """Frames that end with the group are added up anew for each row; sums are those of a plain loop, null keys, costs and ages included."""
+    rows = [(None if i % 50 == 7 else f"g{i % 2}", None if i == 10 else i * i, None if i % 9 == 0 else i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, at long, cost long").repartition(3)
+    swept, kept = set(), set()
+    for g in {r[0] for r in rows}:
+        total, known = 0, False
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: -1 if r[1] is None else r[1], reverse=True)):
+            known, total = known or r[2] is not None, total + (r[2] or 0)
+            swept |= {r[:2]} if known and total <= 60 else set()
+            kept |= {r[:2]} if n < 20 and (n < 2 or (known and total <= 60)) else set()
+    got = after_sweep(df, ["g"], ["at"], "cost", 60)
+    assert {(r.g, r["at"]) for r in got.collect()} == swept
+    assert {(r.g, r["at"]) for r in within_budget(df, ["g"], "at", "cost", 60, 20, 2).collect()} == kept
+    assert "currentrow$(), unboundedfollowing$()" not in got._jdf.queryExecution().optimizedPlan().toString()

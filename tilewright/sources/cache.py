@@ -6,6 +6,8 @@ import os
 import time
 from collections import OrderedDict
 from collections.abc import Callable, Hashable
+from functools import reduce
+from operator import and_
 from pathlib import Path
 from typing import Any, Protocol
 
@@ -130,18 +132,41 @@ class LruCache:
             self._gone(next(iter(self.items)))
 
 
+#: A group's rows are summed in so many ranges of their order; a range is one task's work, a group is not.
+RANGES = 1024
+
+
+def running_sums(rows: DataFrame, by: list[str], order: list[str], cost: str) -> DataFrame:
+    """rows with ``__sum``, what their group costs up to them from the last in ``order`` on, null if no cost is known, and ``__n``,
+    their number in it.
+
+    The first column of the order, a number, is cut into ranges of equal width. Only the ranges' sums and counts meet in
+    one window for each group.
+    """
+    at = F.col(order[0]).cast("double")
+    whole = rows.agg(F.min(at).alias("__low"), F.nullif(F.max(at) - F.min(at), F.lit(0.0)).alias("__width"))
+    share = F.coalesce(F.nanvl((at - F.col("__low")) / F.col("__width"), F.lit(0.0)), F.lit(0.0))
+    placed = rows.crossJoin(F.broadcast(whole)).select(*rows.columns, F.when(at.isNull(), -1).otherwise(F.floor(share * RANGES).cast("int")).alias("__range"))
+    ranges = placed.groupBy(*by, "__range").agg(F.sum(cost).alias("__s"), F.count("*").alias("__c"))
+    before = Window.partitionBy(*by).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*by, "__range", F.sum("__s").over(before).alias("__s"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__c"))
+    w = Window.partitionBy(*by, "__range").orderBy(*[F.desc(c) for c in order])
+    own = placed.withColumn("__sum", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(w))
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "__range"]]
+    both = own.alias("o").join(ranges.alias("b"), reduce(and_, same))
+    return both.select(*[F.col(f"o.{c}") for c in rows.columns], F.coalesce(F.col("__sum") + F.col("__s"), "__sum", "__s").alias("__sum"), (F.col("__n") + F.col("__c")).alias("__n"))
+
+
 def within_budget(entries: DataFrame, by: list[str], used: str, cost: str, max_cost: float, max_entries: int | None = None, always: int = 1) -> DataFrame:
     """The entries, of each group ``by``, that stay when those unused longest go until the rest fits: running sums from
     the last used on. The ``always`` last used stay whatever they cost."""
-    w = Window.partitionBy(*by).orderBy(F.col(used).desc())
-    kept = (F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)) <= max_cost) | (F.row_number().over(w) <= always)
+    kept = (F.col("__sum") <= max_cost) | (F.col("__n") <= always)
     if max_entries is not None:
-        kept = kept & (F.row_number().over(w) <= max_entries)
-    return entries.withColumn("__kept", kept).where("__kept").drop("__kept")
+        kept = kept & (F.col("__n") <= max_entries)
+    return running_sums(entries, by, [used], cost).where(kept).drop("__sum", "__n")
 
 
 def after_sweep(files: DataFrame, by: list[str], age_order: list[str], size: str, cap: float) -> DataFrame:
     """The files, of each group, that stay when the oldest are deleted until the rest is within the cap."""
-    w = Window.partitionBy(*by).orderBy(*age_order).rowsBetween(0, Window.unboundedFollowing)
     # what is left if this file is the oldest one kept; the file goes while that is over the cap
-    return files.withColumn("__left", F.sum(size).over(w)).where(F.col("__left") <= cap).drop("__left")
+    return running_sums(files, by, age_order, size).where(F.col("__sum") <= cap).drop("__sum", "__n")
