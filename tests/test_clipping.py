@@ -64,3 +64,27 @@ def test_slices_of_batches():
     rows = pa.array([[[0.0, 0.0]], None, [[1.0, 2.0, 3.0, 4.0], [5.0, 6.0]], []], pa.list_(pa.list_(pa.float64())))
     found = clipping.ragged(rows.slice(1))
     assert found.row.tolist() == [1, 1] and found.sizes.tolist() == [2, 1] and found.xy.ravel().tolist() == [1, 2, 3, 4, 5, 6]
+
+
+def test_batches_are_cut_in_slices(monkeypatch):
+    """No more vertices at once than the bound, but for a row that has more; the rows are those of one cut."""
+    from tilewright.operators import drawlist
+
+    rng = random.Random(3)
+    rows = pa.array(made(rng, 300), pa.list_(pa.list_(pa.float32())))
+    more = [pa.array([rng.choice(["LineString", "Polygon", "Unknown"]) for _ in rows]), *(pa.array([v] * 300) for v in (0.0, 10.0, 100.0, 90.0))]
+    whole = drawlist._cut(rows, *more)
+    seen = []
+    monkeypatch.setattr(drawlist, "AT_ONCE", 64)
+    monkeypatch.setattr(drawlist.clipping, "ragged", lambda p, own=clipping.ragged: seen.append((len(p), len(own(p).xy))) or own(p))
+    assert drawlist.cut_parts(rows, *more).equals(whole)
+    assert drawlist.cut_parts(rows.slice(7, 200), *(c.slice(7, 200) for c in more)).equals(whole.slice(7, 200))
+    assert len(seen) > 20 and max(n for _, n in seen) < 64
+    assert drawlist.cut_parts(rows.slice(0, 0), *(c.slice(0, 0) for c in more)).to_pylist() == []
+
+
+def test_stamps_cut_each_line_once(spark):
+    from tilewright import queries
+
+    plan = queries.draw_stamps(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -98,6 +98,13 @@ def ragged(parts: pa.ListArray) -> Parts:
     return Parts(np.repeat(np.arange(len(parts)), counts), widths // 2, values.reshape(-1, 2), np.zeros(len(widths)))
 
 
+def coordinates(parts: pa.ListArray) -> np.ndarray:
+    """How many coordinates the rows before each have in all."""
+    widths = parts.flatten().value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.append(0, np.cumsum(widths))[np.cumsum(counts) - counts]
+
+
 def chosen(parts: Parts, rows: np.ndarray) -> Parts:
     """The parts of the rows for which the mask is true."""
     keep = rows[parts.row]

@@ -50,27 +50,45 @@ _PARTS = PT.ArrayType(PT.ArrayType(PT.DoubleType()))
 _CUT = PT.StructType([PT.StructField("parts", _PARTS), PT.StructField("starts", PT.ArrayType(PT.DoubleType()))])
 
 
-@F.arrow_udf(_CUT)
-def clip_parts(parts: pa.Array, kinds: pa.Array, l: pa.Array, t: pa.Array, r: pa.Array, b: pa.Array) -> pa.Array:  # noqa: E741
-    """What of each row's parts lies in its window, and how far along the whole part each piece starts. Rows whose
-    parts are null stay so."""
+#: Coordinates that are clipped at once: what a batch takes doesn't grow with its lines.
+AT_ONCE = 1 << 17
+
+
+def _cut(parts: pa.Array, kinds: pa.Array, *sides: pa.Array) -> pa.Array:
     kind, found = np.asarray(kinds.to_pylist(), dtype=object), clipping.ragged(parts)
-    rect = np.column_stack([c.to_numpy(zero_copy_only=False) for c in (l, t, r, b)]).astype(np.float64)
+    rect = np.column_stack([c.to_numpy(zero_copy_only=False) for c in sides]).astype(np.float64)
     line, ring = kind == "LineString", kind == "Polygon"
     cut = [clipping.clip_lines(clipping.chosen(found, line), rect), clipping.clip_rings(clipping.chosen(found, ring), rect), clipping.chosen(found, ~line & ~ring)]
     return clipping.as_struct(clipping.together(cut), parts.is_null().to_numpy(zero_copy_only=False))
 
 
+def cut_parts(parts: pa.Array, *of: pa.Array) -> pa.Array:
+    """_cut() of a batch, some rows after the other."""
+    before = clipping.coordinates(parts)
+    firsts = np.unique(np.searchsorted(before // AT_ONCE, np.arange(before[-1] // AT_ONCE + 1)) if len(before) else np.zeros(1, int)).tolist()
+    ends = [*firsts[1:], len(parts)]
+    return pa.concat_arrays([_cut(*(c.slice(i, j - i) for c in (parts, *of))) for i, j in zip(firsts, ends)])
+
+
+@F.arrow_udf(_CUT)
+def clip_parts(parts: pa.Array, kinds: pa.Array, l: pa.Array, t: pa.Array, r: pa.Array, b: pa.Array) -> pa.Array:  # noqa: E741
+    """What of each row's parts lies in its window, and how far along the whole part each piece starts. Rows whose
+    parts are null stay so."""
+    return cut_parts(parts, kinds, l, t, r, b)
+
+
 def clipped(features: DataFrame) -> DataFrame:
     """placed() rows with parts cut to the window, where overzoom is deep and the bounds don't lie within it already,
-    and with ``starts``: how far along its whole part each piece begins. Rows with nothing left are left out. Only
+    and with ``starts``: how far along its whole part each piece begins. Rows with nothing left are left out, by the
+    generator: a filter would be pushed below what comes before and have Python cut all parts once more for itself. Only
     parts that have to be cut go to Python."""
     rect = window(F.col("scale"), F.col("off_x"), F.col("off_y"))
     need = (F.col("shift") >= CLIP_FROM) & ~inside(rect) & (F.col("geom_type") != "Point")
     f = features.withColumn("__cut", clip_parts(F.when(need, F.col("parts")), F.col("geom_type"), *rect))
     whole = F.array_repeat(F.lit(0.0), F.size("parts"))
-    f = f.withColumn("starts", F.coalesce("__cut.starts", whole)).withColumn("parts", F.coalesce("__cut.parts", F.col("parts").cast(_PARTS)))
-    return f.drop("__cut").where(F.size("parts") > 0)
+    shown = F.struct(F.coalesce("__cut.parts", F.col("parts").cast(_PARTS)).alias("parts"), F.coalesce("__cut.starts", whole).alias("starts"))
+    left = F.inline(F.filter(F.array(shown), lambda c: F.size(c["parts"]) > 0))
+    return f.select(*[c for c in features.columns if c != "parts"], left).select(*features.columns, "starts")
 
 
 def in_pixels(features: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ EDGE = 0.75
 
 
 def line_stamps(drawn: DataFrame, sprites: DataFrame) -> DataFrame:
-    """A row for each stamp of a draw list's lines with a pattern: z, x, y, layer_index, ord, part, stamp, at_x, at_y, angle,
-    scale, opacity, sprite.
+    """A row for each stamp of a draw list's lines with a pattern: z, x, y, layer_index, ord, part, start, stamp, at_x, at_y,
+    angle, scale, opacity, sprite.
 
     Stamps are as high as the line is wide and follow each other without a gap from the beginning of the whole
     line, so they stay where they are when it is cut: ``starts`` says how far along each piece begins.
@@ -36,7 +36,7 @@ def line_stamps(drawn: DataFrame, sprites: DataFrame) -> DataFrame:
     places = F.when(first < total, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: first + k * step))
     d = d.select("*", F.posexplode(places).alias("stamp", "__d"))
     d = _apart(d, __q=G.point_at(F.col("__path"), F.col("__cum"), F.col("__d")))
-    return d.select("z", "x", "y", "layer_index", "ord", "part", "stamp", F.col("__q.x").alias("at_x"), F.col("__q.y").alias("at_y"), F.col("__q.angle").alias("angle"), "scale", "opacity", "sprite")
+    return d.select("z", "x", "y", "layer_index", "ord", "part", F.col("__piece.starts").alias("start"), "stamp", F.col("__q.x").alias("at_x"), F.col("__q.y").alias("at_y"), F.col("__q.angle").alias("angle"), "scale", "opacity", "sprite")
 
 
 def pattern_cells(drawn: DataFrame, sprites: DataFrame) -> DataFrame:

@@ -541,8 +541,7 @@ def _cut_sql(zooms: int) -> str:
 def draw_stamps(spark, sf_dir):
     """Sprites along lines that are cut to their tiles, three zooms over the data; ``far`` is how far along the whole line."""
     drawn = drawlist.draw_list(shape_features(spark, sf_dir, "LineString", 3), read_theme(STAMPS), 11.5, shape_view(), frozenset({"rail", "tree"}))
-    starts = drawn.where("kind = 'line'").select("layer_index", "ord", "z", "x", "y", F.posexplode("starts").alias("part", "start"))
-    got = stamps.line_stamps(drawn, sheet(spark)).join(starts, ["layer_index", "ord", "z", "x", "y", "part"])
+    got = stamps.line_stamps(drawn, sheet(spark))
     at = F.ceil(F.round((F.col("start") - 32) / 64, 9)) * 64 + 32 + F.col("stamp") * 64
     r3 = lambda c: F.round(c, 3) + 0.0
     return got.select("ord", at.cast("bigint").alias("far"), r3("at_x").alias("at_x"), r3("at_y").alias("at_y"), (F.round("angle", 4) + 0.0).alias("angle"))
