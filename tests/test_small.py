@@ -213,3 +213,75 @@ def test_one_placement_of_all_kinds(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want
+
+
+def test_crowded_screens_try_few_candidates(spark, monkeypatch):
+    """What collides for certain is told in bulk; results are those of trying each candidate, whose number would grow with the screen."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tilewright.operators import symbols
+
+    rng = random.Random(5)
+    n = 6000
+    side = lambda x, y, w, h: {"l": x, "t": y, "r": x + w, "b": y + h}
+    at = lambda: (rng.choice([0.0, 64.0, 500.0, rng.uniform(-50, 1000)]), rng.choice([0.0, float("nan"), rng.uniform(0, 800), rng.uniform(0, 800)]))
+    box = lambda: side(*at(), rng.choice([0.0, 64.0, 90.0]), rng.choice([20.0, 64.0]))
+    columns = {
+        "text_boxes": [[{"anchor": a, **box()} for a in ("center", "left")[: rng.choice([0, 1, 2])]] for _ in range(n)], "icon_box": [rng.choice([None, box()]) for _ in range(n)],
+        "glyph_boxes": [rng.choice([None, None, [box(), box()], []]) for _ in range(n)], "allow_overlap": [rng.random() < 0.02 for _ in range(n)], "text_optional": [rng.random() < 0.4 for _ in range(n)],
+        "ghost": [rng.random() < 0.1 for _ in range(n)], "sat": [rng.choice([None, "left", "center"]) for _ in range(n)],
+    }
+    four = [(k, pa.float64()) for k in "ltrb"]
+    kinds = [pa.list_(pa.struct([("anchor", pa.string()), *four])), pa.struct(four), pa.list_(pa.struct(four)), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
+    t = pa.table([pa.array(v, k) for v, k in zip(columns.values(), kinds)], list(columns))
+    starts = np.array([0, 1, 5000])
+    tried = []
+    monkeypatch.setattr(symbols, "fold_columns", lambda c, screen, order, step, added: step)
+    monkeypatch.setattr(symbols, "_try", lambda *a, own=symbols._try: tried.append(1) or own(*a))
+    step = symbols.place(t.to_pandas().iloc[:0], ["s"], ["o"], remembered="sat")
+    got = list(zip(*(a.to_pylist() for a in step(t, starts))))
+    assert len(tried) < n / 2
+
+    want = []
+    for i, r in enumerate(t.to_pylist()):
+        if i in starts:
+            taken = []
+        icon = [r["icon_box"]] if r["icon_box"] else []
+        options = [("center", r["glyph_boxes"])] if r["glyph_boxes"] else [(o["anchor"], [o]) for o in r["text_boxes"]]
+        if r["sat"]:
+            options.sort(key=lambda o: o[0] != r["sat"])
+        fits = lambda bs: not any(b["l"] < o["r"] and o["l"] < b["r"] and b["t"] < o["b"] and o["t"] < b["b"] for b in bs for o in taken)  # noqa: E731, B023
+        if r["ghost"]:
+            want.append((True, r["sat"], False))
+        elif r["allow_overlap"] and (options or icon):
+            want.append((True, options[0][0] if options else None, False))
+        else:
+            every = [(a, [*bs, *icon], False) for a, bs in options] + ([(None, icon, bool(options))] if icon and (not options or r["text_optional"]) else [])
+            pick = next((o for o in every if fits(o[1])), None)
+            taken += pick[1] if pick else []
+            want.append((True, pick[0], pick[2]) if pick else (False, None, False))
+    assert got == want
+
+
+def test_groups_of_many_batches_are_put_together_once(spark, monkeypatch):
+    """A group's rows were copied anew for each batch that it goes on in."""
+    import pyarrow as pa
+
+    from tilewright.operators import folds
+
+    whole = spark.range(2000).selectExpr("case when id < 100 then 1 when id < 1900 then 2 else id end as g", "id")
+    ran = []
+    monkeypatch.setattr(type(whole), "mapInArrow", lambda self, run, schema: ran.append(run), raising=False)
+    folds.fold_columns(whole, ["g"], ["id"], lambda t, starts: [pa.array([len(starts)] * t.num_rows)], "n int")
+    table = pa.table({"g": [1] * 100 + [2] * 1800 + list(range(1900, 2000)), "id": list(range(2000))})
+    copied = []
+    real = pa.Table.from_batches
+    spy = type("Spy", (), {"from_batches": staticmethod(lambda bs: copied.append(sum(b.num_rows for b in bs)) or real(bs)), "from_arrays": staticmethod(pa.Table.from_arrays)})
+    monkeypatch.setattr(folds.pa, "Table", spy)
+    out = list(ran[0](iter(table.to_batches(max_chunksize=50))))
+    monkeypatch.undo()
+    rows = real(out).to_pydict()
+    assert rows["g"] == table["g"].to_pylist() and rows["id"] == list(range(2000)) and sum(copied) == 2000

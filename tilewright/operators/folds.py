@@ -66,16 +66,20 @@ def fold_columns(df: DataFrame, keys: list[str], order: list[str], step: Callabl
         yield from pa.Table.from_arrays(columns, names).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # one group's rows
+        held: list[pa.RecordBatch] = []  # one group's rows, put together when it ends
         for b in batches:
             if not b.num_rows:
                 continue
-            if held:
-                b = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0]
+            if held and not all(pc.equal(held[-1].column(k)[-1], b.column(k)[0]).as_py() for k in keys):
+                yield from made(held, np.zeros(1, int))
+                held = []
             starts = _starts(b, keys)
             if len(starts) > 1:
-                yield from made([b.slice(0, starts[-1])], starts[:-1])
-            held = [b.slice(starts[-1])]
+                ended = starts[:-1] + sum(h.num_rows for h in held)
+                ended[0] = 0
+                yield from made([*held, b.slice(0, starts[-1])], ended)
+                held = []
+            held.append(b.slice(starts[-1]))
         if held:
             yield from made(held, np.zeros(1, int))
 

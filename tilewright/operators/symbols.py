@@ -314,6 +314,8 @@ def _apart(df: DataFrame, **columns: Column) -> DataFrame:
 
 Box = tuple[float, float, float, float]
 PLACED = "placed boolean, anchor string, text_dropped boolean"
+#: Cells a side of the grid that tells which boxes collide for certain, and candidates, first and at most, that it is asked of at once.
+CELLS, FIRST_CHUNK, CHUNK = 256, 32, 1024
 
 
 class Claimed:
@@ -338,12 +340,50 @@ class Claimed:
         return True
 
 
-def _boxes_of(column: pa.Array) -> tuple[list[int], list[Box], list[str] | None]:
+class Covered:
+    """A grid over all boxes of a screen with the cells that lie wholly in a claimed box. A box that shares more than an edge with
+    such a cell collides for certain, which sums over the grid tell for many boxes at once; of others it says nothing."""
+
+    def __init__(self, every: list[np.ndarray]):
+        b = np.vstack(every)
+        b = b[np.isfinite(b).all(1)]
+        self.low = b[:, :2].min(0) if len(b) else np.zeros(2)
+        self.cell = np.maximum((b[:, 2:].max(0) - self.low) / CELLS, 1e-9) if len(b) else np.ones(2)
+        self.full = np.zeros((CELLS, CELLS), np.int32)
+        self.seen = 0
+        self.sums = np.zeros((CELLS + 1, CELLS + 1), np.int32)
+
+    def _at(self, v: np.ndarray, to) -> np.ndarray:
+        return np.clip(to((v - self.low) / self.cell), 0, CELLS).astype(int)
+
+    def update(self, claimed: Claimed) -> None:
+        new = claimed.boxes[:, self.seen : claimed.n].T
+        self.seen = claimed.n
+        new = new[~np.isnan(new).any(1)]
+        if len(new):
+            for (l, t), (r, low) in zip(self._at(new[:, :2], np.ceil).tolist(), self._at(new[:, 2:], np.floor).tolist()):
+                self.full[l:r, t:low] = 1
+            self.sums[1:, 1:] = self.full.cumsum(0).cumsum(1)
+
+    def blocks(self, b: np.ndarray) -> np.ndarray:
+        ok = np.isfinite(b).all(1)
+        if not self.seen or not ok.any():
+            return np.zeros(len(b), bool)
+        b = np.where(ok[:, None], b, 0.0)
+        (l, t), (r, low) = self._at(b[:, :2], np.floor).T, self._at(b[:, 2:], np.ceil).T
+        n = self.sums[r, low] - self.sums[l, low] - self.sums[r, t] + self.sums[l, t]
+        return ok & (l < r) & (t < low) & (n > 0)
+
+
+def _boxes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
     """Of an array of boxes a row: where each row's begin, and all boxes, with their anchors if they have any."""
     flat = column.flatten()
-    sizes = pc.fill_null(column.value_lengths(), 0).to_numpy()
-    at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-    return at, list(zip(*(flat.field(k).to_pylist() for k in "ltrb"))), flat.field("anchor").to_pylist() if "anchor" in [f.name for f in flat.type] else None
+    sizes = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    return np.append(0, np.cumsum(sizes)), _sides(flat), flat.field("anchor") if "anchor" in [f.name for f in flat.type] else None
+
+
+def _sides(boxes: pa.StructArray) -> np.ndarray:
+    return np.column_stack([boxes.field(k).to_numpy(zero_copy_only=False) for k in "ltrb"]).astype(np.float64)
 
 
 def place(c: DataFrame, screen: list[str], order: list[str], remembered: str | None = None) -> DataFrame:
@@ -361,28 +401,50 @@ def place(c: DataFrame, screen: list[str], order: list[str], remembered: str | N
 
     def step(t: pa.Table, starts: np.ndarray) -> list[pa.Array]:
         column = lambda k: t.column(k).combine_chunks()
+        flags = lambda k: pc.fill_null(column(k), False).to_numpy(zero_copy_only=False)
+        n = t.num_rows
         at, boxes, names = _boxes_of(column("text_boxes"))
-        glyph_at, glyphs, _ = _boxes_of(column("glyph_boxes")) if "glyph_boxes" in extra else ([0] * (t.num_rows + 1), [], None)
+        glyph_at, glyphs, _ = _boxes_of(column("glyph_boxes")) if "glyph_boxes" in extra else (np.zeros(n + 1, int), np.empty((0, 4)), None)
         icon = column("icon_box")
-        icons = [[b] if ok else [] for ok, b in zip(icon.is_valid().to_pylist(), zip(*(icon.field(k).to_pylist() for k in "ltrb")))]
-        overlap, optional = column("allow_overlap").to_pylist(), column("text_optional").to_pylist()
-        ghost = column("ghost").to_pylist() if "ghost" in extra else [False] * t.num_rows
-        held = column(remembered).to_pylist() if remembered else [None] * t.num_rows
-        out: list[tuple[bool, str | None, bool]] = []
-        for first, end in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows]):
+        icons, has_icon = _sides(icon), icon.is_valid().to_numpy(zero_copy_only=False)
+        overlap, optional = flags("allow_overlap"), flags("text_optional")
+        ghost = flags("ghost") if "ghost" in extra else np.zeros(n, bool)
+        held = column(remembered).to_pylist() if remembered else [None] * n
+        along = np.diff(glyph_at) > 0
+        untried = ~along & (np.diff(at) == 0)
+        placed, dropped, anchors = ghost.copy(), np.zeros(n, bool), [h if g else None for h, g in zip(held, ghost.tolist())]
+        for first, end in zip(starts.tolist(), [*starts[1:].tolist(), n]):
             claimed = Claimed()
-            for i in range(first, end):
-                tried = [(names[k], [boxes[k]]) for k in range(at[i], at[i + 1])]
-                if glyph_at[i] < glyph_at[i + 1]:
-                    tried = [("center", glyphs[glyph_at[i] : glyph_at[i + 1]])]
-                if held[i]:
-                    tried.sort(key=lambda x: x[0] != held[i])
-                out.append((True, held[i], False) if ghost[i] else _try(claimed, tried, icons[i], overlap[i], optional[i]))
-        return [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.bool_(), pa.string(), pa.bool_()))]
+            covered = Covered([boxes[at[first] : at[end]], glyphs[glyph_at[first] : glyph_at[end]], icons[first:end][has_icon[first:end]]])
+            low, size = first, FIRST_CHUNK
+            while low < end:
+                high = min(low + size, end)
+                size = min(size * 2, CHUNK)
+                covered.update(claimed)
+                # what collides already will do so at its turn: only the others are tried one after the other
+                free = _counts(~covered.blocks(boxes[at[low] : at[high]]), at[low : high + 1]) > 0
+                bent = _counts(covered.blocks(glyphs[glyph_at[low] : glyph_at[high]]), glyph_at[low : high + 1]) > 0
+                may = np.where(along[low:high], ~bent, free) | (has_icon[low:high] & (untried[low:high] | optional[low:high]))
+                may &= ~(has_icon[low:high] & covered.blocks(icons[low:high]))
+                for i in (low + np.flatnonzero((may | overlap[low:high]) & ~ghost[low:high])).tolist():
+                    if along[i]:
+                        tried = [("center", list(map(tuple, glyphs[glyph_at[i] : glyph_at[i + 1]].tolist())))]
+                    else:
+                        tried = [(names[k].as_py(), [tuple(boxes[k].tolist())]) for k in range(at[i], at[i + 1])]
+                    if held[i]:
+                        tried.sort(key=lambda x: x[0] != held[i])
+                    placed[i], anchors[i], dropped[i] = _try(claimed, tried, [tuple(icons[i].tolist())] if has_icon[i] else [], overlap[i], optional[i])
+                low = high
+        return [pa.array(placed), pa.array(anchors, pa.string()), pa.array(dropped)]
 
     return fold_columns(c, screen, order, step, PLACED)
 
 
+def _counts(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many marks lie between each two places."""
+    return np.diff(np.append(0, np.cumsum(marks))[at - at[0]])
+
+
 def _try(claimed: Claimed, tried: list[tuple[str, list[Box]]], icon: list[Box], allow_overlap: bool, text_optional: bool) -> tuple[bool, str | None, bool]:
     """Whether a candidate is placed, with which anchor, and whether without its text."""
     if not tried and not icon:
