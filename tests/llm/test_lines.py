@@ -56,3 +56,18 @@ def test_texts(spark):
     got = sorted((tuple(r) for r in lines.drop_repeats(df).collect()), key=str)
     assert got == sorted([(1, "a b c d e\nother words here\n", "x"), (2, "kept line", "x"), (2, "kept line", "x"), (3, None, "x")], key=str)
     assert lines.drop_repeats(df.limit(0)).count() == 0
+
+
+def test_long_lines_without_much_in_common_are_no_candidates(spark, monkeypatch):
+    """64 bits pass any two lines of 150 words that share a rare one; all pairs of such lines were verified on their words."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(rng.sample(vocabulary, rng.choice([150, 180])))) for i in range(60)]
+    for i in range(60, 120):  # near copies of either side of the bound, and of what a wider sketch takes
+        w = rng.sample(vocabulary, rng.choice([78, 80, 84, 300])) if i % 3 == 0 else w[rng.choice([0, 2, 8]) :] + rng.sample(vocabulary, rng.choice([0, 4]))
+        rows.append((i, " ".join(w)))
+    pairs = []
+    monkeypatch.setattr(lines._Join, "_verified", lambda self, found, own=lines._Join._verified: pairs.append(found.count()) or own(self, found))
+    got = {r.id: list(r.removed) for r in lines.marked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert sum(map(bool, got.values())) > 20 and pairs[-1] < 300

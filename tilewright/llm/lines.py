@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ DONE_AT, SIZE_AT, PLACE_BITS = 22, 10, 10
 LONG, FAR = (1 << DONE_AT - SIZE_AT) - 1, (1 << PLACE_BITS) - 1
 #: Of groups of more lines than HOT so many first lines, by a hash of their numbers, are compared with all others.
 HOT, HUBS = 64, 16
+#: Lines of so many tokens have a sketch of 256 bits beside that of 64, which tells nothing of lines of 150.
+WIDE = 80
 #: Bytes of the map, 7 bits each, that says which lines a verification needs. It only spares shuffles.
 MAP_BYTES = 1 << 17
 
@@ -62,6 +65,12 @@ def _sketch(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def _parts(tokens: Column) -> list[Column]:
+    """Of the tokens' sketch of 256 bits all but the first 64, which are the rest's and the sketch's of 64 bits together."""
+    part = lambda k: _sketch(F.filter(tokens, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k))
+    return [F.when(F.size(tokens) >= WIDE, part(k)).otherwise(0).alias(f"s{k}") for k in (1, 2, 3)]
+
+
 def _once(value: Column, use) -> Column:
     """use(value), with value computed once however often use has it in a lambda."""
     return F.transform(F.array(value), use)[0]
@@ -106,14 +115,14 @@ class _Join:
         return at.join(F.broadcast(Table(counted, "lines-parts").df), "part").select("d", "key", "l", (F.col("before") + F.col("place")).alias("ord"))
 
     def prefixes(self) -> Table:
-        """(ord, n, sketch, prefix): the lines' numbers of tokens, sketches and rarest tokens."""
+        """(ord, n, sketch, s1, s2, s3, prefix): the lines' numbers of tokens, sketches and rarest tokens."""
         listed = self.numbered.groupBy("d", "key").agg(F.collect_list(F.struct("l", "ord")).alias("firsts"))
         texts = self.texts.groupBy("d", "key").agg(F.first("text").alias("text"))
         found = _once(F.split("text", "\n"), lambda p: F.transform("firsts", lambda f: F.struct(f.ord.alias("ord"), F.get(p, f.l).alias("line"))))
         lines = texts.join(listed, ["d", "key"]).select(F.inline(found))
         sets = lines.select("ord", _tokens(F.col("line"), self.levels).alias("toks"))
         n = F.size("toks")
-        return Table(sets.select("ord", n.alias("n"), _sketch(F.col("toks")).alias("sketch"), F.slice("toks", 1, n - _ceil(n, self.t) + 1).alias("prefix")), "lines-prefixes")
+        return Table(sets.select("ord", n.alias("n"), _sketch(F.col("toks")).alias("sketch"), *_parts(F.col("toks")), F.slice("toks", 1, n - _ceil(n, self.t) + 1).alias("prefix")), "lines-prefixes")
 
     def _alike(self, na: Column, nb: Column, a: Column, b: Column) -> Column:
         """What lengths and sketches allow: similar sets differ in at most (1 - t) / (1 + t) of n1 + n2."""
@@ -149,23 +158,27 @@ class _Join:
         flagged = prefixes.join(done.select("ord", F.lit(1).cast("long").alias("gone")), "ord", "left")
         n = F.col("n").cast("long")
         line = F.shiftleft("ord", DONE_AT + 1).bitwiseOR(F.shiftleft(F.coalesce("gone", F.lit(0).cast("long")), DONE_AT)).bitwiseOR(F.shiftleft(F.least(n, F.lit(LONG)), SIZE_AT))
-        flagged = flagged.select("prefix", "sketch", "n", line.alias("line"))
+        flagged = flagged.select("prefix", "sketch", "s1", "s2", "s3", "n", line.alias("line"))
         indexed = F.when(F.col("n") < LONG, F.slice("prefix", 1, F.col("n") - _ceil(F.col("n"), 2 * self.t / (1 + self.t)) + 1)).otherwise(F.col("prefix"))
 
         def rows(tokens: Column) -> DataFrame:
-            placed = flagged.select("sketch", "line", F.posexplode(tokens).alias("pos", "tok"))
-            return placed.select("tok", "sketch", F.col("line").bitwiseOR(F.least(F.col("pos").cast("long"), F.lit(FAR))).alias("at"))
+            placed = flagged.select("sketch", "s1", "s2", "s3", "line", F.posexplode(tokens).alias("pos", "tok"))
+            return placed.select("tok", "sketch", "s1", "s2", "s3", F.col("line").bitwiseOR(F.least(F.col("pos").cast("long"), F.lit(FAR))).alias("at"))
 
         def read(s: str) -> tuple[Column, Column, Column, Column]:
             at = F.col(f"{s}.at")
             return F.shiftright(at, DONE_AT + 1), F.shiftright(at, SIZE_AT).bitwiseAND(F.lit(LONG)), at.bitwiseAND(F.lit(FAR)), F.shiftright(at, DONE_AT).bitwiseAND(F.lit(1))
 
         (x, nx, px, gx), (y, ny, py, gy) = read("x"), read("y")
+        differ = [F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}")) for k in ("sketch", "s1", "s2", "s3")]
+        rest = reduce(lambda a, b: a.bitwiseXOR(b), differ)
+        wide = F.bit_count(rest) + F.bit_count(differ[1]) + F.bit_count(differ[2]) + F.bit_count(differ[3])
         near = rows(F.col("prefix")).alias("x").join(rows(indexed).alias("y"), F.col("x.tok") == F.col("y.tok")).where(
             ((ny < nx) | ((ny == nx) & ((y < x) | ((nx == LONG) & (y != x)))))
             & (nx * lo <= ny * hi)
             & ((nx == LONG) | (F.least(nx - px, ny - py) * (hi + lo) >= (nx + ny) * lo))
-            & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) * (hi + lo) <= (nx + ny) * (hi - lo))
+            & (F.bit_count(differ[0]) * (hi + lo) <= (nx + ny) * (hi - lo))
+            & ((nx < WIDE) | (ny < WIDE) | (wide * (hi + lo) <= (nx + ny) * (hi - lo)))
             & (F.when(x > y, gx).otherwise(gy) == 0)
         )
         return self._verified(near.select(F.greatest(x, y).alias("ord"), F.least(x, y).alias("by")).distinct())
