@@ -24,6 +24,8 @@ LONG, FAR = (1 << DONE_AT - SIZE_AT) - 1, (1 << PLACE_BITS) - 1
 HOT, HUBS = 64, 16
 #: Lines of so many tokens have a sketch of 256 bits beside that of 64, which tells nothing of lines of 150.
 WIDE = 80
+#: The tokens of the prefixes are joined in so many passes, by hash, each of which frees its shuffle before the next.
+PASSES = 4
 #: Bytes of the map, 7 bits each, that says which lines a verification needs. It only spares shuffles.
 MAP_BYTES = 1 << 17
 
@@ -161,9 +163,9 @@ class _Join:
         flagged = flagged.select("prefix", "sketch", "s1", "s2", "s3", "n", line.alias("line"))
         indexed = F.when(F.col("n") < LONG, F.slice("prefix", 1, F.col("n") - _ceil(F.col("n"), 2 * self.t / (1 + self.t)) + 1)).otherwise(F.col("prefix"))
 
-        def rows(tokens: Column) -> DataFrame:
+        def rows(tokens: Column, k: int) -> DataFrame:
             placed = flagged.select("sketch", "s1", "s2", "s3", "line", F.posexplode(tokens).alias("pos", "tok"))
-            return placed.select("tok", "sketch", "s1", "s2", "s3", F.col("line").bitwiseOR(F.least(F.col("pos").cast("long"), F.lit(FAR))).alias("at"))
+            return placed.where(F.pmod("tok", F.lit(PASSES)) == k).select("tok", "sketch", "s1", "s2", "s3", F.col("line").bitwiseOR(F.least(F.col("pos").cast("long"), F.lit(FAR))).alias("at"))
 
         def read(s: str) -> tuple[Column, Column, Column, Column]:
             at = F.col(f"{s}.at")
@@ -173,7 +175,7 @@ class _Join:
         differ = [F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}")) for k in ("sketch", "s1", "s2", "s3")]
         rest = reduce(lambda a, b: a.bitwiseXOR(b), differ)
         wide = F.bit_count(rest) + F.bit_count(differ[1]) + F.bit_count(differ[2]) + F.bit_count(differ[3])
-        near = rows(F.col("prefix")).alias("x").join(rows(indexed).alias("y"), F.col("x.tok") == F.col("y.tok")).where(
+        alike = (
             ((ny < nx) | ((ny == nx) & ((y < x) | ((nx == LONG) & (y != x)))))
             & (nx * lo <= ny * hi)
             & ((nx == LONG) | (F.least(nx - px, ny - py) * (hi + lo) >= (nx + ny) * lo))
@@ -181,7 +183,14 @@ class _Join:
             & ((nx < WIDE) | (ny < WIDE) | (wide * (hi + lo) <= (nx + ny) * (hi - lo)))
             & (F.when(x > y, gx).otherwise(gy) == 0)
         )
-        return self._verified(near.select(F.greatest(x, y).alias("ord"), F.least(x, y).alias("by")).distinct())
+        found = []
+        for k in range(PASSES):
+            near = rows(F.col("prefix"), k).alias("x").join(rows(indexed, k).alias("y"), F.col("x.tok") == F.col("y.tok")).where(alike)
+            found.append(Table(near.select(F.greatest(x, y).alias("ord"), F.least(x, y).alias("by")).distinct(), "lines-near"))
+        out = self._verified(reduce(DataFrame.union, [t.df for t in found]).distinct())
+        for t in found:
+            t.drop()
+        return out
 
     def _verified(self, found: DataFrame) -> DataFrame:
         """(ord): the lines whose words are similar enough to those of their partner."""
