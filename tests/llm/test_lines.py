@@ -71,3 +71,20 @@ def test_long_lines_without_much_in_common_are_no_candidates(spark, monkeypatch)
     got = {r.id: list(r.removed) for r in lines.marked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
     assert sum(map(bool, got.values())) > 20 and pairs[-1] < 300
+
+
+def test_lines_just_below_the_old_bound_of_wide_sketches_are_no_candidates_either(spark, monkeypatch):
+    """64 bits pass some unlike pairs of 78 words, ever more of them as the tables grow."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 78))) for i in range(1000)]
+    pairs = []
+    monkeypatch.setattr(lines._Join, "_verified", lambda self, found, own=lines._Join._verified: pairs.append(found.count()) or own(self, found))
+    assert not any(r.removed for r in lines.marked(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert pairs[-1] == 0
+
+
+def test_marks_are_exact_where_the_map_is_full(spark, monkeypatch):
+    monkeypatch.setattr(lines, "MAP_BYTES", 4)
+    rows, some = spark.range(500).withColumnRenamed("id", "ord"), spark.range(0, 500, 7).withColumnRenamed("id", "ord")
+    assert {(r.ord, r.gone) for r in lines._marked(rows, some).collect()} == {(k, int(k % 7 == 0)) for k in range(500)}

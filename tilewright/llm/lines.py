@@ -22,12 +22,13 @@ DONE_AT, SIZE_AT, PLACE_BITS = 22, 10, 10
 LONG, FAR = (1 << DONE_AT - SIZE_AT) - 1, (1 << PLACE_BITS) - 1
 #: Of groups of more lines than HOT so many first lines, by a hash of their numbers, are compared with all others.
 HOT, HUBS = 64, 16
-#: Lines of so many tokens have a sketch of 256 bits beside that of 64, which tells nothing of lines of 150.
-WIDE = 80
+#: Lines of so many tokens have a sketch of 128 and of 256 bits beside that of 64, which lets one in thousands of
+#: unlike pairs of 70 tokens through and tells nothing of lines of 150.
+WIDE, WIDER = 56, 120
 #: The tokens of the prefixes are joined in so many passes, by hash, each of which frees its shuffle before the next.
-PASSES = 4
-#: Bytes of the map, 7 bits each, that says which lines a verification needs. It only spares shuffles.
-MAP_BYTES = 1 << 17
+PASSES = 2
+#: Bytes of the map, 7 bits each, that says which lines may be among some others. It only spares shuffles.
+MAP_BYTES = 1 << 18
 
 
 def _byte_at(table: bytes, at: Column) -> Column:
@@ -52,25 +53,32 @@ def rarity_levels(texts: Column, docs: DataFrame) -> bytes:
 
 def _tokens(line: Column, levels: bytes) -> Column:
     """The set of a line's words as longs, sorted by rarity: level, then hash."""
+    # Becomes one literal of longs when the plan is made; a word's level is then one access to it.
+    high = F.split(F.lit(",".join(str(x << HASH_BITS) for x in levels)), ",").cast("array<long>")
 
     def one(h: Column) -> Column:
-        level = _byte_at(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long")
-        return F.shiftleft(level, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+        return F.get(high, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
     hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, one))
 
 
-def _sketch(tokens: Column) -> Column:
-    """64 bits, one flipped by each token: sets that differ in few tokens differ in few bits."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
+def _sketch(tokens: Column, *bits: int) -> Column:
+    """64 bits, one flipped by each token whose bits at these places are all set: sets that differ in few tokens
+    differ in few bits."""
+
+    def flipped(a: Column, x: Column) -> Column:
+        one = reduce(Column.bitwiseAND, [F.shiftright(x, b) for b in bits]).bitwiseAND(F.lit(1)) if bits else F.lit(1)
+        return a.bitwiseXOR(F.call_function("shiftleft", one.cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+
+    return F.aggregate(tokens, F.lit(0).cast("long"), flipped)
 
 
 def _parts(tokens: Column) -> list[Column]:
-    """Of the tokens' sketch of 256 bits all but the first 64, which are the rest's and the sketch's of 64 bits together."""
-    part = lambda k: _sketch(F.filter(tokens, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k))
-    return [F.when(F.size(tokens) >= WIDE, part(k)).otherwise(0).alias(f"s{k}") for k in (1, 2, 3)]
+    """Sketches of the tokens with one bit, another one, and both: with that of all they give a sketch of 128 bits
+    (the first of them) or of 256. 0 for lines that have none."""
+    parts = ((WIDE, (6,)), (WIDER, (7,)), (WIDER, (6, 7)))
+    return [F.when(F.size(tokens) >= least, _sketch(tokens, *bits)).otherwise(0).alias(f"s{k + 1}") for k, (least, bits) in enumerate(parts)]
 
 
 def _once(value: Column, use) -> Column:
@@ -150,21 +158,22 @@ class _Join:
         met.drop()
         return out
 
-    def by_prefixes(self, prefixes: DataFrame, done: DataFrame) -> DataFrame:
-        """(ord): lines not in done that are similar to an earlier line.
+    def by_prefixes(self, prefixes: Table, done: DataFrame) -> DataFrame:
+        """(ord): lines not in done that are similar to an earlier line. prefixes are dropped.
 
-        The longer line's prefix and the shorter one's index prefix (its first n - ceil(2t / (1 + t) * n) + 1
-        tokens) share a token. The place of the token in both lines bounds what they can share, too.
+        The prefixes of both share a token. The places of the token in both lines bound what they can share, so
+        that of the shorter one is among its first n - ceil(2t / (1 + t) * n) + 1. Both sides of the join are the
+        same rows, which are shuffled once.
         """
         lo, hi = self.lo, self.hi
-        flagged = prefixes.join(done.select("ord", F.lit(1).cast("long").alias("gone")), "ord", "left")
+        flagged = _marked(prefixes.df, done)
         n = F.col("n").cast("long")
-        line = F.shiftleft("ord", DONE_AT + 1).bitwiseOR(F.shiftleft(F.coalesce("gone", F.lit(0).cast("long")), DONE_AT)).bitwiseOR(F.shiftleft(F.least(n, F.lit(LONG)), SIZE_AT))
-        flagged = flagged.select("prefix", "sketch", "s1", "s2", "s3", "n", line.alias("line"))
-        indexed = F.when(F.col("n") < LONG, F.slice("prefix", 1, F.col("n") - _ceil(F.col("n"), 2 * self.t / (1 + self.t)) + 1)).otherwise(F.col("prefix"))
+        line = F.shiftleft("ord", DONE_AT + 1).bitwiseOR(F.shiftleft(F.col("gone").cast("long"), DONE_AT)).bitwiseOR(F.shiftleft(F.least(n, F.lit(LONG)), SIZE_AT))
+        lines = Table(flagged.select("prefix", "sketch", "s1", "s2", "s3", line.alias("line")), "lines-flagged")
+        prefixes.drop()
 
-        def rows(tokens: Column, k: int) -> DataFrame:
-            placed = flagged.select("sketch", "s1", "s2", "s3", "line", F.posexplode(tokens).alias("pos", "tok"))
+        def rows(k: int) -> DataFrame:
+            placed = lines.df.select("sketch", "s1", "s2", "s3", "line", F.posexplode("prefix").alias("pos", "tok"))
             return placed.where(F.pmod("tok", F.lit(PASSES)) == k).select("tok", "sketch", "s1", "s2", "s3", F.col("line").bitwiseOR(F.least(F.col("pos").cast("long"), F.lit(FAR))).alias("at"))
 
         def read(s: str) -> tuple[Column, Column, Column, Column]:
@@ -173,38 +182,41 @@ class _Join:
 
         (x, nx, px, gx), (y, ny, py, gy) = read("x"), read("y")
         differ = [F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}")) for k in ("sketch", "s1", "s2", "s3")]
-        rest = reduce(lambda a, b: a.bitwiseXOR(b), differ)
-        wide = F.bit_count(rest) + F.bit_count(differ[1]) + F.bit_count(differ[2]) + F.bit_count(differ[3])
+        d, d1, d2, d3 = differ
+        wide = F.bit_count(d.bitwiseXOR(d1)) + F.bit_count(d1)
+        wider = F.bit_count(d.bitwiseXOR(d1).bitwiseXOR(d2).bitwiseXOR(d3)) + F.bit_count(d1.bitwiseXOR(d3)) + F.bit_count(d2.bitwiseXOR(d3)) + F.bit_count(d3)
         alike = (
             ((ny < nx) | ((ny == nx) & ((y < x) | ((nx == LONG) & (y != x)))))
             & (nx * lo <= ny * hi)
             & ((nx == LONG) | (F.least(nx - px, ny - py) * (hi + lo) >= (nx + ny) * lo))
-            & (F.bit_count(differ[0]) * (hi + lo) <= (nx + ny) * (hi - lo))
+            & (F.bit_count(d) * (hi + lo) <= (nx + ny) * (hi - lo))
             & ((nx < WIDE) | (ny < WIDE) | (wide * (hi + lo) <= (nx + ny) * (hi - lo)))
+            & ((nx < WIDER) | (ny < WIDER) | (wider * (hi + lo) <= (nx + ny) * (hi - lo)))
             & (F.when(x > y, gx).otherwise(gy) == 0)
         )
         found = []
         for k in range(PASSES):
-            near = rows(F.col("prefix"), k).alias("x").join(rows(indexed, k).alias("y"), F.col("x.tok") == F.col("y.tok")).where(alike)
+            near = rows(k).alias("x").join(rows(k).alias("y"), F.col("x.tok") == F.col("y.tok")).where(alike)
             found.append(Table(near.select(F.greatest(x, y).alias("ord"), F.least(x, y).alias("by")).distinct(), "lines-near"))
         out = self._verified(reduce(DataFrame.union, [t.df for t in found]).distinct())
-        for t in found:
+        for t in (lines, *found):
             t.drop()
         return out
 
     def _verified(self, found: DataFrame) -> DataFrame:
         """(ord): the lines whose words are similar enough to those of their partner."""
         pairs = Table(found, "lines-pairs")
-        needed = self.numbered.join(pairs.df.select("ord").union(pairs.df.select("by")).distinct(), "ord")
+        either = pairs.df.select("ord").union(pairs.df.select("by")).distinct()
+        needed = self.numbered.where(_in_map(_map_of(either, F.xxhash64("ord")), F.xxhash64("ord"))).join(either, "ord")
         needed = Table(needed, "lines-needed")
         place = F.xxhash64("d", "key", "l")
         known = self._lines().where(_in_map(_map_of(needed.df, place), place))
         known = known.groupBy("d", "key", "l").agg(F.first("line").alias("line")).join(needed.df, ["d", "key", "l"]).select("ord", "line")
         known = Table(known, "lines-texts")
         both = pairs.df.join(known.df, "ord").join(known.df.select(F.col("ord").alias("by"), F.col("line").alias("other")), "by")
-        sets = both.select("ord", F.array_distinct(words(F.col("line"))).alias("a"), F.array_distinct(words(F.col("other"))).alias("b"))
-        similar = F.size(F.array_intersect("a", "b")) * (self.hi + self.lo) >= (F.size("a") + F.size("b")) * self.lo
-        out = Table(sets.where(similar).select("ord").distinct(), "lines-similar").df
+        sets = F.struct(F.array_distinct(words(F.col("line"))).alias("a"), F.array_distinct(words(F.col("other"))).alias("b"))
+        similar = _once(sets, lambda s: F.size(F.array_intersect(s.a, s.b)) * (self.hi + self.lo) >= (F.size(s.a) + F.size(s.b)) * self.lo)
+        out = Table(both.where(similar).select("ord").distinct(), "lines-similar").df
         for spent in (pairs, needed, known):
             spent.drop()
         return out
@@ -213,9 +225,13 @@ class _Join:
 def _map_of(rows: DataFrame, h: Column) -> bytes:
     """A map with a bit for each hash."""
     bit = F.call_function("shiftleft", F.lit(1), F.pmod(F.shiftright(h, 32), F.lit(7)).cast("int"))
+    found = rows.groupBy(F.pmod(h, F.lit(MAP_BYTES)).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits"))
+    packed = found.groupBy(F.shiftright("at", 8).alias("block")).agg(F.collect_list(F.shiftleft(F.col("at").bitwiseAND(F.lit(255)), 7).bitwiseOR(F.col("bits"))).alias("of"))
     table = bytearray(MAP_BYTES)
-    for r in rows.groupBy(F.pmod(h, F.lit(MAP_BYTES)).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).collect():
-        table[r["at"]] = r.bits
+    with freed_shuffles(rows.sparkSession):
+        for r in packed.collect():
+            for x in r.of:
+                table[r.block << 8 | x >> 7] = x & 127
     return bytes(table)
 
 
@@ -224,6 +240,14 @@ def _in_map(table: bytes, h: Column) -> Column:
     return _byte_at(table, F.pmod(h, F.lit(MAP_BYTES)).cast("int")).bitwiseAND(bit) != 0
 
 
+def _marked(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """rows with gone, 1 if their ord is in some, whose ords are distinct, else 0. Only rows that the map can't tell
+    are shuffled."""
+    maybe = _in_map(_map_of(some, F.xxhash64("ord")), F.xxhash64("ord"))
+    told = rows.where(maybe).join(some.select("ord", F.lit(1).alias("gone")), "ord", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    return told.unionByName(rows.where(~maybe).withColumn("gone", F.lit(0)))
+
+
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: str = "0.8") -> DataFrame:
     """(d, key, kept): for each document, as _named() names them, the sorted numbers (from 0) of its lines with words
     that stay. Documents without any have no row.
@@ -240,9 +264,8 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     join = _Join(docs, id_col, text_col, similarity)
     prefixes = join.prefixes()
     done = join.first_by_hubs(prefixes.df)
-    gone = done.union(join.by_prefixes(prefixes.df, done))
-    prefixes.drop()
-    kept = join.numbered.join(gone, "ord", "left_anti").groupBy("d", "key").agg(F.sort_array(F.collect_list("l")).alias("kept"))
+    gone = done.union(join.by_prefixes(prefixes, done))  # lines in done are in no other pair
+    kept = _marked(join.numbered, gone).where("gone = 0").groupBy("d", "key").agg(F.sort_array(F.collect_list("l")).alias("kept"))
     return Table(kept, "lines-kept").df
 
 
