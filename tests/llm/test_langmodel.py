@@ -94,3 +94,34 @@ def test_base_scores_and_held_out_gain(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(df).count() == 0
+
+
+def test_words_are_looked_up_once_a_batch():
+    """Each token was looked up in up to three tables, however often its word occurred."""
+    import pyarrow as pa
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    words = [b"", b"the", b"cat", b"sat", b"mat"]
+    v = lm.Vocabulary.of(words, np.array([9, 7, 5, 3, 2]), 40, 12, [(b"at", 4, 3), (b"ing", 6, 4)], 8)
+    plain = vars(v)
+    v = lm.Vocabulary(**plain | {k: Counted(plain[k]) for k in ("index", "own_index", "endings")})
+    texts = ["The cat sat on the mat " * 200, "", "running running cat zzz zzz", "on"]
+    n = len(texts)
+    b = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([False] * n), pa.array(range(n)), pa.array(texts)], ["uid", "id", "held_out", "h", "text"])
+    got = lm._encode_batch(v, b).to_pylist()
+    assert Counted.asked <= 3 * 8
+    for t, r in zip(texts, got):
+        w = lm.tokens(t.encode())
+        out, shared = v.outputs(w)
+        logs = [math.log10(dict(zip(words, (9, 7, 5, 3, 2))).get(x, 0) + 1) for x in w]
+        assert r["n_tokens"] == len(w) and r["n_head"] == sum(x in words for x in w)
+        assert r["head_sum"] == pytest.approx(sum(logs))
+        assert r["rest_sum"] == pytest.approx(sum(logs[k] - v.rest_total[out[k]] for k in shared))
+        assert np.frombuffer(r["ids"], "<u2").tolist() == out.tolist()
+        assert dict(zip(r["tail"], r["times"])) == Counter(x for x in w if x not in words)

@@ -31,8 +31,8 @@ HIGHEST = np.float32(60)
 ONES = np.ones(CLASSES, np.float32)
 #: Backpropagation goes this far; lanes trained side by side, at most; steps that a shard's lanes have, at least.
 WINDOW, LANES, STEPS = 16, 512, 64 * 16
-#: Tokens whose outputs are computed at once when scoring.
-SCORED = 1 << 15
+#: Tokens whose outputs are computed at once when scoring, and those of different classes that share a step.
+SCORED, TOGETHER = 1 << 15, 1 << 10
 #: Each training document is learned from once, in the round that its hash names. In a round shards of about
 #: SHARD tokens learn side by side.
 ROUNDS, RATES, SHARD = 4, (0.02, 0.012, 0.006, 0.003), 3 << 18
@@ -126,6 +126,18 @@ class Vocabulary:
         return out, shared
 
 
+def _runs(cuts: np.ndarray) -> Iterator[list[int]]:
+    """The classes that have rows, in runs of at most TOGETHER rows or of one class."""
+    run: list[int] = []
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        if run and cuts[k + 1] - cuts[run[0]] > TOGETHER:
+            yield run
+            run = []
+        run.append(k)
+    if run:
+        yield run
+
+
 class Network:
     """Embedding, one layer of gated recurrent units, and a softmax over classes times one within the class.
 
@@ -211,24 +223,24 @@ class Network:
             grad["Wc"] += h.T @ e
             grad["bc"] += e.sum(0)
             dh = e @ p["Wc"].T
-        for k in range(CLASSES):
-            i = slice(cuts[k], cuts[k + 1])
-            if cuts[k] == cuts[k + 1]:
-                continue
-            hk, w = h[i], p["Wo"][k]
-            a = hk @ w
-            a += p["bo"][k]
+        for some in _runs(cuts):  # only the products go class by class: steps over few rows cost as much as those over many
+            i = slice(cuts[some[0]], cuts[some[-1] + 1])
+            each = [(k, slice(cuts[k] - i.start, cuts[k + 1] - i.start)) for k in some]
+            hi, n = h[i], rows[: i.stop - i.start]
+            a = np.empty((len(hi), CLASSES), np.float32)
+            for k, j in each:
+                np.add(hi[j] @ p["Wo"][k], p["bo"][k], out=a[j])
             np.minimum(a, HIGHEST, out=a)
             e = np.exp(a)
             s = e @ ONES
-            n = rows[: len(hk)]
             logp[i] += a[n, within[i]] - np.log(s)
             if grad is not None:
                 e /= s[:, None]
                 e[n, within[i]] -= 1
-                grad["Wo"][k] += hk.T @ e
-                grad["bo"][k] += e.sum(0)
-                dh[i] += e @ w.T
+                for k, j in each:
+                    grad["Wo"][k] += hi[j].T @ e[j]
+                    grad["bo"][k] += e[j].sum(0)
+                    dh[i][j] += e[j] @ p["Wo"][k].T
         out = np.empty_like(logp)
         out[order] = logp
         if dh is not None:
@@ -476,28 +488,49 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+class _Places(dict):
+    """The words seen so far, numbered in the order in which they came."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _encode_batch(v: Vocabulary, b: pa.RecordBatch) -> pa.RecordBatch:
-    """For each text its outputs, the sums that the known tokens give, and the tokens that the index lacks."""
-    n, head, head_sum, rest_sum, ids, tails, times = [], [], [], [], [], [], []
-    own_logs = np.zeros(len(v.output_counts))
-    for t, k in v.own_index.items():
-        own_logs[k] = v.log_count[v.index[t]]
+    """For each text its outputs, the sums that the known tokens give, and the tokens that the index lacks. What the
+    vocabulary says of a word is looked up once a batch, however often it occurs."""
+    places, found = _Places(), []
     for t in b.column("text").cast(pa.binary()):
         w = tokens(t.as_py())
-        out, shared = v.outputs(w)
-        others = [w[k] for k in shared.tolist()]
-        at = np.fromiter(map(v.index.get, others, repeat(-1)), np.int32, len(others))
-        shared_sum = float(v.log_count[at[at >= 0]].sum())
-        n.append(len(w))
-        head.append(len(w) - int((at < 0).sum()))
-        head_sum.append(shared_sum + float(own_logs[out].sum()))
-        rest_sum.append(shared_sum - float(v.rest_total[out[shared]].sum()))
-        ids.append(out.astype("<u2").tobytes())
-        rare = Counter(others[k] for k in np.flatnonzero(at < 0).tolist())
-        tails.append(list(rare))
-        times.append(list(rare.values()))
+        found.append(np.fromiter(map(places.__getitem__, w), np.int32, len(w)))
+    words = list(places)
+    n = np.array([len(x) for x in found], np.int64)
+    starts = np.cumsum(n) - n  # each text has its end, so none is empty
+    token = np.concatenate(found)
+    del found, places
+    out, shared = v.outputs(words)
+    at = np.fromiter(map(v.index.get, words, repeat(-1)), np.int32, len(words))
+    known, logs, rests = at >= 0, np.zeros(len(words)), np.zeros(len(words))
+    logs[known] = v.log_count[at[known]]
+    rests[shared] = logs[shared] - v.rest_total[out[shared]]
+    rare = np.flatnonzero(~known[token])
+    row = np.repeat(np.arange(len(n)), n)[rare]
+    pair, times = np.unique(row * len(words) + token[rare], return_counts=True)
+    offsets = np.searchsorted(pair, np.arange(len(n) + 1) * len(words)).astype(np.int32)
+    tails = pa.array(words, pa.binary()).take(pa.array(pair % len(words)))
+    ends = np.concatenate([[0], 2 * np.cumsum(n)]).astype(np.int32)
+    ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(out.astype("<u2")[token])])
     keep = ["uid", "id", "held_out", "h"]
     return pa.RecordBatch.from_arrays(
-        [*[b.column(k) for k in keep], pa.array(n, pa.int64()), pa.array(head, pa.int64()), pa.array(head_sum, pa.float64()), pa.array(rest_sum, pa.float64()), pa.array(ids, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
+        [
+            *[b.column(k) for k in keep],
+            pa.array(n),
+            pa.array(np.add.reduceat(known[token].astype(np.int64), starts)),
+            pa.array(np.add.reduceat(logs[token], starts)),
+            pa.array(np.add.reduceat(rests[token], starts)),
+            ids,
+            pa.ListArray.from_arrays(pa.array(offsets), tails),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int32))),
+        ],
         [*keep, "n_tokens", "n_head", "head_sum", "rest_sum", "ids", "tail", "times"],
-    )
+    )
