@@ -88,3 +88,16 @@ def test_marks_are_exact_where_the_map_is_full(spark, monkeypatch):
     monkeypatch.setattr(lines, "MAP_BYTES", 4)
     rows, some = spark.range(500).withColumnRenamed("id", "ord"), spark.range(0, 500, 7).withColumnRenamed("id", "ord")
     assert {(r.ord, r.gone) for r in lines._marked(rows, some).collect()} == {(k, int(k % 7 == 0)) for k in range(500)}
+
+
+def test_long_lines_under_one_hub_without_much_in_common_are_no_candidates(spark, monkeypatch):
+    """Hubs had sketches of 64 bits, which any two lines of 150 words pass."""
+    rng = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 150))) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + f" x{i} y{i}") for i in range(20)]
+    pairs = []
+    monkeypatch.setattr(lines._Join, "_verified", lambda self, found, own=lines._Join._verified: pairs.append(found.count()) or own(self, found))
+    got = {r.id: list(r.removed) for r in lines.marked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and sum(map(bool, got.values())) == 20
+    assert pairs[0] < 40

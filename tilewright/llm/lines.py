@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, Table, freed_shuffles, text_or_empty, words
+from .common import SPACE, WORD, Table, freed_shuffles, text_or_empty
 
 #: Words are counted in so many hash buckets; a level of rarity for each is all that the driver sees of them.
 BUCKETS = 1 << 17
@@ -20,13 +20,14 @@ HASH_BITS = 56
 #: these bits. Longer lines count as of LONG tokens and are excluded by nothing that needs more.
 DONE_AT, SIZE_AT, PLACE_BITS = 22, 10, 10
 LONG, FAR = (1 << DONE_AT - SIZE_AT) - 1, (1 << PLACE_BITS) - 1
-#: Of groups of more lines than HOT so many first lines, by a hash of their numbers, are compared with all others.
-HOT, HUBS = 64, 16
+#: Of the lines under one token so many first ones, by a hash of their numbers, are compared with all others.
+HUBS = 16
 #: Lines of so many tokens have a sketch of 128 and of 256 bits beside that of 64, which lets one in thousands of
 #: unlike pairs of 70 tokens through and tells nothing of lines of 150.
 WIDE, WIDER = 56, 120
 #: The tokens of the prefixes are joined in so many passes, by hash, each of which frees its shuffle before the next.
 PASSES = 2
+SKETCHES = ("sketch", "s1", "s2", "s3")
 #: Bytes of the map, 7 bits each, that says which lines may be among some others. It only spares shuffles.
 MAP_BYTES = 1 << 17
 
@@ -51,14 +52,21 @@ def rarity_levels(texts: Column, docs: DataFrame) -> bytes:
     return bytes(levels)
 
 
+def _words(line: Column) -> Column:
+    """words() of a line. Splitting at one plain character takes half the time of splitting at a class of them."""
+    for space in "\t\n\v\f\r":
+        line = F.replace(line, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
+
+
 def _tokens(line: Column, levels: bytes) -> Column:
     """The set of a line's words as longs, sorted by rarity: level, then hash."""
 
     def one(h: Column) -> Column:
-        level = _byte_at(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long")
+        level = _byte_at(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
         return F.shiftleft(level, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
+    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, one))
 
 
@@ -124,38 +132,36 @@ class _Join:
         return at.join(F.broadcast(Table(counted, "lines-parts").df), "part").select("d", "key", "l", (F.col("before") + F.col("place")).alias("ord"))
 
     def prefixes(self) -> Table:
-        """(ord, n, sketch, s1, s2, s3, prefix): the lines' numbers of tokens, sketches and rarest tokens."""
+        """(ord, line, n, sketch, s1, s2, s3, prefix): the lines, their numbers of tokens, sketches and rarest tokens."""
         listed = self.numbered.groupBy("d", "key").agg(F.collect_list(F.struct("l", "ord")).alias("firsts"))
         texts = self.texts.groupBy("d", "key").agg(F.first("text").alias("text"))
         found = _once(F.split("text", "\n"), lambda p: F.transform("firsts", lambda f: F.struct(f.ord.alias("ord"), F.get(p, f.l).alias("line"))))
         lines = texts.join(listed, ["d", "key"]).select(F.inline(found))
-        sets = lines.select("ord", _tokens(F.col("line"), self.levels).alias("toks"))
+        sets = lines.select("ord", "line", _tokens(F.col("line"), self.levels).alias("toks"))
         n = F.size("toks")
-        return Table(sets.select("ord", n.alias("n"), _sketch(F.col("toks")).alias("sketch"), *_parts(F.col("toks")), F.slice("toks", 1, n - _ceil(n, self.t) + 1).alias("prefix")), "lines-prefixes")
+        self.known = Table(sets.select("ord", "line", n.alias("n"), _sketch(F.col("toks")).alias("sketch"), *_parts(F.col("toks")), F.slice("toks", 1, n - _ceil(n, self.t) + 1).alias("prefix")), "lines-prefixes")
+        return self.known
 
-    def _alike(self, na: Column, nb: Column, a: Column, b: Column) -> Column:
-        """What lengths and sketches allow: similar sets differ in at most (1 - t) / (1 + t) of n1 + n2."""
-        lo, hi = self.lo, self.hi
-        return (F.bit_count(a.bitwiseXOR(b)) * (hi + lo) <= (na + nb) * (hi - lo)) & (na * hi >= nb * lo) & (nb * hi >= na * lo)
+    def _sketches_allow(self, na: Column, nb: Column, a: list[Column], b: list[Column]) -> Column:
+        """What sketches allow: similar sets differ in at most (1 - t) / (1 + t) of n1 + n2."""
+        d, d1, d2, d3 = (x.bitwiseXOR(y) for x, y in zip(a, b))
+        wide = F.bit_count(d.bitwiseXOR(d1)) + F.bit_count(d1)
+        wider = F.bit_count(d.bitwiseXOR(d1).bitwiseXOR(d2).bitwiseXOR(d3)) + F.bit_count(d1.bitwiseXOR(d3)) + F.bit_count(d2.bitwiseXOR(d3)) + F.bit_count(d3)
+        by, most = self.hi + self.lo, (na + nb) * (self.hi - self.lo)
+        return (F.bit_count(d) * by <= most) & ((na < WIDE) | (nb < WIDE) | (wide * by <= most)) & ((na < WIDER) | (nb < WIDER) | (wider * by <= most))
 
     def first_by_hubs(self, prefixes: DataFrame) -> DataFrame:
-        """(ord): lines that are similar to the earliest of the lines with one of the same two last tokens of the prefix;
-        in large groups, to one of HUBS early ones. Each line has so few partners that one with thousands of
-        variants never becomes their pairs."""
+        """(ord): lines that are similar to one of up to HUBS early lines with one of the same two last tokens of the
+        prefix. Each line has so few partners that one with thousands of variants never becomes their pairs, and
+        the join puts out similar ones only."""
+        own, theirs = ["n", *SKETCHES], ["bn", *(f"b{k}" for k in SKETCHES)]
         ends = F.slice("prefix", F.greatest(F.size("prefix") - 1, F.lit(1)), 2)
-        sig = prefixes.select("ord", "n", "sketch", F.explode(ends).alias("tok"))
-        first = [F.min("ord").alias("by"), F.min_by("n", "ord").alias("bn"), F.min_by("sketch", "ord").alias("bs")]
-        hubs = Table(sig.groupBy("tok").agg(*first, F.count("*").alias("c")).where("c > 1"), "lines-hubs")
-        near = (F.col("by") < F.col("ord")) & self._alike(F.col("n"), F.col("bn"), F.col("sketch"), F.col("bs"))
-        met = sig.join(hubs.df, "tok").withColumn("near", near).where(F.col("near") | (F.col("c") > HOT))
-        met = Table(met.select("ord", "by", "near", *[F.when(F.col("c") > HOT, F.col(k)).alias(k) for k in ("tok", "n", "sketch")]), "lines-met")
-        hot = met.df.where("tok is not null").select("ord", "tok", "n", "sketch")
-        more = hot.groupBy("tok", F.pmod(F.xxhash64("ord"), F.lit(HUBS)).alias("k")).agg(*first).drop("k")
-        pairs = met.df.where("near").select("ord", "by").union(hot.join(more, "tok").where(near).select("ord", "by"))
-        out = self._verified(pairs.distinct())
-        hubs.drop()
-        met.drop()
-        return out
+        sig = prefixes.select("ord", *own, F.explode(ends).alias("tok"))
+        first = [F.min("ord").alias("by"), *[F.min_by(k, "ord").alias(b) for k, b in zip(own, theirs)]]
+        hubs = sig.groupBy("tok", F.pmod(F.xxhash64("ord"), F.lit(HUBS)).alias("k")).agg(*first).drop("k")
+        (n, *s), (bn, *bs) = map(F.col, own), map(F.col, theirs)
+        near = (F.col("by") < F.col("ord")) & (n * self.hi >= bn * self.lo) & (bn * self.hi >= n * self.lo) & self._sketches_allow(n, bn, s, bs)
+        return self._verified(sig.join(hubs, "tok").where(near).select("ord", "by").distinct())
 
     def by_prefixes(self, prefixes: Table, done: DataFrame) -> DataFrame:
         """(ord): lines not in done that are similar to an earlier line. prefixes are dropped.
@@ -168,29 +174,22 @@ class _Join:
         flagged = _marked(prefixes.df, done)
         n = F.col("n").cast("long")
         line = F.shiftleft("ord", DONE_AT + 1).bitwiseOR(F.shiftleft(F.col("gone").cast("long"), DONE_AT)).bitwiseOR(F.shiftleft(F.least(n, F.lit(LONG)), SIZE_AT))
-        lines = Table(flagged.select("prefix", "sketch", "s1", "s2", "s3", line.alias("line")), "lines-flagged")
-        prefixes.drop()
+        lines = Table(flagged.select("prefix", *SKETCHES, line.alias("line")), "lines-flagged")
 
         def rows(k: int) -> DataFrame:
-            placed = lines.df.select("sketch", "s1", "s2", "s3", "line", F.posexplode("prefix").alias("pos", "tok"))
-            return placed.where(F.pmod("tok", F.lit(PASSES)) == k).select("tok", "sketch", "s1", "s2", "s3", F.col("line").bitwiseOR(F.least(F.col("pos").cast("long"), F.lit(FAR))).alias("at"))
+            placed = lines.df.select(*SKETCHES, "line", F.posexplode("prefix").alias("pos", "tok"))
+            return placed.where(F.pmod("tok", F.lit(PASSES)) == k).select("tok", *SKETCHES, F.col("line").bitwiseOR(F.least(F.col("pos").cast("long"), F.lit(FAR))).alias("at"))
 
         def read(s: str) -> tuple[Column, Column, Column, Column]:
             at = F.col(f"{s}.at")
             return F.shiftright(at, DONE_AT + 1), F.shiftright(at, SIZE_AT).bitwiseAND(F.lit(LONG)), at.bitwiseAND(F.lit(FAR)), F.shiftright(at, DONE_AT).bitwiseAND(F.lit(1))
 
         (x, nx, px, gx), (y, ny, py, gy) = read("x"), read("y")
-        differ = [F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}")) for k in ("sketch", "s1", "s2", "s3")]
-        d, d1, d2, d3 = differ
-        wide = F.bit_count(d.bitwiseXOR(d1)) + F.bit_count(d1)
-        wider = F.bit_count(d.bitwiseXOR(d1).bitwiseXOR(d2).bitwiseXOR(d3)) + F.bit_count(d1.bitwiseXOR(d3)) + F.bit_count(d2.bitwiseXOR(d3)) + F.bit_count(d3)
         alike = (
             ((ny < nx) | ((ny == nx) & ((y < x) | ((nx == LONG) & (y != x)))))
             & (nx * lo <= ny * hi)
             & ((nx == LONG) | (F.least(nx - px, ny - py) * (hi + lo) >= (nx + ny) * lo))
-            & (F.bit_count(d) * (hi + lo) <= (nx + ny) * (hi - lo))
-            & ((nx < WIDE) | (ny < WIDE) | (wide * (hi + lo) <= (nx + ny) * (hi - lo)))
-            & ((nx < WIDER) | (ny < WIDER) | (wider * (hi + lo) <= (nx + ny) * (hi - lo)))
+            & self._sketches_allow(nx, ny, *[[F.col(f"{side}.{k}") for k in SKETCHES] for side in "xy"])
             & (F.when(x > y, gx).otherwise(gy) == 0)
         )
         found = []
@@ -198,25 +197,21 @@ class _Join:
             near = rows(k).alias("x").join(rows(k).alias("y"), F.col("x.tok") == F.col("y.tok")).where(alike)
             found.append(Table(near.select(F.greatest(x, y).alias("ord"), F.least(x, y).alias("by")).distinct(), "lines-near"))
         out = self._verified(reduce(DataFrame.union, [t.df for t in found]).distinct())
-        for t in (lines, *found):
+        for t in (lines, prefixes, *found):
             t.drop()
         return out
 
     def _verified(self, found: DataFrame) -> DataFrame:
         """(ord): the lines whose words are similar enough to those of their partner."""
         pairs = Table(found, "lines-pairs")
-        either = pairs.df.select("ord").union(pairs.df.select("by")).distinct()
-        needed = self.numbered.where(_in_map(_map_of(either, F.xxhash64("ord")), F.xxhash64("ord"))).join(either, "ord")
-        needed = Table(needed, "lines-needed")
-        place = F.xxhash64("d", "key", "l")
-        known = self._lines().where(_in_map(_map_of(needed.df, place), place))
-        known = known.groupBy("d", "key", "l").agg(F.first("line").alias("line")).join(needed.df, ["d", "key", "l"]).select("ord", "line")
-        known = Table(known, "lines-texts")
+        either = Table(pairs.df.select("ord").union(pairs.df.select("by")).distinct(), "lines-needed")
+        maybe = _in_map(_map_of(either.df, F.xxhash64("ord")), F.xxhash64("ord"))
+        known = Table(self.known.df.select("ord", "line").where(maybe).join(either.df, "ord"), "lines-texts")
         both = pairs.df.join(known.df, "ord").join(known.df.select(F.col("ord").alias("by"), F.col("line").alias("other")), "by")
-        sets = F.struct(F.array_distinct(words(F.col("line"))).alias("a"), F.array_distinct(words(F.col("other"))).alias("b"))
+        sets = F.struct(F.array_distinct(_words(F.col("line"))).alias("a"), F.array_distinct(_words(F.col("other"))).alias("b"))
         similar = _once(sets, lambda s: F.size(F.array_intersect(s.a, s.b)) * (self.hi + self.lo) >= (F.size(s.a) + F.size(s.b)) * self.lo)
         out = Table(both.where(similar).select("ord").distinct(), "lines-similar").df
-        for spent in (pairs, needed, known):
+        for spent in (pairs, either, known):
             spent.drop()
         return out
 
@@ -258,7 +253,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes are joined on the tokens of their prefixes; lengths, positions and sketches exclude nearly
     all other pairs within the join; what is left is verified on the words. To remove a line one
     earlier match is enough, so those that match the first line of a group need no further partner.
-    Texts are shuffled once, after that only those of lines that are candidates.
+    Texts are shuffled once and kept by line; after that only those of lines that are candidates are joined.
     """
     join = _Join(docs, id_col, text_col, similarity)
     prefixes = join.prefixes()
