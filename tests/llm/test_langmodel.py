@@ -125,3 +125,16 @@ def test_words_are_looked_up_once_a_batch():
         assert r["rest_sum"] == pytest.approx(sum(logs[k] - v.rest_total[out[k]] for k in shared))
         assert np.frombuffer(r["ids"], "<u2").tolist() == out.tolist()
         assert dict(zip(r["tail"], r["times"])) == Counter(x for x in w if x not in words)
+
+
+def test_scoring_takes_batches_that_fit_a_cache(monkeypatch):
+    """Batches of 32,768 tokens went through memory at each step."""
+    rng = np.random.default_rng(3)
+    net = lm.Network.start(np.ones(lm.CLASSES**2 - 1), 1.0)
+    docs = [rng.integers(0, lm.CLASSES**2, 150).astype(np.int32) for _ in range(600)]
+    sizes = []
+    own = lm.Network.outputs
+    monkeypatch.setattr(lm.Network, "outputs", lambda self, h, targets, grad=None: sizes.append(len(h)) or own(self, h, targets, grad))
+    together = lm.score_documents(net, docs)
+    assert sum(sizes) == 600 * 150 and max(sizes) <= 1 << 13
+    assert np.allclose(together, [lm.score_documents(net, [d])[0] for d in docs], rtol=1e-5)

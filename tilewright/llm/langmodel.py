@@ -31,8 +31,9 @@ HIGHEST = np.float32(60)
 ONES = np.ones(CLASSES, np.float32)
 #: Backpropagation goes this far; lanes trained side by side, at most; steps that a shard's lanes have, at least.
 WINDOW, LANES, STEPS = 16, 512, 64 * 16
-#: Tokens whose outputs are computed at once when scoring, and those of different classes that share a step.
-SCORED, TOGETHER = 1 << 15, 1 << 10
+#: Tokens whose outputs are computed at once when scoring, as many as in a window of training, so that their arrays
+#: stay in a processor's cache, and those of different classes that share a step.
+SCORED, TOGETHER = WINDOW * LANES, 1 << 12
 #: Each training document is learned from once, in the round that its hash names. In a round shards of about
 #: SHARD tokens learn side by side.
 ROUNDS, RATES, SHARD = 4, (0.02, 0.012, 0.006, 0.003), 3 << 18
@@ -176,7 +177,8 @@ class Network:
         first of a document, where the state starts anew. Returns (T, B, HIDDEN) and, to keep, what backward() needs."""
         p = self.p
         gx = (p["E"] @ p["Wx"] + p["bx"])[inputs]
-        out, saved = np.empty((*inputs.shape, HIDDEN), np.float32), []
+        out = np.empty((*inputs.shape, HIDDEN), np.float32)
+        saved = [gx, *(np.empty_like(out) for _ in range(3))] if keep else []
         any_fresh = fresh.any(1)
         for t in range(len(inputs)):
             if any_fresh[t]:
@@ -195,7 +197,7 @@ class Network:
             c += gx[t, :, 2 * HIDDEN :]
             np.tanh(c, out=c)
             if keep:
-                saved.append((h, r, z, c, ghc))
+                saved[1][t], saved[2][t], saved[3][t] = h, c, ghc
             h = np.subtract(h, c, out=out[t])
             h *= z
             h += c
@@ -215,7 +217,7 @@ class Network:
         e = np.exp(a)
         s = e @ ONES  # summing short rows is much slower
         rows = np.arange(len(h))
-        logp = a[rows, cls] - np.log(s)
+        logp = a.reshape(-1)[rows * CLASSES + cls] - np.log(s)
         dh = None
         if grad is not None:
             e /= s[:, None]
@@ -233,7 +235,7 @@ class Network:
             np.minimum(a, HIGHEST, out=a)
             e = np.exp(a)
             s = e @ ONES
-            logp[i] += a[n, within[i]] - np.log(s)
+            logp[i] += a.reshape(-1)[n * CLASSES + within[i]] - np.log(s)
             if grad is not None:
                 e /= s[:, None]
                 e[n, within[i]] -= 1
@@ -251,20 +253,29 @@ class Network:
 
     def backward(self, inputs: np.ndarray, fresh: np.ndarray, saved: list, dout: np.ndarray, grad: dict) -> None:
         p = self.p
-        dgx = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
-        dnext = np.zeros_like(dout[0])
+        gates, h, c, ghc = saved
+        r, z = gates[:, :, :HIDDEN], gates[:, :, HIDDEN : 2 * HIDDEN]
+        to_z = (h - c) * z  # what does not depend on later steps is computed for all steps at once
+        left = 1 - z
+        to_z *= left
+        to_c = left * (1 - c * c)
+        to_r = ghc * r * (1 - r)
+        dgx, dgh = (np.empty((*inputs.shape, 3 * HIDDEN), np.float32) for _ in range(2))
+        dnext, back = np.zeros_like(dout[0]), p["Wh"].T
         for t in range(len(inputs) - 1, -1, -1):
-            h, r, z, c, ghc = saved[t]
             d = dout[t] + dnext
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (h - c) * z * (1 - z)
-            dr = dc * ghc * r * (1 - r)
-            g = dgx[t]
-            g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :] = dr, dz, dc
-            gh = np.concatenate([dr, dz, dc * r], axis=1)
-            grad["Wh"] += h.T @ gh
-            dnext = d * z + gh @ p["Wh"].T
+            g = dgh[t]
+            dc = d * to_c[t]
+            np.multiply(dc, to_r[t], out=g[:, :HIDDEN])
+            np.multiply(d, to_z[t], out=g[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(dc, r[t], out=g[:, 2 * HIDDEN :])
+            dgx[t, :, 2 * HIDDEN :] = dc
+            d *= z[t]
+            dnext = g @ back
+            dnext += d
             dnext[fresh[t]] = 0
+        dgx[:, :, : 2 * HIDDEN] = dgh[:, :, : 2 * HIDDEN]
+        grad["Wh"] += h.reshape(-1, HIDDEN).T @ dgh.reshape(-1, 3 * HIDDEN)
         flat = dgx.reshape(-1, 3 * HIDDEN)
         ids = inputs.reshape(-1).astype(np.int16)
         grad["Wx"] += p["E"][ids].T @ flat
