@@ -101,3 +101,26 @@ def test_long_lines_under_one_hub_without_much_in_common_are_no_candidates(spark
     got = {r.id: list(r.removed) for r in lines.marked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows) and sum(map(bool, got.values())) == 20
     assert pairs[0] < 40
+
+
+def test_words_of_repeated_lines_are_counted_once(spark, monkeypatch):
+    """All words of all texts were counted, those of copies too."""
+    rows = [(i, f"a line that all texts have\nand one of three is number {i % 3}") for i in range(30)]
+    counted = []
+    monkeypatch.setattr(lines, "rarity_levels", lambda *a, own=lines.rarity_levels: counted.append(a[-1].count()) or own(*a))
+    got = {r.id: list(r.removed) for r in lines.marked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert counted == [4]
+
+
+@pytest.mark.parametrize("ids", [lambda i: i - 7, lambda i: (i - 7) * 10**16])
+def test_ids_far_apart_give_the_same_order_as_dense_ones(spark, ids):
+    rows = [(ids(d), t) for d, t in make(3) if d is not None and d < 110]
+    got = {r.id: list(r.removed) for r in lines.marked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_texts_that_share_an_id_take_turns_by_line(spark):
+    rows = [(5, "p q r s\nk l m n\n\nown a"), (5, "k l m n\np q r s"), (5, "k l m n\np q r s"), (6, "k\tl m\x0bn\n\t\nx"), (None, "x\ny"), (None, "y\nx\nz")]
+    got = [(r.id, r.n_lines, list(r.removed)) for r in lines.marked(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(5, 4, [1]), (5, 2, [1]), (5, 2, [1]), (6, 3, [0]), (None, 2, [0, 1]), (None, 3, [1])], key=str)

@@ -20,6 +20,8 @@ HASH_BITS = 56
 #: these bits. Longer lines count as of LONG tokens and are excluded by nothing that needs more.
 DONE_AT, SIZE_AT, PLACE_BITS = 22, 10, 10
 LONG, FAR = (1 << DONE_AT - SIZE_AT) - 1, (1 << PLACE_BITS) - 1
+#: Numbers of lines stay below this, so that a row of the join holds them; doubles do too.
+MOST_LINES = 1 << 63 - DONE_AT - 1
 #: Of the lines under one token so many first ones, by a hash of their numbers, are compared with all others.
 HUBS = 16
 #: Lines of so many tokens have a sketch of 128 and of 256 bits beside that of 64, which lets one in thousands of
@@ -37,25 +39,33 @@ def _byte_at(table: bytes, at: Column) -> Column:
     return F.ascii(F.substring(F.lit(table), at + 1, 1).cast("string"))
 
 
-def rarity_levels(texts: Column, docs: DataFrame) -> bytes:
-    """For each bucket the logarithm of how many words of all texts fall in it. Tokens are put in this order, so it
+def rarity_levels(lines: DataFrame) -> bytes:
+    """For each bucket the logarithm of how many words of all lines fall in it. Tokens are put in this order, so it
     decides how many pairs are compared, not which are found."""
-    parts = F.explode(F.split(texts, rf"[{SPACE}]+"))  # with empty ones, which count for nothing here
-    counted = docs.select(parts.alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
+    parts = F.explode(F.split("line", " "))  # with empty ones, which count for nothing here
+    at = lines.select(parts.alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("at"))
+    rows = BUCKETS >> 2  # of four counts each: a table of fewer rows stays in the processor's cache
+    counts = [F.count(F.when(F.shiftright("at", rows.bit_length() - 1) == k, 1)).alias(f"c{k}") for k in range(4)]
+    four = at.groupBy(F.col("at").bitwiseAND(F.lit(rows - 1)).alias("row")).agg(*counts)
+    each = F.inline(F.array(*[F.struct((F.col("row") + k * rows).cast("int").alias("b"), F.col(f"c{k}").alias("count")) for k in range(4)]))
     level = F.least(F.floor(F.log2(F.col("count") + 1) * LEVELS), F.lit(127)).cast("int")
-    packed = counted.groupBy(F.shiftright("b", 8).alias("block")).agg(F.collect_list(F.shiftleft(F.col("b").bitwiseAND(F.lit(255)), 7).bitwiseOR(level)).alias("of"))
+    packed = four.select(each).groupBy(F.shiftright("b", 8).alias("block")).agg(F.collect_list(F.shiftleft(F.col("b").bitwiseAND(F.lit(255)), 7).bitwiseOR(level)).alias("of"))
     levels = bytearray(BUCKETS)
-    with freed_shuffles(docs.sparkSession):
+    with freed_shuffles(lines.sparkSession):
         for r in packed.collect():
             for x in r.of:
                 levels[r.block << 8 | x >> 7] = x & 127
     return bytes(levels)
 
 
+def _spaced(text: Column) -> Column:
+    """text with a space for each other white space but newlines. Its lines have the same words, and splitting at one
+    plain character takes half the time of splitting at a class of them."""
+    return F.when(F.rlike(text, F.lit(r"[\x09\x0B-\x0D]")), F.translate(text, "\t\v\f\r", "    ")).otherwise(text)
+
+
 def _words(line: Column) -> Column:
-    """words() of a line. Splitting at one plain character takes half the time of splitting at a class of them."""
-    for space in "\t\n\v\f\r":
-        line = F.replace(line, F.lit(space), F.lit(" "))
+    """words() of a line of a _spaced() text."""
     return F.array_remove(F.split(line, " "), "")
 
 
@@ -104,6 +114,60 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]
     return d.alias("d"), F.xxhash64(F.lit("doc"), F.col(id_col).cast("string"), text_or_empty(text_col)).alias("key")
 
 
+class _ById:
+    """Lines are numbered by their texts' ids, each of which has room for the longest text's lines."""
+
+    uses = ("d",)
+
+    def __init__(self, least: int, width: int):
+        self.least, self.width = least, width
+
+    def of(self, texts: DataFrame) -> tuple[DataFrame, Column]:
+        """texts with what numbers need, and the number of line l."""
+        return texts, (F.col("d") - self.least) * self.width + F.col("l")
+
+    def places(self, ords: DataFrame) -> DataFrame:
+        """(d, l) of the lines with these numbers."""
+        d = F.floor(F.col("ord") / self.width)  # exact: numbers stay below MOST_LINES
+        return ords.select((d + self.least).alias("d"), (F.col("ord") - d * self.width).cast("int").alias("l"))
+
+
+class _ByRank:
+    """Lines are numbered densely, but where texts share an id: these take turns, and each has room for the longest."""
+
+    uses = ("base", "m", "r")
+
+    def __init__(self, docs: DataFrame, parts: int):
+        self.parts = parts
+        docs = self._in_order(docs, "d", "key")
+        docs = docs.join(self._before(docs, F.count("*")), "part").withColumn("rank", F.col("before") + F.col("place")).drop("part", "place", "before")
+        ids = docs.groupBy("d").agg(F.min("rank").alias("first"), F.count("*").alias("m"), F.max("n").alias("width"))
+        ids = self._in_order(ids.withColumn("span", F.col("m") * F.col("width")).drop("width"), "d")
+        within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        base = F.col("before") + F.coalesce(F.sum("span").over(within), F.lit(0))
+        ids = ids.join(self._before(ids, F.sum("span")), "part").select("d", "first", "m", base.alias("base"))
+        self.docs = Table(docs.join(ids, "d").select("d", "key", "n", "base", "m", (F.col("rank") - F.col("first")).alias("r")), "lines-docs").df
+
+    def _in_order(self, rows: DataFrame, *by: str) -> DataFrame:
+        """rows with the part of the order of these columns that they lie in and the place there."""
+        at = Table(rows.repartitionByRange(self.parts, *by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()), "lines-order").df
+        return at.withColumn("part", F.shiftright("at", 33)).withColumn("place", F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at")
+
+    def _before(self, rows: DataFrame, what: Column) -> DataFrame:
+        """(part, before): what all earlier parts have."""
+        earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+        counted = rows.groupBy("part").agg(what.alias("has")).select("part", F.coalesce(F.sum("has").over(earlier), F.lit(0)).alias("before"))
+        return F.broadcast(Table(counted, "lines-parts").df)
+
+    def of(self, texts: DataFrame) -> tuple[DataFrame, Column]:
+        return texts.join(self.docs.drop("n"), ["d", "key"]), F.col("base") + F.col("l") * F.col("m") + F.col("r")
+
+    def places(self, ords: DataFrame) -> DataFrame:
+        """(d, key, l) of the lines with these numbers."""
+        every = self.docs.select("d", "key", "base", "m", "r", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("l"))
+        return every.select("d", "key", "l", (F.col("base") + F.col("l") * F.col("m") + F.col("r")).alias("ord")).join(ords, "ord").select("d", "key", "l")
+
+
 class _Join:
     """The lines of docs by which each line that has words is represented, and the pairs of them that are similar."""
 
@@ -112,35 +176,32 @@ class _Join:
         self.lo, self.hi = self.t.numerator, self.t.denominator
         self.texts = docs.select(*_named(docs, id_col, text_col), text_or_empty(text_col).alias("text"))
         self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.levels = rarity_levels(F.col("text"), self.texts)
-        self.numbered = self._number()
-
-    def _lines(self) -> DataFrame:
-        return self.texts.select("d", "key", F.posexplode(F.split("text", "\n")).alias("l", "line"))
-
-    def _number(self) -> DataFrame:
-        """(d, key, l, ord): the first of all equal lines, numbered from 0 in the order of ids and lines."""
-        order = ["d", "l", "key"]
-        hashed = self._lines().where(F.rlike("line", F.lit(WORD))).select(*order, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
-        first = Table(hashed.groupBy("h1", "h2").agg(F.min(F.struct(*order)).alias("first")).select("first.*"), "lines-first")
-        inorder = first.df.repartitionByRange(self.parts, *order).sortWithinPartitions(*order)
-        at = Table(inorder.select("d", "key", "l", F.monotonically_increasing_id().alias("at")), "lines-numbered").df
-        first.drop()
-        at = at.select("d", "key", "l", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
-        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-        counted = at.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-        return at.join(F.broadcast(Table(counted, "lines-parts").df), "part").select("d", "key", "l", (F.col("before") + F.col("place")).alias("ord"))
+        self.numbers = self._numbers()
+        self.lines = self._lines()
+
+    def _numbers(self) -> _ById | _ByRank:
+        """How lines are numbered in the order of (id, line): ids that name one text each and lie close together give
+        the numbers by themselves, others are ranked."""
+        docs = self.texts.select("d", "key", F.size(F.split("text", "\n")).cast("long").alias("n"))
+        ids = docs.groupBy("d").agg(F.max("n").alias("n"), (F.min("key") < F.max("key")).alias("shared"))
+        with freed_shuffles(docs.sparkSession):
+            r = ids.agg(F.min("d").alias("least"), F.max("d").alias("most"), F.max("n").alias("width"), F.bool_or("shared").alias("shared")).first()
+        if r.least is None or not r.shared and (r.most - r.least + 1) * r.width < MOST_LINES:
+            return _ById(r.least or 0, r.width or 1)
+        return _ByRank(docs.groupBy("d", "key").agg(F.max("n").alias("n")), self.parts)
+
+    def _lines(self) -> Table:
+        """(line, ord): each line that has words once, with the number of its first place."""
+        placed, ord_ = self.numbers.of(self.texts)
+        every = placed.select(*self.numbers.uses, F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("l", "line"))
+        return Table(every.where(F.trim("line") != "").select("line", ord_.alias("ord")).groupBy("line").agg(F.min("ord").alias("ord")), "lines-first")
 
     def prefixes(self) -> Table:
-        """(ord, line, n, sketch, s1, s2, s3, prefix): the lines, their numbers of tokens, sketches and rarest tokens."""
-        listed = self.numbered.groupBy("d", "key").agg(F.collect_list(F.struct("l", "ord")).alias("firsts"))
-        texts = self.texts.groupBy("d", "key").agg(F.first("text").alias("text"))
-        found = _once(F.split("text", "\n"), lambda p: F.transform("firsts", lambda f: F.struct(f.ord.alias("ord"), F.get(p, f.l).alias("line"))))
-        lines = texts.join(listed, ["d", "key"]).select(F.inline(found))
-        sets = lines.select("ord", "line", _tokens(F.col("line"), self.levels).alias("toks"))
+        """(ord, n, sketch, s1, s2, s3, prefix): the lines' numbers of tokens, sketches and rarest tokens."""
+        levels = rarity_levels(self.lines.df)
+        sets = self.lines.df.select("ord", _tokens(F.col("line"), levels).alias("toks"))
         n = F.size("toks")
-        self.known = Table(sets.select("ord", "line", n.alias("n"), _sketch(F.col("toks")).alias("sketch"), *_parts(F.col("toks")), F.slice("toks", 1, n - _ceil(n, self.t) + 1).alias("prefix")), "lines-prefixes")
-        return self.known
+        return Table(sets.select("ord", n.alias("n"), _sketch(F.col("toks")).alias("sketch"), *_parts(F.col("toks")), F.slice("toks", 1, n - _ceil(n, self.t) + 1).alias("prefix")), "lines-prefixes")
 
     def _sketches_allow(self, na: Column, nb: Column, a: list[Column], b: list[Column]) -> Column:
         """What sketches allow: similar sets differ in at most (1 - t) / (1 + t) of n1 + n2."""
@@ -174,10 +235,10 @@ class _Join:
         flagged = _marked(prefixes.df, done)
         n = F.col("n").cast("long")
         line = F.shiftleft("ord", DONE_AT + 1).bitwiseOR(F.shiftleft(F.col("gone").cast("long"), DONE_AT)).bitwiseOR(F.shiftleft(F.least(n, F.lit(LONG)), SIZE_AT))
-        lines = Table(flagged.select("prefix", *SKETCHES, line.alias("line")), "lines-flagged")
+        lines = flagged.select("prefix", *SKETCHES, line.alias("line"))
 
         def rows(k: int) -> DataFrame:
-            placed = lines.df.select(*SKETCHES, "line", F.posexplode("prefix").alias("pos", "tok"))
+            placed = lines.select(*SKETCHES, "line", F.posexplode("prefix").alias("pos", "tok"))
             return placed.where(F.pmod("tok", F.lit(PASSES)) == k).select("tok", *SKETCHES, F.col("line").bitwiseOR(F.least(F.col("pos").cast("long"), F.lit(FAR))).alias("at"))
 
         def read(s: str) -> tuple[Column, Column, Column, Column]:
@@ -197,7 +258,7 @@ class _Join:
             near = rows(k).alias("x").join(rows(k).alias("y"), F.col("x.tok") == F.col("y.tok")).where(alike)
             found.append(Table(near.select(F.greatest(x, y).alias("ord"), F.least(x, y).alias("by")).distinct(), "lines-near"))
         out = self._verified(reduce(DataFrame.union, [t.df for t in found]).distinct())
-        for t in (lines, prefixes, *found):
+        for t in (prefixes, *found):
             t.drop()
         return out
 
@@ -206,7 +267,7 @@ class _Join:
         pairs = Table(found, "lines-pairs")
         either = Table(pairs.df.select("ord").union(pairs.df.select("by")).distinct(), "lines-needed")
         maybe = _in_map(_map_of(either.df, F.xxhash64("ord")), F.xxhash64("ord"))
-        known = Table(self.known.df.select("ord", "line").where(maybe).join(either.df, "ord"), "lines-texts")
+        known = Table(self.lines.df.where(maybe).join(either.df, "ord"), "lines-texts")
         both = pairs.df.join(known.df, "ord").join(known.df.select(F.col("ord").alias("by"), F.col("line").alias("other")), "by")
         sets = F.struct(F.array_distinct(_words(F.col("line"))).alias("a"), F.array_distinct(_words(F.col("other"))).alias("b"))
         similar = _once(sets, lambda s: F.size(F.array_intersect(s.a, s.b)) * (self.hi + self.lo) >= (F.size(s.a) + F.size(s.b)) * self.lo)
@@ -244,7 +305,7 @@ def _marked(rows: DataFrame, some: DataFrame) -> DataFrame:
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: str = "0.8") -> DataFrame:
     """(d, key, kept): for each document, as _named() names them, the sorted numbers (from 0) of its lines with words
-    that stay. Documents without any have no row.
+    that stay. Documents without any have no row. Where d names one text each there is no key.
 
     A line goes if an earlier one, by (id, line), is the same or has a set of words with a Jaccard
     similarity of at least ``similarity``. Lines without words stay and are compared with none.
@@ -253,14 +314,18 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes are joined on the tokens of their prefixes; lengths, positions and sketches exclude nearly
     all other pairs within the join; what is left is verified on the words. To remove a line one
     earlier match is enough, so those that match the first line of a group need no further partner.
-    Texts are shuffled once and kept by line; after that only those of lines that are candidates are joined.
+    Lines are shuffled once and kept; after that only those that are candidates are joined.
     """
     join = _Join(docs, id_col, text_col, similarity)
     prefixes = join.prefixes()
     done = join.first_by_hubs(prefixes.df)
     gone = done.union(join.by_prefixes(prefixes, done))  # lines in done are in no other pair
-    kept = _marked(join.numbered, gone).where("gone = 0").groupBy("d", "key").agg(F.sort_array(F.collect_list("l")).alias("kept"))
-    return Table(kept, "lines-kept").df
+    stay = _marked(join.lines.df.select("ord"), gone).where("gone = 0").select("ord")
+    places = join.numbers.places(stay)
+    by = [c for c in places.columns if c != "l"]
+    kept = Table(places.groupBy(*by).agg(F.sort_array(F.collect_list("l")).alias("kept")), "lines-kept").df
+    join.lines.drop()
+    return kept
 
 
 def _flags(kept: Column) -> Column:
@@ -282,14 +347,14 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     worded = F.filter(F.transform(parts, lambda x, i: F.when(F.rlike(x, F.lit(WORD)), i)), lambda i: i.isNotNull())
     slim = docs.select(F.col(id_col).alias("id"), *_named(docs, id_col, text_col), F.size(parts).cast("long").alias("n_lines"), worded.alias("worded"))
     removed = F.array_except("worded", F.coalesce("kept", F.array().cast("array<int>")))
-    return slim.join(kept, ["d", "key"], "left").select("id", "n_lines", removed.alias("removed"))
+    return slim.join(kept, kept.columns[:-1], "left").select("id", "n_lines", removed.alias("removed"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: str = "0.8") -> DataFrame:
     """docs with the repeated lines taken out of the texts; all rows and columns stay, whatever their names.
     Texts without a line to remove, null ones too, are as they were."""
     kept = kept_lines(docs, id_col, text_col, similarity)
-    keyed = docs.select(F.struct("*").alias("row"), *_named(docs, id_col, text_col)).join(kept, ["d", "key"], "left")
+    keyed = docs.select(F.struct("*").alias("row"), *_named(docs, id_col, text_col)).join(kept, kept.columns[:-1], "left")
     parts = F.split(F.col(f"row.`{text_col}`"), "\n")
     flags = _flags(F.coalesce("kept", F.array().cast("array<int>")))
     left = F.array_join(_once(flags, lambda f: F.filter(parts, lambda x, i: _stays(x, F.get(f, i)))), "\n")
